@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessavox.llm.common import table
+from tessavox.llm.decontaminate import decontamination
 from tessavox.llm.pieces import encode_decode
+from tessavox.llm.quality_rules import quality
+from tessavox.llm.simhash import near_duplicates
 from tessavox.llm.token_files import tokenized, with_crc32
 
 #: Folder of the public vocabularies' files; None takes that of the installed package.
@@ -23,6 +26,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_crc32(tokenized(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2))
 
@@ -31,8 +38,16 @@ def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), ids=False)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op3_piece_codec)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_piece_codec, op7_quality_rules, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
