@@ -6,10 +6,12 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessavox.llm.archives import archived
 from tessavox.llm.common import table
 from tessavox.llm.decontaminate import decontamination
+from tessavox.llm.line_dedup import line_dedup
 from tessavox.llm.pieces import encode_decode
 from tessavox.llm.quality_rules import quality
 from tessavox.llm.simhash import near_duplicates
@@ -39,6 +41,11 @@ def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), ids=False)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_exact", "n_near", F.array_join("removed", ",").alias("removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +58,28 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+OP6 = r"""
+WITH r AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i - 1 AS line_no, lower(trim(regexp_replace(ls[i], '[\t\x0B\f\r ]+', ' ', 'g'))) AS t
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM r)),
+w AS (SELECT *, string_split(t, ' ') AS ws FROM l WHERE t <> ''),
+f AS (SELECT t, min((doc_id, line_no)) AS pos, any_value(ws) AS ws, len(any_value(ws)) AS n FROM w GROUP BY t),
+v AS (SELECT t, pos, n, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') AS k
+  FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM f WHERE n >= 10)),
+near AS (
+  SELECT a.t FROM v a JOIN v b ON a.k = b.k AND a.i = b.i AND a.n = b.n AND a.pos > b.pos
+  UNION SELECT a.t FROM v a JOIN f b ON a.k = b.t AND b.n >= 10 AND a.pos > b.pos
+  UNION SELECT b.t FROM v a JOIN f b ON a.k = b.t AND b.n >= 10 AND b.pos > a.pos),
+d AS (SELECT w.doc_id, w.line_no, (w.doc_id, w.line_no) > f.pos AS again, w.t IN (SELECT t FROM near) AS near
+  FROM w JOIN f USING (t)),
+g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (again) AS n_exact, count(*) FILTER (near AND NOT again) AS n_near,
+    list(line_no ORDER BY line_no) FILTER (again OR near) AS gone FROM d GROUP BY doc_id)
+SELECT r.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near,
+  coalesce(array_to_string(gone, ','), '') AS removed,
+  sha256(array_to_string([ls[i + 1] for i in range(len(ls)) if NOT coalesce(list_contains(gone, i), false)], chr(10))) AS text_sha256
+FROM r LEFT JOIN g USING (doc_id)
+"""
+
 OP8 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
@@ -63,8 +92,8 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_piece_codec, op7_quality_rules, op8_archives, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_piece_codec, op6_line_dedup, op7_quality_rules, op8_archives, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_archives": OP8}
+    return {"op6_line_dedup": OP6, "op8_archives": OP8}
