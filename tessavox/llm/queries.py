@@ -14,6 +14,8 @@ from tessavox.llm.decontaminate import decontamination
 from tessavox.llm.line_dedup import line_dedup
 from tessavox.llm.pieces import encode_decode
 from tessavox.llm.quality_rules import quality
+from tessavox.llm.quotes import linked_conversations
+from tessavox.llm.sentence_spans import substring_dedup
 from tessavox.llm.simhash import near_duplicates
 from tessavox.llm.token_files import tokenized, with_crc32
 
@@ -41,6 +43,11 @@ def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), ids=False)
 
 
+def op5_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linked_conversations(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "turn", "role", "parent", "root", "depth", "n_quotes", "max_level", F.sha2("formatted", 256).alias("formatted_sha256"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_exact", "n_near", F.array_join("removed", ",").alias("removed"), F.sha2("text", 256).alias("text_sha256"))
@@ -54,6 +61,11 @@ def op8_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_sentences", "n_removed", F.array_join("removed", ",").alias("removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -92,7 +104,7 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_piece_codec, op6_line_dedup, op7_quality_rules, op8_archives, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_piece_codec, op5_quotation_links, op6_line_dedup, op7_quality_rules, op8_archives, op9_sentence_spans, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
