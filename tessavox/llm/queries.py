@@ -15,6 +15,7 @@ from tessavox.llm.line_dedup import line_dedup
 from tessavox.llm.pieces import encode_decode
 from tessavox.llm.quality_rules import quality
 from tessavox.llm.quotes import linked_conversations
+from tessavox.llm.sanitise import listed, sanitisation
 from tessavox.llm.sentence_spans import substring_dedup
 from tessavox.llm.simhash import near_duplicates
 from tessavox.llm.token_files import tokenized, with_crc32
@@ -43,6 +44,12 @@ def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), ids=False)
 
 
+def op4_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sanitisation(table(spark, sf_dir, "documents"))
+    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(("email", "ip", "card", "phone"))]
+    return out.select("doc_id", *count, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.array_sort(F.concat("base", "terms"))).alias("spans"))
+
+
 def op5_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linked_conversations(table(spark, sf_dir, "conversations"))
     return out.select("conv_id", "turn", "role", "parent", "root", "depth", "n_quotes", "max_level", F.sha2("formatted", 256).alias("formatted_sha256"))
@@ -104,7 +111,7 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_piece_codec, op5_quotation_links, op6_line_dedup, op7_quality_rules, op8_archives, op9_sentence_spans, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_piece_codec, op4_sanitisation, op5_quotation_links, op6_line_dedup, op7_quality_rules, op8_archives, op9_sentence_spans, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
