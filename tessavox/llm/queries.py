@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessavox.llm.archives import archived
@@ -46,8 +46,12 @@ def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sanitisation(table(spark, sf_dir, "documents"))
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(("email", "ip", "card", "phone"))]
-    return out.select("doc_id", *count, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.array_sort(F.concat("base", "terms"))).alias("spans"))
+
+    def count(kind: int, name: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{name}")
+
+    counts = [count(k, name) for k, name in enumerate(("email", "ip", "card", "phone"))]
+    return out.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.array_sort(F.concat("base", "terms"))).alias("spans"))
 
 
 def op5_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
