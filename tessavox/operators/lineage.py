@@ -1,15 +1,32 @@
-"""Cutting the lineage of iterative operators in the folder that all executors share."""
+"""Cutting the lineage of iterative operators, and fresh places, in the folder that all executors share."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder is made up only where the session has none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if known.isDefined():
+            return known.get()
+        base = tempfile.mkdtemp(prefix="tessavox-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; a folder is made up only where the session has none."""
-    context = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessavox-"))
+    """A reliable checkpoint."""
+    _base(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the shared folder, as a plain path where it is one of a mounted file system."""
+    return re.sub("^file:/+", "/", f"{_base(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}")

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessavox.functions import flops, intensity, losses, paths
-from tessavox.operators import augment, history, metrics, normalize, objects, pad, predict, report, resample, stats, stitch, tiling
+from tessavox.operators import augment, history, lineage, metrics, normalize, objects, pad, predict, report, resample, stats, stitch, tiling
 from tessavox.plans.views import table, truth_and_prediction, volume
+from tessavox.sources import convert, volumes
+from tessavox.streaming import slices
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -570,3 +572,62 @@ def augmented_patches(spark, sf_dir):
 @query(f"WITH {_ST} SELECT z, y, x, CAST(CASE WHEN (v - m) / (s + 1e-8) * 2 - 0.5 > -ln(1 / 0.6 - 1) THEN 255 ELSE 0 END AS INT) AS v FROM vox, st")
 def segmentation(spark, sf_dir):
     return predict.segmented(volume(spark, sf_dir), (depth(spark, sf_dir), 8, 8), SIZE, OVERLAP, predict.linear(2.0, -0.5), probability=0.6)
+
+
+# --- sources and sinks: written, read back, compared with what went in
+
+_PART = f"WITH {VOX} SELECT z, y, x, v FROM vox WHERE z < 24"
+
+
+def _part(spark, sf_dir):
+    return tiling.box(volume(spark, sf_dir), (0, 24), (0, 8), (0, 8))
+
+
+def _folder(spark, tag: str) -> str:
+    return lineage.shared_folder(spark, tag)
+
+
+@query(_PART)
+def tiff_round_trip(spark, sf_dir):
+    to = _folder(spark, "tiff")
+    volumes.write_slices(_part(spark, sf_dir), to).count()
+    return volumes.read_volume(spark, to)
+
+
+@query(_PART)
+def nifti_round_trip(spark, sf_dir):
+    to = _folder(spark, "nifti")
+    volumes.write_chunks(_part(spark, sf_dir), to, 24, 10, suffix=".nii.gz").count()
+    return volumes.read_volume(spark, to)
+
+
+@query(_PART)
+def zarr_round_trip(spark, sf_dir):
+    to = _folder(spark, "store") + ".zarr"
+    volumes.write_zarr(_part(spark, sf_dir), to, (24, 8, 8), (10, 5, 8)).count()
+    return volumes.read_volume(spark, to)
+
+
+@query(f"WITH {VOX} SELECT z, y, x, v FROM vox WHERE z >= 70 AND z < 130")
+def block_round_trip(spark, sf_dir):
+    to = _folder(spark, "blocks")
+    volumes.write_blocks(volume(spark, sf_dir), to)
+    return volumes.read_blocks(spark, to, (70, 130))
+
+
+@query("SELECT unnest(['a', 'b', 'c']) AS source, 'out' AS target")
+def paired_roots(spark, sf_dir):
+    return spark.createDataFrame(convert.pairs(["a", "b", "c"], ["out"]), "source string, target string")
+
+
+@query("SELECT event_type AS kind, count(value) AS n, round(avg(value), 6) + 0.0 AS mean, round(stddev_pop(value), 6) + 0.0 AS std, round(min(value), 6) + 0.0 AS min, round(max(value), 6) + 0.0 AS max FROM events GROUP BY 1")
+def streamed_statistics(spark, sf_dir):
+    """The table read as a stream to its end; the state's last content."""
+    import uuid
+
+    kinds = table(spark, sf_dir, "events").schema
+    rows = spark.readStream.schema(kinds).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*").select(F.col("event_type").alias("kind"), F.col("value").alias("v"))
+    name = f"stream_{uuid.uuid4().hex}"
+    q = slices.running_statistics(rows, "kind").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", _folder(spark, "stream")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return _round(spark.table(name), "mean", "std", "min", "max")
