@@ -231,6 +231,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     def without(text: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
         for t, s in zip(text.to_pylist(), spans.to_pylist(), strict=True):
+            if not s:
+                out.append(t)
+                continue
             kept, last = [], 0
             for a, b in spans_in_text(t, [(x["start"], x["end"]) for x in s]):
                 kept.append(t[last:a])

@@ -45,13 +45,13 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (a long with the fingerprint's bits) of every row."""
+    """doc_id, row_key (tells rows with equal ids apart), fp (a long with the fingerprint's bits) of every row."""
 
     @F.arrow_udf("long")
     def fp(batch: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(t) for t in batch.to_pylist()], np.uint64).view(np.int64))
 
-    return pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), fp(whole("text")).alias("fp"))
+    return pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole("text")).alias("row_key"), fp(whole("text")).alias("fp"))
 
 
 class Node:
@@ -189,7 +189,7 @@ def contracted(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable by links) of every row.
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable by links), row_key of every row.
 
     Documents with the same fingerprint are one node. Null, empty and wordless texts have fingerprint
     zero and link like any other. Rows with a null id take part; their group's id is that of its
@@ -207,6 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
+        "row_key",
     )
 
 
@@ -215,13 +216,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Of rows that repeat an id one stays. Rows without an id can't be told apart and all stay.
     """
-    found = written(near_duplicates(docs, id_col, text_col, **options).where("doc_id is null or doc_id = component_id"), "kept")
-    id_at = docs.columns.index(id_col)
+    found = written(near_duplicates(docs, id_col, text_col, **options).where("doc_id is null or doc_id = component_id").select("doc_id", "row_key"), "kept")
+    id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
     plain = docs.toDF(*[f"c{i}_" for i in range(len(docs.columns))])
     key = F.col(f"c{id_at}_").cast("long")
     named = found.where("doc_id is not null")
-    kept = named.distinct().select("doc_id")
-    out = plain.join(kept, key == kept.doc_id, "left_semi")
+    kept = named.distinct()
+    out = plain.join(kept, (key == kept.doc_id) & (F.xxhash64(whole(f"c{text_at}_")) == kept.row_key), "left_semi")
     if not named.groupBy("doc_id").count().where("count > 1").isEmpty():
         out = out.dropDuplicates([f"c{id_at}_"])
     if not found.where("doc_id is null").isEmpty():
