@@ -40,6 +40,12 @@ def duck():
     return c
 
 
-def rows_of(arrow):
-    names = sorted(arrow.column_names)
-    return names, sorted(tuple(str(v) for v in row) for row in zip(*[arrow.column(n).to_pylist() for n in names], strict=True))
+@pytest.fixture(scope="session")
+def rows_of():
+    """Names of an Arrow table's columns and its rows in any order."""
+
+    def rows(arrow):
+        names = sorted(arrow.column_names)
+        return names, sorted(tuple(str(v) for v in row) for row in zip(*[arrow.column(n).to_pylist() for n in names], strict=True))
+
+    return rows
