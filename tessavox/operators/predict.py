@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessavox.functions import intensity
@@ -70,3 +71,15 @@ def segmented(vox: DataFrame, shape: tuple[int, int, int], size: tuple[int, int,
     tiles = tiling.extracted(normalize.normalized(vox, method), shape, size, overlap)
     logits = unpacked(predicted(packed(tiles), model), size, shape)
     return stitch.patch_means(logits, shape).select("z", "y", "x", intensity.to_mask(F.col("v"), intensity.logit_threshold(probability), dtype).alias("v"))
+
+
+def save_checkpoint(spark: SparkSession, path: str, model: str, parameters: dict, epoch: int, loss: float) -> None:
+    """A registered model's name and parameters with its epoch and loss, as one line of JSON on any file system."""
+    line = json.dumps({"model": model, "parameters": parameters, "epoch": epoch, "loss": loss})
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_checkpoint(spark: SparkSession, path: str) -> tuple[Model, dict]:
+    """The model, and what was stored about it."""
+    stored = json.loads(spark.read.text(path).first().value)
+    return MODELS[stored["model"]](**stored["parameters"]), stored

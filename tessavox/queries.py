@@ -275,6 +275,13 @@ for _mode in pad.MODES:
     query(_sql_pad(_mode))(_padded(_mode))
 
 
+@query(f"""WITH {VOX}, o AS (SELECT z, y, x FROM range(0, 20) a(z), range(0, 32) b(y), range(0, 32) c(x))
+SELECT o.z, o.y, o.x, round(coalesce(v, 0.25), 6) + 0.0 AS v FROM o LEFT JOIN vox ON vox.z = o.z AND vox.y = o.y - 12 AND vox.x = o.x - 12""")
+def pad_to_multiple(spark, sf_dir):
+    part = tiling.box(volume(spark, sf_dir), (0, 20), (0, 8), (0, 8))
+    return _round(pad.padded(part, (20, 8, 8), ((0, 0), pad.multiple_widths(8), pad.multiple_widths(8)), "constant", 0.25), "v")
+
+
 # --- stitching and resampling
 
 
@@ -407,6 +414,13 @@ def hausdorff(spark, sf_dir):
     return _round(metrics.hausdorff(truth_and_prediction(spark, sf_dir)), "hausdorff")
 
 
+@query(f"WITH {PAIR}, {_HD}, al AS (SELECT z, hausdorff FROM (SELECT DISTINCT z FROM tp) LEFT JOIN hd USING (z)) SELECT round(coalesce(avg(hausdorff) FILTER (z % 3 <> 0), 0), 6) + 0.0 AS value FROM al")
+def valid_mean(spark, sf_dir):
+    """Mean over slices, of which every third is made NaN."""
+    per = metrics.hausdorff(truth_and_prediction(spark, sf_dir)).withColumn("h", F.when(F.col("z") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("hausdorff")))
+    return _round(metrics.mean_of_valid(per, "h"), "value")
+
+
 @query()
 def object_scores(spark, sf_dir):
     return _round(objects.object_metrics(truth_and_prediction(spark, sf_dir)), "obj_precision", "obj_recall", "obj_f1", "cldice")

@@ -201,3 +201,9 @@ def test_paths(spark):
     assert [r.s for r in rows] == [".tif", ".nii.gz", ".png", "", "", ".gz", ""]
     assert [r.n for r in rows] == ["b", "b", "b.c", ".hidden", "b", "b", "noend"]
     assert [paths.resolve(p) for p in ("/x.zarr/0", "/x.tif", "/dir")] == ["zarr", "file", "directory"]
+
+
+def test_checkpoints(spark, tmp_path):
+    predict.save_checkpoint(spark, str(tmp_path / "best"), "linear", {"weight": 2.0, "bias": 1.0}, 25, 0.5)
+    model, stored = predict.load_checkpoint(spark, str(tmp_path / "best"))
+    assert model(np.array([3.0]))[0] == 7.0 and stored["epoch"] == 25
