@@ -21,7 +21,8 @@ MIN_WORDS = 10
 #: Rows of narrow columns up to which a side is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Fixed value: white space inside a line.
-SPACE = r"[\t\x0B\f\r ]+"
+SPACE_CHARS = "\t\v\f\r "
+SPACE = f"[{SPACE_CHARS}]+"
 _LINES = 10**10  # positions are id * _LINES + line number
 _LAST_ID = (1 << 63) - 1
 
@@ -32,7 +33,12 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, SPACE, " ")))
+    """Lower-cased words with one space between them; the pattern runs only over lines that need it."""
+    bare = F.btrim(line, F.lit(SPACE_CHARS))
+    uneven = F.contains(bare, F.lit("  "))
+    for c in SPACE_CHARS[:-1]:
+        uneven |= F.contains(bare, F.lit(c))
+    return F.lower(F.when(uneven, F.regexp_replace(bare, SPACE, " ")).otherwise(bare))
 
 
 def _position() -> Column:
@@ -40,20 +46,22 @@ def _position() -> Column:
     return (F.coalesce("doc_id", F.lit(_LAST_ID)).cast("decimal(38,0)") * F.lit(_LINES).cast("decimal(11,0)") + F.col("line_no")).cast("decimal(38,0)")
 
 
-def _halves(words: Column, n: Column) -> list[Column]:
-    """Keys of first and last words, such that lines within one edit have one in common."""
-    out = []
-    for h in (F.floor(n / 2), F.floor((n - 1) / 2)):
-        h = h.cast("int")
-        first, last = F.slice(words, 1, h), F.slice(words, n - h + 1, h)
-        out += [F.xxhash64(F.lit(0), h, first), F.xxhash64(F.lit(1), h, last)]
-    return out
+def _halves(min_words: int) -> Column:
+    """Keys of the first and last words of ``text`` (null for short lines): lines within one edit have one in common.
+
+    Of n words the first and last n/2 and (n - 1)/2, cut, count: those of the shorter length also come from lines of
+    n - 1 words, so lengths may differ by one.
+    """
+    n = F.octet_length("text") - F.octet_length(F.replace("text", F.lit(" "), F.lit(""))) + 1
+    part = lambda h, side: F.xxhash64(F.lit(side), h, F.call_function("substring_index", F.col("text"), F.lit(" "), h * side))
+    keys = [part(h.cast("int"), side) for h in (F.floor(n / 2), F.floor((n - 1) / 2)) for side in (1, -1)]
+    return F.when(n >= min_words, F.array_distinct(F.array(*keys)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """Every line with a word: doc_id, row_key, line_no, text, h1, h2."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("row_key"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    lines = rows.select("doc_id", "row_key", "line_no", normal(F.col("line")).alias("text")).where("text != ''")
+    lines = rows.where(F.btrim("line", F.lit(SPACE_CHARS)) != "").select("doc_id", "row_key", "line_no", normal(F.col("line")).alias("text"))
     return lines.select("*", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
 
 
@@ -68,40 +76,49 @@ def within_one(a: Column, b: Column) -> Column:
     return common(a, b) + common(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1
 
 
-def _near(lines: DataFrame, keyed: DataFrame, min_words: int) -> DataFrame:
-    """h1, h2 of the lines that have an earlier different line within one edit."""
+def _texts(docs: DataFrame, keyed: DataFrame) -> DataFrame:
+    """h1, at, text of the lines that share a half with a different line, each at its first place.
+
+    Their places are found on narrow rows; only the documents of these places are read again.
+    """
     keys = keyed.where("keys is not null").select("h1", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("key")
     candidates = _small(written(keys.join(shared, "key", "left_semi").select("h1").distinct(), "candidates"))
-    texts = lines.join(candidates, "h1", "left_semi").groupBy("h1", "h2").agg(F.min(_position()).alias("at"), F.first("text").alias("text"))
-    texts = written(texts.select("h1", "h2", "at", F.split("text", " ").alias("words")), "texts")
-    n = F.size("words")
-    variants = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.concat(F.slice("words", 1, i - 1), F.slice("words", i + 1, n))))
-    line = F.struct("at", "h1", "h2").alias("line")
-    without = texts.where(n > 0).select(line, n.alias("n"), F.posexplode(variants).alias("i", "key"))
-    complete = texts.select(line, F.xxhash64("words").alias("key"))
+    places = keyed.join(candidates, "h1", "left_semi").groupBy("h1", "h2").agg(F.min(_position()).alias("at"))
+    places = written(places, "places")
+    owner = F.coalesce("doc_id", F.lit(_LAST_ID))
+    owners = places.select(F.floor(F.col("at") / F.lit(_LINES).cast("decimal(11,0)")).cast("long").alias("owner")).distinct()
+    some = docs.join(_small(written(owners, "owners")), owner == F.col("owner"), "left_semi")
+    found = _lines(some).withColumn("at", _position()).join(_small(places), ["h1", "h2", "at"], "left_semi")
+    return written(found.select("h1", "h2", "at", "text").distinct(), "texts")
+
+
+def _near(docs: DataFrame, keyed: DataFrame, min_words: int) -> DataFrame:
+    """h1, h2 of the lines that have an earlier different line within one edit."""
+    texts = _texts(docs, keyed)
+    n = F.octet_length("text") - F.octet_length(F.replace("text", F.lit(" "), F.lit(""))) + 1
+    cut = lambda k: F.call_function("substring_index", F.col("text"), F.lit(" "), k)
+    members = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.xxhash64(F.btrim(F.concat(cut(i - 1), F.lit(" "), cut(i - F.col("n"))))))
+    # a line is known by its place; without: the line without its i-th word, complete: all of it
+    without = written(texts.select("at", "text", n.alias("n")).select("at", "n", F.posexplode(members).alias("i", "key")), "variants")
+    complete = _small(texts.select(F.col("at").alias("other"), F.col("h1").alias("key")))
     # one word replaced: same length, same place left out; all such lines against the earliest
-    best = without.groupBy("key", "i", "n").agg(F.min("line").alias("other"), F.max("line").alias("last")).where("other != last").select("key", "i", "n", "other")
-    replaced = without.join(best, ["key", "i", "n"]).select("line", "other")
-    # one word more: the complete line against the earliest of those that become it, and each of those against it
-    longer = without.groupBy("key").agg(F.min("line").alias("other"))
-    added = complete.join(longer, "key").select("line", "other")
-    left_out = without.join(complete.withColumnRenamed("line", "other"), "key").select("line", "other")
-    pairs = replaced.union(added).union(left_out).where("line.at > other.at").distinct()
-    # the later line's words travel with the pair, then the earlier one's are looked up
-    own = texts.select("h1", "h2", "words")
-    pairs = pairs.select(F.col("line.h1").alias("h1"), F.col("line.h2").alias("h2"), F.col("other.h1").alias("o1"), F.col("other.h2").alias("o2"))
-    both = pairs.join(own, ["h1", "h2"]).join(own.toDF("o1", "o2", "other_words"), ["o1", "o2"])
+    best = without.groupBy("key", "i", "n").agg(F.min("at").alias("other"), F.max("at").alias("last")).where("other != last").select("key", "i", "n", "other")
+    replaced = without.join(_small(written(best, "best")), ["key", "i", "n"]).select("at", "other")
+    # one word more: each line that becomes a complete one, against it; and that one against the earliest of these
+    longer = written(without.join(complete, "key").select("at", "other"), "longer")
+    shorter = longer.groupBy("other").agg(F.min("at").alias("first")).select(F.col("other").alias("at"), F.col("first").alias("other"))
+    pairs = replaced.union(longer).union(shorter).where("at > other").distinct()
+    words = F.split("text", " ")
+    own = texts.select("h1", "h2", "at", words.alias("words"))
+    both = own.join(pairs, "at").join(texts.select(F.col("at").alias("other"), words.alias("other_words")), "other")
     return both.where((F.size("words") >= min_words) & (F.size("other_words") >= min_words) & within_one(F.col("words"), F.col("other_words"))).select("h1", "h2").distinct()
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, row_key, exact, near (line numbers to remove) of the rows of doc_id and text that lose lines."""
-    lines = _lines(docs)
-    words = F.split("text", " ")
-    keys = F.when(F.size(words) >= min_words, F.array_distinct(F.array(*_halves(words, F.size(words)))))
-    keyed = written(lines.select("doc_id", "row_key", "line_no", "h1", "h2", keys.alias("keys")), "lines")
-    near = _near(lines, keyed, min_words).select("h1", "h2", F.lit(True).alias("near"))
+    keyed = written(_lines(docs).select("doc_id", "row_key", "line_no", "h1", "h2", _halves(min_words).alias("keys")), "lines")
+    near = _near(docs, keyed, min_words).select("h1", "h2", F.lit(True).alias("near"))
     firsts = keyed.groupBy("h1", "h2").agg(F.min(_position()).alias("first"), F.max(_position()).alias("last")).where("first != last").select("h1", "h2", "first")
     known = _small(written(firsts.join(near, ["h1", "h2"], "full"), "known"))
     again = F.coalesce(_position() > F.col("first"), F.lit(False))
@@ -123,20 +140,21 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _applied(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """docs (with doc_id and text and perhaps more) with new_text, n_lines, n_exact, n_near, removed."""
-    removed = _small(written(removed.withColumnRenamed("doc_id", "r_id"), "removed"))
-    joined = docs.join(removed, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.xxhash64("text") == F.col("row_key")), "left")
-    lines = F.split("text", "\n", -1)
-    gone = F.array_sort(F.concat("exact", "near"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    new = F.when(F.col("r_id").isNull() & F.col("row_key").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    return joined.select(
+    size = lambda c: F.size(c).cast("long")
+    gone = removed.select(F.col("doc_id").alias("r_id"), "row_key", F.array_sort(F.concat("exact", "near")).alias("gone_"), size("exact").alias("exact_"), size("near").alias("near_"))
+    gone = _small(written(gone, "removed"))
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.xxhash64("text") == F.col("row_key")), "left")
+    # the lines are a column of their own, as they are used inside functions of their places
+    split = joined.select(*docs.columns, "gone_", "exact_", "near_", F.split("text", "\n", -1).alias("lines_"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines_") - 1), F.col("gone_"))
+    new = F.when(F.col("gone_").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("lines_"), i)), "\n"))
+    return split.select(
         *docs.columns,
         new.alias("new_text"),
-        F.size(F.filter(lines, lambda x: F.regexp_replace(x, SPACE, "") != "")).cast("long").alias("n_lines"),
-        count("exact").alias("n_exact"),
-        count("near").alias("n_near"),
-        F.coalesce(gone, F.array().cast("array<int>")).alias("removed"),
+        F.size(F.filter("lines_", lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")).cast("long").alias("n_lines"),
+        F.coalesce("exact_", F.lit(0)).cast("long").alias("n_exact"),
+        F.coalesce("near_", F.lit(0)).cast("long").alias("n_near"),
+        F.coalesce("gone_", F.array().cast("array<int>")).alias("removed"),
     )
 
 
