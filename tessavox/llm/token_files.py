@@ -15,7 +15,9 @@ page index names; readers that leave out ``ids`` never touch its column chunks.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,14 @@ SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<in
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def pack(ids: list[int]) -> bytes:
+    """Little-endian 32-bit integers."""
+    out = array("i", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class _Odd(Exception):
     """A piece that the quick cut can't judge alone."""
 
@@ -91,8 +101,11 @@ class ByteTokenizer:
         if ids is None:
             if len(self.inner) >= CACHE_WORDS:
                 self.inner.clear()
-            visible = token.encode().decode("latin-1").translate(self.letters)
-            ids = self.inner[token] = np.array([t.id for t in self.tokens(visible)], "<i4").tobytes()
+            if token.isascii() and token.lstrip(" ").isprintable():  # such bytes stand for themselves, but the space
+                visible = token.replace(" ", self.letters[32])
+            else:
+                visible = token.encode().decode("latin-1").translate(self.letters)
+            ids = self.inner[token] = pack([t.id for t in self.tokens(visible)])
         return ids
 
     def _piece(self, word: str) -> bytes:
@@ -103,7 +116,7 @@ class ByteTokenizer:
         if not bare or not bare.isprintable():
             raise _Odd
         full = bare if bare is not word else " " + word
-        if max(bare) < "ɐ":
+        if bare.isascii() or max(bare) < "ɐ":
             if bare.isalpha():
                 return self._token(full)
             if bare[-1] in ",.;:!?" and bare[:-1].isalpha():
@@ -119,7 +132,7 @@ class ByteTokenizer:
                 return b"".join(map(self.words.__getitem__, ("\0" + text).replace("\n", " \n \0").split(" ")))
             except _Odd:
                 pass
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
+        return pack(self.library.encode(text, add_special_tokens=False).ids)
 
 
 _loaded: dict[str, ByteTokenizer] = {}
@@ -146,7 +159,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "do
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, part, start = tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<i4").tobytes()
+        end = pack([end_id])
         for b in _slices(batches):
             each = [t.encode(x) + end for x in b.column(1).to_pylist()]
             n = np.fromiter(map(len, each), np.int64, len(each)) // 4
