@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans: every run of several sentences is hashed and held against the whole corpus.
 
-A run begins at each sentence and takes as many as reach MIN_WORDS words, two at least. All sentences that
-a repeated run covers go, except where the run stands for the first time (smallest id, then place). Two passes read the
+Of the runs that begin at a sentence, and of those that end there, the shortest of MIN_WORDS words and two sentences at
+least is hashed. These cover every sentence of any longer repeated run: what the shortest run at its begin leaves has
+enough words before it for a run that ends there. All sentences that a repeated run covers go, except where the run stands for the first time (smallest id, then place). Two passes read the
 texts: the first gathers one hash for each run with its first and last place (partial sums before the shuffle), the
 second finds the repeated ones again with a second hash, so that collisions of the first don't count.
 """
@@ -40,15 +41,26 @@ def runs(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WOR
     parts = [s.lower().split() for s in sentences(text)]
     real = [i for i, w in enumerate(parts) if w]
     sizes, joined = [len(parts[i]) for i in real], [" ".join(parts[i]).encode() for i in real]
-    end = total = 0
-    for begin in range(len(real)):
-        while end < len(real) and (total < min_words or end - begin < min_sentences):
+    n, end, total, spans = len(real), 0, 0, set()
+    for begin in range(n):  # the shortest that begin here
+        while end < n and (total < min_words or end - begin < min_sentences):
             total += sizes[end]
             end += 1
         if total < min_words or end - begin < min_sentences:
-            return
-        yield real[begin], real[end - 1] + 1, xxhash.xxh3_128_digest(b" ".join(joined[begin:end]))
+            break
+        spans.add((begin, end))
         total -= sizes[begin]
+    begin, total = n, 0
+    for end in range(n, 0, -1):  # the shortest that end here
+        while begin > 0 and (total < min_words or end - begin < min_sentences):
+            begin -= 1
+            total += sizes[begin]
+        if total < min_words or end - begin < min_sentences:
+            break
+        spans.add((begin, end))
+        total -= sizes[end - 1]
+    for begin, end in sorted(spans):
+        yield real[begin], real[end - 1] + 1, xxhash.xxh3_128_digest(b" ".join(joined[begin:end]))
 
 
 def _all_runs(docs: DataFrame, options: dict) -> DataFrame:

@@ -308,6 +308,40 @@ def test_repeated_passage_goes(spark):
     assert out[0].n_removed == 0 and all(out[i].n_removed >= 6 for i in range(1, 5))
 
 
+def repeated_sentences(rows, min_words=20):
+    """Numbers of the sentences that lie in a run of min_words words whose like stands earlier, found by growing equal pairs, without runs()."""
+    flat = [(i, k, w) for i, t in sorted(rows) for k, s in enumerate(sentence_spans.sentences(t or "")) if (w := s.lower().split())]
+    like, out = {}, {}
+    same = lambda a, b: 0 <= a and b < len(flat) and flat[a][2] == flat[b][2]
+    for b, (i, _, w) in enumerate(flat):
+        for a in like.setdefault(tuple(w), []):
+            if same(a - 1, b - 1) and flat[a - 1][0] == flat[a][0] and flat[b - 1][0] == i:
+                continue  # not the begin of an equal stretch
+            n = 1
+            while same(a + n, b + n) and flat[a + n][0] == flat[a][0] and flat[b + n][0] == i:
+                n += 1
+            if n > 1 and sum(len(flat[b + k][2]) for k in range(n)) >= min_words:
+                out.setdefault(i, set()).update(flat[b + k][1] for k in range(n))
+        like[tuple(w)].append(b)
+    return out
+
+
+def words_of(rng, n):
+    return " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+
+
+def test_whole_passage_goes(spark, data, texts):
+    """The last sentences of a repeated passage too, like an independent brute force."""
+    rng = random.Random(9)
+    three = ". ".join(words_of(rng, n) for n in (15, 15, 3)) + ". "
+    seven = ". ".join(words_of(rng, rng.randint(3, 14)) for _ in range(7)) + ". "
+    rows = [(i, "".join([words_of(rng, 9) + ". ", three, words_of(rng, 30) + ". ", seven, words_of(rng, 4) + "."])) for i in range(4)]
+    out = {r.doc_id: r for r in sentence_spans.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[i].removed for i in range(4)] == [[], *[[1, 2, 3, *range(5, 12)]] * 3]
+    wanted = repeated_sentences(texts)
+    assert {r.doc_id: r.removed for r in op9_sentence_spans(spark, data).collect() if r.removed} == {i: ",".join(map(str, sorted(s))) for i, s in wanted.items()}
+
+
 def test_spans_of_odd_rows(spark, odd, odd_rows, none):
     rows = sentence_spans.substring_dedup(odd).collect()
     wanted = spans_removed(odd_rows)
