@@ -1,8 +1,10 @@
 """Substring dedup by sliding sentence spans: every run of several sentences is hashed and held against the whole corpus.
 
-Of the runs that begin at a sentence, and of those that end there, the shortest of MIN_WORDS words and two sentences at
-least is hashed. These cover every sentence of any longer repeated run: what the shortest run at its begin leaves has
-enough words before it for a run that ends there. All sentences that a repeated run covers go, except where the run stands for the first time (smallest id, then place). Two passes read the
+Of the runs that begin at a sentence, and of those that end there, the shortest of MIN_WORDS words is hashed: several
+sentences, or one that has as many words alone. These cover every sentence of any longer repeated run: what the shortest run at its
+begin leaves has enough words before it for a run that ends there. Sentences of over LONG_WORDS words, as in texts without
+stops, are cut into pieces at places that depend on the words around, and the pieces count as sentences. All sentences that
+a repeated run covers go, except where the run stands for the first time (smallest id, then place). Two passes read the
 texts: the first gathers one hash for each run with its first and last place (partial sums before the shuffle), the
 second finds the repeated ones again with a second hash, so that collisions of the first don't count.
 """
@@ -21,19 +23,51 @@ from pyspark.sql import functions as F
 from tessavox.llm.common import pick, whole, written
 
 MIN_SENTENCES, MIN_WORDS = 2, 20
+#: Words from which on a sentence is cut; words on each side that decide whether it is cut behind one.
+LONG_WORDS, REACH = 50, 4
 #: Rows of narrow columns up to which a side is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Fixed value: where a sentence ends, closing marks and white space included.
 END = re.compile(r"[.!?…][\"'”’)\]]*\s+|[。！？][”’」』]*\s*|\n\s*")
+_WORD = re.compile(r"\S+\s*")
 _PLACES, _LAST_ID = 10**10, (1 << 63) - 1
 
 
+def _pieces(sentence: str) -> list[str]:
+    """A long sentence, cut behind words whose hash (with the word before) is the least of REACH on each side.
+
+    Equal stretches so are cut alike whatever stands around them, but for their ends. What has no such place (one
+    word again and again) is cut by length.
+    """
+    words = sentence.split()
+    if len(words) <= LONG_WORDS:
+        return [sentence]
+    first = len(sentence) - len(sentence.lstrip())
+    ends = [m.end() for m in _WORD.finditer(sentence, first)]
+    words = [w.lower() for w in words]
+    h = [xxhash.xxh32_intdigest(f"{a} {b}".encode()) for a, b in zip(["", *words], words, strict=False)]
+    at = [0]
+    for i in range(REACH, len(h) - REACH):
+        if h[i] < min(h[i - REACH : i]) and h[i] <= min(h[i + 1 : i + REACH + 1]):
+            at += [*range(at[-1] + LONG_WORDS // 2, i + 1 - LONG_WORDS // 2, LONG_WORDS // 2)] if i + 1 - at[-1] > LONG_WORDS else []
+            at.append(i + 1)
+    at += [*range(at[-1] + LONG_WORDS // 2, len(h) - LONG_WORDS // 2, LONG_WORDS // 2)] if len(h) - at[-1] > LONG_WORDS else []
+    cuts = [0, *(ends[i - 1] for i in at[1:]), len(sentence)]
+    return [sentence[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def sentences(text: str) -> list[str]:
     """Pieces whose concatenation is the text."""
     cuts = [0, *(m.end() for m in END.finditer(text))]
     if cuts[-1] < len(text):
         cuts.append(len(text))
-    return [text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b - a > 2 * LONG_WORDS:
+            out += _pieces(text[a:b])
+        else:
+            out.append(text[a:b])
+    return out
 
 
 def runs(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
@@ -41,21 +75,23 @@ def runs(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WOR
     parts = [s.lower().split() for s in sentences(text)]
     real = [i for i, w in enumerate(parts) if w]
     sizes, joined = [len(parts[i]) for i in real], [" ".join(parts[i]).encode() for i in real]
-    n, end, total, spans = len(real), 0, 0, set()
+    n, end, total = len(real), 0, 0
+    spans = {(i, i + 1) for i in range(n) if sizes[i] >= min_words}
+    least = min_sentences if min_sentences > 2 else 1  # of two, one either has the words alone or needs the other
     for begin in range(n):  # the shortest that begin here
-        while end < n and (total < min_words or end - begin < min_sentences):
+        while end < n and (total < min_words or end - begin < least):
             total += sizes[end]
             end += 1
-        if total < min_words or end - begin < min_sentences:
+        if total < min_words or end - begin < least:
             break
         spans.add((begin, end))
         total -= sizes[begin]
     begin, total = n, 0
     for end in range(n, 0, -1):  # the shortest that end here
-        while begin > 0 and (total < min_words or end - begin < min_sentences):
+        while begin > 0 and (total < min_words or end - begin < least):
             begin -= 1
             total += sizes[begin]
-        if total < min_words or end - begin < min_sentences:
+        if total < min_words or end - begin < least:
             break
         spans.add((begin, end))
         total -= sizes[end - 1]
@@ -100,16 +136,17 @@ def repeated_spans(docs: DataFrame, **options: int) -> DataFrame:
     """doc_id, row_key, spans (array of begin and end sentences) of the rows that repeat runs of earlier places."""
     every = _all_runs(docs, options)
     twice = every.select("h1", _place().alias("at")).groupBy("h1").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a != b").select("h1")
-    found = written(every.join(_small(written(twice, "twice")), "h1", "left_semi"), "runs")
+    # both joins shuffle at every size: their smaller sides grow with the corpus, too
+    found = written(every.join(written(twice, "twice"), "h1", "left_semi"), "runs")
     first = found.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).where("first != last").select("h1", "h2", "first")
-    later = found.join(_small(written(first, "first")), ["h1", "h2"]).where(_place() > F.col("first"))
+    later = found.join(written(first, "first"), ["h1", "h2"]).where(_place() > F.col("first"))
     return later.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text without the removed sentences, n_sentences, n_removed, removed (sentence numbers, from 0) of every row.
 
-    Null and empty texts have no sentences; texts of fewer than two sentences or too few words have no runs and stay.
+    Null and empty texts have no sentences; texts of too few words have no runs and stay.
     Rows with equal id and text are one document and get equal results. Rows without an id count as one
     document behind all others. Extra columns are ignored. A place within a document counts like one
     in another: the second of two equal runs of one text goes too.

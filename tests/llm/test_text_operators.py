@@ -320,7 +320,7 @@ def repeated_sentences(rows, min_words=20):
             n = 1
             while same(a + n, b + n) and flat[a + n][0] == flat[a][0] and flat[b + n][0] == i:
                 n += 1
-            if n > 1 and sum(len(flat[b + k][2]) for k in range(n)) >= min_words:
+            if sum(len(flat[b + k][2]) for k in range(n)) >= min_words:
                 out.setdefault(i, set()).update(flat[b + k][1] for k in range(n))
         like[tuple(w)].append(b)
     return out
@@ -342,6 +342,22 @@ def test_whole_passage_goes(spark, data, texts):
     assert {r.doc_id: r.removed for r in op9_sentence_spans(spark, data).collect() if r.removed} == {i: ",".join(map(str, sorted(s))) for i, s in wanted.items()}
 
 
+def test_passage_without_neighbours_goes(spark):
+    """One long sentence, a text without stops, and a stretch of such a text."""
+    rng = random.Random(10)
+    lone, stopless, part = words_of(rng, 55), "\u0964 ".join(words_of(rng, 30) for _ in range(4)), words_of(rng, 200)
+    short = words_of(rng, 25) + ". "
+    rows = [(2 * i + k, t) for i in range(3) for k, t in enumerate((f"{words_of(rng, 8)}. {lone}. {short}{words_of(rng, 9)}.", f"{words_of(rng, 60 + i)} {part} {words_of(rng, 60)}"))]
+    rows += [(i, stopless) for i in (6, 7)] + [(i, "again " * 120) for i in (8, 9)]
+    out = {r.doc_id: r for r in sentence_spans.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i].n_removed == 0 for i in (0, 1, 6)) and out[7].text == "" and not out[9].text.strip()
+    for i in (2, 4):
+        assert not set(lone.split()) & set(out[i].text.replace(".", "").split()) and short not in out[i].text
+    for i in (3, 5):
+        left = set(out[i].text.split())
+        assert sum(w in left for w in part.split()) <= 50 and len(left - set(part.split())) >= 100
+
+
 def test_spans_of_odd_rows(spark, odd, odd_rows, none):
     rows = sentence_spans.substring_dedup(odd).collect()
     wanted = spans_removed(odd_rows)
