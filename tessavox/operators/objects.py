@@ -110,27 +110,38 @@ def object_metrics(rows: DataFrame, slice_col: str = "z", min_iou: float = 0.5,
     return rows.select(slice_col, "y", "x", "gt", "pr").groupBy(slice_col).applyInPandas(run, kind)
 
 
-def components(mask: DataFrame, rounds: int = 64) -> DataFrame:
-    """z, y, x, component of the foreground of a whole volume (26 neighbours), by doubling minimum labels.
+def components(mask: DataFrame) -> DataFrame:
+    """z, y, x, component of the foreground of a whole volume (26 neighbours): the smallest number of its voxels.
 
-    For objects that cross slices and blocks: neighbours meet by equal joins, labels shrink to the smallest
-    voxel's number; each round also jumps to the label of the label, so rounds grow with the logarithm of an object's extent.
+    For objects that cross slices and blocks: neighbours meet by equal joins, and the links are contracted by alternating
+    large and small stars until nothing moves. Both hook whole trees onto smaller roots, so objects of any length end
+    up with one label after a number of rounds that grows with the logarithm of their voxels.
     """
     from tessavox.operators.lineage import cut
 
     side = 1 << 20
     number = (F.col("z") * side + F.col("y")) * side + F.col("x")
-    now = cut(mask.select("z", "y", "x", number.alias("id"), number.alias("label")))
-    steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) != (0, 0, 0)]
-    near = F.array(*[F.lit((a * side + b) * side + c).cast("long") for a, b, c in steps])
-    for _ in range(rounds):
-        told = now.select("id", F.col("label").alias("other"), F.explode(near).alias("step")).select((F.col("id") + F.col("step")).alias("id"), "other")
-        least = told.groupBy("id").agg(F.min("other").alias("other"))
-        step = now.join(least, "id", "left").select("z", "y", "x", "id", F.least("label", F.coalesce("other", "label")).alias("new"), "label")
-        jump = step.select(F.col("id").alias("at"), F.col("new").alias("next"))
-        joined = step.join(jump, F.col("new") == F.col("at")).select("z", "y", "x", "id", F.least("new", "next").alias("label"), (F.least("new", "next") != F.col("label")).alias("moved"))
-        now = cut(joined)
-        if now.where("moved").isEmpty():
+    now = cut(mask.select("z", "y", "x", number.alias("id")))
+    steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) < (0, 0, 0)]
+    inside = [(F.col("y") + b).between(0, side - 1) & (F.col("x") + c).between(0, side - 1) for _, b, c in steps]  # else numbers run over into another row
+    near = F.array_compact(F.array(*[F.when(ok, F.lit((a * side + b) * side + c).cast("long")) for ok, (a, b, c) in zip(inside, steps, strict=True)]))
+    told = now.select(F.col("id").alias("a"), F.explode(near).alias("step")).select("a", (F.col("a") + F.col("step")).alias("b"))
+    edges = cut(told.join(now.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b"))
+
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    was = state(edges)
+    while was[0]:
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        large = cut(both.join(least, F.col("a") == F.col("u")).where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low.withColumnRenamed("a", "u"), F.col("a") == F.col("u")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = cut(small.union(low.select("a", F.col("m").alias("b"))).distinct())
+        new = state(edges)
+        if new == was:
             break
-        now = now.drop("moved")
-    return now.select("z", "y", "x", F.col("label").alias("component"))
+        was = new
+    roots = edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    return now.join(roots, "id", "left").select("z", "y", "x", F.coalesce("root", "id").alias("component"))

@@ -428,8 +428,7 @@ def object_scores(spark, sf_dir):
 
 @query()
 def volume_components(spark, sf_dir):
-    mask = tiling.box(volume(spark, sf_dir), (0, 60), (0, 8), (0, 8)).where("v > 0.2")
-    return objects.components(mask).groupBy("component").agg(F.count("*").alias("n"), F.min("z").alias("z_min"), F.max("z").alias("z_max"))
+    return objects.components(volume(spark, sf_dir).where("v > 0.2")).groupBy("component").agg(F.count("*").alias("n"), F.min("z").alias("z_min"), F.max("z").alias("z_max"))
 
 
 _MODEL = "tq AS (SELECT *, z % 5 AS image, z % 3 AS model FROM tp)"

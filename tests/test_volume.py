@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tessavox.functions import intensity, losses, paths
 from tessavox.operators import metrics, normalize, objects, pad, predict, resample, stats, stitch, tiling
+from tessavox.plans.views import volume
+from tessavox.queries import QUERIES
 
 
 def frame(spark, a):
@@ -187,6 +189,35 @@ def test_components_across_slices(spark):
     assert {frozenset(s) for s in got.values()} == wanted
 
 
+def test_long_components_stay_whole(spark):
+    """A U whose arms are longer than any fixed number of rounds, joined only at the far end; and voxels at opposite edges that don't touch."""
+    arms = [(z, 0, x) for z in range(210) for x in (2, 5)] + [(210, 0, x) for x in range(2, 6)]
+    apart = [(300, 1, 0), (300, 0, (1 << 20) - 1)]
+    df = spark.createDataFrame([(*p, 1.0) for p in arms + apart], "z long, y long, x long, v double")
+    got = {(r.z, r.y, r.x): r.component for r in objects.components(df).collect()}
+    assert len(got) == len(arms) + 2 and {got[p] for p in arms} == {2}
+    assert len({got[p] for p in apart}) == 2
+
+
+def test_components_of_the_whole_table(spark, data):
+    """Like flooding the whole mask voxel by voxel."""
+    vox = {(r.z, r.y, r.x) for r in volume(spark, data).where("v > 0.2").select("z", "y", "x").collect()}
+    steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
+    wanted, left = [], set(vox)
+    while left:
+        todo, part = [left.pop()], []
+        while todo:
+            p = todo.pop()
+            part.append(p)
+            near = {q for s in steps if (q := (p[0] + s[0], p[1] + s[1], p[2] + s[2])) in left}
+            left -= near
+            todo += near
+        z, y, x = min(part)
+        wanted.append((((z << 20) + y << 20) + x, len(part), z, max(p[0] for p in part)))
+    got = [(r.component, r.n, r.z_min, r.z_max) for r in QUERIES["volume_components"](spark, data).collect()]
+    assert sorted(got) == sorted(wanted) and max(r[3] for r in got) > 60
+
+
 def test_model_runs_in_batches(spark):
     a = np.random.default_rng(6).normal(size=(5, 4, 4))
     out = predict.segmented(frame(spark, a), a.shape, (3, 4, 3), (1, 0, 1), predict.MODELS["linear"](1.0, 0.0), probability=0.5)
