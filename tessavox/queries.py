@@ -282,6 +282,29 @@ def pad_to_multiple(spark, sf_dir):
     return _round(pad.padded(part, (20, 8, 8), ((0, 0), pad.multiple_widths(8), pad.multiple_widths(8)), "constant", 0.25), "v")
 
 
+# the queries above have their SQL's fixed 20 slices; these pad the whole volume
+
+
+def _padded_whole(mode: str) -> Query:
+    def run(spark, sf_dir):
+        d = depth(spark, sf_dir)
+        pads = (pad.widths(d, d + 12, True), pad.widths(8, 12, False), pad.widths(8, 19, False))
+        return _round(pad.padded(volume(spark, sf_dir), (d, 8, 8), pads, mode, -1.0), "v")
+
+    run.__name__ = f"pad_{mode}_whole"
+    return run
+
+
+for _mode in pad.MODES:
+    query()(_padded_whole(_mode))
+
+
+@query()
+def pad_to_multiple_whole(spark, sf_dir):
+    d = depth(spark, sf_dir)
+    return _round(pad.padded(volume(spark, sf_dir), (d, 8, 8), (pad.multiple_widths(d), pad.multiple_widths(8), pad.multiple_widths(8)), "constant", 0.25), "v")
+
+
 # --- stitching and resampling
 
 
@@ -316,6 +339,18 @@ def resize_linear(spark, sf_dir):
     return _round(resample.linear(tiling.box(volume(spark, sf_dir), (0, 40), (0, 8), (0, 8)), (40, 8, 8), (40, 13, 13)), "v")
 
 
+@query()
+def resize_nn_whole(spark, sf_dir):
+    d = depth(spark, sf_dir)
+    return _round(resample.nearest(volume(spark, sf_dir), (d, 8, 8), (d * 33 // 20, 5, 11)), "v")
+
+
+@query()
+def resize_linear_whole(spark, sf_dir):
+    d = depth(spark, sf_dir)
+    return _round(resample.linear(volume(spark, sf_dir), (d, 8, 8), (d, 13, 13)), "v")
+
+
 def _half(i: int) -> str:
     d = [f"(depth // {2 ** (i - 1)})", f"(depth // {2**i})"]
     s = 8 // 2 ** (i - 1)

@@ -238,3 +238,33 @@ def test_checkpoints(spark, tmp_path):
     predict.save_checkpoint(spark, str(tmp_path / "best"), "linear", {"weight": 2.0, "bias": 1.0}, 25, 0.5)
     model, stored = predict.load_checkpoint(spark, str(tmp_path / "best"))
     assert model(np.array([3.0]))[0] == 7.0 and stored["epoch"] == 25
+
+
+@pytest.fixture(scope="module")
+def whole(spark, data):
+    rows = volume(spark, data).toPandas()
+    out = np.full((int(rows.z.max()) + 1, 8, 8), np.nan)
+    out[rows.z, rows.y, rows.x] = rows.v
+    assert len(rows) == out.size
+    return out
+
+
+@pytest.mark.parametrize("mode", pad.MODES)
+def test_whole_volume_padded(spark, data, whole, mode):
+    wanted = np.pad(whole, ((6, 6), (0, 4), (0, 11)), mode, **({"constant_values": -1.0} if mode == "constant" else {}))
+    assert np.allclose(array(QUERIES[f"pad_{mode}_whole"](spark, data), wanted.shape), wanted, atol=1e-6)
+
+
+def test_whole_volume_padded_to_multiple(spark, data, whole):
+    d = -len(whole) % 32
+    wanted = np.pad(whole, ((d // 2, d - d // 2), (12, 12), (12, 12)), constant_values=0.25)
+    assert np.allclose(array(QUERIES["pad_to_multiple_whole"](spark, data), wanted.shape), wanted, atol=1e-6)
+
+
+def test_whole_volume_resized(spark, data, whole):
+    new = (len(whole) * 33 // 20, 5, 11)
+    at = [np.minimum(a - 1, np.floor((np.arange(b) + 0.5) * a / b)).astype(int) for a, b in zip(whole.shape, new, strict=True)]
+    assert np.allclose(array(QUERIES["resize_nn_whole"](spark, data), new), whole[np.ix_(*at)], atol=1e-6)
+    p = np.clip((np.arange(13) + 0.5) * 8 / 13 - 0.5, 0, 7)
+    w = np.maximum(0, 1 - np.abs(p[:, None] - np.arange(8)))
+    assert np.allclose(array(QUERIES["resize_linear_whole"](spark, data), (len(whole), 13, 13)), np.einsum("zyx,py,qx->zpq", whole, w, w), atol=1e-6)
