@@ -106,9 +106,9 @@ def overlapping_files(files: DataFrame, queries: DataFrame, block: int) -> DataF
     return pairs.select("query", "file", (F.greatest("lo", "q_lo") - F.col("lo")).alias("z0"), (F.least("hi", "q_hi") - F.col("lo")).alias("z1"))
 
 
-def stitched_ranges(files: DataFrame) -> DataFrame:
-    """file, lo, hi from file and dz: files in the order of their names, one after the other along z."""
-    up_to = F.sum("dz").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, 0))
+def stitched_ranges(files: DataFrame, *order: Column) -> DataFrame:
+    """file, lo, hi from file and dz: files in the given order and that of their names, one after the other along z."""
+    up_to = F.sum("dz").over(Window.orderBy(*order, "file").rowsBetween(Window.unboundedPreceding, 0))
     return files.select("file", (up_to - F.col("dz")).alias("lo"), up_to.alias("hi"))
 
 

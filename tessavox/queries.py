@@ -663,6 +663,39 @@ def block_round_trip(spark, sf_dir):
     return volumes.read_blocks(spark, to, (70, 130))
 
 
+# the queries above have their SQL's fixed slices; these write and read back the whole volume
+
+_WHOLE = f"WITH {VOX} SELECT z, y, x, v FROM vox"
+
+
+@query(_WHOLE)
+def tiff_round_trip_whole(spark, sf_dir):
+    to = _folder(spark, "tiff")
+    volumes.write_slices(volume(spark, sf_dir), to).count()
+    return volumes.read_volume(spark, to)
+
+
+@query(_WHOLE)
+def nifti_round_trip_whole(spark, sf_dir):
+    to = _folder(spark, "nifti")
+    volumes.write_chunks(volume(spark, sf_dir), to, depth(spark, sf_dir), 10, suffix=".nii.gz").count()
+    return volumes.read_volume(spark, to)
+
+
+@query(_WHOLE)
+def zarr_round_trip_whole(spark, sf_dir):
+    to = _folder(spark, "store") + ".zarr"
+    volumes.write_zarr(volume(spark, sf_dir), to, (depth(spark, sf_dir), 8, 8), (10, 5, 8)).count()
+    return volumes.read_volume(spark, to)
+
+
+@query(_WHOLE)
+def block_round_trip_whole(spark, sf_dir):
+    to = _folder(spark, "blocks")
+    volumes.write_blocks(volume(spark, sf_dir), to)
+    return volumes.read_blocks(spark, to)
+
+
 @query("SELECT unnest(['a', 'b', 'c']) AS source, 'out' AS target")
 def paired_roots(spark, sf_dir):
     return spark.createDataFrame(convert.pairs(["a", "b", "c"], ["out"]), "source string, target string")

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessavox.functions import paths
@@ -92,8 +92,18 @@ def check(headers_: DataFrame) -> None:
         raise ValueError(f"the files of a volume must agree: {got.shapes} shapes, {got.types} types")
 
 
+#: Names as the sinks give them: ``_z{z0}-{z1}`` or ``_{z:05d}``; these numbers count as such, since they outgrow their digits.
+NUMBERED = r"^(.*_(?:z(?=[0-9]+-[0-9]+\.)|(?=[0-9]{5,}\.)))0*([0-9]+)[^/]*$"
+
+
+def _order() -> list[Column]:
+    file = F.col("file")
+    number = F.regexp_extract(file, NUMBERED, 2)
+    return [F.when(file.rlike(NUMBERED), F.regexp_extract(file, NUMBERED, 1)).otherwise(file), F.char_length(number), number]
+
+
 def read_volume(spark: SparkSession, path: str, checked: bool = True) -> DataFrame:
-    """z, y, x, v of a file, a directory of files in the order of their names, or a Zarr store."""
+    """z, y, x, v of a file, a directory of files in the order of their names (and of the sinks' numbers in them), or a Zarr store."""
     s = slices(spark, path)
     if paths.resolve(path) == "zarr":
         at = s.withColumn("lo", F.lit(0))
@@ -101,7 +111,7 @@ def read_volume(spark: SparkSession, path: str, checked: bool = True) -> DataFra
         h = headers(spark, path)
         if checked:
             check(h)
-        at = s.join(F.broadcast(tiling.stitched_ranges(h).select(F.col("file").alias("path"), "lo")), "path")  # a row for each file
+        at = s.join(F.broadcast(tiling.stitched_ranges(h, *_order()).select(F.col("file").alias("path"), "lo")), "path")  # a row for each file
     long = at.select((F.col("z") + F.col("lo")).alias("z"), "y0", "x0", "width", F.posexplode("data").alias("i", "v"))
     return long.select("z", (F.col("y0") + F.expr("i DIV width")).alias("y"), (F.col("x0") + F.expr("i % width")).alias("x"), "v")
 

@@ -83,3 +83,13 @@ def test_guards():
     assert stats.fits_memory(1.0, 2.0) and not stats.fits_memory(1.1, 2.0) and stats.fits_memory(9, 1, zarr=True)
     assert stats.chunk_size(1 << 20, 1 << 30) == 102 and stats.chunk_size(1, 1 << 30) == 128
     assert ".nii.gz" in paths.SUFFIXES and callable(session)
+
+
+def test_files_in_the_order_of_their_numbers(spark, tmp_path):
+    """Chunks of different digits, and slices beyond five digits."""
+    vox = spark.range(125).selectExpr("id AS z", "0L AS y", "0L AS x", "CAST(id AS DOUBLE) AS v")
+    volumes.write_chunks(vox, str(tmp_path / "chunks"), 125, 10).count()
+    assert all(r.z == r.v for r in volumes.read_volume(spark, str(tmp_path / "chunks")).collect())
+    late = vox.where("z < 4").selectExpr("z + 99998 AS z", "y", "x", "v")
+    volumes.write_slices(late, str(tmp_path / "slices")).count()
+    assert all(r.z == r.v for r in volumes.read_volume(spark, str(tmp_path / "slices")).collect())
