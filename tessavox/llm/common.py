@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a written table's files up to which it is broadcast; beyond that the same join shuffles.
+BROADCAST_BYTES = 16 << 20
+
+_open = threading.local()
+_left: list[str] = []
+
 
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
     """Select columns by exact name and rename them: ``pick(df, doc_id="id", text="body")``.
@@ -30,29 +39,52 @@ def whole(text: str | Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; made up only where the session names none (tests)."""
+    """The folder that all executors share, named by ``spark.checkpoint.dir``.
+
+    Where it is unset, one is made up for a session of one machine (``local[n]``); a cluster's session must name it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        base = tempfile.mkdtemp(prefix="tessavox-")
-        spark.sparkContext.setCheckpointDir(base)
+    if base is not None:
+        return base
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = tempfile.mkdtemp(prefix="tessavox-")
+    spark.sparkContext.setCheckpointDir(base)
     return base
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+def scratch(spark: SparkSession, tag: str, last: bool = False) -> str:
+    """A fresh path in the shared folder; see ``tidy`` for its end."""
+    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    scopes = _scopes()
+    outer = scopes[:-1] if last else scopes
+    (outer[-1] if outer else _left).append(path)
+    return path
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the shared folder as Parquet and read it again: a cut in the lineage that outlives executors."""
-    path = scratch(df.sparkSession, tag)
+def written(df: DataFrame, tag: str, last: bool = False) -> DataFrame:
+    """Write to the shared folder as Parquet and read it again: a cut in the lineage that outlives executors.
+
+    ``last`` is for tables that the operator's result reads: they outlive its scope.
+    """
+    path = scratch(df.sparkSession, tag, last)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its files are within BROADCAST_BYTES."""
+    files = df.inputFiles()
+    if not files:
+        return F.broadcast(df)
+    folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    size = folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a path of any file system that Spark can reach."""
     jvm = spark.sparkContext._jvm
@@ -60,5 +92,31 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _scopes() -> list[list[str]]:
+    if not hasattr(_open, "stack"):
+        _open.stack = []
+    return _open.stack
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what was written inside, but for tables written as ``last``: these pass to the scope around.
+
+    Without one around they stay for whoever reads the result, until ``clean``.
+    """
+    _scopes().append([])
+    try:
+        yield
+    finally:
+        for path in _scopes().pop():
+            delete(spark, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all tables that finished results have left in the shared folder."""
+    while _left:
+        delete(spark, _left.pop())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -51,7 +51,8 @@ def op4_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{name}")
 
     counts = [count(k, name) for k, name in enumerate(("email", "ip", "card", "phone"))]
-    return out.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.array_sort(F.concat("base", "terms"))).alias("spans"))
+    spans = listed(F.array_sort(F.concat("base", "terms")))
+    return out.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"), F.size("terms").cast("long").alias("n_terms"), F.sha2("sanitised", 256).alias("sanitised_sha256"))
 
 
 def op5_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,16 @@
 """Decontamination, sanitisation, line dedup, quality rules and sentence spans against brute force and on odd rows."""
 
 import itertools
+import math
 import random
 import re
+import time
 from collections import Counter
 from hashlib import sha256
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tessavox.llm import decontaminate, fm_index, line_dedup, quality_rules, sanitise, sentence_spans
@@ -124,19 +127,102 @@ def test_sanitisation_on_the_table(spark, data, texts):
         assert set(filter(None, listed.split(","))) <= set(r.spans.split(","))
 
 
+def told_by_hand(rows, share=sanitise.SHARE):
+    """Text and spans of the disclosing terms of each text with entities, from counts over all pairs of a document and a key."""
+    patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+(?:\.[0-9]+){3}"]
+    term = regex.compile(r"[\p{L}\p{N}](?:[\p{L}\p{N}_'-]*[\p{L}\p{N}])?")
+    n, n_t, n_e, n_et, texts, held, every = len(rows), Counter(), Counter(), Counter(), {}, {}, {}
+    for _, t in rows:
+        t = t or ""
+        n_t.update(set(term.findall(t.lower())))
+        found = sorted((m.start(), k, m.end(), m[0].lower()) for k, p in enumerate(patterns) for m in re.finditer(p, t))
+        blank = list(t)
+        for a, _, b, _ in found:
+            blank[a:b] = " " * (b - a)
+        blank = "".join(blank)
+        places = [(m.start(), m.end(), m[0].lower()) for m in term.finditer(blank)]
+        pairs = set()
+        for a, k, b, v in found:
+            keys = {(0, k, v), (1, k, v.split("@")[1] if k == 0 else v.rsplit(".", 1)[0])}
+            held.setdefault(t, set()).update(keys)
+            pairs |= {(key, w) for key in keys for s, e, w in places if len(w) >= 3 and a - sanitise.CONTEXT <= s and e <= b + sanitise.CONTEXT}
+        n_e.update(held.get(t, ()))
+        n_et.update(pairs)
+        for p in pairs:
+            texts.setdefault(p, set()).add(t)
+        every[t] = places
+    told = set()
+    for (key, w), x in n_et.items():
+        if len(texts[key, w]) >= (sanitise.SUPPORT, sanitise.GROUP_SUPPORT)[key[0]] and n_e[key] < n:
+            if math.log(n * x / (n_e[key] * n_t[w])) >= share * math.log(n / n_e[key]):
+                told.add((key, w))
+    return {t: {(s, e) for s, e, w in every[t] if any((k, w) in told for k in keys)} for t, keys in held.items()}
+
+
+def planted_corpus(rng, texts):
+    """Documents of the small table and messages of agents, each known by name and desk where the own address stands; the planted words."""
+    rows, planted = list(texts), set()
+    common = "please call about the order as it was sent on monday and again with new notes from them".split()
+    for i in range(40):
+        name, desk = f"Zor{i:02d}blatt", f"desk-{i:02d}x"
+        for k in range(rng.randint(2, 4)):
+            w = rng.choices(common, k=rng.randint(8, 20))
+            w.insert(rng.randrange(len(w)), name)
+            w.insert(rng.randrange(len(w)), f"agent{i}@mail{i % 3}.example.org" if i % 2 else f"10.0.{i}.7")
+            w.insert(rng.randrange(len(w)), desk)
+            rows.append((10**6 + 10 * i + k, " ".join(w)))
+        planted |= {name.lower(), desk}
+    return rows, planted
+
+
+def test_disclosing_terms_like_brute_force(spark, texts):
+    rng = random.Random(3)
+    rows, planted = planted_corpus(rng, texts)
+    rows += [(5, rows[-1][1]), (6, rows[-1][1]), (None, rows[-2][1]), (None, None), (7, "")]
+    got = sanitise.sanitisation(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    wanted = told_by_hand(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        assert {(t.start, t.stop) for t in r.terms} == wanted.get(r.text, set()), r.text[:80]
+    # against the planted words: all words of the messages that were marked, and those that should be
+    for share, least in ((0.5, 0.5), (sanitise.SHARE, 0.9)):
+        marked, there = [], []
+        for t, spans in told_by_hand(rows, share).items():
+            marked += [t[a:b].lower() in planted for a, b in spans]
+            there += [w.lower() in planted and any(t[a:b] == w for a, b in spans) for w in t.split() if w.lower() in planted]
+        assert sum(marked) >= least * len(marked) and sum(there) >= 0.9 * len(there)
+
+
 def test_disclosing_terms(spark, odd, odd_rows, none):
     rows = [(i, f"Filler{i} words{i} here{i}. Contact agent Zorblatt at zor@example.com about case{i % 2} today{i} thanks") for i in range(6)]
-    rows += [(100 + i, f"the plain agent text number {i} about nothing at all") for i in range(40)] + [(None, None), (7, "")]
+    rows += [(100 + i, f"the plain agent text number {i} about nothing at all thanks contact") for i in range(40)] + [(None, None), (7, "")]
     out = sanitise.sanitisation(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = out.where("size(base) > 0").select(F.expr("transform(terms, t -> t.value)").alias("t"), sanitise.sanitised_text(F.col("text"), F.array_sort(F.concat("base", "terms"))).alias("s")).collect()
+    got = out.where("size(base) > 0").select(F.expr("transform(terms, t -> t.value)").alias("t"), "sanitised").collect()
     assert len(got) == 6
     assert all("zorblatt" in r.t and "agent" not in r.t and "about" not in r.t for r in got)
-    assert all("[EMAIL]" in r.s and "Zorblatt" not in r.s and "agent" in r.s for r in got)
+    assert all("[EMAIL]" in r.sanitised and "Zorblatt" not in r.sanitised and "agent" in r.sanitised for r in got)
     assert out.where("size(base) = 0 and size(terms) > 0").count() == 0
+    by_text = {r.text: r for r in sanitise.sanitisation(odd).collect()}
+    assert set(by_text) == {t or "" for _, t in odd_rows} and all(listed_here(r) == base_of(t) for t, r in by_text.items())
+    assert all(r.sanitised == t for t, r in by_text.items() if not r.base)
     assert sanitise.sanitisation(odd).count() == len(odd_rows)
     assert sanitise.sanitisation(none).count() == 0
 
 
+def listed_here(r):
+    return ",".join(f"{sanitise.KINDS[s.kind]}:{s.start}:{s.stop}" for s in r.base)
+
+
+def test_long_texts_cost_in_proportion(spark):
+    """Half a million numbers, and ten thousand addresses: neither is held against itself."""
+    rows = [(1, " ".join(str(10_000 + i % 89_999) for i in range(500_000))), (2, " ".join(f"u{i}@m.org w{i}" for i in range(10_000)))]
+    began = time.monotonic()
+    got = {r.doc_id: r for r in sanitise.sanitisation(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.size("base").alias("n"), "sanitised").collect()}
+    assert time.monotonic() - began < 120
+    assert got[1].n == 0 and got[1].sanitised == rows[0][1]
+    assert got[2].n == 10_000 and got[2].sanitised == " ".join(f"[EMAIL] w{i}" for i in range(10_000))
+
+
 # --- lines
 
 
