@@ -1,28 +1,28 @@
 """Benchmark decontamination: an FM-index for each shard of documents, searched backward for the test phrases.
 
-A shard is a run of whole documents of one task, about SHARD_WORDS words. Its sequence keeps only stretches of words
-that the phrases use, at least as long as the shortest phrase: no occurrence can lie elsewhere. All phrases are
-searched at once through the ranks of a wavelet matrix, occurrences are located by sampled suffix positions, and
-the covered words of each document are merged into spans. Documents never move between tasks.
+A shard is a run of whole documents of one task, about SHARD_WORDS words; its index covers all of them, in numbers of the
+shard's own words, whatever is searched later. All phrases are searched at once through the ranks of a wavelet
+matrix, occurrences are located by sampled suffix positions, and the covered words of each document are
+merged into spans. Documents never move between tasks, and a benchmark of many blocks is searched block by block in the same pass.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessavox.llm.common import pick, whole, written
+from tessavox.llm.common import pick, whole
 from tessavox.llm.fm_index import FIRST, SEPARATOR, FMIndex
 
 WINDOW = 13
-#: Words of a shard, and most benchmark words that one pass sends to every task.
+#: Words of a shard, and most benchmark words that a task holds at once.
 SHARD_WORDS, BLOCK_WORDS = 1 << 20, 2_000_000
 #: Fixed value: the words of lower-cased text.
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -44,117 +44,73 @@ def spans_in_text(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, in
 
 
 class Phrases:
-    """Windows of a block of benchmark items, as numbers of their words; each window keeps the items that hold it."""
+    """Windows of a block of benchmark items, as numbers of the block's words; each window keeps the items that hold it."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        self.number: dict[bytes, int] = {}
+        number: dict[bytes, int] = {}
         held: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
-            w = [self.number.setdefault(x, len(self.number) + FIRST) for x in words_of(text)]
+            w = [number.setdefault(x, len(number)) for x in words_of(text)]
             for i in range(max(1, len(w) - window + 1) if w else 0):
                 held.setdefault(tuple(w[i : i + window]), set()).add(item)
+        self.words = list(number)
         self.by_length: dict[int, tuple[np.ndarray, list[set[str]]]] = {}
         for n in sorted({len(p) for p in held}):
             some = [p for p in held if len(p) == n]
             self.by_length[n] = np.array(some, np.int64), [held[p] for p in some]
-        self.shortest = min(self.by_length, default=0)
-
-
-def search_shard(p: Phrases, texts: list[list[bytes]]) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
-    """Merged spans of hit words and found items of each document of a shard."""
-    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-    items: list[set[str]] = [set() for _ in texts]
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    if not p.shortest or not sizes.sum():
-        return spans, items
-    begins = np.concatenate([[0], np.cumsum(sizes + 1)])  # an unused word ends each document
-    known = p.number.get
-    flat = np.fromiter(itertools.chain.from_iterable(itertools.chain(map(known, t, itertools.repeat(0)), (0,)) for t in texts), np.int64, int(begins[-1]))
-    used = np.concatenate([[0], (flat > 0).astype(np.int8), [0]])
-    edge = np.flatnonzero(np.diff(used))
-    lo, hi = edge[::2], edge[1::2]
-    long = hi - lo >= p.shortest
-    lo, hi = lo[long], hi[long]
-    if not len(lo):
-        return spans, items
-    mark = np.zeros(len(flat) + 1, np.int64)
-    mark[lo] = 1
-    mark[hi + 1] -= 1  # with the unused word behind
-    place = np.flatnonzero(np.cumsum(mark)[: len(flat)])
-    seq = flat[place]
-    seq[seq == 0] = SEPARATOR
-    index = FMIndex(seq)
-    cover = np.zeros(len(flat) + 1, np.int64)
-    for n, (patterns, held) in p.by_length.items():
-        a, b = index.search(patterns)
-        count = b - a
-        if not count.sum():
-            continue
-        which = np.repeat(np.arange(len(a)), count)
-        rows = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(a, count)
-        at = place[index.locate(rows)]
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + n, -1)
-        doc = np.searchsorted(begins, at, "right") - 1
-        for pair in np.unique(doc * len(held) + which).tolist():
-            items[pair // len(held)] |= held[pair % len(held)]
-    hit = np.concatenate([[0], (np.cumsum(cover)[: len(flat)] > 0).astype(np.int8), [0]])
-    edge = np.flatnonzero(np.diff(hit))
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        d = int(np.searchsorted(begins, a, "right")) - 1
-        spans[d].append((a - int(begins[d]), b - int(begins[d])))
-    return spans, items
-
-
-def _merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(a + b):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], e))
-        else:
-            out.append((s, e))
-    return out
-
-
-def _step(docs: DataFrame, phrases: Phrases, shard_words: int, first: bool, schema: str, text_at: int) -> DataFrame:
-    # one block of phrases, of at most BLOCK_WORDS words and one item more
-    sent = docs.sparkSession.sparkContext.broadcast(phrases)
-    names = [f.split(" ")[0] for f in STATE.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = sent.value
-
-        def out(held: list[pa.RecordBatch], words: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
-            spans, items = search_shard(p, words)
-            i = 0
-            for b in held:
-                s, t, n = spans[i : i + b.num_rows], items[i : i + b.num_rows], [len(w) for w in words[i : i + b.num_rows]]
-                i += b.num_rows
-                cols = b.columns
-                if not first:
-                    s = [_merged(x, [(y["start"], y["end"]) for y in old]) for x, old in zip(s, cols[-2].to_pylist(), strict=True)]
-                    t = [x | set(old) for x, old in zip(t, cols[-1].to_pylist(), strict=True)]
-                    cols = cols[:-3]
-                flat = [y for x in s for y in x]
-                where = pa.StructArray.from_arrays([pa.array([x[k] for x in flat], pa.int32()) for k in (0, 1)], ["start", "end"])
-                state = [pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in s])]), pa.int32()), where), pa.array([sorted(x) for x in t], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*cols, *state], [*b.schema.names[: len(cols)], *names])
-
-        held, words, n = [], [], 0
-        for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                b = batch.slice(i, 64)
-                new = [words_of(t) for t in b.column(text_at).to_pylist()]
-                held.append(b)
-                words += new
-                n += sum(map(len, new))
-                if n >= shard_words:
-                    yield from out(held, words)
-                    held, words, n = [], [], 0
-        if held:
-            yield from out(held, words)
 
-    return docs.mapInArrow(run, schema)
+class Shard:
+    """All words of some documents under an FM-index; hits gather over the blocks of phrases that are searched."""
+
+    def __init__(self, texts: list[str | None]):
+        self.texts = len(texts)
+        spaced = pa.array([t.encode().translate(_KEEP) if t else b"" for t in texts], pa.large_binary()).cast(pa.large_string())
+        parts = pc.ascii_split_whitespace(spaced)
+        words, text_of = pc.list_flatten(parts), pc.list_parent_indices(parts).to_numpy()
+        real = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty part
+        words, text_of = words.filter(real), text_of[real.to_numpy(zero_copy_only=False)]
+        coded = words.dictionary_encode()
+        self.known = coded.dictionary
+        self.sizes = np.bincount(text_of, minlength=self.texts)
+        self.begins = np.concatenate([[0], np.cumsum(self.sizes + 1)])  # a separator ends each document
+        seq = np.full(int(self.begins[-1]), SEPARATOR, np.int64)
+        seq[np.arange(len(text_of)) + text_of] = coded.indices.to_numpy() + FIRST
+        self.index = FMIndex(seq) if len(text_of) else None
+        self.cover = np.zeros(len(seq) + 1, np.int64)
+        self.items: list[set[str]] = [set() for _ in texts]
+
+    def search(self, p: Phrases) -> None:
+        """Marks the words of all occurrences of the phrases, and the items found, document by document."""
+        if self.index is None or not p.by_length:
+            return
+        number = pc.index_in(pa.array(p.words, pa.large_binary()).cast(pa.large_string()), self.known)
+        number = number.fill_null(-FIRST - 1).to_numpy().astype(np.int64) + FIRST
+        for n, (windows, held) in p.by_length.items():
+            patterns = number[windows]
+            here = np.flatnonzero((patterns >= FIRST).all(axis=1))
+            a, b = self.index.search(patterns[here])
+            count = b - a
+            if not count.sum():
+                continue
+            which = np.repeat(here, count)
+            rows = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(a, count)
+            at = self.index.locate(rows)
+            np.add.at(self.cover, at, 1)
+            np.add.at(self.cover, at + n, -1)
+            doc = np.searchsorted(self.begins, at, "right") - 1
+            for pair in np.unique(doc * len(held) + which).tolist():
+                self.items[pair // len(held)] |= held[pair % len(held)]
+
+    def spans(self) -> list[list[tuple[int, int]]]:
+        """Merged spans of hit words of each document."""
+        out: list[list[tuple[int, int]]] = [[] for _ in range(self.texts)]
+        hit = np.concatenate([[0], (np.cumsum(self.cover[:-1]) > 0).astype(np.int8), [0]])
+        edge = np.flatnonzero(np.diff(hit))
+        doc = np.searchsorted(self.begins, edge[::2], "right") - 1
+        for d, a, b in zip(doc.tolist(), (edge[::2] - self.begins[doc]).tolist(), (edge[1::2] - self.begins[doc]).tolist(), strict=True):
+            out[d].append((a, b))
+        return out
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, str]]]:
@@ -167,26 +123,52 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int
         if n >= block_words:
             yield block
             block, n = [], 0
-    yield block
+    if block:
+        yield block
 
 
 def found(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents' columns as c0_, c1_, ... and n_words_, spans_ (of words, merged) and items_ (sorted as strings).
 
-    A benchmark beyond a block is searched block by block, each over all documents.
+    The benchmark goes to the tasks in blocks, one after the other through the driver; a task holds one at a time.
     """
-    n = len(docs.columns)
-    now = docs.toDF(*[f"c{i}_" for i in range(n)])
+    now = docs.toDF(*[f"c{i}_" for i in range(len(docs.columns))])
+    text_at = docs.columns.index(text_col)
+    context = docs.sparkSession.sparkContext
+    # each of at most block_words words and one item more
+    sent = [context.broadcast(Phrases(block, window)) for block in _blocks(benchmark, item_col, item_text_col, block_words)]
+    names = [f.split(" ")[0] for f in STATE.split(", ")]
+
+    def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = Shard([t for b in held for t in b.column(text_at).to_pylist()])
+        for block in sent:
+            shard.search(block.value)
+            if len(sent) > 1:
+                block.__dict__.pop("_value", None)  # it is loaded again from the executor's copy when needed
+        spans, i = shard.spans(), 0
+        for b in held:
+            s, t, n = spans[i : i + b.num_rows], shard.items[i : i + b.num_rows], shard.sizes[i : i + b.num_rows]
+            i += b.num_rows
+            flat = [y for x in s for y in x]
+            where = pa.StructArray.from_arrays([pa.array([x[k] for x in flat], pa.int32()) for k in (0, 1)], ["start", "end"])
+            state = [pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in s])]), pa.int32()), where), pa.array([sorted(x) for x in t], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *state], [*b.schema.names, *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                held.append(batch.slice(i, 64))
+                # a word and the space behind it, about
+                size += pc.sum(pc.binary_length(held[-1].column(text_at))).as_py() or 0
+                if size >= 6 * shard_words:
+                    yield from out(held)
+                    held, size = [], 0
+        if held:
+            yield from out(held)
+
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in now.schema] + [STATE])
-    first = True
-    for block in _blocks(benchmark, item_col, item_text_col, block_words):
-        if not block and not first:
-            break
-        if not first:
-            now = written(now, "decontaminate")
-        now = _step(now, Phrases(block, window), shard_words, first, schema, docs.columns.index(text_col))
-        first = False
-    return now
+    return now.mapInArrow(run, schema)
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

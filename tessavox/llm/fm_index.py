@@ -12,25 +12,42 @@ END, SEPARATOR, FIRST = 0, 1, 2
 
 
 def suffix_array(seq: np.ndarray) -> np.ndarray:
-    """Suffixes in order, by doubling. Separators count as different and rising, so no comparison crosses one."""
+    """Suffixes in order, by doubling. Separators count as different and rising, so no comparison crosses one.
+
+    The first sort compares as many symbols as fit into 62 bits; later ones only suffixes that are still tied.
+    """
     n = len(seq)
     separators = seq == SEPARATOR
-    rank = np.where(separators, np.cumsum(separators), seq.astype(np.int64) + int(separators.sum()) + 1)
-    rank[-1] = 0
-    order = np.argsort(rank, kind="stable")
-    step = 0
-    key = rank
+    key = np.where(separators, np.cumsum(separators), seq.astype(np.int64) + int(separators.sum()) + 1)
+    key[-1] = 0
+    bits = max(1, int(key.max()).bit_length())
+    step = max(1, 62 // bits)
+    symbol = key
+    for i in range(1, step):  # behind the end stand zeros, less than any symbol
+        key = key << bits
+        key[: n - i] |= symbol[i:]
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    begins = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    rank = np.empty(n, np.int64)  # the place where a suffix's group of tied ones begins
+    rank[order] = begins
     while True:
-        ordered = key[order]
-        dense = np.zeros(n, np.int64)
-        dense[order[1:]] = np.cumsum(ordered[1:] != ordered[:-1])
-        if dense[order[-1]] == n - 1:
+        alone = first & np.concatenate([first[1:], [True]])
+        tied = np.flatnonzero(~alone)
+        if not len(tied):
             return order
-        step = 2 * step or 1
-        after = np.zeros(n, np.int64)
-        after[: n - step] = dense[step:] + 1
-        key = dense * (n + 1) + after
-        order = np.argsort(key, kind="stable")
+        at = order[tied]
+        behind = at + step
+        after = np.where(behind < n, rank[np.minimum(behind, n - 1)] + 1, 0)
+        key = rank[at] * (n + 1) + after
+        sort = np.argsort(key, kind="stable")
+        at, key = at[sort], key[sort]
+        order[tied] = at
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        first[tied] = new
+        rank[at] = np.maximum.accumulate(np.where(new, tied, 0))
+        step *= 2
 
 
 class Bits:

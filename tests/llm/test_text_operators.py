@@ -37,6 +37,35 @@ def test_index_finds_all_occurrences():
                 assert sorted(index.locate(np.arange(lo, hi)).tolist()) == places
 
 
+@pytest.mark.parametrize("letters", [1, 2, 3, 40, 5000])
+def test_suffixes_are_in_order(letters):
+    rng = np.random.default_rng(letters)
+    for n in (1, 2, 7, 300):
+        seq = rng.integers(2, 2 + letters, n)
+        seq[rng.random(n) < 0.05] = fm_index.SEPARATOR
+        seq = np.concatenate([seq, np.tile(seq[:50], 2), [fm_index.END]])
+        at = {int(i): k for k, i in enumerate(np.flatnonzero(seq == fm_index.SEPARATOR))}
+        # separators rise from the left and stand between the end and all words
+        plain = [(1, at[i]) if i in at else (2, int(x)) if x else (0, 0) for i, x in enumerate(seq.tolist())]
+        assert fm_index.suffix_array(seq).tolist() == sorted(range(len(seq)), key=lambda i: plain[i:])
+
+
+def test_phrases_unknown_when_the_index_was_built(texts):
+    """One index of a shard answers for any phrases, one block after the other; also for words that no benchmark holds."""
+    shard = decontaminate.Shard([t for _, t in texts])
+    assert shard.index.n == sum(len(decontaminate.words_of(t)) + 1 for _, t in texts) + 1
+    rng = random.Random(1)
+    for window in (1, 3, 13):
+        for _ in range(20):
+            i = rng.randrange(len(texts))
+            w = decontaminate.words_of(texts[i][1])
+            if len(w) >= window:
+                k = rng.randrange(len(w) - window + 1)
+                shard.cover[:] = 0
+                shard.search(decontaminate.Phrases([("x", b" ".join(w[k : k + window]).decode()), ("y", "notaword anywhere")], window))
+                assert any(a <= k and b >= k + window for a, b in shard.spans()[i]) and "x" in shard.items[i] and "y" not in shard.items[i]
+
+
 def contaminated(rows, items, window=13):
     lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
     split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
