@@ -21,7 +21,7 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
     key = np.where(separators, np.cumsum(separators), seq.astype(np.int64) + int(separators.sum()) + 1)
     key[-1] = 0
     bits = max(1, int(key.max()).bit_length())
-    step = max(1, 62 // bits)
+    step = min(n, max(1, 62 // bits))
     symbol = key
     for i in range(1, step):  # behind the end stand zeros, less than any symbol
         key = key << bits
