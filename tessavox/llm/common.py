@@ -92,6 +92,15 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop(df: DataFrame) -> None:
+    """Remove a written table that has been read for the last time."""
+    for file in df.inputFiles()[:1]:
+        path = file.rpartition("/")[0]
+        for paths in [*_scopes(), _left]:
+            paths[:] = [p for p in paths if p.rpartition("/")[2] != path.rpartition("/")[2]]
+        delete(df.sparkSession, path)
+
+
 def _scopes() -> list[list[str]]:
     if not hasattr(_open, "stack"):
         _open.stack = []

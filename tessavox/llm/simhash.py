@@ -1,7 +1,7 @@
 """SimHash near-duplicates: exact pairs within a Hamming radius by vantage-point trees, then groups of linked texts.
 
-Different fingerprints, not documents, are searched. The top of a tree is grown on a bounded sample: each node
-splits by the distance to its vantage point. A fingerprint lives in one leaf, its shard, and is also sent as a query to every
+Different fingerprints, not documents, are searched. The top of a tree is grown on a sample of some fingerprints for each
+shard: each node splits by the distance to its vantage point, chosen so that few points lie near the border. A fingerprint lives in one leaf, its shard, and is also sent as a query to every
 other shard that its ball of the radius reaches (the triangle inequality prunes the rest). Inside a shard a tree
 over all its fingerprints is built and searched with the same bounds. A shard returns a forest of links, not all
 pairs, so a dense group costs no more rows than it has members; the forests are joined into groups by star contraction.
@@ -18,11 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessavox.llm.common import pick, whole, written
+from tessavox.llm.common import drop, pick, tidy, whole, written
 
 BITS, SHINGLE, SEED, RADIUS = 64, 3, 42, 2
-#: Fingerprints that the top tree is grown on, and about how many a shard holds (until the sample runs out of leaves).
-SAMPLE, SHARD, LEAF = 65_536, 4096, 128
+#: About how many fingerprints a shard holds (2 MB), or fewer where that leaves less than LEAST shards; fingerprints of the sample for
+#: each shard; vantage points that a node of the top tree is chosen from; points of a leaf inside a shard.
+SHARD, LEAST, SAMPLE, CHOICE, LEAF = 262_144, 16, 64, 16, 128
+#: Least fingerprints of a shard.
+SHARD_LEAST = 4096
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -54,19 +57,34 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole("text")).alias("row_key"), fp(whole("text")).alias("fp"))
 
 
+def vantage_of(points: np.ndarray, radius: int) -> tuple[np.uint64, int, np.ndarray]:
+    """The vantage point, border and inner points of the best split: balanced, with few points that a ball reaches over the border."""
+    best = None
+    for vantage in points[:: max(1, len(points) // CHOICE)][:CHOICE]:
+        d = np.bitwise_count(points ^ vantage)
+        middle = int(np.median(d))
+        for border in (middle - 1, middle):
+            inner = d <= border
+            share = float(inner.mean())
+            near = float(np.mean((d > border - radius) & (d <= border + radius)))
+            if 0 < share < 1:
+                loss = near / -(share * np.log2(share) + (1 - share) * np.log2(1 - share))
+                if best is None or loss < best[0]:
+                    best = loss, vantage, border, inner
+    return best[1:] if best else (points[0], 64, np.ones(len(points), bool))
+
+
 class Node:
     """A node of the top tree; leaves carry their shard's number."""
 
-    def __init__(self, points: np.ndarray, leaves: int, numbers: Iterator[int]):
+    def __init__(self, points: np.ndarray, leaves: int, numbers: Iterator[int], radius: int = RADIUS):
         self.shard = -1
         if leaves > 1 and len(points) > 1:
-            self.vantage = points[0]
-            d = np.bitwise_count(points ^ self.vantage)
-            self.radius = int(np.median(d))
-            inner = d <= self.radius
+            self.vantage, self.radius, inner = vantage_of(points, radius)
             if not inner.all():
-                self.inner = Node(points[inner], leaves // 2, numbers)
-                self.outer = Node(points[~inner], leaves - leaves // 2, numbers)
+                less = min(leaves - 1, max(1, round(leaves * float(inner.mean()))))
+                self.inner = Node(points[inner], less, numbers, radius)
+                self.outer = Node(points[~inner], leaves - less, numbers, radius)
                 return
         self.shard = next(numbers)
 
@@ -137,12 +155,16 @@ def search_tree(points: np.ndarray, queries: np.ndarray, fp: np.ndarray, radius:
             forest.link(q[a], some[b])
 
 
-def _links(nodes: DataFrame, n: int, radius: int, sample: int, shard: int) -> DataFrame:
+def shards_of(n: int, shard: int = SHARD, least: int = LEAST) -> int:
+    """Number of shards for n fingerprints."""
+    return max(1, math.ceil(n / shard), min(least, n // SHARD_LEAST))
+
+
+def _links(nodes: DataFrame, n: int, radius: int, sample: int, shards: int) -> DataFrame:
     """a, b: a forest over different fingerprints that links exactly those within the radius of each other."""
-    # a bounded sample, the same for the same fingerprints
-    some = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).toArrow().column(0).to_numpy().view(np.uint64)
-    leaves = max(1, math.ceil(n / shard))
-    tree = Node(some, min(leaves, max(1, len(some) // 16)), iter(range(1 << 30)))
+    # some fingerprints for each shard, the same for the same table: eight bytes each
+    some = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample * shards).toArrow().column(0).to_numpy().view(np.uint64)
+    tree = Node(some, shards, iter(range(1 << 30)), radius)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,21 +188,30 @@ def _links(nodes: DataFrame, n: int, radius: int, sample: int, shard: int) -> Da
 
 
 def contracted(links: DataFrame) -> DataFrame:
-    """node, root of every linked node, by alternating large and small stars; each round is written to the shared folder."""
-    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links")
+    """node, root of every linked node, by alternating large and small stars.
+
+    Each round is written to the shared folder, and the one before removed.
+    """
+    spark = links.sparkSession
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    def turn(edges: DataFrame) -> DataFrame:
+        with tidy(spark):
+            both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+            large = both.join(least, F.col("a") == F.col("u")).where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            large = written(large.distinct(), "links")
+            low = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(low.withColumnRenamed("a", "u"), F.col("a") == F.col("u")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            return written(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "links", last=True)
+
+    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links")
     was = state(edges)
     while was[0]:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("u")).where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = written(large.distinct(), "links")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low.withColumnRenamed("a", "u"), F.col("a") == F.col("u")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "links")
+        before, edges = edges, turn(edges)
+        drop(before)
         now = state(edges)
         if now == was:
             break
@@ -188,21 +219,23 @@ def contracted(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, sample: int = SAMPLE, shards: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable by links), row_key of every row.
 
     Documents with the same fingerprint are one node. Null, empty and wordless texts have fingerprint
     zero and link like any other. Rows with a null id take part; their group's id is that of its
     smallest id, null if it has none. Repeated rows get equal results. Extra columns are ignored.
     """
-    rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
-    groups = contracted(_links(nodes, nodes.count(), radius, sample, shard))
-    members = groups.union(groups.select("root", "root")).distinct()
-    least = members.join(nodes, members.node == nodes.fp).groupBy("root").agg(F.min("least").alias("component"))
-    linked = members.join(least, "root").select(F.col("node").alias("fp"), "component")
-    alone = nodes.where("n > 1").join(linked, "fp", "left_anti").select("fp", F.col("least").alias("component"))
-    grouped = written(linked.union(alone), "groups").select(F.col("fp").alias("g"), "component")
+    with tidy(docs.sparkSession):
+        rows = written(fingerprints(docs, id_col, text_col), "fingerprints", last=True)
+        nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+        n = nodes.count()
+        groups = contracted(_links(nodes, n, radius, sample, shards or shards_of(n)))
+        members = groups.union(groups.select("root", "root")).distinct()
+        least = members.join(nodes, members.node == nodes.fp).groupBy("root").agg(F.min("least").alias("component"))
+        linked = members.join(least, "root").select(F.col("node").alias("fp"), "component")
+        alone = nodes.where("n > 1").join(linked, "fp", "left_anti").select("fp", F.col("least").alias("component"))
+        grouped = written(linked.union(alone), "groups", last=True).select(F.col("fp").alias("g"), "component")
     return rows.join(grouped, rows.fp == grouped.g, "left").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -216,7 +249,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Of rows that repeat an id one stays. Rows without an id can't be told apart and all stay.
     """
-    found = written(near_duplicates(docs, id_col, text_col, **options).where("doc_id is null or doc_id = component_id").select("doc_id", "row_key"), "kept")
+    with tidy(docs.sparkSession):
+        found = written(near_duplicates(docs, id_col, text_col, **options).where("doc_id is null or doc_id = component_id").select("doc_id", "row_key"), "kept", last=True)
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
     plain = docs.toDF(*[f"c{i}_" for i in range(len(docs.columns))])
     key = F.col(f"c{id_at}_").cast("long")

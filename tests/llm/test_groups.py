@@ -1,5 +1,6 @@
 """SimHash groups, archives, quotations and the pipeline against brute force and on odd rows."""
 
+import itertools
 import random
 import re
 from hashlib import sha256
@@ -80,7 +81,7 @@ def test_groups_over_many_shards(spark):
     rng.shuffle(fps)
     rows = list(enumerate(fps))
     nodes = spark.createDataFrame([(i, int(np.uint64(f).view(np.int64))) for i, f in rows], "least long, fp long")
-    groups = simhash.contracted(simhash._links(nodes.select("fp", "least"), len(rows), 2, 64, 8)).collect()
+    groups = simhash.contracted(simhash._links(nodes.select("fp", "least"), len(rows), 2, 2, 60)).collect()
     root = {r.node: r.root for r in groups}
     mine = {}
     for i, f in rows:
@@ -92,6 +93,26 @@ def test_groups_over_many_shards(spark):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, wanted.values()))
 
 
+def test_shards_have_no_ceiling():
+    """More shards than the former bound of 4,096; each fingerprint at home in one, and sent to few others."""
+    assert simhash.shards_of(10) == 1 and simhash.shards_of(50_000) == 12 and simhash.shards_of(10**6) == 16 and simhash.shards_of(5 * 10**10) > 190_000
+    rng = np.random.default_rng(3)
+    points = rng.integers(0, 1 << 63, 320_000, dtype=np.uint64)
+    tree = simhash.Node(points, 5000, itertools.count())
+    home, every = np.zeros(len(points), np.int64), np.arange(len(points))
+    tree.home(points, every, home)
+    assert len(set(home.tolist())) > 4500
+    for n, most in ((13 * 10**6, 4), (2 * 10**6, 3)):
+        shards = simhash.shards_of(n)
+        tree = simhash.Node(points[: simhash.SAMPLE * shards], shards, itertools.count())
+        fp = rng.integers(0, 1 << 63, 100_000, dtype=np.uint64)
+        home, out, every = np.zeros(len(fp), np.int64), [], np.arange(len(fp))
+        tree.home(fp, every, home)
+        tree.reached(fp, every, 2, out)
+        rows = sum(int((home[at] <= k).sum()) for k, at in out)
+        assert rows / len(fp) < most, rows / len(fp)
+
+
 def test_groups_of_odd_rows(spark, odd, odd_rows, none):
     got = simhash.near_duplicates(odd).drop("row_key").collect()
     assert sorted(map(tuple, got), key=str) == components([(i, simhash.fingerprint(t)) for i, t in odd_rows])
