@@ -104,12 +104,13 @@ l AS (SELECT doc_id, i - 1 AS line_no, lower(trim(regexp_replace(ls[i], '[\t\x0B
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM r)),
 w AS (SELECT *, string_split(t, ' ') AS ws FROM l WHERE t <> ''),
 f AS (SELECT t, min((doc_id, line_no)) AS pos, any_value(ws) AS ws, len(any_value(ws)) AS n FROM w GROUP BY t),
-v AS (SELECT t, pos, n, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') AS k
-  FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM f WHERE n >= 10)),
+u AS (SELECT t, pos, CASE WHEN n >= 10 THEN 'w' WHEN length(t) >= 20 THEN 'c' END AS unit, CASE WHEN n >= 10 THEN ws ELSE [substring(t, i, 1) for i in range(1, length(t) + 1)] END AS us FROM f),
+v AS (SELECT t, pos, unit, len(us) AS n, i, CASE unit WHEN 'w' THEN array_to_string(list_concat(us[1:i - 1], us[i + 1:]), ' ') ELSE substring(t, 1, i - 1) || substring(t, i + 1) END AS k
+  FROM (SELECT *, unnest(range(1, len(us) + 1)) AS i FROM u WHERE unit IS NOT NULL)),
 near AS (
-  SELECT a.t FROM v a JOIN v b ON a.k = b.k AND a.i = b.i AND a.n = b.n AND a.pos > b.pos
-  UNION SELECT a.t FROM v a JOIN f b ON a.k = b.t AND b.n >= 10 AND a.pos > b.pos
-  UNION SELECT b.t FROM v a JOIN f b ON a.k = b.t AND b.n >= 10 AND b.pos > a.pos),
+  SELECT a.t FROM v a JOIN v b ON a.k = b.k AND a.i = b.i AND a.n = b.n AND a.unit = b.unit AND a.pos > b.pos
+  UNION SELECT a.t FROM v a JOIN u b ON a.k = b.t AND a.unit = b.unit AND a.pos > b.pos
+  UNION SELECT b.t FROM v a JOIN u b ON a.k = b.t AND a.unit = b.unit AND b.pos > a.pos),
 d AS (SELECT w.doc_id, w.line_no, (w.doc_id, w.line_no) > f.pos AS again, w.t IN (SELECT t FROM near) AS near
   FROM w JOIN f USING (t)),
 g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (again) AS n_exact, count(*) FILTER (near AND NOT again) AS n_near,

@@ -255,7 +255,7 @@ def test_long_texts_cost_in_proportion(spark):
 # --- lines
 
 
-def lines_removed(rows, min_words=line_dedup.MIN_WORDS):
+def lines_removed(rows, min_words=line_dedup.MIN_WORDS, min_chars=line_dedup.MIN_CHARS):
     norm = lambda s: " ".join(re.split(r"[\t\x0b\f\r ]+", s)).strip(" ").lower()
     first, out = {}, {}
     every = [(i if i is not None else 1 << 63, n, norm(s)) for i, t in rows for n, s in enumerate((t or "").split("\n"))]
@@ -264,8 +264,12 @@ def lines_removed(rows, min_words=line_dedup.MIN_WORDS):
             first[s] = min(first.get(s, (i, n)), (i, n))
 
     def one_edit(a, b):
-        a, b = a.split(" "), b.split(" ")
-        if min(len(a), len(b)) < min_words or abs(len(a) - len(b)) > 1:
+        by_words = [len(x.split(" ")) >= min_words for x in (a, b)]
+        if by_words[0] != by_words[1] or not by_words[0] and min(len(a), len(b)) < min_chars:
+            return False
+        if by_words[0]:
+            a, b = a.split(" "), b.split(" ")
+        if abs(len(a) - len(b)) > 1:
             return False
         p = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
         q = next((k for k, (x, y) in enumerate(zip(a[::-1], b[::-1], strict=False)) if x != y), min(len(a), len(b)))
@@ -278,7 +282,8 @@ def lines_removed(rows, min_words=line_dedup.MIN_WORDS):
     return out
 
 
-def test_lines_like_brute_force(spark):
+@pytest.mark.parametrize("emit_all", [False, True])
+def test_lines_like_brute_force(spark, emit_all):
     rng = random.Random(4)
     base = [" ".join(rng.choices("the quick brown fox jumps over a lazy dog and so on".split(), k=rng.randint(8, 14))) for _ in range(25)]
     rows = []
@@ -290,8 +295,12 @@ def test_lines_like_brute_force(spark):
                 k = rng.randrange(len(w))
                 w[k : k + rng.choice([0, 1])] = rng.choice([[], ["new"], ["other"]])
             lines.append("  ".join(w))
+        for _ in range(rng.randint(0, 4)):  # short lines and their typing errors
+            t = rng.choice(["see the notes on page twelve", "äöü in a short line é😀", "twenty characters ok", "nineteen characters"])
+            k = rng.randrange(len(t))
+            lines.append(t[:k] + rng.choice(["", t[k], "x", t[k] + "y"]) + t[k + 1 :])
         rows.append((i, "\n".join([*lines, ""])))
-    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), emit_all=emit_all).collect()
     wanted = lines_removed(rows)
     assert {(r.doc_id, n) for r in got for n in r.removed} == set(wanted)
     assert sum(r.n_near for r in got) > 5
