@@ -145,6 +145,10 @@ def tokenizer(path: str) -> ByteTokenizer:
     return _loaded[path]
 
 
+#: Bytes of text of a token file, about.
+FILE_BYTES = 1 << 30
+
+
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
@@ -152,10 +156,13 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> DataFrame:
-    """Rows of SCHEMA, in id order from partition to partition."""
+    """Rows of SCHEMA, in id order from partition to partition: as many as the session shuffles to, more where a file would pass FILE_BYTES of text."""
     spark = docs.sparkSession
-    files = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text")).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    plain = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
+    if files is None:
+        size = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    ordered = plain.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, part, start = tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
@@ -219,7 +226,7 @@ def with_crc32(tokens: DataFrame) -> DataFrame:
 
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, **options) -> DataFrame:
     """Write the files into the shared folder and return what read_token_files() reads."""
-    path = scratch(docs.sparkSession, "tokens")
+    path = scratch(docs.sparkSession, "tokens", last=True)
     write_token_files(docs, path, tokenizer_path, end_id, **options)
     return read_token_files(docs.sparkSession, path)
 
