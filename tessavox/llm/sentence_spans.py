@@ -20,13 +20,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessavox.llm.common import pick, whole, written
+from tessavox.llm.common import pick, small, tidy, whole, written
 
 MIN_SENTENCES, MIN_WORDS = 2, 20
 #: Words from which on a sentence is cut; words on each side that decide whether it is cut behind one.
 LONG_WORDS, REACH = 50, 4
-#: Rows of narrow columns up to which a side is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
 #: Fixed value: where a sentence ends, closing marks and white space included.
 END = re.compile(r"[.!?…][\"'”’)\]]*\s+|[。！？][”’」』]*\s*|\n\s*")
 _WORD = re.compile(r"\S+\s*")
@@ -128,10 +126,6 @@ def _place() -> Column:
     return (F.coalesce("doc_id", F.lit(_LAST_ID)).cast("decimal(38,0)") * F.lit(_PLACES).cast("decimal(11,0)") + F.col("begin")).cast("decimal(38,0)")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def repeated_spans(docs: DataFrame, **options: int) -> DataFrame:
     """doc_id, row_key, spans (array of begin and end sentences) of the rows that repeat runs of earlier places."""
     every = _all_runs(docs, options)
@@ -152,8 +146,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in another: the second of two equal runs of one text goes too.
     """
     plain = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
-    spans = written(repeated_spans(plain, min_sentences=min_sentences, min_words=min_words), "spans").withColumnRenamed("doc_id", "r_id")
-    joined = plain.join(_small(spans), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.xxhash64("text") == F.col("row_key")), "left")
+    with tidy(docs.sparkSession):
+        spans = written(repeated_spans(plain, min_sentences=min_sentences, min_words=min_words), "spans", last=True).withColumnRenamed("doc_id", "r_id")
+    joined = plain.join(small(spans), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.xxhash64("text") == F.col("row_key")), "left")
 
     @F.arrow_udf("struct<text:string,n_sentences:long,removed:array<int>>")
     def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
