@@ -6,7 +6,8 @@ so many bytes and a line break. Version 1 has five fields, version 2 ten. Nothin
 says where a record ends.
 
 Files are written by Spark's text writer, whose line separator is the mark behind each record of the format, so they
-go through Spark's commit protocol to any file system; they are read whole, a file of bounded size at a time.
+go through Spark's commit protocol to any file system. A file holds FILE_BYTES at most, or a single larger record: records of
+similar size share files. What is read is inflated as a stream, a record at a time.
 """
 
 from __future__ import annotations
@@ -14,14 +15,15 @@ from __future__ import annotations
 import gzip
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha256
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessavox.llm.common import pick, scratch, whole, written
+from tessavox.llm.common import pick, scratch, tidy, whole, written
 
 #: Names of the header fields of both versions, in the order of the line.
 ARC_FIELDS = {
@@ -30,8 +32,9 @@ ARC_FIELDS = {
 }
 #: Payloads below this size are never made revisits.
 MIN_REVISIT = 100
-#: Most records of a written file.
-FILE_RECORDS = 2000
+#: Bytes of a written file before compression, at most, but for single larger records; least and most bytes that the classes of
+#: records of a like size go to (each class is up to SIZE_STEP times as large as the one before).
+FILE_BYTES, SMALL_RECORD, SIZE_STEP = 128 << 20, 64 << 10, 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PAGE_FIELD = "X-Page-Id"
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space of URLs, RFC 9562
@@ -53,36 +56,58 @@ def write_arc(pages: DataFrame, path: str, version: str = "1", date: str = "2024
     block = f"filedesc://pages.arc 0.0.0.0 {date} text/plain {len(about)}\n{about}"
     body = pick(pages, page=id_col, url=url_col, html=html_col).select("page", _clean(F.col("url")).alias("url"), whole("html").alias("html"))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit("\r\n"), F.coalesce(F.concat(F.lit(f"{PAGE_FIELD}: "), F.col("page").cast("string"), F.lit("\r\n")), F.lit("")), F.lit("\r\n"))
-    rows = body.select("url", F.concat(head, F.col("html")).alias("content"))
+    rows = body.select("url", F.concat(head, F.col("html")).alias("content"), F.octet_length("html").alias("size"))
     middle = "" if version == "1" else "200 - - 0 pages.arc "
     line = F.concat(F.col("url"), F.lit(f" 0.0.0.0 {date} text/html {middle}"), F.octet_length("content").cast("string"), F.lit("\n"))
     # a version block may stand before any record; here before each partition's first and then at every file's worth
     at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    mark = F.when(at % FILE_RECORDS == 0, F.lit(block + "\n")).otherwise(F.lit(""))
-    rows.select(F.concat(mark, line, F.col("content")).alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
+    def write(some: DataFrame, to: str, records: int) -> None:
+        mark = F.when(at % records == 0, F.lit(block + "\n")).otherwise(F.lit(""))
+        _write_text(some.select(F.concat(mark, line, F.col("content")).alias("value")), to, "\n", records)
 
-def arc_records(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """Header fields and content of each record of an ARC file's bytes, version blocks left out.
+    _by_size(rows, rows, path, write)
+
+
+def _write_text(rows: DataFrame, path: str, mark: str, records: int) -> None:
+    rows.write.option("lineSep", mark).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+
+
+def _by_size(rows: DataFrame, sizes_of: DataFrame, path: str, write: Callable[[DataFrame, str, int], None]) -> None:
+    """Calls write(rows, folder, records of a file) for each class of sizes that occurs, so that no file passes FILE_BYTES.
+
+    sizes_of has the sizes of all rows at least.
+    """
+    above = -1
+    sizes = [SMALL_RECORD * SIZE_STEP**k for k in range(4)]  # the last one is beyond any string
+    steps = F.array(*[F.lit(s) for s in sizes[:-1]])
+    there = {r.k for r in sizes_of.select(F.size(F.filter(steps, lambda s: s < F.col("size"))).alias("k")).distinct().collect()} or {0}
+    for k, most in enumerate(sizes):
+        if k in there:
+            write(rows.where((F.col("size") > above) & (F.col("size") <= most)), f"{path}/size{k}", max(1, FILE_BYTES // most))
+        above = most
+
+
+def arc_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and content of each record of an ARC file, version blocks left out.
 
     Raises ValueError where a line doesn't fit the version or a declared length runs beyond the file.
     """
-    view, at, fields = memoryview(data), 0, None
-    while at < len(data):
-        if data[at : at + 1] == b"\n":  # the mark behind a record; more than one is tolerated
+    at, fields = 0, None
+    while line := stream.readline():
+        if line == b"\n":  # the mark behind a record; more than one is tolerated
             at += 1
             continue
-        end = data.find(b"\n", at)
-        if end < 0:
+        if not line.endswith(b"\n"):
             raise ValueError(f"no header line at byte {at}")
-        parts = data[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
+        parts = line[:-1].decode("utf-8", "replace").rstrip("\r").split(" ")
         if not parts[-1].isdigit():
             raise ValueError(f"no length in the header line at byte {at}")
-        begin, size = end + 1, int(parts[-1])
-        if begin + size > len(data):
+        content = stream.read(int(parts[-1]))
+        if len(content) < int(parts[-1]):
             raise ValueError(f"the record at byte {at} is cut off")
         if parts[0].startswith("filedesc:"):
-            lines = bytes(view[begin : begin + size]).decode().split("\n")
+            lines = content.decode().split("\n")
             fields = tuple(lines[1].split(" "))
             version = lines[0].split(" ")[0]
             if ARC_FIELDS.get(version) != fields:
@@ -90,12 +115,13 @@ def arc_records(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
         else:
             if fields is None or len(parts) != len(fields):
                 raise ValueError(f"the header line at byte {at} doesn't fit the version")
-            yield dict(zip(fields, parts, strict=True)), view[begin : begin + size]
-        at = begin + size
+            yield dict(zip(fields, parts, strict=True)), content
+        at += len(line) + len(content)
 
 
-def split_http(content: memoryview) -> tuple[bytes, memoryview]:
+def split_http(content: bytes) -> tuple[bytes, memoryview]:
     """Header block (with its blank line) and payload; without a blank line all is payload."""
+    content = memoryview(content)
     head = bytes(content[: 1 << 16])
     end = head.find(b"\r\n\r\n") if head.startswith(b"HTTP/") else -1
     if end < 0 and head.startswith(b"HTTP/"):
@@ -127,8 +153,10 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("path", "content")
 
 
-def _unzipped(content: bytes) -> bytes:
-    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+def _unzipped(content: pa.Scalar) -> BinaryIO:
+    """A file's bytes as a stream, inflated as it is read."""
+    raw = pa.BufferReader(content.as_buffer())
+    return gzip.GzipFile(fileobj=raw) if content.as_buffer()[:2].to_pybytes() == b"\x1f\x8b" else raw
 
 
 def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -146,7 +174,7 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
         for b in batches:
             for content in b.column(1):
                 rows, held = [], 0
-                for fields, body in arc_records(_unzipped(content.as_py())):
+                for fields, body in arc_records(_unzipped(content)):
                     head, payload = split_http(body)
                     page, date, digest = http_page(head), warc_date(fields["Archive-date"]), sha256(payload).hexdigest()
                     rows.append((page, fields["URL"], date, fields["Content-type"], fields["IP-address"], head.decode("utf-8", "replace"), bytes(payload) if payloads else None, len(payload), digest, record_id(fields["URL"], date, page, digest)))
@@ -197,26 +225,26 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
         field("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
     )
-    typed.select(F.concat(head, block).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(warc_path)
+    stored = F.when(F.col("again"), F.lit(0)).otherwise(F.col("size"))
+    records = typed.select(F.concat(head, block).alias("value"), stored.alias("size"))
+    _by_size(records, meta.select("size").union(spark.range(1).select(F.lit(0).cast("long"))), warc_path, lambda some, to, n: _write_text(some.select("value"), to, "\r\n\r\n", n))
 
 
-def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """Named fields (lower case) and block of each record of a WARC file's bytes, by the declared lengths."""
-    view, at = memoryview(data), 0
-    while at < len(data):
-        if data[at : at + 2] == b"\r\n":
-            at += 2
+def warc_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Named fields (lower case) and block of each record of a WARC file, by the declared lengths."""
+    while line := stream.readline():
+        if line == b"\r\n":
             continue
-        end = data.find(b"\r\n\r\n", at)
-        if data[at : at + 5] != b"WARC/" or end < 0:
-            raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:end].decode().split("\r\n")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        begin = end + 4
-        at = begin + int(fields["content-length"])
-        if at > len(data):
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record in {line[:80]!r}")
+        fields = {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            k, _, v = line.decode().partition(":")
+            fields[k.strip().lower()] = v.strip()
+        block = stream.read(int(fields["content-length"]))
+        if len(block) < int(fields["content-length"]):
             raise ValueError("the last record is cut off")
-        yield fields, view[begin:at]
+        yield fields, block
 
 
 WARC_SCHEMA = "page_id long, url string, date string, record_id string, record_type string, refers_to long, refers_to_record string, payload_bytes long, payload_digest string, payload binary"
@@ -235,7 +263,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
         for b in batches:
             for content in b.column(1):
                 rows, held = [], 0
-                for f, block in warc_records(_unzipped(content.as_py())):
+                for f, block in warc_records(_unzipped(content)):
                     head, payload = split_http(block)
                     again = f["warc-type"] == "revisit"
                     size = int(f["payload-length"]) if again else len(payload)
@@ -260,7 +288,8 @@ def archived(pages: DataFrame, version: str = "1", payloads: bool = True, **colu
     Extra columns are ignored.
     """
     spark = pages.sparkSession
-    arc, warc = scratch(spark, "arc"), scratch(spark, "warc")
-    write_arc(pages, arc, version, **columns)
-    convert(spark, arc, warc)
+    with tidy(spark):
+        arc, warc = scratch(spark, "arc"), scratch(spark, "warc", last=True)
+        write_arc(pages, arc, version, **columns)
+        convert(spark, arc, warc)
     return read_warc(spark, warc, payloads)
