@@ -57,7 +57,29 @@ def op4_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linked_conversations(table(spark, sf_dir, "conversations"))
-    return out.select("conv_id", "turn", "role", "parent", "root", "depth", "n_quotes", "max_level", F.sha2("formatted", 256).alias("formatted_sha256"))
+    return out.select("conv_id", "turn", "role", "parent", "root", "depth", "position", "n_quotes", "max_level", F.sha2("formatted", 256).alias("formatted_sha256"))
+
+
+def quoted(messages: DataFrame) -> DataFrame:
+    """The messages as they would look in mail: each but the first quotes an earlier one, and what that one quotes at level two."""
+
+    def behind(marks: str, text: str) -> Column:
+        return F.array_join(F.transform(F.split(text, "\n"), lambda x: F.concat(F.lit(marks), x)), "\n")
+
+    of = lambda turn: F.when(F.col(turn) > 0, (F.col("conv_id") * 7 + F.col(turn) * F.col(turn) * 3) % F.col(turn))
+    plain = messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    first = plain.select("conv_id", F.col("turn").alias("t1"), F.col("role").alias("r1"), F.col("text").alias("x1"))
+    second = plain.select("conv_id", F.col("turn").alias("t2"), F.col("text").alias("x2"))
+    both = plain.withColumn("t1", of("turn")).join(first, ["conv_id", "t1"], "left").withColumn("t2", of("t1")).join(second, ["conv_id", "t2"], "left")
+    deep = F.coalesce(F.concat(behind(">> ", "x2"), F.lit("\n")), F.lit(""))
+    mail = F.concat(F.lit("On day 1, the "), "r1", F.lit(" wrote:\n\n"), deep, behind("> ", "x1"), F.lit("\n\n"), F.col("text"))
+    return both.select("conv_id", "turn", "role", F.coalesce(mail, F.col("text")).alias("text"))
+
+
+def quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations with quotations put in, and taken out again by their links."""
+    out = linked_conversations(quoted(table(spark, sf_dir, "conversations")))
+    return out.select("conv_id", "turn", "parent", "root", "depth", "position", "max_level", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +120,52 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+_NORM = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
+_TREES = """
+t AS (SELECT m.conv_id, m.turn, l.parent, m.turn AS root, 0 AS depth, [m.turn] AS path FROM m LEFT JOIN l USING (conv_id, turn) WHERE l.parent IS NULL
+  UNION ALL SELECT l.conv_id, l.turn, l.parent, t.root, t.depth + 1, list_append(t.path, l.turn) FROM l JOIN t ON t.conv_id = l.conv_id AND t.turn = l.parent)
+"""
+#: What is there to quote: whole messages, paragraphs, lines.
+_PASSAGES = rf"""
+p AS (SELECT conv_id, turn, {_NORM.format("text")} AS w FROM m
+  UNION SELECT conv_id, turn, {_NORM.format("x")} FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS x FROM m)
+  UNION SELECT conv_id, turn, {_NORM.format("x")} FROM (SELECT conv_id, turn, unnest(string_split_regex(text, '\n[ \t\r]*\n')) AS x FROM m))
+"""
+QUOTED = f"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations), {_PASSAGES},
+q AS (SELECT conv_id, turn, (conv_id * 7 + turn * turn * 3) % turn AS other FROM m WHERE turn > 0),
+l AS (SELECT q.conv_id, q.turn, min(p.turn) AS parent
+  FROM q JOIN m o ON o.conv_id = q.conv_id AND o.turn = q.other JOIN p ON p.conv_id = q.conv_id AND p.turn < q.turn AND p.w = {_NORM.format("o.text")}
+  WHERE p.w <> '' GROUP BY q.conv_id, q.turn), {_TREES}
+SELECT t.conv_id, t.turn, t.parent, t.root, t.depth, row_number() OVER (PARTITION BY t.conv_id, t.root ORDER BY t.path) - 1 AS position,
+  CASE WHEN q.other IS NULL THEN 0 WHEN q.other > 0 THEN 2 ELSE 1 END AS max_level, sha256(m.text) AS text_sha256
+FROM t JOIN m USING (conv_id, turn) LEFT JOIN q USING (conv_id, turn)
+"""
+#: Lines with their levels, runs of one level, each whole and by line; the level decides before the size. Announcing lines right above
+#: (blank ones between) go with the quotation.
+OP5 = rf"""
+WITH RECURSIVE r AS (SELECT conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations),
+x AS (SELECT conv_id, turn, i, ls[i] AS line, regexp_extract(ls[i], '^[ \t]*((?:>[ \t]*)+)', 1) AS marks FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM r)),
+y AS (SELECT *, len(marks) - len(replace(marks, '>', '')) AS level FROM x),
+z AS (SELECT *, regexp_replace(line, '^[ \t]*((?:>[ \t]*)+)', '') AS bare, lag(level) OVER (PARTITION BY conv_id, turn ORDER BY i) IS DISTINCT FROM level AS starts,
+  min(CASE WHEN level > 0 THEN i END) OVER w AS next_quote, min(CASE WHEN level = 0 AND trim(line, ' \t\r') <> '' THEN i END) OVER w AS next_own
+  FROM y WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+g AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY i) AS run,
+  level = 0 AND next_quote IS NOT NULL AND (next_own IS NULL OR next_own > next_quote)
+    AND regexp_matches(line, '(?i)^\s*(?:(?:on|am|le|el)\b.{{1,200}}\b|\S{{1,60}}(?: \S{{1,60}}){{0,5}} )(?:wrote|schrieb|écrit|escribió)\s*:\s*$') AS announces FROM z),
+a AS (SELECT *, max(CASE WHEN announces THEN i END) OVER (PARTITION BY conv_id, turn, run ORDER BY i) AS from_here FROM g),
+own AS (SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY i) AS text FROM a WHERE level = 0 AND from_here IS NULL GROUP BY conv_id, turn),
+m AS (SELECT r.conv_id, r.turn, r.role, regexp_replace(regexp_replace(coalesce(own.text, ''), '^(?:[ \t\r\f\v]*\n)+', ''), '(?:\n[ \t\r\f\v]*)+$', '') AS text FROM r LEFT JOIN own USING (conv_id, turn)), {_PASSAGES},
+c AS (SELECT conv_id, turn, 2 * level AS rank, {_NORM.format("string_agg(bare, ' ' ORDER BY i)")} AS w FROM g WHERE level > 0 GROUP BY conv_id, turn, level, run
+  UNION SELECT conv_id, turn, 2 * level + 1, {_NORM.format("bare")} FROM g WHERE level > 0),
+l AS (SELECT conv_id, turn, arg_min(parent, (rank, parent)) AS parent FROM (SELECT c.conv_id, c.turn, c.rank, min(p.turn) AS parent FROM c JOIN p ON p.conv_id = c.conv_id AND p.w = c.w
+  WHERE c.w <> '' GROUP BY c.conv_id, c.turn, c.rank, c.w) WHERE parent < turn GROUP BY conv_id, turn), {_TREES},
+n AS (SELECT conv_id, turn, count(DISTINCT run) FILTER (level > 0) AS n_quotes, max(level) AS max_level FROM g GROUP BY conv_id, turn)
+SELECT t.conv_id, t.turn, m.role, t.parent, t.root, t.depth, row_number() OVER (PARTITION BY t.conv_id, t.root ORDER BY t.path) - 1 AS position,
+  n.n_quotes, n.max_level, sha256('<|' || coalesce(m.role, 'unknown') || '|>' || chr(10) || m.text) AS formatted_sha256
+FROM t JOIN m USING (conv_id, turn) JOIN n USING (conv_id, turn)
+"""
+
 OP6 = r"""
 WITH r AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, i - 1 AS line_no, lower(trim(regexp_replace(ls[i], '[\t\x0B\f\r ]+', ' ', 'g'))) AS t
@@ -133,8 +201,8 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_piece_codec, op4_sanitisation, op5_quotation_links, op6_line_dedup, op7_quality_rules, op8_archives, op9_sentence_spans, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_piece_codec, op4_sanitisation, op5_quotation_links, op6_line_dedup, op7_quality_rules, op8_archives, op9_sentence_spans, op10_simhash, quoted_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op6_line_dedup": OP6, "op8_archives": OP8}
+    return {"op1_decontamination": OP1, "op5_quotation_links": OP5, "quoted_conversations": QUOTED, "op6_line_dedup": OP6, "op8_archives": OP8}

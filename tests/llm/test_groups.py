@@ -1,5 +1,7 @@
 """SimHash groups, archives, quotations and the pipeline against brute force and on odd rows."""
 
+import gzip
+import io
 import itertools
 import random
 import re
@@ -11,7 +13,7 @@ import pytest
 import xxhash
 
 from tessavox.llm import archives, quotes, simhash
-from tessavox.llm.queries import OP8, op5_quotation_links, op8_archives, op10_simhash
+from tessavox.llm.queries import OP5, OP8, QUOTED, op5_quotation_links, op8_archives, op10_simhash, quoted, quoted_conversations
 
 # --- SimHash
 
@@ -150,18 +152,32 @@ def test_archives_of_odd_pages(spark, version):
     assert archives.archived(pages.limit(0)).count() == 0
 
 
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    """Large pages get files of their own, whatever their number; what is stored is the same."""
+    monkeypatch.setattr(archives, "FILE_BYTES", 1 << 20)
+    monkeypatch.setattr(archives, "SMALL_RECORD", 4 << 10)
+    rng = np.random.default_rng(2)
+    sizes = [int(x) for x in rng.choice([0, 10, 4000, 5000, 60_000, 300_000, 1_200_000], 300)]
+    pages = spark.createDataFrame([(i, "u", f"{i}" + "x" * n) for i, n in enumerate(sizes)], "page_id long, url string, html string").coalesce(1)
+    archives.write_arc(pages, str(tmp_path / "arc"))
+    files = [f for f in (tmp_path / "arc").rglob("part-*") if not f.name.endswith(".crc")]
+    lengths = [[len(c) for _, c in archives.arc_records(gzip.open(f))] for f in files]
+    assert sum(map(len, lengths)) == 300 and all(sum(x) < 1.2 * (1 << 20) or len(x) == 1 for x in lengths)
+    assert sorted(r.payload_bytes for r in archives.archived(pages).collect()) == sorted(n + len(str(i)) for i, n in enumerate(sizes))
+
+
 def test_foreign_archive_lines():
     body = b"HTTP/1.0 200 OK\nnot split\n"
     v1 = b"filedesc://x.arc 0 19960923142103 text/plain 76\n1 0 Org\nURL IP-address Archive-date Content-type Archive-length\n"
     about = b"1 0 Org\nURL IP-address Archive-date Content-type Archive-length\n"
     v1 = b"filedesc://x.arc 0 19960923142103 text/plain %d\n%s\n" % (len(about), about)
     data = v1 + b"http://h/ 1.2.3.4 199609 text/html %d\n%s\n\n" % (len(body), body)
-    (fields, content), = archives.arc_records(data)
+    (fields, content), = archives.arc_records(io.BytesIO(data))
     assert bytes(content) == body and fields["URL"] == "http://h/" and archives.warc_date(fields["Archive-date"]) == "1996-09-01T00:00:00Z"
     for broken in (data[:-30], v1 + b"http://h/ 1.2.3.4 text/html 3\nabc\n", b"http://h/ 1 1 t 1\na\n", v1 + b"no length\n"):
         with pytest.raises(ValueError):
-            list(archives.arc_records(broken))
-    assert archives.split_http(memoryview(b"no head"))[0] == b""
+            list(archives.arc_records(io.BytesIO(broken)))
+    assert archives.split_http(b"no head")[0] == b""
 
 
 # --- quotations
@@ -171,6 +187,8 @@ def test_quotes_are_parsed():
     own, quoted = quotes.parse("Hi\nOn Monday Ann wrote:\n> a\n> b\n>> deep\n> c\nmy answer\n> d")
     assert own == ["Hi", "my answer"] and quoted == [(1, ["a", "b"]), (2, ["deep"]), (1, ["c"]), (1, ["d"])]
     assert quotes.parse("> > x\n>>y")[1] == [(2, ["x", "y"])]
+    assert quotes.parse("Hi\nAnn wrote:\n\n> a\nyes")[0] == ["Hi", "yes"] and quotes.parse("a b c d e f g wrote:\n> a")[0] == ["a b c d e f g wrote:"]
+    assert quotes.parse("On Monday Ann wrote:\nno quote")[0] == ["On Monday Ann wrote:", "no quote"]
 
 
 def test_replies_are_linked(spark):
@@ -193,20 +211,114 @@ def test_replies_are_linked(spark):
         (1, 0): (None, 0, 0), (1, 1): (None, 1, 0), (1, 2): (0, 0, 1), (1, 3): (2, 0, 2), (1, 4): (0, 0, 1), (1, 5): (None, 5, 0), (1, 6): (4, 0, 2),
         (2, 0): (None, 0, 0), (None, 1): (None, 1, 0), (1, None): (None, None, 0),
     }
-    assert got[1, 2].text == "Ann wrote:\nAn answer." and got[1, 3].text == "Thanks." and got[1, 3].formatted == "<|a|>\nThanks."
+    assert got[1, 2].text == "An answer." and got[1, 3].text == "Thanks." and got[1, 3].formatted == "<|a|>\nThanks."
     assert quotes.linked_conversations(df).count() == len(rows) and quotes.linked_conversations(df.limit(0)).count() == 0
 
 
 def test_long_chain_of_replies(spark):
     rows = [(1, i, "u", (f"> word{i - 1} said\n" if i else "") + f"word{i} said") for i in range(70)]
-    got = {r.turn: (r.root, r.depth) for r in quotes.linked_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert got == {i: (0, i) for i in range(70)}
-
+    got = {r.turn: (r.root, r.depth, r.position) for r in quotes.linked_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {i: (0, i, i) for i in range(70)}
+
+
+def random_mails(rng, n):
+    """Conversations whose messages quote earlier ones in whole, in part, nested or not at all, some with equal words."""
+    rows = []
+    for c in range(n):
+        own, said = [], ["same words for all", "a line\nand another one\n\na paragraph"]
+        for t in sorted(rng.sample(range(9000), rng.randint(1, 9))):
+            text = rng.choice([*said, f"message {t} of {c}\nwith a second line {t}", f"para {t}\n\nthen {t}", "", "  \n"])
+            lines = []
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                if own:
+                    other = rng.choice(own)
+                    some = other.split("\n") if rng.random() < 0.6 else [rng.choice(other.split("\n"))]
+                    marks = rng.choice(["> ", ">", ">> ", "> > ", " > "])
+                    lines += rng.choice([[], ["Ann wrote:"], ["On May 1, Bob wrote:", ""]]) + [marks + x.upper() for x in some]
+            if rng.random() < 0.2:
+                lines.append("> never said " + str(t))
+            rows.append((c, t, rng.choice(["user", None]), "\n".join([*lines, *text.split("\n")])))
+            own.append(text)
+    return rows
+
+
+def threads_by_hand(rows):
+    """parent, root, depth and position by turn, each quoted passage held as text against every earlier message."""
+    words = lambda x: tuple(x.lower().split())
+    out = {}
+    for c in {r[0] for r in rows}:
+        seen, parent = {}, {}
+        for _, t, _, text in sorted(r for r in rows if r[0] == c):
+            marked = [re.match(r"[ \t]*((?:>[ \t]*)*)(.*)", x, re.DOTALL) for x in text.split("\n")]
+            groups = [(k, [m[2] if k else m[0] for m in g]) for k, g in itertools.groupby(marked, lambda m: m[1].count(">"))]
+            own, wanted = [], []
+            for i, (k, lines) in enumerate(groups):
+                if k:
+                    wanted += [(k, 0, words(" ".join(lines)))] + [(k, 1, words(x)) for x in lines if len(lines) > 1]
+                elif i + 1 < len(groups):
+                    full = [j for j, x in enumerate(lines) if x.strip()]
+                    own += lines[: full[-1]] if full and lines[full[-1]].endswith("wrote:") else lines
+                else:
+                    own += lines
+            found = [(k, part, s) for k, part, w in wanted if w for s, whole in sorted(seen.items()) if w in whole]
+            if found:
+                parent[t] = min(found)[2]
+            paragraphs = re.split(r"\n\s*\n", "\n".join(own))
+            seen[t] = {words(x) for x in ["\n".join(own), *paragraphs, *own]} - {()}
+        kids = {}
+        for t in sorted(parent):
+            kids.setdefault(parent[t], []).append(t)
+
+        def walk(t, root, depth, at):
+            out[c, t] = (parent.get(t), root, depth, at)
+            at += 1
+            for k in kids.get(t, []):
+                at = walk(k, root, depth + 1, at)
+            return at
+
+        for t in seen:
+            if t not in parent:
+                walk(t, t, 0, 0)
+    return out
+
+
+def test_threads_like_brute_force(spark):
+    rows = random_mails(random.Random(5), 60)
+    wanted = threads_by_hand(rows)
+    out = quotes.linked_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): (r.parent, r.root, r.depth, r.position) for r in out} == wanted
+    assert sum(p is not None for p, *_ in wanted.values()) > 60 and max(d for _, _, d, _ in wanted.values()) > 1
+    assert not any(line.lstrip().startswith(">") for r in out for line in r.text.split("\n"))
+
+
+def test_many_replies_to_one_message(spark):
+    """Replies in several buckets of turns, and a reply of a reply between them; a very long message."""
+    rows = [(1, 0, "u", "the first"), *((1, t, "u", "> the first\nanswer " + str(t)) for t in range(2, 20_000, 900)), (1, 5000, "u", "> answer 2\nlate " + "x" * 300_000)]
+    got = {r.turn: (r.parent, r.position) for r in quotes.linked_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    order = [0, 2, 5000, *range(902, 20_000, 900)]
+    assert [t for t, _ in sorted(got.items(), key=lambda x: x[1][1])] == order and got[5000][0] == 2
+
+
+def test_links_of_quoted_conversations(spark, data, duck, rows_of):
+    """Known parents are found: recall and precision against the messages that were quoted."""
+    assert rows_of(quoted_conversations(spark, data).toArrow()) == rows_of(duck.sql(QUOTED).to_arrow_table())
+    got = {(r.conv_id, r.turn): r.parent for r in quoted_conversations(spark, data).collect()}
+    right = sum(p == (c * 7 + t * t * 3) % t for (c, t), p in got.items() if t and p is not None)
+    linked = sum(p is not None for p in got.values())
+    assert right >= 0.9 * linked and right >= 0.9 * sum(t > 0 for _, t in got)
+
+
+def test_quotations_against_sql(spark, data, duck, rows_of):
+    assert rows_of(op5_quotation_links(spark, data).toArrow()) == rows_of(duck.sql(OP5).to_arrow_table())
+    import duckdb
 
-def test_conversations_without_quotes(spark, data, duck):
-    n = duck.sql("SELECT count(*) FROM conversations").fetchall()[0][0]
-    out = op5_quotation_links(spark, data)
-    assert out.count() == n and out.where("parent is not null or root != turn").count() == 0
+    rows = random_mails(random.Random(6), 30)
+    for frame in (spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), quoted(spark.read.parquet(f"{data}/conversations.parquet"))):
+        con = duckdb.connect()
+        con.register("conversations", frame.toArrow())
+        out = quotes.linked_conversations(frame)
+        mine = out.selectExpr("conv_id", "turn", "role", "parent", "root", "depth", "position", "n_quotes", "max_level", "sha2(formatted, 256) AS formatted_sha256")
+        assert rows_of(mine.toArrow()) == rows_of(con.sql(OP5).to_arrow_table())
 
 
 # --- pipeline
