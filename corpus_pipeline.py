@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessavox.llm import decontaminate, line_dedup, pieces, quality_rules, simhash
-from tessavox.llm.common import table, written
+from tessavox.llm.common import drop, table, tidy, written
 from tessavox.llm.queries import vocabulary
 
 
@@ -42,7 +42,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Each stage's result is written, then what it was made from is removed."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with tidy(spark):
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}", last=True)
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
