@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _base(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder is made up only where the session has none."""
+    """spark.checkpoint.dir; where it is unset, a folder is made up for a session of one machine, but never on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tessavox-")
         spark.sparkContext.setCheckpointDir(base)
     return base

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import warnings
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessavox.functions import losses
+from tessavox.operators.grouped import grid, kind, worked
 
 
 def counts(gt: str = "gt", pr: str = "pr") -> list[Column]:
@@ -13,6 +19,19 @@ def counts(gt: str = "gt", pr: str = "pr") -> list[Column]:
     return [F.count_if(g & p).alias("tp"), F.count_if(~g & p).alias("fp"), F.count_if(g & ~p).alias("fn"), F.count_if(~g & ~p).alias("tn")]
 
 
+def compared(truth: DataFrame, predicted: DataFrame, *pair: str) -> DataFrame:
+    """pair, z, y, x, gt, pr, score of two volumes of v: voxels meet by their place, slices of unequal height or width are left out.
+
+    gt and pr say whether a voxel is above 0, score is the predicted value.
+    """
+    by_slice = [*pair, "z"]
+    size = lambda v: v.groupBy(*by_slice).agg(F.max("y").alias("h_"), F.max("x").alias("w_"))
+    same = size(truth).join(size(predicted), [*by_slice, "h_", "w_"]).select(*by_slice)
+    t = truth.select(*by_slice, "y", "x", (F.col("v") > 0).cast("int").alias("gt"))
+    p = predicted.select(*by_slice, "y", "x", (F.col("v") > 0).cast("int").alias("pr"), F.col("v").alias("score"))
+    return t.join(p, [*by_slice, "y", "x"]).join(same, by_slice, "left_semi")
+
+
 def confusion(rows: DataFrame, *groups: str) -> DataFrame:
     return rows.groupBy(*groups).agg(*counts())
 
@@ -42,53 +61,76 @@ def by_sample(rows: DataFrame, metric: Column, *sample: str) -> DataFrame:
     return rows.groupBy(*sample).agg(metric.alias("m")).agg(F.avg("m").alias("value"))
 
 
-def soft_dice(score: str = "score", gt: str = "gt") -> Column:
-    return losses.dice(F.col(score), F.col(gt), 1e-5)
+def soft_dice(score: str = "score", gt: str = "gt", smooth: float = 1e-5) -> Column:
+    return losses.dice(F.col(score), F.col(gt), smooth)
 
 
-def hard_dice(score: str = "score", gt: str = "gt", threshold: float = 0.5) -> Column:
+def hard_dice(score: str = "score", gt: str = "gt", threshold: float = 0.5, smooth: float = 1e-5) -> Column:
     p, t = (F.col(score) > threshold).cast("double"), (F.col(gt) > 0.5).cast("double")
-    return losses.dice(p, t, 1e-5)
+    return losses.dice(p, t, smooth)
 
 
-def soft_iou(score: str = "score", gt: str = "gt") -> Column:
-    return losses.iou(F.col(score), F.col(gt), 1e-5)
+def iou(score: str = "score", gt: str = "gt", threshold: float = 0.5, smooth: float = 1e-5) -> Column:
+    """Of the thresholded score."""
+    return losses.iou((F.col(score) > threshold).cast("double"), (F.col(gt) > 0.5).cast("double"), smooth)
 
 
-def average_precision(rows: DataFrame, *groups: str, score: str = "score", gt: str = "gt") -> DataFrame:
+def average_precision(rows: DataFrame, *groups: str, score: str = "score", gt: str = "gt", ranges: int = 1024) -> DataFrame:
     """groups, pr_auc: sum of (R_n - R_n-1) P_n over falling different scores; 0 without truth or with two scores at most.
 
-    Scores beyond 1 are taken as parts of 255, which doesn't change their order. Counts of equal scores are summed first.
+    Scores beyond 1 are taken as parts of 255, which doesn't change their order. Counts of equal scores are summed first. The
+    running sums are made within ranges of scores, on top of the sums of the ranges above, so that a group isn't one task's.
     """
-    points = rows.groupBy(*groups, F.col(score).alias("s_")).agg(F.sum(gt).alias("p_"), F.count("*").alias("n_"))
-    falling = Window.partitionBy(*groups).orderBy(F.desc("s_")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = points.select(*groups, "p_", F.sum("p_").over(falling).alias("tp_"), F.sum("n_").over(falling).alias("all_"))
+    span = rows.agg(F.min(score).cast("double").alias("lo_"), F.max(score).cast("double").alias("hi_"))
+    points = rows.groupBy(*groups, F.col(score).alias("s_")).agg(F.sum(gt).alias("p_"), F.count("*").alias("n_")).crossJoin(F.broadcast(span))  # one row
+    points = points.withColumn("r_", F.coalesce(F.floor(F.try_divide(F.col("s_") - F.col("lo_"), F.col("hi_") - F.col("lo_")) * ranges), F.lit(0)).cast("int")).drop("lo_", "hi_")
+    sums = points.groupBy(*groups, "r_").agg(F.sum("p_").alias("pr_"), F.sum("n_").alias("nr_"))
+    above = Window.partitionBy(*groups).orderBy(F.desc("r_")).rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*groups, "r_", F.coalesce(F.sum("pr_").over(above), F.lit(0)).alias("pb_"), F.coalesce(F.sum("nr_").over(above), F.lit(0)).alias("nb_"))
+    falling = Window.partitionBy(*groups, "r_").orderBy(F.desc("s_")).rowsBetween(Window.unboundedPreceding, 0)
+    joined = points.join(before, [*groups, "r_"])
+    curve = joined.select(*groups, "p_", (F.sum("p_").over(falling) + F.col("pb_")).alias("tp_"), (F.sum("n_").over(falling) + F.col("nb_")).alias("all_"))
     out = curve.groupBy(*groups).agg(F.sum(F.col("p_") * F.col("tp_") / F.col("all_")).alias("area_"), F.sum("p_").alias("truth_"), F.count("*").alias("scores_"))
     return out.select(*groups, F.when((F.col("truth_") > 0) & (F.col("scores_") > 2), F.col("area_") / F.greatest("truth_", F.lit(1))).otherwise(0.0).alias("pr_auc"))
 
 
-def _nearest(points: DataFrame, targets: DataFrame, slice_col: str, limit: int) -> DataFrame:
-    """Distance of each point to the nearest target of its slice.
+def distances(mask: np.ndarray) -> np.ndarray:
+    """Distance of each pixel to the nearest pixel of the mask, exactly: along columns by running minima, then along rows by
+    offsets of one, two, ... as long as one can still be nearer."""
+    height, width = mask.shape
+    far = height + width
+    rows = np.arange(height)[:, None]
+    above = np.maximum.accumulate(np.where(mask, rows, -far), axis=0)
+    below = np.minimum.accumulate(np.where(mask, rows, height + far)[::-1], axis=0)[::-1]
+    column = np.minimum(rows - above, below - rows).astype(np.int64) ** 2
+    best = column.copy()
+    for k in range(1, width):
+        if k * k >= best.max():
+            break
+        np.minimum(best[:, k:], column[:, :-k] + k * k, out=best[:, k:])
+        np.minimum(best[:, :-k], column[:, k:] + k * k, out=best[:, :-k])
+    return np.sqrt(best)
 
-    A distance transform along y and then x: for each point's row, the distance along y at each column; then over
-    columns. Columns and rows of one slice bound the work, not the number of pairs of points.
-    """
-    # per column of a slice the sorted rows of its targets
-    column = targets.groupBy(slice_col, F.col("x").alias("tx")).agg(F.array_sort(F.collect_set("y")).alias("ys"))
-    by_slice = column.groupBy(slice_col).agg(F.collect_list(F.struct("tx", "ys")).alias("cols"))
-    joined = points.join(by_slice, slice_col)
-    to_row = lambda ys: F.array_min(F.transform(ys, lambda y: F.abs(y - F.col("y"))))
-    squared = F.transform("cols", lambda c: (c["tx"] - F.col("x")) * (c["tx"] - F.col("x")) + to_row(c["ys"]) * to_row(c["ys"]))
-    return joined.select(slice_col, F.sqrt(F.array_min(squared).cast("double")).alias("d"))
 
+def robust_hausdorff(gt: np.ndarray, pr: np.ndarray, percentile: float = 95.0) -> float | None:
+    """Larger of both directed percentiles of the distances to the other mask; None if one is empty."""
+    if not gt.any() or not pr.any():
+        return None
+    return float(max(np.percentile(distances(gt)[pr], percentile), np.percentile(distances(pr)[gt], percentile)))
 
-def hausdorff(rows: DataFrame, slice_col: str = "z", percentile: float = 0.95) -> DataFrame:
-    """slice, hausdorff: larger of both directed percentiles of the distances to the other mask; slices with an empty mask are left out."""
-    g, p = rows.where("gt = 1").select(slice_col, "y", "x"), rows.where("pr = 1").select(slice_col, "y", "x")
-    there = _nearest(p, g, slice_col, 0).select(slice_col, F.lit(0).alias("way"), "d")
-    back = _nearest(g, p, slice_col, 0).select(slice_col, F.lit(1).alias("way"), "d")
-    each = there.union(back).groupBy(slice_col, "way").agg(F.expr(f"percentile(d, {percentile})").alias("h"))
-    return each.groupBy(slice_col).agg(F.max("h").alias("hausdorff"))
+
+def hausdorff(rows: DataFrame, *slice_cols: str, percentile: float = 95.0) -> DataFrame:
+    """slice, hausdorff of each slice (``z``, or several key columns); slices with an empty mask are left out."""
+    keys = list(slice_cols or ("z",))
+
+    def work(*args) -> list[tuple]:
+        key, (y, x, gt, pr) = args[: len(keys)], args[len(keys) :]
+        shape = (int(y.max()) + 1, int(x.max()) + 1)
+        found = robust_hausdorff(grid(y, x, gt > 0, "bool", shape=shape), grid(y, x, pr > 0, "bool", shape=shape), percentile)
+        return [] if found is None else [(*key, found)]
+
+    masked = rows.where("gt = 1 OR pr = 1")
+    return worked(masked, [F.col(k) for k in keys], ["y", "x", "gt", "pr"], work, ", ".join([f"{k} {kind(rows, k)}" for k in keys] + ["hausdorff double"]))
 
 
 def mean_of_valid(values: DataFrame, column: str) -> DataFrame:
@@ -97,20 +139,63 @@ def mean_of_valid(values: DataFrame, column: str) -> DataFrame:
     return values.agg(F.coalesce(F.avg(F.when(~F.isnan(c), c)), F.lit(0.0)).alias("value"))
 
 
-#: Aggregates by the names used in configurations.
-METRICS = {
-    "dice": soft_dice,
-    "hard_dice": hard_dice,
-    "iou": soft_iou,
-    "bce": lambda score="score", gt="gt": F.avg(losses.cross_entropy(F.col(score), F.col(gt))),
-}
+def _pixels(make: Callable[..., Column]) -> Callable[..., DataFrame]:
+    def values(rows: DataFrame, sample: list[str], smooth: float = 1e-5) -> DataFrame:
+        return rows.groupBy(*sample).agg(make(smooth).alias("value"))
+
+    return values
+
 
+def _mcc(rows: DataFrame, sample: list[str]) -> DataFrame:
+    return scores(confusion(_cut(rows), *sample)).select(*sample, F.col("mcc").alias("value"))
+
+
+def _hausdorff(rows: DataFrame, sample: list[str], hd_percentile: float = 95.0) -> DataFrame:
+    return hausdorff(_cut(rows), *sample, percentile=hd_percentile).withColumnRenamed("hausdorff", "value")
+
+
+def _cldice(rows: DataFrame, sample: list[str]) -> DataFrame:
+    from tessavox.operators import objects
+
+    return objects.object_metrics(_cut(rows), *sample).select(*sample, F.col("cldice").alias("value"))
+
+
+def _pr_auc(rows: DataFrame, sample: list[str]) -> DataFrame:
+    return average_precision(rows, *sample).withColumnRenamed("pr_auc", "value")
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("pr", (F.col("score") > 0.5).cast("int"))
+
+
+#: By the names used in configurations: (rows of gt and score, sample columns, parameters) -> sample, value.
+METRICS: dict[str, Callable[..., DataFrame]] = {
+    "dice_soft": _pixels(lambda smooth: soft_dice(smooth=smooth)),
+    "dice_hard": _pixels(lambda smooth: hard_dice(smooth=smooth)),
+    "iou": _pixels(lambda smooth: iou(smooth=smooth)),
+    "bce": _pixels(lambda smooth: F.avg(losses.cross_entropy(F.col("score"), F.col("gt")))),
+    "mcc": _mcc,
+    "cldice": _cldice,
+    "hausdorff": _hausdorff,
+    "pr_auc": _pr_auc,
+}
 
-def from_config(names: list[str]) -> dict[str, Column]:
-    """Aggregates for the known names; unknown ones are left out with a warning."""
-    import warnings
 
-    for n in names:
-        if n not in METRICS:
-            warnings.warn(f"unknown metric {n!r}", stacklevel=2)
-    return {n: METRICS[n]() for n in names if n in METRICS}
+def named(name: str) -> tuple[str, Callable[..., DataFrame]] | None:
+    """A metric by its name in any case; other names with ``dice`` in them are the hard or soft one; None with a warning for the rest."""
+    low = name.lower()
+    if low in METRICS:
+        return low, METRICS[low]
+    if "dice" in low:
+        return low, METRICS["dice_hard" if "hard" in low else "dice_soft"]
+    warnings.warn(f"unknown metric {name!r}", stacklevel=3)
+    return None
+
+
+def from_config(rows: DataFrame, names: str | list[str], parameters: dict[str, dict] | None = None, sample: tuple[str, ...] = ("z",)) -> DataFrame:
+    """metric, value: the mean of each metric's valid values over the samples; parameters by metric, as in configurations."""
+    known = [found for n in ([names] if isinstance(names, str) else names) if (found := named(n))]
+    if not known:
+        return rows.sparkSession.createDataFrame([], "metric string, value double")
+    each = [mean_of_valid(make(rows, list(sample), **(parameters or {}).get(n, {})), "value").select(F.lit(n).alias("metric"), "value") for n, make in known]
+    return functools.reduce(DataFrame.union, each)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessavox.functions import intensity
@@ -11,6 +13,21 @@ from tessavox.operators import stats
 METHODS = ("z-score", "min-max", "min-max-gamma", "histogram")
 
 
+def _mapping(source: DataFrame, method: str, gamma: float, multiplier: float, bins: int, range_: tuple[float, float] | None) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """One row of statistics of ``source``, and how they map a value."""
+    one = stats.statistics(source).select(F.col("mean").alias("m_"), F.col("std").alias("s_"), F.col("min").alias("lo_"), F.col("max").alias("hi_"))
+    m, s, lo, hi = (F.col(c) for c in ("m_", "s_", "lo_", "hi_"))
+    if method == "histogram":
+        low, high = range_ or (0.0, 255.0)
+        one = one.crossJoin(F.broadcast(stats.cdf_array(stats.histogram(source, low, high, bins), bins)))
+    return one, {
+        "z-score": lambda v: intensity.zscore(v, m, s, multiplier),
+        "min-max": lambda v: intensity.minmax(v, lo, hi),
+        "min-max-gamma": lambda v: intensity.minmax_gamma(v, lo, hi, gamma),
+        "histogram": lambda v: intensity.equalized(v, lo, hi, F.col("cdf")),
+    }[method]
+
+
 def normalized(vox: DataFrame, method: str, gamma: float = 1.0, multiplier: float = 1.0, bins: int = 256, range_: tuple[float, float] | None = None, of: DataFrame | None = None) -> DataFrame:
     """The volume with v mapped; statistics come from ``of`` (the volume itself by default).
 
@@ -19,20 +36,17 @@ def normalized(vox: DataFrame, method: str, gamma: float = 1.0, multiplier: floa
     """
     if method not in METHODS:
         return vox
-    source = vox if of is None else of
-    one = stats.statistics(source).select(F.col("mean").alias("m_"), F.col("std").alias("s_"), F.col("min").alias("lo_"), F.col("max").alias("hi_"))
-    v, m, s, lo, hi = (F.col(c) for c in ("v", "m_", "s_", "lo_", "hi_"))
-    if method == "histogram":
-        low, high = range_ or (0.0, 255.0)
-        one = one.crossJoin(F.broadcast(stats.cdf_array(stats.histogram(source, low, high, bins), bins)))
-    new = {
-        "z-score": lambda: intensity.zscore(v, m, s, multiplier),
-        "min-max": lambda: intensity.minmax(v, lo, hi),
-        "min-max-gamma": lambda: intensity.minmax_gamma(v, lo, hi, gamma),
-        "histogram": lambda: intensity.equalized(v, lo, hi, F.col("cdf")),
-    }[method]()
+    one, new = _mapping(vox if of is None else of, method, gamma, multiplier, bins, range_)
     # one row of a few numbers (and the bins)
-    return vox.crossJoin(F.broadcast(one)).select(*[new.alias("v") if c == "v" else F.col(c) for c in vox.columns])
+    return vox.crossJoin(F.broadcast(one)).select(*[new(F.col("v")).alias("v") if c == "v" else F.col(c) for c in vox.columns])
+
+
+def normalized_slices(slices: DataFrame, method: str, gamma: float = 1.0, multiplier: float = 1.0, bins: int = 256, range_: tuple[float, float] | None = None) -> DataFrame:
+    """Slices with the values of ``data`` mapped in place: nothing is exploded but for the statistics."""
+    if method not in METHODS:
+        return slices
+    one, new = _mapping(slices.select(F.explode("data").alias("v")), method, gamma, multiplier, bins, range_)
+    return slices.crossJoin(F.broadcast(one)).select(*[F.transform("data", new).alias("data") if c == "data" else F.col(c) for c in slices.columns])
 
 
 def from_config(vox: DataFrame, registry: dict[str, dict], method: str, local: dict | None = None) -> DataFrame:

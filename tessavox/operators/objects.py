@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessavox.operators.grouped import grid, kind, worked
+
 _ALL = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) > (0, 0)]
 
 
@@ -87,27 +88,22 @@ def centre_dice(gt: np.ndarray, pr: np.ndarray) -> float:
     return float(2 * precision * recall / (precision + recall)) if precision + recall else 0.0
 
 
-def _grid(pdf: pd.DataFrame, column: str) -> np.ndarray:
-    out = np.zeros((int(pdf.y.max()) + 1, int(pdf.x.max()) + 1), bool)
-    out[pdf.y, pdf.x] = pdf[column] > 0
-    return out
-
-
-def object_metrics(rows: DataFrame, slice_col: str = "z", min_iou: float = 0.5, min_size: int = 0, connectivity: int = 2) -> DataFrame:
-    """slice, gt_count, pr_count, matched, obj_precision, obj_recall, obj_f1, cldice of each slice."""
+def object_metrics(rows: DataFrame, *slice_cols: str, min_iou: float = 0.5, min_size: int = 0, connectivity: int = 2) -> DataFrame:
+    """slice, gt_count, pr_count, matched, obj_precision, obj_recall, obj_f1, cldice of each slice (``z``, or several key columns)."""
+    keys = list(slice_cols or ("z",))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, p = _grid(pdf, "gt"), _grid(pdf, "pr")
+    def work(*args) -> list[tuple]:
+        key, (y, x, gt, pr) = args[: len(keys)], args[len(keys) :]
+        g, p = grid(y, x, gt > 0, "bool"), grid(y, x, pr > 0, "bool")
         lg, lp = (without_small(labels(m, connectivity), min_size, connectivity) for m in (g, p))
         ng, np_ = int(lg.max()), int(lp.max())
         hits = matched(lg, lp, min_iou) if ng and np_ else 0
         precision, recall = hits / np_ if ng and np_ else 0.0, hits / ng if ng and np_ else 0.0
         f1 = 2 * precision * recall / (precision + recall) if hits else 0.0
-        return pd.DataFrame([(pdf[slice_col].iloc[0], ng, np_, hits, precision, recall, f1, centre_dice(g, p))], columns=names)
+        return [(*key, ng, np_, hits, precision, recall, f1, centre_dice(g, p))]
 
-    names = [slice_col, "gt_count", "pr_count", "matched", "obj_precision", "obj_recall", "obj_f1", "cldice"]
-    kind = f"{slice_col} long, gt_count long, pr_count long, matched long, obj_precision double, obj_recall double, obj_f1 double, cldice double"
-    return rows.select(slice_col, "y", "x", "gt", "pr").groupBy(slice_col).applyInPandas(run, kind)
+    schema = ", ".join([f"{k} {kind(rows, k)}" for k in keys] + ["gt_count long", "pr_count long", "matched long", "obj_precision double", "obj_recall double", "obj_f1 double", "cldice double"])
+    return worked(rows, [F.col(k) for k in keys], ["y", "x", "gt", "pr"], work, schema)
 
 
 def components(mask: DataFrame) -> DataFrame:

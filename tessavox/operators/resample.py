@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessavox.operators.lineage import cut
+
 
 def sources(n_in: int, n_out: int) -> list[int]:
     """Nearest input place of each output place: centres are matched."""
@@ -61,12 +63,13 @@ def levels(shape: tuple[int, int, int], n: int, factor: int) -> list[tuple[int,
 
 
 def pyramid(vox: DataFrame, shape: tuple[int, int, int], n: int, factor: int = 2) -> DataFrame:
-    """level, z, y, x, v; level i is made from level i - 1."""
+    """level, z, y, x, v; level i is made from level i - 1, which is written before."""
     shapes = levels(shape, n, factor)
     now = vox.select("z", "y", "x", "v")
     out = now.select(F.lit(0).alias("level"), "*")
     for i in range(1, len(shapes)):
         now = nearest(now, shapes[i - 1], shapes[i])
+        now = cut(now) if i + 1 < len(shapes) else now
         out = out.unionByName(now.select(F.lit(i).alias("level"), "*"))
     return out
 

@@ -70,26 +70,35 @@ def shuffled(key: Column, seed: int = 0) -> list[Column]:
     return [F.pmod((key + seed) * 7919, F.lit(1_000_003)), key]
 
 
+def _ranked(items: DataFrame, key: str, seed: int, *groups: str) -> DataFrame:
+    """items with r_, the rank in shuffled order (of each group), and all_, how many there are.
+
+    The rank comes from counts of coarse buckets, so that no task orders all items: at most 245 for each group.
+    """
+    buckets = items.withColumn("o_", shuffled(F.col(key), seed)[0]).withColumn("b_", F.expr("o_ DIV 4096"))
+    sizes = buckets.groupBy(*groups, "b_").agg(F.count("*").alias("c_"))
+    below = Window.partitionBy(*groups).orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*groups, "b_", F.coalesce(F.sum("c_").over(below), F.lit(0)).alias("before_"), F.sum("c_").over(Window.partitionBy(*groups)).alias("all_"))
+    rank = F.row_number().over(Window.partitionBy(*groups, "b_").orderBy("o_", key)) + F.col("before_")
+    return buckets.join(F.broadcast(before), [*groups, "b_"]).withColumn("r_", rank).drop("o_", "b_", "before_")
+
+
 def sampled_patches(patches: DataFrame, ratio: float, key: str = "patch_id", seed: int = 0) -> DataFrame:
-    """All positive patches and int(n_positive * ratio) of the others, with a shuffled order. Patches, not voxels: a few columns."""
+    """All positive patches and int(n_positive * ratio) of the others, by a shuffled order."""
     n = patches.agg(F.count_if("positive").alias("n_"))
-    rank = F.row_number().over(Window.partitionBy("positive").orderBy(*shuffled(F.col(key), seed)))
-    kept = patches.withColumn("r_", rank).crossJoin(F.broadcast(n)).where(F.col("positive") | (F.col("r_") <= F.floor(F.col("n_") * ratio)))
-    return kept.drop("r_", "n_")
+    kept = _ranked(patches, key, seed, "positive").crossJoin(F.broadcast(n)).where(F.col("positive") | (F.col("r_") <= F.floor(F.col("n_") * ratio)))
+    return kept.select(*patches.columns)
 
 
 def split(items: DataFrame, val_ratio: float, key: str, seed: int = 0) -> DataFrame:
-    """The first int(n * ratio) in shuffled order become ``val``, the others ``train``.
+    """The first int(n * ratio) in shuffled order become ``val``, the others ``train``."""
+    ranked = _ranked(items, key, seed)
+    return ranked.withColumn("split", F.when(F.col("r_") <= F.floor(F.col("all_") * val_ratio), "val").otherwise("train")).drop("all_", "r_")
 
-    The order's rank comes from counts of coarse buckets, so that no task orders all items.
-    """
-    order = shuffled(F.col(key), seed)
-    buckets = items.withColumn("o_", order[0]).withColumn("b_", F.expr("o_ DIV 4096"))
-    sizes = buckets.groupBy("b_").agg(F.count("*").alias("c_"))
-    before = sizes.select("b_", F.coalesce(F.sum("c_").over(Window.orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"), F.sum("c_").over(Window.partitionBy()).alias("all_"))
-    rank = F.row_number().over(Window.partitionBy("b_").orderBy("o_", key)) + F.col("before_")
-    ranked = buckets.join(F.broadcast(before), "b_").withColumn("r_", rank)  # at most 245 buckets
-    return ranked.withColumn("split", F.when(F.col("r_") <= F.floor(F.col("all_") * val_ratio), "val").otherwise("train")).drop("o_", "b_", "before_", "all_", "r_")
+
+def squeezed(patches: DataFrame, depth: int) -> DataFrame:
+    """Patches of depth 1 without their z."""
+    return patches.drop("z") if depth == 1 else patches
 
 
 def overlapping_files(files: DataFrame, queries: DataFrame, block: int) -> DataFrame:

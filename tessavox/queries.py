@@ -256,51 +256,29 @@ _PADDED = {
 
 def _sql_pad(mode: str) -> str:
     at = _PADDED.get(mode, "{i}")
-    axes = ", ".join(f"p{c} AS (SELECT o AS o{c}, {at.format(i=f'o - {b}', n=n)} AS i{c} FROM range(0, {t}) t(o))" for c, n, b, t in (("z", 20, 6, 32), ("y", 8, 0, 12), ("x", 8, 0, 19)))
+    axes = ", ".join(f"p{c} AS (SELECT o AS o{c}, {at.format(i=f'o - {b}', n=n)} AS i{c} FROM range(0, CAST({t} AS BIGINT)) t(o))" for c, n, b, t in (("z", "(SELECT depth FROM dim)", 6, "(SELECT depth + 12 FROM dim)"), ("y", 8, 0, 12), ("x", 8, 0, 19)))
     join = "LEFT JOIN" if mode == "constant" else "JOIN"
-    return f"WITH {VOX}, {axes} SELECT oz AS z, oy AS y, ox AS x, round(coalesce(v, -1.0), 6) + 0.0 AS v FROM pz CROSS JOIN py CROSS JOIN px {join} (SELECT * FROM vox WHERE z < 20) b ON b.z = iz AND b.y = iy AND b.x = ix"
+    return f"WITH {VOX}, {axes} SELECT oz AS z, oy AS y, ox AS x, round(coalesce(v, -1.0), 6) + 0.0 AS v FROM pz CROSS JOIN py CROSS JOIN px {join} vox b ON b.z = iz AND b.y = iy AND b.x = ix"
 
 
 def _padded(mode: str) -> Query:
-    def run(spark, sf_dir):
-        part = tiling.box(volume(spark, sf_dir), (0, 20), (0, 8), (0, 8))
-        pads = (pad.widths(20, 32, True), pad.widths(8, 12, False), pad.widths(8, 19, False))
-        return _round(pad.padded(part, (20, 8, 8), pads, mode, -1.0), "v")
-
-    run.__name__ = f"pad_{mode}"
-    return run
-
-
-for _mode in pad.MODES:
-    query(_sql_pad(_mode))(_padded(_mode))
-
-
-@query(f"""WITH {VOX}, o AS (SELECT z, y, x FROM range(0, 20) a(z), range(0, 32) b(y), range(0, 32) c(x))
-SELECT o.z, o.y, o.x, round(coalesce(v, 0.25), 6) + 0.0 AS v FROM o LEFT JOIN vox ON vox.z = o.z AND vox.y = o.y - 12 AND vox.x = o.x - 12""")
-def pad_to_multiple(spark, sf_dir):
-    part = tiling.box(volume(spark, sf_dir), (0, 20), (0, 8), (0, 8))
-    return _round(pad.padded(part, (20, 8, 8), ((0, 0), pad.multiple_widths(8), pad.multiple_widths(8)), "constant", 0.25), "v")
-
-
-# the queries above have their SQL's fixed 20 slices; these pad the whole volume
-
-
-def _padded_whole(mode: str) -> Query:
     def run(spark, sf_dir):
         d = depth(spark, sf_dir)
         pads = (pad.widths(d, d + 12, True), pad.widths(8, 12, False), pad.widths(8, 19, False))
         return _round(pad.padded(volume(spark, sf_dir), (d, 8, 8), pads, mode, -1.0), "v")
 
-    run.__name__ = f"pad_{mode}_whole"
+    run.__name__ = f"pad_{mode}"
     return run
 
 
 for _mode in pad.MODES:
-    query()(_padded_whole(_mode))
+    query(_sql_pad(_mode))(_padded(_mode))
 
 
-@query()
-def pad_to_multiple_whole(spark, sf_dir):
+@query(f"""WITH {VOX}, m AS (SELECT (32 - depth % 32) % 32 AS more, ((32 - depth % 32) % 32) // 2 AS front, depth FROM dim),
+o AS (SELECT z, y, x FROM range(0, CAST((SELECT depth + more FROM m) AS BIGINT)) a(z), range(0, 32) b(y), range(0, 32) c(x))
+SELECT o.z, o.y, o.x, round(coalesce(v, 0.25), 6) + 0.0 AS v FROM o CROSS JOIN m LEFT JOIN vox ON vox.z = o.z - m.front AND vox.y = o.y - 12 AND vox.x = o.x - 12""")
+def pad_to_multiple(spark, sf_dir):
     d = depth(spark, sf_dir)
     return _round(pad.padded(volume(spark, sf_dir), (d, 8, 8), (pad.multiple_widths(d), pad.multiple_widths(8), pad.multiple_widths(8)), "constant", 0.25), "v")
 
@@ -322,31 +300,24 @@ def stitch_blend(spark, sf_dir):
 
 
 def _near(c: str, full: str, new: str) -> str:
-    return f"n{c} AS (SELECT o AS o{c}, CAST(least({full} - 1, floor((o + 0.5) * {full} / {new})) AS BIGINT) AS i{c} FROM range(0, {new}) t(o))"
+    return f"n{c} AS (SELECT o AS o{c}, CAST(least({full} - 1, floor((o + 0.5) * {full} / {new})) AS BIGINT) AS i{c} FROM range(0, CAST({new} AS BIGINT)) t(o))"
+
+
+_NEW = "(SELECT depth * 33 // 20 FROM dim)"
 
 
-@query(f"WITH {VOX}, {_near('z', '20', '33')}, {_near('y', '8', '5')}, {_near('x', '8', '11')} SELECT oz AS z, oy AS y, ox AS x, round(v, 6) + 0.0 AS v FROM nz, ny, nx, vox WHERE z = iz AND y = iy AND x = ix")
+@query(f"WITH {VOX}, {_near('z', '(SELECT depth FROM dim)', _NEW)}, {_near('y', '8', '5')}, {_near('x', '8', '11')} SELECT oz AS z, oy AS y, ox AS x, round(v, 6) + 0.0 AS v FROM nz, ny, nx, vox WHERE z = iz AND y = iy AND x = ix")
 def resize_nn(spark, sf_dir):
-    return _round(resample.nearest(tiling.box(volume(spark, sf_dir), (0, 20), (0, 8), (0, 8)), (20, 8, 8), (33, 5, 11)), "v")
+    d = depth(spark, sf_dir)
+    return _round(resample.nearest(volume(spark, sf_dir), (d, 8, 8), (d * 33 // 20, 5, 11)), "v")
 
 
-@query(f"""WITH {VOX}, b AS (SELECT * FROM vox WHERE z < 40),
+@query(f"""WITH {VOX},
 t AS (SELECT o, greatest(0.0, least(7.0, (o + 0.5) * (8.0 / 13) - 0.5)) AS p FROM range(0, 13) t(o)),
 w AS (SELECT o, i, greatest(0.0, 1 - abs(p - i)) AS w FROM t, range(0, 8) u(i) WHERE 1 - abs(p - i) > 0),
-s AS (SELECT z, o AS y, x, sum(v * w) AS v FROM b JOIN w ON y = i GROUP BY 1, 2, 3)
+s AS (SELECT z, o AS y, x, sum(v * w) AS v FROM vox JOIN w ON y = i GROUP BY 1, 2, 3)
 SELECT z, y, o AS x, round(sum(v * w), 6) + 0.0 AS v FROM s JOIN w ON x = i GROUP BY 1, 2, 3""")
 def resize_linear(spark, sf_dir):
-    return _round(resample.linear(tiling.box(volume(spark, sf_dir), (0, 40), (0, 8), (0, 8)), (40, 8, 8), (40, 13, 13)), "v")
-
-
-@query()
-def resize_nn_whole(spark, sf_dir):
-    d = depth(spark, sf_dir)
-    return _round(resample.nearest(volume(spark, sf_dir), (d, 8, 8), (d * 33 // 20, 5, 11)), "v")
-
-
-@query()
-def resize_linear_whole(spark, sf_dir):
     d = depth(spark, sf_dir)
     return _round(resample.linear(volume(spark, sf_dir), (d, 8, 8), (d, 13, 13)), "v")
 
@@ -405,10 +376,10 @@ def label_report(spark, sf_dir):
 
 @query(f"""WITH {PAIR}, s AS (SELECT z, (2 * sum(score * gt) + 1e-5) / (sum(score) + sum(gt) + 1e-5) AS dice,
   (2 * sum(CASE WHEN score > 0.5 AND gt = 1 THEN 1.0 ELSE 0 END) + 1e-5) / (sum(CASE WHEN score > 0.5 THEN 1.0 ELSE 0 END) + sum(gt) + 1e-5) AS hard_dice,
-  (sum(score * gt) + 1e-5) / (sum(score) + sum(gt) - sum(score * gt) + 1e-5) AS iou, avg(-(gt * ln(score) + (1 - gt) * ln(1 - score))) AS bce FROM tp GROUP BY z)
+  (sum(CASE WHEN score > 0.5 AND gt = 1 THEN 1.0 ELSE 0 END) + 1e-5) / (sum(CASE WHEN score > 0.5 OR gt = 1 THEN 1.0 ELSE 0 END) + 1e-5) AS iou, avg(-(gt * ln(score) + (1 - gt) * ln(1 - score))) AS bce FROM tp GROUP BY z)
 SELECT round(avg(dice), 6) AS dice, round(avg(hard_dice), 6) AS hard_dice, round(avg(iou), 6) AS iou, round(avg(bce), 6) AS bce FROM s""")
 def soft_scores(spark, sf_dir):
-    each = truth_and_prediction(spark, sf_dir).groupBy("z").agg(*[m.alias(n) for n, m in metrics.from_config(["dice", "hard_dice", "iou", "bce"]).items()])
+    each = truth_and_prediction(spark, sf_dir).groupBy("z").agg(metrics.soft_dice().alias("dice"), metrics.hard_dice().alias("hard_dice"), metrics.iou().alias("iou"), F.avg(losses.cross_entropy(F.col("score"), F.col("gt"))).alias("bce"))
     return each.agg(*[F.round(F.avg(n), 6).alias(n) for n in ("dice", "hard_dice", "iou", "bce")])
 
 
@@ -456,16 +427,58 @@ def valid_mean(spark, sf_dir):
     return _round(metrics.mean_of_valid(per, "h"), "value")
 
 
+def _reach(cells: str, near: str) -> str:
+    """Cells a of a mask and all cells b of their object."""
+    return f"reach(z, y, x, z2, y2, x2) AS (SELECT z, y, x, z, y, x FROM {cells} UNION SELECT r.z, r.y, r.x, c.z, c.y, c.x FROM reach r JOIN {cells} c ON {near} AND abs(c.y - r.y2) <= 1 AND abs(c.x - r.x2) <= 1)"
+
+
+def _count_sql(mask: str) -> str:
+    least = "SELECT z, y, x, min(y2 * 8 + x2) AS root FROM reach GROUP BY 1, 2, 3"
+    return f"SELECT z, count(DISTINCT root) AS n FROM ({least}) GROUP BY z".replace("reach", f"reach_{mask}")
+
+
+@query(f"""WITH RECURSIVE {PAIR}, g AS (SELECT z, y, x FROM tp WHERE gt = 1), p AS (SELECT z, y, x FROM tp WHERE pr = 1),
+{_reach('g', 'c.z = r.z2').replace('reach', 'reach_g')}, {_reach('p', 'c.z = r.z2').replace('reach', 'reach_p')}
+SELECT z, coalesce(a.n, 0) AS gt_count, coalesce(b.n, 0) AS pr_count FROM (SELECT DISTINCT z FROM tp) LEFT JOIN ({_count_sql('g')}) a USING (z) LEFT JOIN ({_count_sql('p')}) b USING (z)""")
+def object_counts(spark, sf_dir):
+    return objects.object_metrics(truth_and_prediction(spark, sf_dir)).select("z", "gt_count", "pr_count")
+
+
 @query()
 def object_scores(spark, sf_dir):
     return _round(objects.object_metrics(truth_and_prediction(spark, sf_dir)), "obj_precision", "obj_recall", "obj_f1", "cldice")
 
 
-@query()
+@query(f"""WITH RECURSIVE {VOX}, c AS (SELECT z, y, x FROM vox WHERE v > 0.2), {_reach('c', 'abs(c.z - r.z2) <= 1 AND c.z BETWEEN r.z2 - 1 AND r.z2 + 1')},
+k AS (SELECT z, y, x, min((z2 * 1048576 + y2) * 1048576 + x2) AS component FROM reach GROUP BY 1, 2, 3)
+SELECT component, count(*) AS n, min(z) AS z_min, max(z) AS z_max FROM k GROUP BY component""")
 def volume_components(spark, sf_dir):
     return objects.components(volume(spark, sf_dir).where("v > 0.2")).groupBy("component").agg(F.count("*").alias("n"), F.min("z").alias("z_min"), F.max("z").alias("z_max"))
 
 
+_SECOND = "SELECT z, y, x, v - 0.05 AS v FROM vox WHERE (z % 5 <> 0 OR x < 7) AND z % 7 <> 3"
+
+
+@query(f"""WITH {VOX}, p AS ({_SECOND}), s AS (SELECT a.z FROM (SELECT z, max(y) AS h, max(x) AS w FROM vox GROUP BY z) a JOIN (SELECT z, max(y) AS h, max(x) AS w FROM p GROUP BY z) b USING (z, h, w)),
+j AS (SELECT z, CAST(vox.v > 0 AS INT) AS gt, CAST(p.v > 0 AS INT) AS pr FROM vox JOIN p USING (z, y, x) WHERE z IN (SELECT z FROM s)), c AS (SELECT z, {_CM} FROM j GROUP BY z)
+SELECT z, tp, fp, fn, tn, {_SCORES}, round({_MCC}, 6) + 0.0 AS mcc FROM c""")
+def coordinate_join(spark, sf_dir):
+    """Scores of a second volume against the first; slices of another width, or missing ones, don't count."""
+    first = volume(spark, sf_dir)
+    second = first.where("(z % 5 != 0 OR x < 7) AND z % 7 != 3").withColumn("v", F.col("v") - 0.05)
+    return _round(metrics.scores(metrics.confusion(metrics.compared(first, second), "z")), *_NAMES)
+
+
+@query(f"""WITH {PAIR.replace("CAST(score > 0.58 AS INT) AS pr", "CAST(score > 0.5 AS INT) AS pr")}, {_HD}, {_AUC.format(g='z')}, m AS (SELECT z, (2 * sum(score * gt) + 1e-5) / (sum(score) + sum(gt) + 1e-5) AS dice_soft,
+  (2 * count(*) FILTER (pr = 1 AND gt = 1) + 0.1) / (count(*) FILTER (pr = 1) + sum(gt) + 0.1) AS dice_hard, (count(*) FILTER (pr = 1 AND gt = 1) + 1e-5) / (count(*) FILTER (pr = 1 OR gt = 1) + 1e-5) AS iou,
+  avg(-(gt * ln(score) + (1 - gt) * ln(1 - score))) AS bce FROM tp GROUP BY z), k AS (SELECT z, {_MCC} AS mcc FROM (SELECT z, {_CM} FROM tp GROUP BY z)),
+a AS (SELECT avg(dice_soft) AS dice_soft, avg(dice_hard) AS dice_hard, avg(iou) AS iou, avg(bce) AS bce, avg(mcc) AS mcc, coalesce(avg(hausdorff), 0) AS hausdorff, avg(pr_auc) AS pr_auc FROM m JOIN k USING (z) LEFT JOIN hd USING (z) LEFT JOIN auc USING (z))
+SELECT metric, round(value, 6) + 0.0 AS value FROM a UNPIVOT (value FOR metric IN (dice_soft, dice_hard, iou, bce, mcc, hausdorff, pr_auc)) UNION ALL SELECT 'my_dice', round(dice_soft, 6) + 0.0 FROM a""")
+def metric_registry(spark, sf_dir):
+    names = ["dice_soft", "Dice_Hard", "iou", "bce", "mcc", "hausdorff", "pr_auc", "my_dice"]
+    return _round(metrics.from_config(truth_and_prediction(spark, sf_dir), names, {"dice_hard": {"smooth": 0.1}, "hausdorff": {"hd_percentile": 95.0}}), "value")
+
+
 _MODEL = "tq AS (SELECT *, z % 5 AS image, z % 3 AS model FROM tp)"
 _DETAIL = f"""{PAIR}, {_HD}, {_AUC.format(g='z')}, ms AS (SELECT z, {_MCC} AS mcc FROM (SELECT z, {_CM} FROM tp GROUP BY z)),
 k AS (SELECT ms.z, ms.z % 5 AS image, ms.z % 3 AS model, mcc, hausdorff, pr_auc FROM ms LEFT JOIN hd USING (z) LEFT JOIN auc USING (z)),
@@ -482,17 +495,25 @@ def _details(spark, sf_dir):
 _ALL = ("accuracy", "precision", "recall", "f1", "iou", "dice", "mcc", "hausdorff", "pr_auc")
 
 
-@query(f"WITH {_DETAIL} SELECT image, model, tp, fp, fn, tn, files_evaluated, {', '.join(f'round({n}, 6) + 0.0 AS {n}' for n in _ALL)} FROM dt")
+@query(f"WITH {_DETAIL} SELECT image, model, tp + fp + fn + tn AS pixels_total, tp, fp, fn, tn, files_evaluated, {', '.join(f'round({n}, 6) + 0.0 AS {n}' for n in _ALL)} FROM dt")
 def report_detailed(spark, sf_dir):
-    return _round(_details(spark, sf_dir), *_ALL)
+    """The columns that SQL can express."""
+    return _round(_details(spark, sf_dir), *_ALL).drop("cldice", "obj_f1", "gt_count", "pr_count")
 
 
 @query(f"WITH {_DETAIL} SELECT model, count(*) AS n, {', '.join(f'round(avg({n}), 6) + 0.0 AS {n}_mean, round(stddev_pop({n}), 6) + 0.0 AS {n}_std' for n in _ALL)} FROM dt GROUP BY model")
 def report_summary(spark, sf_dir):
-    out = report.summary(_details(spark, sf_dir))
+    out = report.summary(_details(spark, sf_dir), names=_ALL)
     return _round(out, *[f"{n}_{s}" for n in _ALL for s in ("mean", "std")])
 
 
+@query()
+def report_full(spark, sf_dir):
+    """All columns of the detailed report."""
+    out = _details(spark, sf_dir).select("image", "model", *report.DETAILED_COLUMNS)
+    return _round(out, "accuracy", "precision", "recall", "f1", "mcc", "hausdorff", "cldice", "obj_f1", "pr_auc")
+
+
 # --- histories
 
 _HIST = "e AS (SELECT CAST(CAST(ts AS DATE) - DATE '1970-01-01' AS BIGINT) AS epoch, event_type AS metric, value, user_id FROM events), hs AS (SELECT epoch, metric, sum(value) / count(value) AS value FROM e GROUP BY 1, 2)"
@@ -609,93 +630,109 @@ def matched_files(spark, sf_dir):
 _CH = "(((patch + 3 + {s} * 101) * 7919) % 10007) / 10007.0"
 
 
+def _legendre(t: str) -> list[str]:
+    return ["1.0", f"({t})", f"((3 * ({t}) * ({t}) - 1) / 2)", f"((5 * ({t}) * ({t}) * ({t}) - 3 * ({t})) / 2)"]
+
+
+_FLIPPED = f"(CASE WHEN {_CH.format(s=0)} < 0.5 THEN 7 - y ELSE y END)"
+_FIELD = " + ".join(f"0.1 * {_CH.format(s=8 + n)} * {_legendre(f'{_FLIPPED} * 2.0 / 7 - 1')[i]} * {_legendre('x * 2.0 / 7 - 1')[j]}" for n, (i, j) in enumerate((i, j) for i in range(4) for j in range(i + 1)))
+
+
 @query(f"""WITH {VOX}, p AS (SELECT z AS patch, y, x, v AS img, v * 5 AS msk FROM vox), m AS (SELECT patch, avg(img) AS mu FROM p GROUP BY patch)
-SELECT patch, CASE WHEN {_CH.format(s=0)} < 0.5 THEN 7 - y ELSE y END AS y, x, round(((img - mu) * CASE WHEN {_CH.format(s=1)} < 0.3 THEN 0.5 + {_CH.format(s=2)} ELSE 1.0 END + mu
+SELECT patch, {_FLIPPED} AS y, x, round((((img - mu) * CASE WHEN {_CH.format(s=1)} < 0.3 THEN 0.5 + {_CH.format(s=2)} ELSE 1.0 END + mu)
+  * CASE WHEN {_CH.format(s=7)} < 0.2 THEN exp({_FIELD}) ELSE 1.0 END
   + CASE WHEN {_CH.format(s=3)} < 0.3 THEN 0.4 * {_CH.format(s=4)} - 0.2 ELSE 0.0 END) * CASE WHEN {_CH.format(s=5)} < 0.3 THEN 0.8 + 0.4 * {_CH.format(s=6)} ELSE 1.0 END, 6) + 0.0 AS img, CAST(msk > 0.5 AS INT) AS msk FROM p JOIN m USING (patch)""")
 def augmented_patches(spark, sf_dir):
     patches = volume(spark, sf_dir).select(F.col("z").alias("patch"), "y", "x", F.col("v").alias("img"), (F.col("v") * 5).alias("msk"))
     return _round(augment.augmented(patches, "patch", 8, 3), "img")
 
 
+def _whole_slices(spark, sf_dir):
+    """The table's rows as slices, without a voxel exploded."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("z"), F.col("embedding").cast("array<double>").alias("data"))
+    return rows.select("z", *[F.lit(n).cast("long").alias(c) for c, n in (("y0", 0), ("x0", 0), ("height", 8), ("width", 8))], "data")
+
+
 @query(f"WITH {_ST} SELECT z, y, x, CAST(CASE WHEN (v - m) / (s + 1e-8) * 2 - 0.5 > -ln(1 / 0.6 - 1) THEN 255 ELSE 0 END AS INT) AS v FROM vox, st")
 def segmentation(spark, sf_dir):
-    return predict.segmented(volume(spark, sf_dir), (depth(spark, sf_dir), 8, 8), SIZE, OVERLAP, predict.linear(2.0, -0.5), probability=0.6)
+    out = predict.segmented_slices(_whole_slices(spark, sf_dir), (depth(spark, sf_dir), 8, 8), SIZE, OVERLAP, predict.linear(2.0, -0.5), probability=0.6)
+    return predict.to_voxels(out).withColumn("v", F.col("v").cast("int"))
 
 
-# --- sources and sinks: written, read back, compared with what went in
+def _tilted(batch):
+    """A model whose logits depend on the place in the patch, so that overlaps of patches and of chunks show."""
+    import numpy as np
 
-_PART = f"WITH {VOX} SELECT z, y, x, v FROM vox WHERE z < 24"
+    d, h, w = (np.arange(n) for n in batch.shape[1:])
+    return batch + 0.05 * d[:, None, None] + 0.1 * h[:, None] - 0.2 * w
 
 
-def _part(spark, sf_dir):
-    return tiling.box(volume(spark, sf_dir), (0, 24), (0, 8), (0, 8))
+_CHUNKS = f"""{_ST}, {_TILES}, ex AS (SELECT az.s AS z0, z, y, x, (v - m) / (s + 1e-8) + 0.05 * (z - az.s) + 0.1 * (y - ay.s) - 0.2 * (x - ax.s) AS v
+  FROM vox CROSS JOIN (SELECT m, st.s AS s FROM st) n JOIN az ON z >= az.s AND z < az.s + 32 JOIN ay ON y >= ay.s AND y < ay.s + 5 JOIN ax ON x >= ax.s AND x < ax.s + 4),
+ch AS (SELECT z0, z, y, x, avg(v) AS v FROM ex GROUP BY 1, 2, 3, 4), bl AS (SELECT z, y, x, list_reduce(list(v ORDER BY z0), lambda p, q: (p + q) / 2) AS v FROM ch GROUP BY 1, 2, 3)"""
 
 
-def _folder(spark, tag: str) -> str:
-    return lineage.shared_folder(spark, tag)
+@query(f"WITH {_CHUNKS.replace('(v - m) / (s + 1e-8)', '(v - m) / (n.s + 1e-8)')} SELECT z, y, x, CAST(CASE WHEN v > 0.9 THEN 255 ELSE 0 END AS INT) AS v FROM bl")
+def chunked_segmentation(spark, sf_dir):
+    """Chunks along z that overlap, means over the patches of each, chunks blended in turn."""
+    import math
 
-
-@query(_PART)
-def tiff_round_trip(spark, sf_dir):
-    to = _folder(spark, "tiff")
-    volumes.write_slices(_part(spark, sf_dir), to).count()
-    return volumes.read_volume(spark, to)
+    out = predict.segmented_slices(_whole_slices(spark, sf_dir), (depth(spark, sf_dir), 8, 8), SIZE, OVERLAP, _tilted, probability=1 / (1 + math.exp(-0.9)), band=5)
+    return predict.to_voxels(out).withColumn("v", F.col("v").cast("int"))
 
 
-@query(_PART)
-def nifti_round_trip(spark, sf_dir):
-    to = _folder(spark, "nifti")
-    volumes.write_chunks(_part(spark, sf_dir), to, 24, 10, suffix=".nii.gz").count()
-    return volumes.read_volume(spark, to)
-
-
-@query(_PART)
-def zarr_round_trip(spark, sf_dir):
-    to = _folder(spark, "store") + ".zarr"
-    volumes.write_zarr(_part(spark, sf_dir), to, (24, 8, 8), (10, 5, 8)).count()
-    return volumes.read_volume(spark, to)
-
-
-@query(f"WITH {VOX} SELECT z, y, x, v FROM vox WHERE z >= 70 AND z < 130")
-def block_round_trip(spark, sf_dir):
-    to = _folder(spark, "blocks")
-    volumes.write_blocks(volume(spark, sf_dir), to)
-    return volumes.read_blocks(spark, to, (70, 130))
+# --- sources and sinks: written, read back, compared with what went in
 
+_WHOLE = f"WITH {VOX} SELECT z, y, x, v FROM vox"
 
-# the queries above have their SQL's fixed slices; these write and read back the whole volume
 
-_WHOLE = f"WITH {VOX} SELECT z, y, x, v FROM vox"
+def _folder(spark, tag: str) -> str:
+    return lineage.shared_folder(spark, tag)
 
 
 @query(_WHOLE)
-def tiff_round_trip_whole(spark, sf_dir):
+def tiff_round_trip(spark, sf_dir):
     to = _folder(spark, "tiff")
     volumes.write_slices(volume(spark, sf_dir), to).count()
     return volumes.read_volume(spark, to)
 
 
 @query(_WHOLE)
-def nifti_round_trip_whole(spark, sf_dir):
+def nifti_round_trip(spark, sf_dir):
     to = _folder(spark, "nifti")
     volumes.write_chunks(volume(spark, sf_dir), to, depth(spark, sf_dir), 10, suffix=".nii.gz").count()
     return volumes.read_volume(spark, to)
 
 
 @query(_WHOLE)
-def zarr_round_trip_whole(spark, sf_dir):
+def zarr_round_trip(spark, sf_dir):
     to = _folder(spark, "store") + ".zarr"
     volumes.write_zarr(volume(spark, sf_dir), to, (depth(spark, sf_dir), 8, 8), (10, 5, 8)).count()
     return volumes.read_volume(spark, to)
 
 
 @query(_WHOLE)
-def block_round_trip_whole(spark, sf_dir):
+def single_file_round_trip(spark, sf_dir):
+    to = _folder(spark, "single")
+    volumes.write_single(volume(spark, sf_dir), to, (depth(spark, sf_dir), 8, 8), suffix=".nii.gz").count()
+    return volumes.read_volume(spark, to)
+
+
+@query(_WHOLE)
+def block_round_trip(spark, sf_dir):
     to = _folder(spark, "blocks")
     volumes.write_blocks(volume(spark, sf_dir), to)
     return volumes.read_blocks(spark, to)
 
 
+@query(f"WITH {VOX} SELECT z, y, x, v FROM vox WHERE z >= 70 AND z < 130")
+def region_read(spark, sf_dir):
+    """A range of z read from files of the whole volume: only the files that it touches are decoded."""
+    to = _folder(spark, "region")
+    volumes.write_chunks(volume(spark, sf_dir), to, depth(spark, sf_dir), 10).count()
+    return volumes.read_volume(spark, to, z=(70, 130))
+
+
 @query("SELECT unnest(['a', 'b', 'c']) AS source, 'out' AS target")
 def paired_roots(spark, sf_dir):
     return spark.createDataFrame(convert.pairs(["a", "b", "c"], ["out"]), "source string, target string")

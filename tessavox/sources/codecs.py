@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import gzip
+import io
 import json
 import struct
 import zlib
+from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
+import pyarrow as pa
 
 #: Sizes of TIFF field types; data types of NIfTI by their numbers.
 TIFF_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
@@ -22,28 +26,83 @@ def as_volume(a: np.ndarray) -> np.ndarray:
 # --- TIFF
 
 
+def _tiff_page(at: int, shape: tuple[int, int], kind: np.dtype, data: bytes, last: bool) -> bytes:
+    """A page's directory and strip for place ``at`` of the file."""
+    code = {"u": 1, "i": 2, "f": 3}[kind.kind]
+    tags = [(256, 4, shape[1]), (257, 4, shape[0]), (258, 3, 8 * kind.itemsize), (259, 3, 1), (262, 3, 1), (273, 4, 0), (277, 3, 1), (278, 4, shape[0]), (279, 4, len(data)), (339, 3, code)]
+    strip = at + 2 + 12 * len(tags) + 4
+    out = bytearray(struct.pack("<H", len(tags)))
+    for tag, t, v in tags:
+        out += struct.pack("<HHI", tag, t, 1) + struct.pack("<I" if t == 4 else "<HH", *([strip if tag == 273 else v] if t == 4 else [v, 0]))
+    out += struct.pack("<I", 0 if last else strip + len(data) + (len(data) & 1)) + data + b"\0" * (len(data) & 1)
+    return bytes(out)
+
+
 def write_tiff(a: np.ndarray) -> bytes:
     """All slices as pages, uncompressed, one strip each, little-endian."""
     a = as_volume(np.asarray(a))
-    kind = {"u": 1, "i": 2, "f": 3}[a.dtype.kind]
-    a = a.astype(a.dtype.newbyteorder("<"))
-    out = bytearray(struct.pack("<2sHI", b"II", 42, 8))
-    for i, page in enumerate(a):
-        data = page.tobytes()
-        tags = [(256, 4, page.shape[1]), (257, 4, page.shape[0]), (258, 3, 8 * a.dtype.itemsize), (259, 3, 1), (262, 3, 1), (273, 4, 0), (277, 3, 1), (278, 4, page.shape[0]), (279, 4, len(data)), (339, 3, kind)]
-        size = 2 + 12 * len(tags) + 4
-        at = len(out) + size
-        follow = at + len(data) + (len(data) & 1) if i + 1 < len(a) else 0
-        out += struct.pack("<H", len(tags))
-        for tag, t, v in tags:
-            out += struct.pack("<HHI", tag, t, 1) + struct.pack("<I" if t == 4 else "<HH", *([at if tag == 273 else v] if t == 4 else [v, 0]))
-        out += struct.pack("<I", follow) + data + b"\0" * (len(data) & 1)
+    out = io.BytesIO()
+    sink = Pages(out, a.shape, a.dtype.name, ".tif")
+    for page in a:
+        sink.add(page.astype(a.dtype.newbyteorder("<")).tobytes())
+    sink.close()
+    return out.getvalue()
+
+
+class Pages:
+    """A TIFF or NIfTI file of a known shape, written slice by slice (bytes, little-endian). A TIFF file ends at 4 GB."""
+
+    def __init__(self, to: BinaryIO, shape: tuple[int, int, int], dtype: str, suffix: str):
+        if suffix not in (".tif", ".tiff", ".nii", ".nii.gz"):
+            raise ValueError(f"no writer of single files for {suffix!r}")
+        self.shape, self.kind, self.tiff, self.done = shape, np.dtype(dtype), suffix.startswith(".tif"), 0
+        self.to = gzip.GzipFile(fileobj=to, mode="wb", compresslevel=1, mtime=0) if suffix.endswith(".gz") else to
+        self.at = 8
+        if self.tiff and shape[0] * (shape[1] * shape[2] * self.kind.itemsize + 200) >= 1 << 32:
+            raise ValueError("a TIFF file can't hold this volume; write slices or NIfTI")
+        self.to.write(struct.pack("<2sHI", b"II", 42, 8) if self.tiff else _nifti_first(shape, self.kind))
+
+    def add(self, data: bytes) -> None:
+        self.done += 1
+        page = _tiff_page(self.at, self.shape[1:], self.kind, data, self.done == self.shape[0]) if self.tiff else data
+        self.at += len(page)
+        self.to.write(page)
+
+    def close(self) -> None:
+        if isinstance(self.to, gzip.GzipFile):
+            self.to.close()
+
+
+def _lzw(data: bytes) -> bytes:
+    """Codes of 9 to 12 bits, high bits first; 256 clears the table, 257 ends. A width ends one code early, as the format says."""
+    out, table, width, before = bytearray(), [bytes([i]) for i in range(256)] + [b"", b""], 9, None
+    held = n = 0
+    for byte in data:
+        held, n = held << 8 | byte, n + 8
+        if n < width:
+            continue
+        n -= width
+        code, held = held >> n, held & ((1 << n) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            del table[258:]
+            width, before = 9, None
+            continue
+        entry = table[code] if code < len(table) else before + before[:1]
+        out += entry
+        if before is not None:
+            table.append(before + entry[:1])
+        before = entry
+        width = min(12, max(9, (len(table) + 1).bit_length()))
     return bytes(out)
 
 
 def _unpacked(data: bytes, compression: int) -> bytes:
     if compression == 1:
         return data
+    if compression == 5:
+        return _lzw(data)
     if compression in (8, 32946):
         return zlib.decompress(data)
     if compression == 32773:  # runs of bytes
@@ -60,13 +119,13 @@ def _unpacked(data: bytes, compression: int) -> bytes:
     raise ValueError(f"TIFF compression {compression} isn't supported")
 
 
-def read_tiff(data: bytes) -> np.ndarray:
-    """Pages of the largest height and width, in order; strips, one sample for each pixel."""
+def _tiff_pages(data: bytes) -> Iterator[tuple[dict[int, list[int]], np.dtype]]:
+    """Tags and data type of each page."""
     e = {b"II": "<", b"MM": ">"}[data[:2]]
-    at, pages = struct.unpack(e + "I", data[4:8])[0], []
+    at = struct.unpack(e + "I", data[4:8])[0]
     while at:
         n = struct.unpack(e + "H", data[at : at + 2])[0]
-        tags = {}
+        tags: dict[int, list[int]] = {}
         for i in range(n):
             tag, t, count = struct.unpack(e + "HHI", data[at + 2 + 12 * i : at + 10 + 12 * i])
             size = TIFF_SIZES.get(t, 1) * count
@@ -78,11 +137,18 @@ def read_tiff(data: bytes) -> np.ndarray:
                 tags[tag] = np.frombuffer(field[:size], e + {1: "u1", 3: "u2", 4: "u4"}[t]).tolist()
         if tags.get(277, [1])[0] != 1:
             raise ValueError("TIFF pages with several samples aren't supported")
+        yield tags, np.dtype(e + {1: "u", 2: "i", 3: "f"}[tags.get(339, [1])[0]] + str(tags.get(258, [8])[0] // 8))
+        at = struct.unpack(e + "I", data[at + 2 + 12 * n : at + 6 + 12 * n])[0]
+
+
+def read_tiff(data: bytes) -> np.ndarray:
+    """Pages of the largest height and width, in order; strips, one sample for each pixel."""
+    pages = []
+    for tags, kind in _tiff_pages(data):
         width, height = tags[256][0], tags[257][0]
-        kind = e + {1: "u", 2: "i", 3: "f"}[tags.get(339, [1])[0]] + str(tags.get(258, [8])[0] // 8)
         raw = b"".join(_unpacked(data[o : o + s], tags.get(259, [1])[0]) for o, s in zip(tags[273], tags[279], strict=True))
-        pages.append(np.frombuffer(raw, kind, width * height).reshape(height, width))
-        at = struct.unpack(e + "I", data[at + 2 + 12 * n : at + 6 + 12 * n])[0]
+        page = np.frombuffer(raw, kind, width * height).reshape(height, width)
+        pages.append(np.cumsum(page, axis=1, dtype=kind) if tags.get(317, [1])[0] == 2 else page)  # differences along a row
     if not pages:
         raise ValueError("a TIFF file without pages")
     best = max(pages, key=lambda p: p.size).shape
@@ -92,23 +158,27 @@ def read_tiff(data: bytes) -> np.ndarray:
 # --- NIfTI
 
 
-def write_nifti(a: np.ndarray, packed: bool = False) -> bytes:
-    """A single file (n+1) whose axes are x, y, z."""
-    a = as_volume(np.asarray(a))
-    code = next(k for k, v in NIFTI_TYPES.items() if v == a.dtype.str[1:])
+def _nifti_first(shape: tuple[int, int, int], kind: np.dtype) -> bytes:
+    """What stands before the values: the header of a single file (n+1) whose axes are x, y, z."""
+    code = next(k for k, v in NIFTI_TYPES.items() if v == kind.str[1:])
     head = bytearray(348)
     struct.pack_into("<i", head, 0, 348)
-    struct.pack_into("<8h", head, 40, 3, a.shape[2], a.shape[1], a.shape[0], 1, 1, 1, 1)
-    struct.pack_into("<2h", head, 70, code, 8 * a.dtype.itemsize)
+    struct.pack_into("<8h", head, 40, 3, shape[2], shape[1], shape[0], 1, 1, 1, 1)
+    struct.pack_into("<2h", head, 70, code, 8 * kind.itemsize)
     struct.pack_into("<8f", head, 76, 1, 1, 1, 1, 1, 1, 1, 1)
     struct.pack_into("<3f", head, 108, 352, 1, 0)
     head[344:348] = b"n+1\0"
-    out = bytes(head) + b"\0" * 4 + a.astype(a.dtype.newbyteorder("<")).tobytes()
+    return bytes(head) + b"\0" * 4
+
+
+def write_nifti(a: np.ndarray, packed: bool = False) -> bytes:
+    a = as_volume(np.asarray(a))
+    out = _nifti_first(a.shape, a.dtype) + a.astype(a.dtype.newbyteorder("<")).tobytes()
     return gzip.compress(out, 1) if packed else out
 
 
-def read_nifti(data: bytes) -> np.ndarray:
-    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+def _nifti_head(data: bytes) -> tuple[str, str, tuple[int, int, int], int, float, float]:
+    """Byte order, type, (z, y, x), offset, slope and shift from the first 352 bytes."""
     e = "<" if struct.unpack("<i", data[:4])[0] == 348 else ">"
     dim = struct.unpack(e + "8h", data[40:56])
     if dim[0] > 3 and any(d > 1 for d in dim[4 : dim[0] + 1]):
@@ -116,7 +186,13 @@ def read_nifti(data: bytes) -> np.ndarray:
     kind = NIFTI_TYPES[struct.unpack(e + "h", data[70:72])[0]]
     offset, slope, shift = struct.unpack(e + "3f", data[108:120])
     x, y, z = (max(1, d) for d in (*dim[1 : dim[0] + 1], 1, 1, 1)[:3])
-    a = np.frombuffer(data, e + kind, x * y * z, int(offset)).reshape(z, y, x)
+    return e, kind, (z, y, x), int(offset), slope, shift
+
+
+def read_nifti(data: bytes) -> np.ndarray:
+    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    e, kind, (z, y, x), offset, slope, shift = _nifti_head(data)
+    a = np.frombuffer(data, e + kind, x * y * z, offset).reshape(z, y, x)
     return a if slope in (0, 1) and shift == 0 else a * slope + shift
 
 
@@ -176,25 +252,85 @@ def read_png(data: bytes) -> np.ndarray:
 # --- Zarr, version 2
 
 
-def zarr_metadata(shape: tuple[int, ...], chunks: tuple[int, ...], dtype: str, packed: bool = False) -> str:
-    compressor = {"id": "zlib", "level": 1} if packed else None
-    return json.dumps({"zarr_format": 2, "shape": list(shape), "chunks": list(chunks), "dtype": np.dtype(dtype).str, "compressor": compressor, "fill_value": 0, "order": "C", "filters": None})
-
-
-def write_chunk(a: np.ndarray, chunks: tuple[int, ...], packed: bool = False) -> bytes:
+#: Compressors of stores as their metadata names them, and the numbers of the codecs inside Blosc frames.
+COMPRESSORS = {"none": None, "zlib": {"id": "zlib", "level": 1}, "blosc": {"id": "blosc", "cname": "lz4", "clevel": 5, "shuffle": 1, "blocksize": 0}}
+BLOSC_CODECS = {1: "lz4_raw", 2: "snappy", 3: "zlib", 4: "zstd"}
+
+
+def zarr_metadata(shape: tuple[int, ...], chunks: tuple[int, ...], dtype: str, compressor: str = "none") -> str:
+    return json.dumps({"zarr_format": 2, "shape": list(shape), "chunks": list(chunks), "dtype": np.dtype(dtype).str, "compressor": COMPRESSORS[compressor], "fill_value": 0, "order": "C", "filters": None})
+
+
+def blosc_packed(data: bytes, item: int) -> bytes:
+    """A Blosc frame of one block: bytes of equal place in their items side by side, then LZ4."""
+    n = len(data) // item * item
+    shuffled = np.frombuffer(data, np.uint8, n).reshape(-1, item).T.tobytes() + data[n:]
+    body = pa.Codec("lz4_raw").compress(shuffled, asbytes=True)
+    if len(body) >= len(data):  # flag 2: stored as it is
+        return struct.pack("<BBBBIII", 2, 1, 2, item, len(data), len(data), len(data) + 16) + data
+    return struct.pack("<BBBBIII", 2, 1, 1 << 5 | 16 | 1, item, len(data), len(data), len(body) + 24) + struct.pack("<Ii", 20, len(body)) + body
+
+
+def blosc_unpacked(data: bytes) -> bytes:
+    """The bytes of a Blosc frame (version 1 format: byte shuffle or none; LZ4, Snappy, zlib or Zstandard)."""
+    _, _, flags, item, size, block, _ = struct.unpack("<BBBBIII", data[:16])
+    if flags & 2:
+        return data[16 : 16 + size]
+    codec = BLOSC_CODECS.get(flags >> 5)
+    if codec is None or flags & 4:
+        raise ValueError("Blosc frames by BloscLZ or with shuffled bits aren't supported")
+    count, out = -(-size // block) if size else 0, []
+    for i, at in enumerate(struct.unpack(f"<{count}I", data[16 : 16 + 4 * count])):
+        n = min(block, size - i * block)
+        # blocks but a shorter last one are split in a stream for each byte of an item, unless flag 16 says no
+        parts = item if not flags & 16 and item <= 16 and block // item >= 128 and n == block else 1
+        streams = []
+        for _ in range(parts):
+            (packed,) = struct.unpack("<i", data[at : at + 4])
+            raw = data[at + 4 : at + 4 + packed]
+            whole = n // parts
+            streams.append(raw if packed == whole else zlib.decompress(raw) if codec == "zlib" else pa.Codec(codec).decompress(raw, whole, asbytes=True))
+            at += 4 + packed
+        plain = b"".join(streams)
+        if flags & 1 and item > 1:
+            m = n // item * item
+            plain = np.frombuffer(plain, np.uint8, m).reshape(item, -1).T.tobytes() + plain[m:]
+        out.append(plain)
+    return b"".join(out)
+
+
+def write_chunk(a: np.ndarray, chunks: tuple[int, ...], compressor: str = "none") -> bytes:
     """A chunk is always full; what lies beyond the array is zero."""
     full = np.zeros(chunks, a.dtype)
     full[tuple(slice(0, n) for n in a.shape)] = a
-    return zlib.compress(full.tobytes(), 1) if packed else full.tobytes()
+    data = full.tobytes()
+    return zlib.compress(data, 1) if compressor == "zlib" else blosc_packed(data, a.dtype.itemsize) if compressor == "blosc" else data
 
 
 def read_chunk(data: bytes, meta: dict) -> np.ndarray:
-    how = meta["compressor"]
-    if how:
-        if how["id"] not in ("zlib", "gzip"):
-            raise ValueError(f"Zarr compressor {how['id']!r} isn't supported")
-        data = (zlib if how["id"] == "zlib" else gzip).decompress(data)
-    return np.frombuffer(data, meta["dtype"]).reshape(meta["chunks"], order=meta.get("order", "C"))
+    how = (meta["compressor"] or {"id": "none"})["id"]
+    unpack = {"none": bytes, "zlib": zlib.decompress, "gzip": gzip.decompress, "blosc": blosc_unpacked, "zstd": lambda d: pa.input_stream(pa.py_buffer(d), compression="zstd").read()}
+    if how not in unpack:
+        raise ValueError(f"Zarr compressor {how!r} isn't supported")
+    return np.frombuffer(unpack[how](data), meta["dtype"]).reshape(meta["chunks"], order=meta.get("order", "C"))
+
+
+def header(data: bytes, suffix: str) -> tuple[int, int, int, str]:
+    """Depth, height, width and type name of a file, pixels left alone."""
+    if suffix in (".tif", ".tiff"):
+        pages = [(t[257][0], t[256][0], k.name) for t, k in _tiff_pages(data)]
+        if not pages:
+            raise ValueError("a TIFF file without pages")
+        height, width, kind = max(pages, key=lambda p: p[0] * p[1])
+        return sum(p[:2] == (height, width) for p in pages), height, width, kind
+    if suffix in (".nii", ".nii.gz", ".gz"):
+        first = zlib.decompressobj(31).decompress(data, 352) if data[:2] == b"\x1f\x8b" else data[:352]
+        _, kind, shape, _, slope, shift = _nifti_head(first)
+        return (*shape, np.dtype(kind).name if slope in (0, 1) and shift == 0 else "float64")
+    if suffix == ".png":
+        width, height, bits = struct.unpack(">IIB", data[16:25])
+        return 1, height, width, f"uint{bits}"
+    raise ValueError(f"no reader for {suffix!r}")
 
 
 def decode(data: bytes, suffix: str) -> np.ndarray:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessavox.functions import intensity
-from tessavox.operators import resample, stats
+from tessavox.operators import resample
 from tessavox.sources import volumes
 
 #: Fixed value: names of output kinds in configurations, several spellings each.
@@ -42,7 +42,7 @@ def write(vox: DataFrame, kind: str, folder: str, shape: tuple[int, int, int], n
     elif kind == "ome-zarr":
         out = volumes.write_ome_zarr(vox, f"{folder}/{name}.ome.zarr", shape, chunk, levels, factor, dtype)
     elif kind.startswith("single"):
-        out = volumes.write_chunks(vox, folder, shape[0], shape[0], name, ".tif" if kind.endswith("tiff") else ".nii.gz", dtype)
+        out = volumes.write_single(vox, folder, shape, name, ".tif" if kind.endswith("tiff") else ".nii.gz", dtype)
     else:
         cut = resample.resliced(vox, shape, axis, name)
         rows = cut.select(F.col("slice").alias("z"), F.col("row").alias("y"), F.col("col").alias("x"), "v")
@@ -59,8 +59,7 @@ def run(spark: SparkSession, task: dict, registry: dict[str, dict] | None = None
         vox = volumes.read_volume(spark, source)
         if "low" in task or "high" in task:
             vox = vox.withColumn("v", intensity.clip(F.col("v"), task.get("low"), task.get("high")))
-        meta = stats.metadata(vox).first()
-        shape = (meta.depth, meta.height, meta.width)
+        shape = volumes.shape_of(spark, source)
         for kind in task["kinds"]:
             options = {**(registry or {}).get(kind, {}), **task.get("options", {})}
             new = tuple(options.pop("shape", shape))

@@ -11,13 +11,13 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessavox.functions import paths
 from tessavox.operators import resample, tiling
+from tessavox.operators.grouped import worked
 from tessavox.sources import codecs
 
 SLICES = "path string, z long, y0 long, x0 long, height long, width long, dtype string, data array<double>"
@@ -32,46 +32,83 @@ def _emit(path: str, a: np.ndarray, z0: int, y0: int, x0: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array([path]), *one, pa.array([a.dtype.name]), data], names)
 
 
-def slices(spark: SparkSession, path: str) -> DataFrame:
-    """SLICES of the readable files below a path (or of one file); z counts within each file. Zarr stores give a row for each chunk's slice."""
-    if paths.resolve(path) == "zarr":
+def _files(spark: SparkSession, where: str | list[str]) -> DataFrame:
+    """path, suffix, content of readable files, images that Spark decodes itself left out."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(where)
+    return found.select("path", paths.suffix(F.col("path")).alias("suffix"), "content").where("suffix NOT IN ('', '.jpg')")
+
+
+def _pictures(spark: SparkSession, where: str | list[str]) -> DataFrame:
+    """path, height, width, channels, data of JPEG files, by Spark's own image source."""
+    found = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[jJ][pP][gG]").load(where)
+    return found.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+
+
+def slices(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """SLICES of the readable files below a path (or of some files); z counts within each file. Zarr stores give a row for each chunk's slice.
+
+    JPEG files must be grey; colours that agree in all channels count as grey.
+    """
+    if isinstance(path, str) and paths.resolve(path) == "zarr":
         return _zarr(spark, path)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", paths.suffix(F.col("path")).alias("suffix"), "content").where("suffix != ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p, s, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                yield from _emit(p, codecs.decode(c, s), 0, 0, 0)
+            for p, s, c in zip(*b.columns, strict=True):
+                yield from _emit(p.as_py(), codecs.decode(c.as_py(), s.as_py()), 0, 0, 0)
 
-    return found.mapInArrow(run, SLICES)
+    def grey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p, h, w, n, data in zip(*b.columns, strict=True):
+                a = np.frombuffer(data.as_py(), np.uint8).reshape(h.as_py(), w.as_py(), n.as_py())
+                if (a[:, :, :3] != a[:, :, :1]).any():
+                    raise ValueError(f"{p.as_py()} is a colour image")
+                yield from _emit(p.as_py(), a[None, :, :, 0], 0, 0, 0)
+
+    both = _kinds(spark, path)
+    out = [_files(spark, path).mapInArrow(run, SLICES)] * both[0] + [_pictures(spark, path).mapInArrow(grey, SLICES)] * both[1]
+    return out[0] if len(out) == 1 else out[0].union(out[1])
 
 
-def _zarr(spark: SparkSession, path: str) -> DataFrame:
-    """A store, or a group's array 0 or else its first; metadata is one small text file."""
+def _kinds(spark: SparkSession, path: str | list[str]) -> tuple[bool, bool]:
+    """Whether there are files besides JPEG (or none at all), and JPEG files: by the listing, nothing is read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).inputFiles()
+    jpg = sum(f.lower().endswith(".jpg") for f in listed)
+    return jpg < len(listed) or not jpg, jpg > 0
+
+
+def _zarr_array(spark: SparkSession, path: str) -> tuple[str, dict]:
+    """Root and metadata of a store, or of a group's array 0 or else its first: one small text file."""
     jvm = spark.sparkContext._jvm
     top = jvm.org.apache.hadoop.fs.Path(path)
     fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     inner = sorted(x.getPath().getName() for x in fs.listStatus(top) if x.isDirectory())
-    root, text = None, ""
     for name in ["", *sorted(inner, key=lambda n: (n != "0", n))]:  # Spark's own readers skip names with a leading dot
         at = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}".rstrip("/") + "/.zarray")
         if fs.exists(at):
-            root, stream = f"{path}/{name}".rstrip("/"), fs.open(at)
+            stream = fs.open(at)
             text = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
             stream.close()
-            break
-    if root is None:
-        raise ValueError(f"no Zarr array below {path}")
-    meta = json.loads(text)
+            return f"{path}/{name}".rstrip("/"), json.loads(text)
+    raise ValueError(f"no Zarr array below {path}")
+
+
+def _zarr(spark: SparkSession, path: str, z: tuple[int, int] | None = None) -> DataFrame:
+    root, meta = _zarr_array(spark, path)
     tail = "/".join(root.rstrip("/").split("/")[-2:]) + "/"
     shape, chunks = meta["shape"], meta["chunks"]
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content").where(F.regexp_extract("path", r"([^/]*)$", 1).rlike(r"^[0-9]+(\.[0-9]+)*$"))
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if z is not None and len(shape) == 3 and meta.get("dimension_separator", ".") == ".":  # names of chunks begin with the number along z
+        wanted = "|".join(str(i) for i in range(z[0] // chunks[0], -(-z[1] // chunks[0])))
+        found = found.option("pathGlobFilter", "{" + wanted.replace("|", ".*,") + ".*}") if wanted else found.option("pathGlobFilter", "none")
+    found = found.load(root).select("path", "content").where(name.rlike(r"^[0-9]+(\.[0-9]+)*$"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for p, c in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 at = [int(i) for i in p[p.rindex(tail) + len(tail) :].replace("/", ".").split(".")]
-                a = codecs.read_chunk(c, meta)
+                a = codecs.read_chunk(c.as_py(), meta)
                 lo = [i * n for i, n in zip(at, chunks, strict=True)]
                 cut = a[tuple(slice(0, max(0, min(n, s - o))) for n, s, o in zip(chunks, shape, lo, strict=True))]
                 yield from _emit(p, codecs.as_volume(cut), *([0] * (3 - len(lo)) + lo))
@@ -80,9 +117,29 @@ def _zarr(spark: SparkSession, path: str) -> DataFrame:
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:
-    """file, dz, height, width, dtype of each file of a stack, from one slice row each."""
-    s = slices(spark, path)
-    return s.groupBy(F.col("path").alias("file")).agg((F.max("z") + 1).alias("dz"), F.max(F.col("y0") + F.col("height")).alias("height"), F.max(F.col("x0") + F.col("width")).alias("width"), F.min("dtype").alias("dtype"))
+    """file, dz, height, width, dtype of each file of a stack, from its header alone; no pixel is decoded (but for JPEG)."""
+    kind = "file string, dz long, height long, width long, dtype string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(p.as_py(), *codecs.header(c.as_py(), s.as_py())) for p, s, c in zip(*b.columns, strict=True)]
+            if found:
+                kinds = [pa.string(), *[pa.int64()] * 3, pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], [f.split(" ")[0] for f in kind.split(", ")])
+
+    pictures = lambda: _pictures(spark, path).select(F.col("path").alias("file"), F.lit(1).cast("long").alias("dz"), F.col("height").cast("long"), F.col("width").cast("long"), F.lit("uint8").alias("dtype"))
+    both = _kinds(spark, path)
+    out = [_files(spark, path).mapInArrow(run, kind)] * both[0] + [pictures()] * both[1]
+    return out[0] if len(out) == 1 else out[0].union(out[1])
+
+
+def shape_of(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Depth, height and width of a volume, from headers."""
+    if paths.resolve(path) == "zarr":
+        shape = _zarr_array(spark, path)[1]["shape"]
+        return tuple([1] * (3 - len(shape)) + shape[-3:])
+    got = headers(spark, path).agg(F.sum("dz"), F.max("height"), F.max("width")).first()
+    return tuple(int(x or 0) for x in got)
 
 
 def check(headers_: DataFrame) -> None:
@@ -102,18 +159,27 @@ def _order() -> list[Column]:
     return [F.when(file.rlike(NUMBERED), F.regexp_extract(file, NUMBERED, 1)).otherwise(file), F.char_length(number), number]
 
 
-def read_volume(spark: SparkSession, path: str, checked: bool = True) -> DataFrame:
-    """z, y, x, v of a file, a directory of files in the order of their names (and of the sinks' numbers in them), or a Zarr store."""
-    s = slices(spark, path)
+def read_volume(spark: SparkSession, path: str, checked: bool = True, z: tuple[int, int] | None = None) -> DataFrame:
+    """z, y, x, v of a file, a directory of files in the order of their names (and of the sinks' numbers in them), or a Zarr store.
+
+    Places come from the headers; each file is decoded once. With a range of z only the files (or chunks) that it touches are read.
+    """
     if paths.resolve(path) == "zarr":
-        at = s.withColumn("lo", F.lit(0))
+        at = _zarr(spark, path, z).withColumn("lo", F.lit(0))
     else:
         h = headers(spark, path)
         if checked:
             check(h)
-        at = s.join(F.broadcast(tiling.stitched_ranges(h, *_order()).select(F.col("file").alias("path"), "lo")), "path")  # a row for each file
+        ranges = tiling.stitched_ranges(h, *_order()).select(F.col("file").alias("path"), "lo", "hi")  # a row for each file
+        if z is not None:
+            ranges = ranges.where((F.col("lo") < z[1]) & (F.col("hi") > z[0]))
+            needed = [r.path for r in ranges.select("path").toLocalIterator()]  # names that the reader lists anyway
+            if not needed:
+                return spark.createDataFrame([], "z long, y long, x long, v double")
+        at = slices(spark, path if z is None else needed).join(F.broadcast(ranges.drop("hi")), "path")
     long = at.select((F.col("z") + F.col("lo")).alias("z"), "y0", "x0", "width", F.posexplode("data").alias("i", "v"))
-    return long.select("z", (F.col("y0") + F.expr("i DIV width")).alias("y"), (F.col("x0") + F.expr("i % width")).alias("x"), "v")
+    out = long.select("z", (F.col("y0") + F.expr("i DIV width")).alias("y"), (F.col("x0") + F.expr("i % width")).alias("x"), "v")
+    return out if z is None else out.where((F.col("z") >= max(0, z[0])) & (F.col("z") < z[1]))
 
 
 # --- sinks
@@ -129,62 +195,94 @@ def _put(path: str, data: bytes) -> int:
     return len(data)
 
 
-def _array(pdf: pd.DataFrame, dtype: str, lo: tuple[int, int, int] = (0, 0, 0)) -> np.ndarray:
-    at = [pdf[c].to_numpy() - o for c, o in zip("zyx", lo, strict=True)]
+def _cube(z: np.ndarray, y: np.ndarray, x: np.ndarray, v: np.ndarray, dtype: str, lo: tuple[int, int, int] = (0, 0, 0)) -> np.ndarray:
+    at = [a - o for a, o in zip((z, y, x), lo, strict=True)]
     out = np.zeros([int(a.max()) + 1 for a in at], dtype)
-    out[tuple(at)] = pdf.v.to_numpy().astype(dtype)
+    out[tuple(at)] = v.astype(dtype)
     return out
 
 
 WRITTEN = "file string, bytes long"
+_CELLS = ["z", "y", "x", "v"]
 
 
 def write_slices(vox: DataFrame, folder: str, name: str = "volume", suffix: str = ".tif", dtype: str = "float32") -> DataFrame:
     """One file for each slice, ``{name}_{z:05d}{suffix}``, in a folder that all executors share: file, bytes. Runs when read."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = int(pdf.z.iloc[0])
-        path = f"{folder}/{name}_{z:05d}{suffix}"
-        return pd.DataFrame([(path, _put(path, codecs.encode(_array(pdf, dtype, (z, 0, 0)), suffix)))], columns=["file", "bytes"])
+    def work(n: int, z: np.ndarray, y: np.ndarray, x: np.ndarray, v: np.ndarray) -> list[tuple]:
+        path = f"{folder}/{name}_{n:05d}{suffix}"
+        return [(path, _put(path, codecs.encode(_cube(z, y, x, v, dtype, (n, 0, 0)), suffix)))]
 
-    return vox.select("z", "y", "x", "v").groupBy("z").applyInPandas(run, WRITTEN)
+    return worked(vox, [F.col("z")], _CELLS, work, WRITTEN)
 
 
 def write_named(vox: DataFrame, folder: str, names: DataFrame, dtype: str = "float32") -> DataFrame:
     """One file for each slice under the names (z, name) of its source files."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        path = f"{folder}/{pdf.name_.iloc[0]}"
-        suffix = ".nii.gz" if path.endswith(".nii.gz") else os.path.splitext(path)[1].lower()
-        return pd.DataFrame([(path, _put(path, codecs.encode(_array(pdf, dtype, (int(pdf.z.iloc[0]), 0, 0)), suffix)))], columns=["file", "bytes"])
+    def work(n: int, name: str, z: np.ndarray, y: np.ndarray, x: np.ndarray, v: np.ndarray) -> list[tuple]:
+        suffix = ".nii.gz" if name.endswith(".nii.gz") else os.path.splitext(name)[1].lower()
+        path = f"{folder}/{name}"
+        return [(path, _put(path, codecs.encode(_cube(z, y, x, v, dtype, (n, 0, 0)), suffix)))]
 
-    rows = vox.select("z", "y", "x", "v").join(names.select("z", F.col("name").alias("name_")), "z")
-    return rows.groupBy("z").applyInPandas(run, WRITTEN)
+    rows = vox.select(*_CELLS).join(names.select("z", F.col("name").alias("name_")), "z")
+    return worked(rows, [F.col("z"), F.col("name_")], _CELLS, work, WRITTEN)
 
 
 def write_chunks(vox: DataFrame, folder: str, depth: int, chunk: int, name: str = "volume", suffix: str = ".tif", dtype: str = "float32") -> DataFrame:
     """One file for each run of slices, ``{name}_z{z0}-{z1}{suffix}``; a chunk is what a task holds."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        z0 = int(pdf.z.min()) // chunk * chunk
+    def work(k: int, z: np.ndarray, y: np.ndarray, x: np.ndarray, v: np.ndarray) -> list[tuple]:
+        z0 = k * chunk
         path = f"{folder}/{name}_z{z0}-{min(depth, z0 + chunk)}{suffix}"
-        return pd.DataFrame([(path, _put(path, codecs.encode(_array(pdf, dtype, (z0, 0, 0)), suffix)))], columns=["file", "bytes"])
-
-    return vox.select("z", "y", "x", "v").groupBy(F.expr(f"z DIV {chunk}")).applyInPandas(run, WRITTEN)
-
-
-def write_zarr(vox: DataFrame, folder: str, shape: tuple[int, int, int], chunks: tuple[int, int, int], dtype: str = "float32", packed: bool = True) -> DataFrame:
+        return [(path, _put(path, codecs.encode(_cube(z, y, x, v, dtype, (z0, 0, 0)), suffix)))]
+
+    return worked(vox, [F.expr(f"z DIV {chunk}")], _CELLS, work, WRITTEN)
+
+
+def write_single(vox: DataFrame, folder: str, shape: tuple[int, int, int], name: str = "volume", suffix: str = ".tif", dtype: str = "float32") -> DataFrame:
+    """One file for the whole volume, ``{name}{suffix}``: slices are encoded where they are and then written in order by one task,
+    which holds one slice at a time."""
+
+    def page(n: int, z: np.ndarray, y: np.ndarray, x: np.ndarray, v: np.ndarray) -> list[tuple]:
+        full = np.zeros((1, *shape[1:]), dtype)
+        full[0, y, x] = v.astype(dtype)
+        return [(n, full.tobytes())]
+
+    pages = worked(vox, [F.col("z")], _CELLS, page, "z long, page binary").repartition(1).sortWithinPartitions("z")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path = f"{folder}/{name}{suffix}"
+        os.makedirs(folder, exist_ok=True)
+        own, done = f"{path}.{os.getpid()}", 0
+        with open(own, "wb") as f:
+            sink = codecs.Pages(f, shape, dtype, suffix)
+            for b in batches:
+                for z, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    while done < z:  # slices without voxels
+                        sink.add(bytes(len(data.as_buffer())))
+                        done += 1
+                    sink.add(data.as_py())
+                    done += 1
+            while done < shape[0]:
+                sink.add(bytes(shape[1] * shape[2] * np.dtype(dtype).itemsize))
+                done += 1
+            sink.close()
+        os.replace(own, path)
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([os.path.getsize(path)], pa.int64())], ["file", "bytes"])
+
+    return pages.mapInArrow(write, WRITTEN)
+
+
+def write_zarr(vox: DataFrame, folder: str, shape: tuple[int, int, int], chunks: tuple[int, int, int], dtype: str = "float32", compressor: str = "blosc") -> DataFrame:
     """A Zarr array: its metadata first, then one file for each chunk that holds a voxel."""
-    _put(f"{folder}/.zarray", codecs.zarr_metadata(shape, chunks, dtype, packed).encode())
+    _put(f"{folder}/.zarray", codecs.zarr_metadata(shape, chunks, dtype, compressor).encode())
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = [int(pdf[c].iloc[0]) // n for c, n in zip("zyx", chunks, strict=True)]
-        path = f"{folder}/{'.'.join(map(str, at))}"
-        lo = tuple(i * n for i, n in zip(at, chunks, strict=True))
-        return pd.DataFrame([(path, _put(path, codecs.write_chunk(_array(pdf, np.dtype(dtype).str, lo), chunks, packed)))], columns=["file", "bytes"])
+    def work(a: int, b: int, c: int, z: np.ndarray, y: np.ndarray, x: np.ndarray, v: np.ndarray) -> list[tuple]:
+        path = f"{folder}/{a}.{b}.{c}"
+        lo = tuple(i * n for i, n in zip((a, b, c), chunks, strict=True))
+        return [(path, _put(path, codecs.write_chunk(_cube(z, y, x, v, np.dtype(dtype).str, lo), chunks, compressor)))]
 
-    keys = [F.expr(f"{c} DIV {n}") for c, n in zip("zyx", chunks, strict=True)]
-    return vox.select("z", "y", "x", "v").groupBy(*keys).applyInPandas(run, WRITTEN)
+    return worked(vox, [F.expr(f"{c} DIV {n}") for c, n in zip("zyx", chunks, strict=True)], _CELLS, work, WRITTEN)
 
 
 def write_ome_zarr(vox: DataFrame, folder: str, shape: tuple[int, int, int], chunks: tuple[int, int, int], levels: int, factor: int = 2, dtype: str = "float32") -> DataFrame:

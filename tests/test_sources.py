@@ -22,8 +22,112 @@ def test_codecs_round_trip(dtype):
     assert (codecs.read_nifti(codecs.write_nifti(a, True)) == a).all()
     if dtype in ("u1", "u2"):
         assert (codecs.read_png(codecs.write_png(a[0])) == a[:1]).all()
-    meta = json.loads(codecs.zarr_metadata((3, 5, 7), (4, 5, 8), dtype, True))
-    assert (codecs.read_chunk(codecs.write_chunk(a, (4, 5, 8), True), meta)[:3, :, :7] == a).all()
+    for how in codecs.COMPRESSORS:
+        meta = json.loads(codecs.zarr_metadata((3, 5, 7), (4, 5, 8), dtype, how))
+        assert (codecs.read_chunk(codecs.write_chunk(a, (4, 5, 8), how), meta)[:3, :, :7] == a).all()
+    for suffix, data in ((".tif", codecs.write_tiff(a)), (".nii", codecs.write_nifti(a)), (".nii.gz", codecs.write_nifti(a, True))):
+        assert codecs.header(data, suffix) == (3, 5, 7, a.dtype.name)
+    if dtype in ("u1", "u2"):
+        assert codecs.header(codecs.write_png(a[0]), ".png") == (1, 5, 7, a.dtype.name)
+
+
+def test_blosc_frames_of_several_split_blocks():
+    """A frame as the format's library makes it: blocks of 1 kB, a stream for each byte of an item, a shorter last block."""
+    import struct
+
+    import pyarrow as pa
+
+    a = (np.random.default_rng(2).random(1100) * 50).astype("<u2")
+    data, block, out, starts = a.tobytes(), 1024, b"", []
+    count = -(-len(data) // block)
+    for i in range(count):
+        part = data[i * block : (i + 1) * block]
+        shuffled = np.frombuffer(part, np.uint8).reshape(-1, 2).T.tobytes()
+        starts.append(16 + 4 * count + len(out))
+        half = len(shuffled) // 2
+        for stream in [shuffled[:half], shuffled[half:]] if len(part) == block else [shuffled]:
+            packed = pa.Codec("lz4_raw").compress(stream, asbytes=True)
+            packed = packed if len(packed) < len(stream) else stream
+            out += struct.pack("<i", len(packed)) + packed
+    frame_ = struct.pack("<BBBBIII", 2, 1, 1 << 5 | 1, 2, len(data), block, 16 + 4 * count + len(out)) + struct.pack(f"<{count}I", *starts) + out
+    assert codecs.blosc_unpacked(frame_) == data
+
+
+def _by_java(spark, a, path, kind, compression=None):
+    """A grey image written by the JDK."""
+    jvm = spark.sparkContext._jvm
+    image = jvm.java.awt.image.BufferedImage(a.shape[1], a.shape[0], 10)
+    for y in range(a.shape[0]):
+        for x in range(a.shape[1]):
+            image.getRaster().setSample(x, y, 0, int(a[y, x]))
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName(kind).next()
+    how = writer.getDefaultWriteParam()
+    if compression:
+        how.setCompressionMode(2)
+        how.setCompressionType(compression)
+    to = jvm.javax.imageio.ImageIO.createImageOutputStream(jvm.java.io.File(path))
+    writer.setOutput(to)
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), how)
+    to.close()
+
+
+def test_images_of_other_programs(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    a = np.repeat(rng.integers(0, 255, (40, 10)), 5, axis=1)
+    a[20:] = rng.integers(0, 255, (20, 50))  # enough different codes for wider ones
+    _by_java(spark, a, str(tmp_path / "l.tif"), "tiff", "LZW")
+    assert (codecs.read_tiff((tmp_path / "l.tif").read_bytes())[0] == a).all()
+    flat = np.full((16, 24), 80)
+    flat[:, 12:] = 160
+    (tmp_path / "stack").mkdir()
+    for i in range(3):
+        _by_java(spark, flat + i, str(tmp_path / "stack" / f"s_{i:05d}.jpg"), "jpg")
+    got = array(volumes.read_volume(spark, str(tmp_path / "stack")), (3, 16, 24))
+    assert np.abs(got - np.stack([flat, flat + 1, flat + 2])).max() <= 3
+    assert volumes.shape_of(spark, str(tmp_path / "stack")) == (3, 16, 24)
+    assert volumes.read_volume(spark, str(tmp_path / "stack"), z=(1, 2)).agg({"z": "min", "v": "count"}).collect()[0].asDict() == {"min(z)": 1, "count(v)": 384}
+
+
+def test_ranges_read_only_their_files(spark, tmp_path):
+    a = np.random.default_rng(4).normal(size=(23, 4, 5)).astype(np.float32).astype(float)
+    volumes.write_chunks(frame(spark, a), str(tmp_path / "c"), 23, 5).count()
+    volumes.write_zarr(frame(spark, a), str(tmp_path / "c.zarr"), a.shape, (5, 4, 3)).count()
+    part = frame(spark, a[7:13]).selectExpr("z + 7 AS z", "y", "x", "v")
+    (tmp_path / "c" / "volume_z20-23.tif").write_bytes(b"II*\0" + (tmp_path / "c" / "volume_z20-23.tif").read_bytes()[4:-30])  # its last pixels are gone
+    for path in ("c", "c.zarr"):
+        got = volumes.read_volume(spark, str(tmp_path / path), z=(7, 13))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, part.select("z", "y", "x", "v").collect()))
+        assert volumes.read_volume(spark, str(tmp_path / path), z=(40, 50)).count() == 0
+    assert volumes.shape_of(spark, str(tmp_path / "c.zarr")) == (23, 4, 5)
+
+
+def test_single_files(spark, tmp_path):
+    a = np.random.default_rng(5).normal(size=(6, 4, 5)).astype(np.float32).astype(float)
+    a[2] = a[5] = 0
+    vox = frame(spark, a).where("z NOT IN (2, 5)")
+    for suffix in (".tif", ".nii.gz", ".nii"):
+        volumes.write_single(vox, str(tmp_path / suffix[1:4]), a.shape, suffix=suffix).count()
+        (file,) = [p for p in (tmp_path / suffix[1:4]).iterdir() if p.name.endswith(suffix)]
+        assert (array(volumes.read_volume(spark, str(file)), a.shape) == a).all()
+    with pytest.raises(ValueError):
+        codecs.Pages(None, (5000, 1000, 1000), "float32", ".tif")
+
+
+def test_slices_keep_their_names(spark, tmp_path):
+    a = np.random.default_rng(6).integers(0, 200, (3, 4, 5)).astype(float)
+    names = spark.createDataFrame([(0, "first.tif"), (1, "b.png"), (2, "c.nii.gz")], "z long, name string")
+    volumes.write_named(frame(spark, a), str(tmp_path), names, "uint8").count()
+    for z, name in enumerate(("first.tif", "b.png", "c.nii.gz")):
+        assert (array(volumes.read_volume(spark, str(tmp_path / name)), (1, 4, 5)) == a[z]).all()
+
+
+def test_windows_of_a_stream(spark, tmp_path):
+    rows = [("a", f"2024-01-01 00:00:0{i}", float(i)) for i in range(4)] + [("a", "2024-01-01 01:00:00", 9.0)]
+    spark.createDataFrame(rows, "kind string, ts string, v double").selectExpr("kind", "CAST(ts AS TIMESTAMP) AS ts", "v").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("kind string, ts timestamp, v double").parquet(str(tmp_path / "in"))
+    q = slices.windowed_statistics(stream, "ts", "10 minutes", "1 hour", "kind").writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.n, r.mean) for r in spark.table("windows").collect()) == [(1, 9.0), (4, 1.5)]
 
 
 def test_codecs_refuse():
@@ -63,7 +167,7 @@ def test_conversion_task(spark, tmp_path):
     source.write_bytes(gzip.compress(codecs.write_nifti(a.astype("f4"))))
     done = convert.run(spark, {"inputs": [str(source)], "outputs": [str(tmp_path / "out")], "kinds": ["single-tif", "scroll-tif", "zarr"], "low": -0.5, "high": 0.5})
     assert sorted(done.values()) == [1, 1, 4]
-    back = volumes.read_volume(spark, str(tmp_path / "out" / "volume_z0-4.tif"))
+    back = volumes.read_volume(spark, str(tmp_path / "out" / "volume.tif"))
     assert np.allclose(array(back, a.shape), np.clip(a, -0.5, 0.5))
     with pytest.raises(ValueError):
         convert.run(spark, {"inputs": [str(source)], "outputs": [str(tmp_path)], "kinds": ["single-tif"], "options": {"shape": (2, 3, 5)}})

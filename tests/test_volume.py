@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessavox.functions import intensity, losses, paths
-from tessavox.operators import metrics, normalize, objects, pad, predict, resample, stats, stitch, tiling
+from tessavox.operators import metrics, normalize, objects, pad, predict, report, resample, stats, stitch, tiling
 from tessavox.plans.views import volume
 from tessavox.queries import QUERIES
 
@@ -226,6 +226,129 @@ def test_model_runs_in_batches(spark):
     assert intensity.logit_threshold(0.5) == 0 and intensity.logit_threshold(1.0) == pytest.approx(np.log(999))
 
 
+def by_hand(a, size, overlap, model, band_free=True):
+    """Chunk by chunk as one array: pads, patches, means, blends."""
+    z = (a - a.mean()) / (a.std() + 1e-8)
+    acc = np.full(a.shape, np.nan)
+    real = [min(n, s) for n, s in zip(a.shape, size)]
+    widths = [pad.widths(n, s, i == 0) for i, (n, s) in enumerate(zip(real, size))]
+    for pz in tiling.starts(a.shape[0], size[0], overlap[0]):
+        total, weight = np.zeros((real[0], *a.shape[1:])), np.zeros((real[0], *a.shape[1:]))
+        for py in tiling.starts(a.shape[1], size[1], overlap[1]):
+            for px in tiling.starts(a.shape[2], size[2], overlap[2]):
+                patch = np.pad(z[pz : pz + size[0], py : py + size[1], px : px + size[2]], widths, "reflect")
+                out = model(patch)[tuple(slice(w[0], w[0] + n) for w, n in zip(widths, real))]
+                where = (slice(None), slice(py, py + real[1]), slice(px, px + real[2]))
+                total[where] += out
+                weight[where] += 1
+        mean, here = total / weight, slice(pz, pz + real[0])
+        acc[here] = np.where(np.isnan(acc[here]), mean, (acc[here] + mean) / 2)
+    return acc
+
+
+@pytest.mark.parametrize("shape, size, overlap", [((9, 7, 6), (4, 4, 3), (2, 1, 1)), ((3, 5, 9), (6, 8, 4), (2, 3, 0)), ((5, 6, 6), (1, 4, 4), (0, 2, 2))])
+def test_chunks_pads_and_blends(spark, shape, size, overlap):
+    a = np.random.default_rng(8).normal(size=shape)
+    model = lambda batch: batch * 2 + np.arange(batch.shape[-1]) * 0.3 + np.arange(batch.shape[-2])[:, None] * 0.1
+    pieces = predict.patches(normalize.normalized_slices(predict.to_slices(frame(spark, a)), "z-score"), shape, size, overlap)
+    out = predict.stitched(predict.predicted(pieces, shape, size, model, batch=3, band=4), shape, lambda x: x, band=4)
+    got = array(predict.to_voxels(out), shape)
+    assert np.allclose(got, by_hand(a, size, overlap, lambda p: model(p[None])[0]), atol=1e-9)
+
+
+def test_models_of_other_sizes_are_resized_back(spark):
+    a = np.random.default_rng(9).normal(size=(4, 8, 8))
+    half = lambda batch: batch[:, ::2, ::2, ::2]
+    pieces = predict.patches(predict.to_slices(frame(spark, a)), a.shape, a.shape, (0, 0, 0))
+    got = array(predict.to_voxels(predict.stitched(predict.predicted(pieces, a.shape, a.shape, half), a.shape, lambda x: x)), a.shape)
+    at = np.abs((np.arange(8) + 0.5) / 2 - 0.5)
+    at = np.where(at > 3, 6 - at, at)
+    one = predict.resized_back(a[::2, ::2, ::2], a.shape)
+    assert np.allclose(got, one)
+    line = a[0, 0, ::2]
+    assert np.allclose(predict.resized_back(line, (8,)), np.interp(at, np.arange(4), line))
+    assert np.allclose(predict.resized_back(np.full((6, 5), 2.0), (3, 4)), 2.0) and predict.resized_back(np.arange(8.0), (4,))[1] == pytest.approx(2.5, abs=0.1)
+
+
+def test_samples_are_transformed(spark):
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "k long, data array<double>")
+    out = predict.transformed(rows, lambda batch: batch[:, ::-1] * 2, ["k"])
+    assert {r.k: r.data for r in out.collect()} == {i: [2.0, 2.0 * i] for i in range(20)}
+    assert tiling.squeezed(frame(spark, np.zeros((1, 2, 2))), 1).columns == ["y", "x", "v"] and "z" in tiling.squeezed(frame(spark, np.zeros((2, 2, 2))), 2).columns
+
+
+def test_distances_like_all_pairs():
+    rng = np.random.default_rng(10)
+    for _ in range(60):
+        mask = rng.random((rng.integers(1, 14), rng.integers(1, 14))) < rng.choice([0.02, 0.2, 0.7])
+        if mask.any():
+            y, x = np.nonzero(mask)
+            yy, xx = np.indices(mask.shape)
+            wanted = np.sqrt(((yy[..., None] - y) ** 2 + (xx[..., None] - x) ** 2).min(-1))
+            assert np.allclose(metrics.distances(mask), wanted)
+    assert metrics.robust_hausdorff(np.zeros((2, 2), bool), np.ones((2, 2), bool)) is None
+
+
+def test_registry(spark):
+    rng = np.random.default_rng(11)
+    rows = [(z, y, x, int(rng.random() < 0.4), float(rng.random())) for z in range(3) for y in range(6) for x in range(6)]
+    df = spark.createDataFrame(rows, "z long, y long, x long, gt int, score double")
+    with pytest.warns(UserWarning):
+        got = {r.metric: r.value for r in metrics.from_config(df, ["clDice", "Hard_Dice2", "mydice", "nonsense", "iou"], {"iou": {"smooth": 1.0}}).collect()}
+    assert set(got) == {"cldice", "hard_dice2", "mydice", "iou"}
+    g = np.array([r[3] for r in rows]).reshape(3, 36)
+    p = np.array([r[4] for r in rows]).reshape(3, 36) > 0.5
+    assert got["iou"] == pytest.approx(np.mean([((a & b).sum() + 1) / ((a | b).sum() + 1) for a, b in zip(g == 1, p)]))
+    assert got["hard_dice2"] == pytest.approx(np.mean([(2 * (a & b).sum() + 1e-5) / (a.sum() + b.sum() + 1e-5) for a, b in zip(g == 1, p)]))
+    wanted = np.mean([objects.centre_dice((a == 1).reshape(6, 6), b.reshape(6, 6)) for a, b in zip(g, p)])
+    assert got["cldice"] == pytest.approx(wanted)
+    assert metrics.from_config(df, []).count() == 0
+
+
+def test_report_of_all_columns(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    masks = {(i, m, z): ((rng.random((7, 6)) < 0.5).astype(int), (rng.random((7, 6)) < 0.4).astype(int), rng.random((7, 6))) for i in "ab" for m in ("u", "v") for z in range(3)}
+    masks["a", "u", 1] = (np.zeros((7, 6), int), *masks["a", "u", 1][1:])
+    rows = [(i, m, z, y, x, int(g[y, x]), int(p[y, x]), float(s[y, x])) for (i, m, z), (g, p, s) in masks.items() for y in range(7) for x in range(6)]
+    df = spark.createDataFrame(rows, "image string, model string, z long, y long, x long, gt int, pr int, score double")
+    out = report.detailed(df, "image", "model")
+    got = {(r.image, r.model): r for r in out.collect()}
+    for (i, m), r in got.items():
+        some = [masks[i, m, z][:2] for z in range(3)]
+        labelled = [(objects.labels(g == 1), objects.labels(p == 1)) for g, p in some]
+        assert r.pixels_total == 126 and r.files_evaluated == 3
+        assert (r.gt_count, r.pr_count) == (sum(int(a.max()) for a, _ in labelled), sum(int(b.max()) for _, b in labelled))
+        assert r.cldice == pytest.approx(np.mean([objects.centre_dice(g == 1, p == 1) for g, p in some]))
+        f1 = []
+        for a, b in labelled:
+            hits = objects.matched(a, b) if a.any() and b.any() else 0
+            f1.append(2 * hits / (a.max() + b.max()) if hits else 0.0)
+        assert r.obj_f1 == pytest.approx(np.mean(f1))
+        hd = [h for g, p in some if (h := metrics.robust_hausdorff(g == 1, p == 1)) is not None]
+        assert r.hausdorff == pytest.approx(np.mean(hd))
+    report.write(out, report.summary(out), str(tmp_path), "image", "model")
+    detailed = spark.read.option("header", True).csv(str(tmp_path / "detailed"))
+    assert detailed.columns == ["image", "model", *report.DETAILED_COLUMNS] and detailed.count() == 4
+    assert spark.read.option("header", True).csv(str(tmp_path / "summary")).columns == ["model", *report.SUMMARY_COLUMNS]
+
+
+def test_entropy(spark):
+    assert stats.entropy(spark.createDataFrame([(0, 4), (1, 2), (2, 2), (3, 0)], "bin int, n long")).first().entropy == pytest.approx(1.5)
+
+
+def test_precision_without_groups(spark):
+    rng = np.random.default_rng(13)
+    s, g = rng.integers(0, 50, 400) / 50, rng.integers(0, 2, 400)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(s, g)], "score double, gt int")
+    tp = n = area = 0.0
+    for v in sorted(set(s), reverse=True):
+        k = g[s == v].sum()
+        tp, n = tp + k, n + (s == v).sum()
+        area += k * tp / n
+    for ranges in (1, 7, 1024):
+        assert metrics.average_precision(df, ranges=ranges).first().pr_auc == pytest.approx(area / g.sum())
+
+
 def test_paths(spark):
     names = ["/a/b.TIF", "/a/b.nii.gz", "/a/b.c.png", "/a/.hidden", "/a/b.txt", "b.gz", "/a/noend"]
     rows = spark.createDataFrame([(n,) for n in names], "path string").select(paths.suffix(F.col("path")).alias("s"), paths.volume_name(F.col("path")).alias("n")).collect()
@@ -252,19 +375,19 @@ def whole(spark, data):
 @pytest.mark.parametrize("mode", pad.MODES)
 def test_whole_volume_padded(spark, data, whole, mode):
     wanted = np.pad(whole, ((6, 6), (0, 4), (0, 11)), mode, **({"constant_values": -1.0} if mode == "constant" else {}))
-    assert np.allclose(array(QUERIES[f"pad_{mode}_whole"](spark, data), wanted.shape), wanted, atol=1e-6)
+    assert np.allclose(array(QUERIES[f"pad_{mode}"](spark, data), wanted.shape), wanted, atol=1e-6)
 
 
 def test_whole_volume_padded_to_multiple(spark, data, whole):
     d = -len(whole) % 32
     wanted = np.pad(whole, ((d // 2, d - d // 2), (12, 12), (12, 12)), constant_values=0.25)
-    assert np.allclose(array(QUERIES["pad_to_multiple_whole"](spark, data), wanted.shape), wanted, atol=1e-6)
+    assert np.allclose(array(QUERIES["pad_to_multiple"](spark, data), wanted.shape), wanted, atol=1e-6)
 
 
 def test_whole_volume_resized(spark, data, whole):
     new = (len(whole) * 33 // 20, 5, 11)
     at = [np.minimum(a - 1, np.floor((np.arange(b) + 0.5) * a / b)).astype(int) for a, b in zip(whole.shape, new, strict=True)]
-    assert np.allclose(array(QUERIES["resize_nn_whole"](spark, data), new), whole[np.ix_(*at)], atol=1e-6)
+    assert np.allclose(array(QUERIES["resize_nn"](spark, data), new), whole[np.ix_(*at)], atol=1e-6)
     p = np.clip((np.arange(13) + 0.5) * 8 / 13 - 0.5, 0, 7)
     w = np.maximum(0, 1 - np.abs(p[:, None] - np.arange(8)))
-    assert np.allclose(array(QUERIES["resize_linear_whole"](spark, data), (len(whole), 13, 13)), np.einsum("zyx,py,qx->zpq", whole, w, w), atol=1e-6)
+    assert np.allclose(array(QUERIES["resize_linear"](spark, data), (len(whole), 13, 13)), np.einsum("zyx,py,qx->zpq", whole, w, w), atol=1e-6)
