@@ -19,24 +19,33 @@ def gathered(rows: DataFrame, keys: list[Column], columns: list[str]) -> DataFra
 
 
 def worked(rows: DataFrame, keys: list[Column], columns: list[str], work: Work, schema: str) -> DataFrame:
-    """Rows that work(keys, arrays of the columns) gives for each group."""
+    """Rows that work(*keys, *arrays of the columns) gives for each group."""
+    return worked_together(rows, keys, columns, lambda groups: (row for g in groups for row in work(*g)), schema)
+
+
+def worked_together(rows: DataFrame, keys: list[Column], columns: list[str], work: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows that work(groups) gives for the groups of a batch, each a tuple of its keys and the arrays of the columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split(" ")[0] for f in schema.split(", ")]
         kinds = [_KINDS[f.split(" ")[1]] for f in schema.split(", ")]
-        for b in batches:
-            out: list[tuple] = []
-            at = list(zip(*[c.to_pylist() for c in b.columns[:-1]], strict=True))
+
+        def groups(b: pa.RecordBatch) -> Iterator[tuple]:
+            at = zip(*[c.to_pylist() for c in b.columns[:-1]], strict=True)
             for i, key in enumerate(at):
                 cells = b.columns[-1][i].values
-                arrays = [np.asarray(cells.field(j)) for j in range(len(columns))]
-                out += work(*key, *arrays)
+                yield (*key, *[np.asarray(cells.field(j)) for j in range(len(columns))])
+
+        for b in batches:
+            out = list(work(groups(b)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     return gathered(rows, keys, columns).mapInArrow(run, schema)
 
 
+#: Pixels of the slices that are worked on together.
+STACK = 1 << 22
 _KINDS = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
 
 
@@ -50,3 +59,15 @@ def grid(y: np.ndarray, x: np.ndarray, v: np.ndarray, dtype: str = "float64", sh
     out = np.zeros(shape or (int(y.max()) + 1, int(x.max()) + 1), dtype)
     out[y, x] = v.astype(dtype)
     return out
+
+
+def stacks(groups: Iterator[tuple], keys: int) -> Iterator[list[tuple]]:
+    """Key, truth and prediction masks of slices of one size, about STACK pixels at a time; groups: keys, y, x, gt, pr."""
+    held: dict[tuple[int, int], list[tuple]] = {}
+    for g in groups:
+        y, x, gt, pr = g[keys:]
+        a, b = grid(y, x, gt > 0, "bool"), grid(y, x, pr > 0, "bool")
+        held.setdefault(a.shape, []).append((g[:keys], a, b))
+        if len(held[a.shape]) * a.size >= STACK:
+            yield held.pop(a.shape)
+    yield from held.values()

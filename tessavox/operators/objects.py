@@ -2,45 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessavox.operators.grouped import grid, kind, worked
+from tessavox.operators import metrics
+from tessavox.operators.grouped import kind, stacks, worked_together
 
 _ALL = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) > (0, 0)]
 
 
 def labels(mask: np.ndarray, connectivity: int = 2) -> np.ndarray:
-    """Objects numbered from 1 in the order of their first pixels; connectivity 1 leaves out diagonals."""
-    height, width = mask.shape
+    """Objects of a slice, or of each slice of a stack, numbered from 1 in the order of their first pixels; connectivity 1 leaves
+    out diagonals."""
+    if mask.ndim == 2:
+        return labels(mask[None], connectivity)[0]
+    height, width = mask.shape[1:]
     root = np.arange(mask.size).reshape(mask.shape)
-    steps = _ALL if connectivity != 1 else [(0, 1), (1, 0)]
     flat = root.ravel()
+    links = []
+    for dy, dx in _ALL if connectivity != 1 else [(0, 1), (1, 0)]:
+        a = (slice(None), slice(0, height - dy), slice(max(0, -dx), width - max(0, dx)))
+        b = (slice(None), slice(dy, height), slice(max(0, dx), width + min(0, dx)))
+        both = mask[a] & mask[b]
+        links.append((root[a][both], root[b][both]))
+    one, other = (np.concatenate(x) for x in zip(*links, strict=True))
     while True:
-        before = flat.copy()
-        for dy, dx in steps:
-            a = (slice(0, height - dy), slice(max(0, -dx), width - max(0, dx)))
-            b = (slice(dy, height), slice(max(0, dx), width + min(0, dx)))
-            both = mask[a] & mask[b]
-            low = np.minimum(root[a], root[b])[both]
-            for side in (a, b):
-                np.minimum.at(flat, root[side][both], low)
+        low, high = np.minimum(flat[one], flat[other]), np.maximum(flat[one], flat[other])
+        apart = low != high
+        if not apart.any():
+            break
+        one, other = one[apart], other[apart]
+        np.minimum.at(flat, high[apart], low[apart])  # roots take the smaller one
         while True:
             up = flat[flat]
             if (up == flat).all():
                 break
             flat[:] = up
-        if (before == flat).all():
-            break
     out = np.zeros(mask.size, np.int64)
     inside = mask.ravel()
-    _, number = np.unique(flat[inside], return_inverse=True)
-    out[inside] = number + 1
+    roots, number = np.unique(flat[inside], return_inverse=True)
+    first = np.searchsorted(roots, np.arange(len(mask)) * height * width)  # of each slice
+    out[inside] = number + 1 - np.repeat(first, mask.reshape(len(mask), -1).sum(axis=1))
     return out.reshape(mask.shape)
 
 
 def without_small(numbered: np.ndarray, min_size: int, connectivity: int = 2) -> np.ndarray:
+    """A slice's objects of at least min_size pixels, numbered anew."""
     if min_size <= 0:
         return numbered
     keep = np.bincount(numbered.ravel()) >= min_size
@@ -50,11 +60,14 @@ def without_small(numbered: np.ndarray, min_size: int, connectivity: int = 2) ->
 
 def matched(gt: np.ndarray, pr: np.ndarray, min_iou: float = 0.5) -> int:
     """Predicted objects, in order, each take the first overlapping true object that is free and overlaps enough."""
-    pairs, n = np.unique(np.stack([pr.ravel(), gt.ravel()]), axis=1, return_counts=True)
+    meet = (gt > 0) & (pr > 0)
+    most = int(gt.max()) + 1
+    pairs, n = np.unique(pr[meet] * most + gt[meet], return_counts=True)
     size_gt, size_pr = np.bincount(gt.ravel()), np.bincount(pr.ravel())
     used, done, hits = set(), set(), 0
-    for (p, g), both in zip(pairs.T.tolist(), n.tolist(), strict=True):  # sorted by prediction, then truth
-        if p and g and p not in done and g not in used and both / (size_pr[p] + size_gt[g] - both) >= min_iou:
+    for pair, both in zip(pairs.tolist(), n.tolist(), strict=True):  # sorted by prediction, then truth
+        p, g = divmod(pair, most)
+        if p not in done and g not in used and both / (size_pr[p] + size_gt[g] - both) >= min_iou:
             used.add(g)
             done.add(p)
             hits += 1
@@ -62,48 +75,59 @@ def matched(gt: np.ndarray, pr: np.ndarray, min_iou: float = 0.5) -> int:
 
 
 def thinned(mask: np.ndarray) -> np.ndarray:
-    """Centre lines: pixels go in two alternating passes while a loop's or line's connection stays (Zhang and Suen 1984)."""
-    m = np.pad(mask.astype(np.uint8), 1)
-    while True:
-        gone = 0
+    """Centre lines of a slice or of each of a stack: pixels go in two alternating passes while a loop's or line's connection stays
+    (Zhang and Suen 1984)."""
+    if mask.ndim == 2:
+        return thinned(mask[None])[0]
+    m = np.pad(mask.astype(np.int8), ((0, 0), (1, 1), (1, 1)))
+    live = np.arange(len(m))
+    while len(live):
+        some, gone = m[live], np.zeros(len(live), bool)
         for first in (True, False):
-            p = [m[:-2, 1:-1], m[:-2, 2:], m[1:-1, 2:], m[2:, 2:], m[2:, 1:-1], m[2:, :-2], m[1:-1, :-2], m[:-2, :-2]]
-            count = sum(x.astype(int) for x in p)
-            turns = sum(((a == 0) & (b == 1)).astype(int) for a, b in zip(p, [*p[1:], p[0]], strict=True))
+            p = [some[:, :-2, 1:-1], some[:, :-2, 2:], some[:, 1:-1, 2:], some[:, 2:, 2:], some[:, 2:, 1:-1], some[:, 2:, :-2], some[:, 1:-1, :-2], some[:, :-2, :-2]]
+            count = sum(p[1:], p[0])
+            turns = sum(((1 - a) & b for a, b in zip(p[1:], [*p[2:], p[0]], strict=True)), (1 - p[0]) & p[1])
             n, e, s, w = p[0], p[2], p[4], p[6]
             side = (n * e * s == 0) & (e * s * w == 0) if first else (n * e * w == 0) & (n * s * w == 0)
-            drop = (m[1:-1, 1:-1] == 1) & (count >= 2) & (count <= 6) & (turns == 1) & side
-            m[1:-1, 1:-1][drop] = 0
-            gone += int(drop.sum())
-        if not gone:
-            return m[1:-1, 1:-1].astype(bool)
-
-
-def centre_dice(gt: np.ndarray, pr: np.ndarray) -> float:
-    """Harmonic mean of how much of each centre line the other mask covers."""
-    if not gt.any() or not pr.any():
-        return 0.0
+            drop = (some[:, 1:-1, 1:-1] == 1) & (count >= 2) & (count <= 6) & (turns == 1) & side
+            some[:, 1:-1, 1:-1][drop] = 0
+            gone |= drop.any(axis=(1, 2))
+        m[live] = some
+        live = live[gone]
+    return m[:, 1:-1, 1:-1].astype(bool)
+
+
+def centre_dice(gt: np.ndarray, pr: np.ndarray) -> np.ndarray | float:
+    """Harmonic mean of how much of each centre line the other mask covers, for a slice or each of a stack; 0 for an empty mask."""
+    if gt.ndim == 2:
+        return float(centre_dice(gt[None], pr[None])[0])
     a, b = thinned(gt), thinned(pr)
-    precision, recall = (a & pr).sum() / (a.sum() + 1e-6), (b & gt).sum() / (b.sum() + 1e-6)
-    return float(2 * precision * recall / (precision + recall)) if precision + recall else 0.0
+    total = lambda x: x.sum(axis=(1, 2))
+    precision, recall = total(a & pr) / (total(a) + 1e-6), total(b & gt) / (total(b) + 1e-6)
+    both = precision + recall
+    fine = gt.any(axis=(1, 2)) & pr.any(axis=(1, 2)) & (both > 0)
+    return np.where(fine, 2 * precision * recall / np.where(fine, both, 1), 0.0)
 
 
-def object_metrics(rows: DataFrame, *slice_cols: str, min_iou: float = 0.5, min_size: int = 0, connectivity: int = 2) -> DataFrame:
-    """slice, gt_count, pr_count, matched, obj_precision, obj_recall, obj_f1, cldice of each slice (``z``, or several key columns)."""
+def object_metrics(rows: DataFrame, *slice_cols: str, min_iou: float = 0.5, min_size: int = 0, connectivity: int = 2, hd_percentile: float = 95.0) -> DataFrame:
+    """slice, gt_count, pr_count, matched, obj_precision, obj_recall, obj_f1, cldice and hausdorff (null if a mask is empty) of each
+    slice (``z``, or several key columns)."""
     keys = list(slice_cols or ("z",))
 
-    def work(*args) -> list[tuple]:
-        key, (y, x, gt, pr) = args[: len(keys)], args[len(keys) :]
-        g, p = grid(y, x, gt > 0, "bool"), grid(y, x, pr > 0, "bool")
-        lg, lp = (without_small(labels(m, connectivity), min_size, connectivity) for m in (g, p))
-        ng, np_ = int(lg.max()), int(lp.max())
-        hits = matched(lg, lp, min_iou) if ng and np_ else 0
-        precision, recall = hits / np_ if ng and np_ else 0.0, hits / ng if ng and np_ else 0.0
-        f1 = 2 * precision * recall / (precision + recall) if hits else 0.0
-        return [(*key, ng, np_, hits, precision, recall, f1, centre_dice(g, p))]
-
-    schema = ", ".join([f"{k} {kind(rows, k)}" for k in keys] + ["gt_count long", "pr_count long", "matched long", "obj_precision double", "obj_recall double", "obj_f1 double", "cldice double"])
-    return worked(rows, [F.col(k) for k in keys], ["y", "x", "gt", "pr"], work, schema)
+    def work(groups: Iterator[tuple]) -> Iterator[tuple]:
+        for some in stacks(groups, len(keys)):
+            names, g, p = [k for k, _, _ in some], np.stack([a for _, a, _ in some]), np.stack([b for _, _, b in some])
+            lg, lp, lines, far = labels(g, connectivity), labels(p, connectivity), centre_dice(g, p), metrics.robust_hausdorff(g, p, hd_percentile)
+            for i, key in enumerate(names):
+                a, b = (without_small(x[i], min_size, connectivity) for x in (lg, lp))
+                ng, np_ = int(a.max()), int(b.max())
+                hits = matched(a, b, min_iou) if ng and np_ else 0
+                precision, recall = hits / np_ if ng and np_ else 0.0, hits / ng if ng and np_ else 0.0
+                f1 = 2 * precision * recall / (precision + recall) if hits else 0.0
+                yield (*key, ng, np_, hits, precision, recall, f1, float(lines[i]), far[i])
+
+    schema = ", ".join([f"{k} {kind(rows, k)}" for k in keys] + ["gt_count long", "pr_count long", "matched long", "obj_precision double", "obj_recall double", "obj_f1 double", "cldice double", "hausdorff double"])
+    return worked_together(rows, [F.col(k) for k in keys], ["y", "x", "gt", "pr"], work, schema)
 
 
 def components(mask: DataFrame) -> DataFrame:

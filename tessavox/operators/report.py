@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessavox.operators import metrics, objects
 
+_COUNTS = ("tp", "fp", "fn", "tn")
 SUMMARY = ("accuracy", "precision", "recall", "f1", "iou", "dice", "mcc", "hausdorff", "cldice", "obj_f1", "pr_auc")
 #: Columns of the detailed report behind those of the pair, and of the summary behind the model.
 DETAILED_COLUMNS = "files_evaluated pixels_total tp fp fn tn accuracy precision recall f1 mcc hausdorff cldice obj_f1 pr_auc gt_count pr_count".split()
@@ -20,21 +21,21 @@ def detailed(rows: DataFrame, *pair: str, slice_col: str = "z", hd_percentile: f
     Hausdorff leaves out slices with an empty mask, pr_auc those at 0; 0 where none is left.
     """
     by_slice = [*pair, slice_col]
-    pooled = metrics.scores(metrics.confusion(rows, *pair)).drop("mcc").withColumn("pixels_total", F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))
-    each = metrics.scores(metrics.confusion(rows, *by_slice)).select(*by_slice, "mcc")
-    hd = metrics.hausdorff(rows, *by_slice, percentile=hd_percentile)
-    found = objects.object_metrics(rows, *by_slice, min_iou=min_iou, min_size=min_size, connectivity=connectivity).select(*by_slice, "cldice", "obj_f1", "gt_count", "pr_count")
+    each = metrics.scores(metrics.confusion(rows, *by_slice)).select(*by_slice, *_COUNTS, "mcc")
+    found = objects.object_metrics(rows, *by_slice, min_iou=min_iou, min_size=min_size, connectivity=connectivity, hd_percentile=hd_percentile)
     auc = metrics.average_precision(rows, *by_slice)
-    per = each.join(hd, by_slice, "left").join(found, by_slice, "left").join(auc, by_slice, "left")
+    per = each.join(found, by_slice, "left").join(auc, by_slice, "left")
     mean = per.groupBy(*pair).agg(
+        *[F.sum(n).alias(n) for n in _COUNTS],
         F.count("*").alias("files_evaluated"),
-        F.avg("mcc").alias("mcc"),
+        F.avg("mcc").alias("mean_mcc"),
         *[F.coalesce(F.avg(n), F.lit(0.0)).alias(n) for n in ("hausdorff", "cldice", "obj_f1")],
         F.coalesce(F.avg(F.when(F.col("pr_auc") > 0, F.col("pr_auc"))), F.lit(0.0)).alias("pr_auc"),
         F.sum("gt_count").alias("gt_count"),
         F.sum("pr_count").alias("pr_count"),
     )
-    return pooled.join(mean, list(pair))
+    pooled = metrics.scores(mean.withColumn("pixels_total", F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))).drop("mcc")
+    return pooled.withColumnRenamed("mean_mcc", "mcc")
 
 
 def summary(details: DataFrame, model: str = "model", names: tuple[str, ...] = SUMMARY) -> DataFrame:

@@ -446,7 +446,7 @@ def object_counts(spark, sf_dir):
 
 @query()
 def object_scores(spark, sf_dir):
-    return _round(objects.object_metrics(truth_and_prediction(spark, sf_dir)), "obj_precision", "obj_recall", "obj_f1", "cldice")
+    return _round(objects.object_metrics(truth_and_prediction(spark, sf_dir)).drop("hausdorff"), "obj_precision", "obj_recall", "obj_f1", "cldice")
 
 
 @query(f"""WITH RECURSIVE {VOX}, c AS (SELECT z, y, x FROM vox WHERE v > 0.2), {_reach('c', 'abs(c.z - r.z2) <= 1 AND c.z BETWEEN r.z2 - 1 AND r.z2 + 1')},
