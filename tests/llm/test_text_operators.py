@@ -96,6 +96,9 @@ def test_decontamination_on_the_table(spark, data, texts, duck):
     got = sorted((tuple(r) for r in op1_decontamination(spark, data).select(COLUMNS).collect()), key=str)
     assert got == contaminated(texts, items)
     assert any(r[-1] for r in got)
+    docs, bench = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
+    blocks = decontaminate.decontamination(docs, bench, block_words=700, shard_words=5000)  # about ten blocks, searched in many shards
+    assert sorted((tuple(r) for r in blocks.select(COLUMNS).collect()), key=str) == got
 
 
 @pytest.mark.parametrize("options", [{}, {"shard_words": 1}, {"block_words": 1}])
@@ -390,6 +393,8 @@ def test_quality_of_odd_rows(spark, odd, odd_rows, none):
     labels = spark.createDataFrame([(5, 1), (5, 0), (None, 1), (6, None), (99, 0)], "doc_id long, quality int")
     out = quality_rules.quality(odd, labels)
     assert out.count() == len(odd_rows) and out.where("n_words = 0 and kept").count() == 0
+    got = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(((i, *(w := stats_of(t)), w[0] < 50 or 100 * w[4] > 50 * w[0]) for i, t in odd_rows), key=str)
     assert quality_rules.filtered(odd, labels).columns == odd.columns
     assert quality_rules.quality(none, labels).count() == 0 and quality_rules.quality(odd, labels.limit(0)).count() == len(odd_rows)
 
@@ -483,9 +488,25 @@ def test_passage_without_neighbours_goes(spark):
 
 
 def test_spans_of_odd_rows(spark, odd, odd_rows, none):
+    """Rows of repeated and null ids too: a run counts as repeated behind its first place, whatever row it stands in."""
     rows = sentence_spans.substring_dedup(odd).collect()
-    wanted = spans_removed(odd_rows)
     assert len(rows) == len(odd_rows) and sentence_spans.substring_dedup(none).count() == 0
-    for r in rows:
-        if r.doc_id not in (6, None):
-            assert set(r.removed) == wanted.get(r.doc_id, set())
+    order = lambda i: i if i is not None else 1 << 63
+    first = {}
+    for i, t in odd_rows:
+        for b, _, h in sentence_spans.runs(t or ""):
+            first[h] = min(first.get(h, (order(i), b)), (order(i), b))
+    wanted = []
+    for i, t in odd_rows:
+        gone = {k for b, e, h in sentence_spans.runs(t or "") if (order(i), b) > first[h] for k in range(b, e)}
+        parts = sentence_spans.sentences(t or "")
+        wanted.append((i, len(parts), tuple(sorted(gone)), "".join(p for k, p in enumerate(parts) if k not in gone)))
+    assert sorted(((r.doc_id, r.n_sentences, tuple(r.removed), r.text) for r in rows), key=str) == sorted(wanted, key=str)
+
+
+def test_long_text_of_one_sentence_again_and_again(spark):
+    """Half a million words without a repeated document; and two documents that share it all."""
+    rng = random.Random(11)
+    long = ". ".join(words_of(rng, 12) for _ in range(40_000))
+    out = {r.doc_id: r for r in sentence_spans.substring_dedup(spark.createDataFrame([(1, long), (2, long)], "doc_id long, text string")).collect()}
+    assert out[1].n_removed == 0 and out[1].text == long and not out[2].text.strip()
