@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessavox.llm.common import pick, small, tidy, whole, written
+from tessavox.llm.common import pick, tidy, whole, written
 
 MIN_SENTENCES, MIN_WORDS = 2, 20
 #: Words from which on a sentence is cut; words on each side that decide whether it is cut behind one.
@@ -148,7 +148,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plain = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
     with tidy(docs.sparkSession):
         spans = written(repeated_spans(plain, min_sentences=min_sentences, min_words=min_words), "spans", last=True).withColumnRenamed("doc_id", "r_id")
-    joined = plain.join(small(spans), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.xxhash64("text") == F.col("row_key")), "left")
+    # no broadcast is asked for here either: a share of all documents has spans
+    joined = plain.join(spans, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.xxhash64("text") == F.col("row_key")), "left")
 
     @F.arrow_udf("struct<text:string,n_sentences:long,removed:array<int>>")
     def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
