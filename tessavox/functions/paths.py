@@ -70,10 +70,10 @@ def evaluations(dirs: DataFrame, path: str = "path") -> DataFrame:
     return both.select("parent", "image", F.expr("substring(stem, char_length(image) + 2)").alias("model"), "gt", "prediction")
 
 
-def matched_files(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Rows of name columns joined by name, else by the other spelling of the TIFF suffix; unmatched ones are dropped."""
+def matched_files(truth: DataFrame, predicted: DataFrame, *by: str) -> DataFrame:
+    """by, gt_name, pred_name: rows of name columns joined by name, else by the other spelling of the TIFF suffix; unmatched ones are dropped."""
     other = F.when(F.col("name").endswith(".tif"), F.concat(F.regexp_replace("name", r"\.[^.]*$", ""), F.lit(".tiff"))).otherwise(F.concat(F.regexp_replace("name", r"\.[^.]*$", ""), F.lit(".tif")))
-    t = truth.select(F.col("name").alias("gt_name"), F.col("name"), other.alias("other"))
-    keys = t.select("gt_name", F.lit(0).alias("rank"), F.col("name").alias("key")).union(t.select("gt_name", F.lit(1), "other"))
-    hits = keys.join(predicted.select(F.col("name").alias("key")).distinct(), "key")
-    return hits.groupBy("gt_name").agg(F.min_by("key", "rank").alias("pred_name"))
+    t = truth.select(*by, F.col("name").alias("gt_name"), F.col("name"), other.alias("other"))
+    keys = t.select(*by, "gt_name", F.lit(0).alias("rank"), F.col("name").alias("key")).union(t.select(*by, "gt_name", F.lit(1), "other"))
+    hits = keys.join(predicted.select(*by, F.col("name").alias("key")).distinct(), [*by, "key"])
+    return hits.groupBy(*by, "gt_name").agg(F.min_by("key", "rank").alias("pred_name"))

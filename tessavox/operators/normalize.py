@@ -41,11 +41,11 @@ def normalized(vox: DataFrame, method: str, gamma: float = 1.0, multiplier: floa
     return vox.crossJoin(F.broadcast(one)).select(*[new(F.col("v")).alias("v") if c == "v" else F.col(c) for c in vox.columns])
 
 
-def normalized_slices(slices: DataFrame, method: str, gamma: float = 1.0, multiplier: float = 1.0, bins: int = 256, range_: tuple[float, float] | None = None) -> DataFrame:
-    """Slices with the values of ``data`` mapped in place: nothing is exploded but for the statistics."""
+def normalized_slices(slices: DataFrame, method: str, gamma: float = 1.0, multiplier: float = 1.0, bins: int = 256, range_: tuple[float, float] | None = None, of: DataFrame | None = None) -> DataFrame:
+    """Slices with the values of ``data`` mapped in place: nothing is exploded but for the statistics, which come from the slices ``of``."""
     if method not in METHODS:
         return slices
-    one, new = _mapping(slices.select(F.explode("data").alias("v")), method, gamma, multiplier, bins, range_)
+    one, new = _mapping((slices if of is None else of).select(F.explode("data").alias("v")), method, gamma, multiplier, bins, range_)
     return slices.crossJoin(F.broadcast(one)).select(*[F.transform("data", new).alias("data") if c == "data" else F.col(c) for c in slices.columns])
 
 

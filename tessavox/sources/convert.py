@@ -34,6 +34,23 @@ def pairs(inputs: list[str], outputs: list[str]) -> list[tuple[str, str]]:
     return list(zip(inputs, outputs, strict=True))
 
 
+def options_of(registry: dict[str, dict], output: dict, kind: str) -> dict:
+    """Options of write() from a configuration: the registry's defaults for the kind, then the output's own entry for it."""
+    given = {**registry.get(kind, {}), **output.get(kind, {})}
+    chunk = given.get("chunk_size", 128)
+    out = {
+        "chunk": tuple(chunk) if not isinstance(chunk, int) else (chunk,) * 3,
+        "levels": given.get("n_level", given.get("levels", 5)),
+        "factor": given.get("resize_factor", output.get("resize_factor", 2)),
+        "axis": given.get("axis", 0),
+    }
+    return {k: v for k, v in out.items() if k in USED[kind]}
+
+
+#: Which options matter for a kind.
+USED = {"zarr": ("chunk",), "ome-zarr": ("chunk", "levels", "factor"), "scroll-tiff": ("axis",), "scroll-nii": ("axis",), "single-tiff": (), "single-nii": ()}
+
+
 def write(vox: DataFrame, kind: str, folder: str, shape: tuple[int, int, int], name: str = "volume", dtype: str = "float32", chunk: tuple[int, int, int] = (128, 128, 128), levels: int = 3, factor: int = 2, axis: int = 0) -> int:
     """Writes one kind of output; the number of files."""
     kind = KINDS[kind.lower()]

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessavox.functions import paths
-from tessavox.operators import resample, tiling
+from tessavox.operators import predict, resample, tiling
 from tessavox.operators.grouped import worked
 from tessavox.sources import codecs
 
@@ -159,29 +159,44 @@ def _order() -> list[Column]:
     return [F.when(file.rlike(NUMBERED), F.regexp_extract(file, NUMBERED, 1)).otherwise(file), F.char_length(number), number]
 
 
-def read_volume(spark: SparkSession, path: str, checked: bool = True, z: tuple[int, int] | None = None) -> DataFrame:
-    """z, y, x, v of a file, a directory of files in the order of their names (and of the sinks' numbers in them), or a Zarr store.
+def _stack(spark: SparkSession, path: str, checked: bool) -> DataFrame:
+    """path, lo, hi of the files of a volume: where each lies along z, from headers; a row for each file."""
+    h = headers(spark, path)
+    if checked:
+        check(h)
+    return tiling.stitched_ranges(h, *_order()).select(F.col("file").alias("path"), "lo", "hi")
+
+
+def read_slices(spark: SparkSession, path: str, checked: bool = True, z: tuple[int, int] | None = None) -> DataFrame:
+    """z, y0, x0, height, width, data of a file, a directory of files in the order of their names (and of the sinks' numbers in them), or
+    a Zarr store (there a row for each slice of a chunk).
 
     Places come from the headers; each file is decoded once. With a range of z only the files (or chunks) that it touches are read.
     """
     if paths.resolve(path) == "zarr":
         at = _zarr(spark, path, z).withColumn("lo", F.lit(0))
     else:
-        h = headers(spark, path)
-        if checked:
-            check(h)
-        ranges = tiling.stitched_ranges(h, *_order()).select(F.col("file").alias("path"), "lo", "hi")  # a row for each file
+        ranges = _stack(spark, path, checked)
         if z is not None:
             ranges = ranges.where((F.col("lo") < z[1]) & (F.col("hi") > z[0]))
             needed = [r.path for r in ranges.select("path").toLocalIterator()]  # names that the reader lists anyway
             if not needed:
-                return spark.createDataFrame([], "z long, y long, x long, v double")
+                return spark.createDataFrame([], predict.SLICES)
         at = slices(spark, path if z is None else needed).join(F.broadcast(ranges.drop("hi")), "path")
-    long = at.select((F.col("z") + F.col("lo")).alias("z"), "y0", "x0", "width", F.posexplode("data").alias("i", "v"))
-    out = long.select("z", (F.col("y0") + F.expr("i DIV width")).alias("y"), (F.col("x0") + F.expr("i % width")).alias("x"), "v")
+    out = at.select((F.col("z") + F.col("lo")).alias("z"), "y0", "x0", "height", "width", "data")
     return out if z is None else out.where((F.col("z") >= max(0, z[0])) & (F.col("z") < z[1]))
 
 
+def read_volume(spark: SparkSession, path: str, checked: bool = True, z: tuple[int, int] | None = None) -> DataFrame:
+    """z, y, x, v of read_slices()."""
+    return predict.to_voxels(read_slices(spark, path, checked, z))
+
+
+def slice_names(spark: SparkSession, path: str) -> DataFrame:
+    """z, name of the files of a stack that hold one slice each."""
+    return _stack(spark, path, True).where("hi = lo + 1").select(F.col("lo").alias("z"), paths.file_name(F.col("path")).alias("name"))
+
+
 # --- sinks
 
 

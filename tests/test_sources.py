@@ -8,7 +8,8 @@ import pytest
 from test_volume import array, frame
 
 from tessavox.functions import paths
-from tessavox.operators import stats
+from tessavox.operators import predict, report, stats
+from tessavox.plans import jobs
 from tessavox.plans.session import session
 from tessavox.sources import codecs, convert, volumes
 from tessavox.streaming import slices
@@ -197,3 +198,57 @@ def test_files_in_the_order_of_their_numbers(spark, tmp_path):
     late = vox.where("z < 4").selectExpr("z + 99998 AS z", "y", "x", "v")
     volumes.write_slices(late, str(tmp_path / "slices")).count()
     assert all(r.z == r.v for r in volumes.read_volume(spark, str(tmp_path / "slices")).collect())
+
+
+def _stack(spark, a, folder, name="s", suffix=".tif", dtype="float32"):
+    volumes.write_slices(frame(spark, a), str(folder), name, suffix, dtype).count()
+
+
+def test_configured_jobs(spark, tmp_path):
+    """Preprocessing, inference, conversion and evaluation of folders, as a configuration describes them."""
+    rng = np.random.default_rng(7)
+    a = rng.normal(size=(5, 9, 8)).astype(np.float32).astype(float)
+    for where in ("one", "deep/two"):
+        _stack(spark, a, tmp_path / "in" / where / "images")
+    config = {
+        "normalization": {"z-score": {"std_multiplier": 2.0}},
+        "outputs": {"zarr": {"chunk_size": [4, 4, 4]}},
+        "inference": {"input_path": str(tmp_path / "in"), "output_path": str(tmp_path / "out"), "input_name": "images", "output_name": "images_net_mask", "preprocess": {"normalize_mode": "z-score", "pad_mode": "reflect", "low_cut": -1.5, "high_cut": 1.5},
+                      "inference_patch_size": [3, 6, 6], "inference_overlay": [1, 2, 2], "batch_size": 2, "output": {"type": "Scroll-Tiff", "dtype": "uint16"}},
+        "train": {"preprocess": {"normalize_mode": "min-max"}},
+        "converter": [{"input_output": {str(tmp_path / "in" / "one" / "images"): str(tmp_path / "conv")}, "output": {"type": ["Zarr", "Single-Tiff"], "dtype": "float32"}}],
+    }
+    predict.save_checkpoint(spark, str(tmp_path / "net"), "linear", {"weight": 1.0, "bias": -0.1}, 1, 0.5)
+    config["inference"]["model_path"] = str(tmp_path / "net")
+    done = jobs.inference(spark, config)
+    assert done == {str(tmp_path / "out" / "one"): 5, str(tmp_path / "out" / "deep" / "two"): 5}
+    c = np.clip(a, -1.5, 1.5)
+    wanted = np.where((c - c.mean()) / (c.std() * 2 + 1e-8) > 0.1, 65535, 0)
+    (made,) = (tmp_path / "out" / "one").iterdir()
+    assert made.name == "images_net_mask.scroll-tiff" and (array(volumes.read_volume(spark, str(made)), a.shape) == wanted).all()
+
+    assert jobs.preprocess(spark, config, str(tmp_path / "in" / "one" / "images"), str(tmp_path / "pre")) == 5
+    assert sorted(p.name for p in (tmp_path / "pre").iterdir()) == [f"s_{i:05d}.tif" for i in range(5)]
+    assert np.allclose(array(volumes.read_volume(spark, str(tmp_path / "pre")), a.shape), (a - a.min()) / (a.max() - a.min() + 1e-8), atol=1e-6)
+
+    assert set(jobs.conversion(spark, config)) == {f"{tmp_path / 'conv'}:Zarr", f"{tmp_path / 'conv'}:Single-Tiff"}
+    for name in ("volume.zarr", "volume.tif"):
+        assert (array(volumes.read_volume(spark, str(tmp_path / "conv" / name)), a.shape) == a).all()
+
+
+def test_evaluation_of_folders(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    g, p = (rng.random((4, 7, 6)) < 0.4) * 255.0, (rng.random((4, 7, 6)) < 0.4) * 255.0
+    top = tmp_path / "brain"
+    _stack(spark, g, top / "img_mask", "s", ".tif", "uint8")
+    _stack(spark, p, top / "img_net_mask.scroll-tif", "s", ".tiff", "uint8")
+    _stack(spark, p[:3], top / "img_other_mask.scroll-tiff", "s", ".tif", "uint8")
+    (top / "img_other_mask.scroll-tiff" / "s_00001.tif").write_bytes(codecs.write_tiff(np.ones((3, 6), "u1")))  # of another height
+    got = {r.model_name: r for r in jobs.evaluated(spark, str(tmp_path)).collect()}
+    assert set(got) == {"net", "other"} and got["net"].parent_folder == "brain" and got["net"].image_folder == "img"
+    for model, used in (("net", [0, 1, 2, 3]), ("other", [0, 2])):
+        r = got[model]
+        assert (r.files_evaluated, r.pixels_total) == (len(used), 42 * len(used))
+        assert r.tp == ((g[used] > 0) & (p[used] > 0)).sum() and r.fn == ((g[used] > 0) & (p[used] == 0)).sum()
+    jobs.analysis(spark, str(tmp_path))
+    assert spark.read.option("header", True).csv(str(tmp_path / "evaluation_report" / "detailed")).columns == ["parent_folder", "image_folder", "model_name", *report.DETAILED_COLUMNS]
