@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessavox.functions import flops, intensity, losses, paths
 from tessavox.operators import augment, history, lineage, metrics, normalize, objects, pad, predict, report, resample, stats, stitch, tiling
+from tessavox.plans import jobs
 from tessavox.plans.views import table, truth_and_prediction, volume
 from tessavox.sources import convert, volumes
 from tessavox.streaming import slices
@@ -344,9 +345,12 @@ def reslice_reversed(spark, sf_dir):
     return _round(resample.resliced(volume(spark, sf_dir), (depth(spark, sf_dir), 8, 8), 5, "vol"), "v")
 
 
-@query("SELECT '" + resample.ome_metadata(3, 2) + "' AS multiscales")
+@query(f"""WITH {VOX}, l AS (SELECT i, CAST(2 ** i AS BIGINT) AS f FROM range(0, 5) t(i), dim WHERE least(depth, 8) // CAST(2 ** i AS BIGINT) >= 1)
+SELECT '[{{"version": "0.4", "name": "image", "axes": [{{"name": "z", "type": "space"}}, {{"name": "y", "type": "space"}}, {{"name": "x", "type": "space"}}], "datasets": ['
+  || string_agg('{{"path": "' || i || '", "coordinateTransformations": [{{"type": "scale", "scale": [' || f || ', ' || f || ', ' || f || ']}}]}}', ', ' ORDER BY i) || ']}}]' AS multiscales FROM l""")
 def ome_metadata(spark, sf_dir):
-    return spark.range(1).select(F.lit(resample.ome_metadata(3, 2)).alias("multiscales"))
+    n = len(resample.levels((depth(spark, sf_dir), 8, 8), 5, 2))
+    return spark.range(1).select(F.lit(resample.ome_metadata(n, 2)).alias("multiscales"))
 
 
 # --- metrics and losses
@@ -733,9 +737,101 @@ def region_read(spark, sf_dir):
     return volumes.read_volume(spark, to, z=(70, 130))
 
 
-@query("SELECT unnest(['a', 'b', 'c']) AS source, 'out' AS target")
+@query("SELECT r_name AS source, 'out' AS target FROM region")
 def paired_roots(spark, sf_dir):
-    return spark.createDataFrame(convert.pairs(["a", "b", "c"], ["out"]), "source string, target string")
+    names = [r.r_name for r in table(spark, sf_dir, "region").select("r_name").collect()]  # the inputs of a task
+    return spark.createDataFrame(convert.pairs(names, ["out"]), "source string, target string")
+
+
+@query(f"WITH {VOX}, l0 AS (SELECT z, y, x, v FROM vox), {_half(1)} SELECT z, y, x, v FROM l1")
+def ome_level_read(spark, sf_dir):
+    """The second level of a pyramid in a store."""
+    to = _folder(spark, "pyramid") + ".ome.zarr"
+    volumes.write_ome_zarr(volume(spark, sf_dir), to, (depth(spark, sf_dir), 8, 8), (64, 8, 8), 2).count()
+    return volumes.read_volume(spark, f"{to}/1")
+
+
+@query(f"WITH {VOX} SELECT z, y, x, CAST(greatest(CAST(-0.1 AS DOUBLE), least(0.2, v)) AS FLOAT)::DOUBLE AS v FROM vox")
+def converted_volume(spark, sf_dir):
+    """A store turned into slices by a task, clipped on the way."""
+    source, to = _folder(spark, "source") + ".zarr", _folder(spark, "converted")
+    volumes.write_zarr(volume(spark, sf_dir), source, (depth(spark, sf_dir), 8, 8), (64, 8, 8)).count()
+    convert.run(spark, {"inputs": [source], "outputs": [to], "kinds": ["Scroll-Tif"], "low": -0.1, "high": 0.2})
+    return volumes.read_volume(spark, to)
+
+
+@query(_WHOLE)
+def named_slices(spark, sf_dir):
+    vox, to = volume(spark, sf_dir), _folder(spark, "named")
+    names = vox.select("z").distinct().withColumn("name", F.format_string("scan_%05d.tif", "z"))
+    volumes.write_named(vox, to, names).count()
+    return volumes.read_volume(spark, to)
+
+
+@query(f"WITH {_ST} SELECT z, y, x, CAST(CASE WHEN (v - m) / (s * 1.5 + 1e-8) * 2 - 0.5 > 0 THEN 65535 ELSE 0 END AS DOUBLE) AS v FROM vox, st")
+def configured_inference(spark, sf_dir):
+    """A folder of slices segmented by a stored model, as a configuration says, and the mask read back."""
+    root, net = _folder(spark, "project"), _folder(spark, "net")
+    volumes.write_slices(volume(spark, sf_dir), f"{root}/a/images").count()
+    predict.save_checkpoint(spark, net, "linear", {"weight": 2.0, "bias": -0.5}, 1, 0.1)
+    own = {"input_path": root, "input_name": "images", "output_name": "mask", "model_path": net, "inference_patch_size": list(SIZE), "inference_overlay": list(OVERLAP), "preprocess": {"normalize_mode": "z-score"}, "output": {"type": "Scroll-Tiff"}}
+    jobs.inference(spark, {"normalization": {"z-score": {"std_multiplier": 1.5}}, "inference": own})
+    return volumes.read_volume(spark, f"{root}/a/mask.scroll-tiff")
+
+
+@query("SELECT 'linear' AS model, CAST(count(*) AS BIGINT) AS epoch, round(avg(n_nationkey), 6) AS loss, CAST(count(*) * 3.0 + 1 AS DOUBLE) AS logit FROM nation")
+def checkpoint_read(spark, sf_dir):
+    """A model's parameters written and read back; what the model makes of 3."""
+    import numpy as np
+
+    r, to = table(spark, sf_dir, "nation").agg(F.count("*").alias("n"), F.round(F.avg("n_nationkey"), 6).alias("loss")).first(), _folder(spark, "checkpoint")
+    predict.save_checkpoint(spark, to, "linear", {"weight": float(r.n), "bias": 1.0}, r.n, r.loss)
+    model, stored = predict.load_checkpoint(spark, to)
+    return spark.createDataFrame([(stored["model"], stored["epoch"], stored["loss"], float(model(np.array([3.0]))[0]))], "model string, epoch long, loss double, logit double")
+
+
+@query(f"WITH {VOX}, s AS (SELECT depth * 64 * 4 / 1073741824.0 AS gb FROM dim) SELECT n_nationkey AS k, gb <= n_nationkey * 0.00005 * 0.5 AS fits FROM nation, s")
+def memory_guard(spark, sf_dir):
+    """Whether the volume fits half of a limit, for some limits."""
+    gb = stats.metadata(volume(spark, sf_dir)).first().size_gb
+    limits = [r.n_nationkey for r in table(spark, sf_dir, "nation").select("n_nationkey").collect()]
+    return spark.createDataFrame([(k, stats.fits_memory(gb, k * 0.00005)) for k in limits], "k int, fits boolean")
+
+
+@query(f"WITH {_EXTRACT} SELECT z0 AS pz, y0 AS py, x0 AS px, count(DISTINCT z) AS pieces FROM ex GROUP BY 1, 2, 3")
+def patch_pieces(spark, sf_dir):
+    out = predict.patches(_whole_slices(spark, sf_dir), (depth(spark, sf_dir), 8, 8), SIZE, OVERLAP)
+    return out.select("pz", "py", "px", F.size("pieces").cast("long").alias("pieces"))
+
+
+@query("SELECT CAST(vec_id AS BIGINT) AS z, round(list_sum([CAST(e AS DOUBLE) * 2 + 1 for e in embedding]), 6) + 0.0 AS total, round(CAST(embedding[64] AS DOUBLE) * 2 + 1, 6) + 0.0 AS first FROM embeddings")
+def transformed_samples(spark, sf_dir):
+    """A user's function over batches of samples: reversed, doubled, moved by one."""
+    out = predict.transformed(_whole_slices(spark, sf_dir), lambda batch: batch[:, ::-1] * 2 + 1, ["z"])
+    return out.select("z", r6(F.aggregate("data", F.lit(0.0), lambda a, v: a + v)).alias("total"), r6(F.get("data", F.lit(0))).alias("first"))
+
+
+@query(f"WITH {_DETAIL} SELECT CAST(model AS VARCHAR) AS model, {', '.join(f'round(avg({n}), 6) + 0.0 AS {n}_mean' for n in ('accuracy', 'precision', 'recall', 'f1', 'mcc', 'hausdorff', 'pr_auc'))} FROM dt GROUP BY model")
+def report_files(spark, sf_dir):
+    """The summary as it stands in its file."""
+    to, details = _folder(spark, "report"), _details(spark, sf_dir)
+    report.write(details, report.summary(details), to, "image", "model")
+    names = [f"{n}_mean" for n in ("accuracy", "precision", "recall", "f1", "mcc", "hausdorff", "pr_auc")]
+    return spark.read.option("header", True).csv(f"{to}/summary").select("model", *[r6(F.col(n).cast("double")).alias(n) for n in names])
+
+
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS kind, count(value) AS n, round(avg(value), 6) + 0.0 AS mean, round(min(value), 6) + 0.0 AS min FROM events GROUP BY 1, 2")
+def windowed_stream(spark, sf_dir):
+    """Statistics of days of event time, the table read as a stream to its end."""
+    import uuid
+
+    kinds = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(kinds).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    rows = stream.select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("kind"), F.col("value").alias("v"))
+    name = f"stream_{uuid.uuid4().hex}"
+    out = slices.windowed_statistics(rows, "at", "1 day", "1 day", "kind")
+    out.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", _folder(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.to_date("window.start").cast("string").alias("day"), "kind", "n", r6("mean").alias("mean"), r6("min").alias("min"))
 
 
 @query("SELECT event_type AS kind, count(value) AS n, round(avg(value), 6) + 0.0 AS mean, round(stddev_pop(value), 6) + 0.0 AS std, round(min(value), 6) + 0.0 AS min, round(max(value), 6) + 0.0 AS max FROM events GROUP BY 1")
