@@ -44,10 +44,10 @@ def _pictures(spark: SparkSession, where: str | list[str]) -> DataFrame:
     return found.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
-def slices(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def slices(spark: SparkSession, path: str | list[str], kinds: tuple[bool, bool] | None = None) -> DataFrame:
     """SLICES of the readable files below a path (or of some files); z counts within each file. Zarr stores give a row for each chunk's slice.
 
-    JPEG files must be grey; colours that agree in all channels count as grey.
+    JPEG files must be grey; colours that agree in all channels count as grey. ``kinds`` is what _kinds() says, if known.
     """
     if isinstance(path, str) and paths.resolve(path) == "zarr":
         return _zarr(spark, path)
@@ -65,7 +65,7 @@ def slices(spark: SparkSession, path: str | list[str]) -> DataFrame:
                     raise ValueError(f"{p.as_py()} is a colour image")
                 yield from _emit(p.as_py(), a[None, :, :, 0], 0, 0, 0)
 
-    both = _kinds(spark, path)
+    both = kinds or _kinds(spark, path)
     out = [_files(spark, path).mapInArrow(run, SLICES)] * both[0] + [_pictures(spark, path).mapInArrow(grey, SLICES)] * both[1]
     return out[0] if len(out) == 1 else out[0].union(out[1])
 
@@ -116,7 +116,7 @@ def _zarr(spark: SparkSession, path: str, z: tuple[int, int] | None = None) -> D
     return found.mapInArrow(run, SLICES)
 
 
-def headers(spark: SparkSession, path: str) -> DataFrame:
+def headers(spark: SparkSession, path: str, kinds: tuple[bool, bool] | None = None) -> DataFrame:
     """file, dz, height, width, dtype of each file of a stack, from its header alone; no pixel is decoded (but for JPEG)."""
     kind = "file string, dz long, height long, width long, dtype string"
 
@@ -128,7 +128,7 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], [f.split(" ")[0] for f in kind.split(", ")])
 
     pictures = lambda: _pictures(spark, path).select(F.col("path").alias("file"), F.lit(1).cast("long").alias("dz"), F.col("height").cast("long"), F.col("width").cast("long"), F.lit("uint8").alias("dtype"))
-    both = _kinds(spark, path)
+    both = kinds or _kinds(spark, path)
     out = [_files(spark, path).mapInArrow(run, kind)] * both[0] + [pictures()] * both[1]
     return out[0] if len(out) == 1 else out[0].union(out[1])
 
@@ -159,9 +159,9 @@ def _order() -> list[Column]:
     return [F.when(file.rlike(NUMBERED), F.regexp_extract(file, NUMBERED, 1)).otherwise(file), F.char_length(number), number]
 
 
-def _stack(spark: SparkSession, path: str, checked: bool) -> DataFrame:
+def _stack(spark: SparkSession, path: str, checked: bool, kinds: tuple[bool, bool] | None = None) -> DataFrame:
     """path, lo, hi of the files of a volume: where each lies along z, from headers; a row for each file."""
-    h = headers(spark, path)
+    h = headers(spark, path, kinds)
     if checked:
         check(h)
     return tiling.stitched_ranges(h, *_order()).select(F.col("file").alias("path"), "lo", "hi")
@@ -176,13 +176,14 @@ def read_slices(spark: SparkSession, path: str, checked: bool = True, z: tuple[i
     if paths.resolve(path) == "zarr":
         at = _zarr(spark, path, z).withColumn("lo", F.lit(0))
     else:
-        ranges = _stack(spark, path, checked)
+        kinds = _kinds(spark, path)
+        ranges = _stack(spark, path, checked, kinds)
         if z is not None:
             ranges = ranges.where((F.col("lo") < z[1]) & (F.col("hi") > z[0]))
             needed = [r.path for r in ranges.select("path").toLocalIterator()]  # names that the reader lists anyway
             if not needed:
                 return spark.createDataFrame([], predict.SLICES)
-        at = slices(spark, path if z is None else needed).join(F.broadcast(ranges.drop("hi")), "path")
+        at = slices(spark, path if z is None else needed, kinds if z is None else None).join(F.broadcast(ranges.drop("hi")), "path")
     out = at.select((F.col("z") + F.col("lo")).alias("z"), "y0", "x0", "height", "width", "data")
     return out if z is None else out.where((F.col("z") >= max(0, z[0])) & (F.col("z") < z[1]))
 
