@@ -201,7 +201,7 @@ def slice_names(spark: SparkSession, path: str) -> DataFrame:
 # --- sinks
 
 
-def _put(path: str, data: bytes) -> int:
+def put(path: str, data: bytes) -> int:
     """Whole or not at all: a task that runs again replaces the file with the same one."""
     os.makedirs(os.path.dirname(path), exist_ok=True)
     own = f"{path}.{os.getpid()}"
@@ -227,7 +227,7 @@ def write_slices(vox: DataFrame, folder: str, name: str = "volume", suffix: str
 
     def work(n: int, z: np.ndarray, y: np.ndarray, x: np.ndarray, v: np.ndarray) -> list[tuple]:
         path = f"{folder}/{name}_{n:05d}{suffix}"
-        return [(path, _put(path, codecs.encode(_cube(z, y, x, v, dtype, (n, 0, 0)), suffix)))]
+        return [(path, put(path, codecs.encode(_cube(z, y, x, v, dtype, (n, 0, 0)), suffix)))]
 
     return worked(vox, [F.col("z")], _CELLS, work, WRITTEN)
 
@@ -238,7 +238,7 @@ def write_named(vox: DataFrame, folder: str, names: DataFrame, dtype: str = "flo
     def work(n: int, name: str, z: np.ndarray, y: np.ndarray, x: np.ndarray, v: np.ndarray) -> list[tuple]:
         suffix = ".nii.gz" if name.endswith(".nii.gz") else os.path.splitext(name)[1].lower()
         path = f"{folder}/{name}"
-        return [(path, _put(path, codecs.encode(_cube(z, y, x, v, dtype, (n, 0, 0)), suffix)))]
+        return [(path, put(path, codecs.encode(_cube(z, y, x, v, dtype, (n, 0, 0)), suffix)))]
 
     rows = vox.select(*_CELLS).join(names.select("z", F.col("name").alias("name_")), "z")
     return worked(rows, [F.col("z"), F.col("name_")], _CELLS, work, WRITTEN)
@@ -250,7 +250,7 @@ def write_chunks(vox: DataFrame, folder: str, depth: int, chunk: int, name: str
     def work(k: int, z: np.ndarray, y: np.ndarray, x: np.ndarray, v: np.ndarray) -> list[tuple]:
         z0 = k * chunk
         path = f"{folder}/{name}_z{z0}-{min(depth, z0 + chunk)}{suffix}"
-        return [(path, _put(path, codecs.encode(_cube(z, y, x, v, dtype, (z0, 0, 0)), suffix)))]
+        return [(path, put(path, codecs.encode(_cube(z, y, x, v, dtype, (z0, 0, 0)), suffix)))]
 
     return worked(vox, [F.expr(f"z DIV {chunk}")], _CELLS, work, WRITTEN)
 
@@ -291,12 +291,12 @@ def write_single(vox: DataFrame, folder: str, shape: tuple[int, int, int], name:
 
 def write_zarr(vox: DataFrame, folder: str, shape: tuple[int, int, int], chunks: tuple[int, int, int], dtype: str = "float32", compressor: str = "blosc") -> DataFrame:
     """A Zarr array: its metadata first, then one file for each chunk that holds a voxel."""
-    _put(f"{folder}/.zarray", codecs.zarr_metadata(shape, chunks, dtype, compressor).encode())
+    put(f"{folder}/.zarray", codecs.zarr_metadata(shape, chunks, dtype, compressor).encode())
 
     def work(a: int, b: int, c: int, z: np.ndarray, y: np.ndarray, x: np.ndarray, v: np.ndarray) -> list[tuple]:
         path = f"{folder}/{a}.{b}.{c}"
         lo = tuple(i * n for i, n in zip((a, b, c), chunks, strict=True))
-        return [(path, _put(path, codecs.write_chunk(_cube(z, y, x, v, np.dtype(dtype).str, lo), chunks, compressor)))]
+        return [(path, put(path, codecs.write_chunk(_cube(z, y, x, v, np.dtype(dtype).str, lo), chunks, compressor)))]
 
     return worked(vox, [F.expr(f"{c} DIV {n}") for c, n in zip("zyx", chunks, strict=True)], _CELLS, work, WRITTEN)
 
@@ -304,8 +304,8 @@ def write_zarr(vox: DataFrame, folder: str, shape: tuple[int, int, int], chunks:
 def write_ome_zarr(vox: DataFrame, folder: str, shape: tuple[int, int, int], chunks: tuple[int, int, int], levels: int, factor: int = 2, dtype: str = "float32") -> DataFrame:
     """A pyramid as a Zarr group with its multiscales block: one array for each level."""
     shapes = resample.levels(shape, levels, factor)
-    _put(f"{folder}/.zgroup", b'{"zarr_format": 2}')
-    _put(f"{folder}/.zattrs", ('{"multiscales": ' + resample.ome_metadata(len(shapes), factor) + "}").encode())
+    put(f"{folder}/.zgroup", b'{"zarr_format": 2}')
+    put(f"{folder}/.zattrs", ('{"multiscales": ' + resample.ome_metadata(len(shapes), factor) + "}").encode())
     out, now = None, vox.select("z", "y", "x", "v")
     for i, s in enumerate(shapes):
         if i:

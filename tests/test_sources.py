@@ -11,7 +11,7 @@ from tessavox.functions import paths
 from tessavox.operators import predict, report, stats
 from tessavox.plans import jobs
 from tessavox.plans.session import session
-from tessavox.sources import codecs, convert, volumes
+from tessavox.sources import codecs, convert, pictures, volumes
 from tessavox.streaming import slices
 
 
@@ -252,3 +252,18 @@ def test_evaluation_of_folders(spark, tmp_path):
         assert r.tp == ((g[used] > 0) & (p[used] > 0)).sum() and r.fn == ((g[used] > 0) & (p[used] == 0)).sum()
     jobs.analysis(spark, str(tmp_path))
     assert spark.read.option("header", True).csv(str(tmp_path / "evaluation_report" / "detailed")).columns == ["parent_folder", "image_folder", "model_name", *report.DETAILED_COLUMNS]
+
+
+def test_pictures(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    a = rng.integers(0, 50, (2, 2, 3, 4)).astype(float)
+    rows = [(*map(int, i), float(v)) for i, v in np.ndenumerate(a)]
+    df = spark.createDataFrame(rows, "sample long, panel int, y long, x long, v double")
+    assert pictures.write_samples(df, str(tmp_path / "s")).count() == 2
+    got = codecs.read_png((tmp_path / "s" / "sample_1.png").read_bytes())[0]
+    grey = [np.round((x - x.min()) / (x.max() - x.min()) * 255) for x in a[1]]
+    assert (got[:, :4] == grey[0]).all() and (got[:, 6:] == grey[1]).all() and (got[:, 4:6] == 255).all()
+    curve = spark.createDataFrame([(e, m, float(e if m == "up" else 1)) for e in range(5) for m in ("up", "flat")] + [(9, "up", float("nan"))], "epoch long, metric string, value double")
+    assert pictures.write_curves(curve, str(tmp_path / "c"), 20, 30).count() == 2
+    up = codecs.read_png((tmp_path / "c" / "up.png").read_bytes())[0]
+    assert up[19, 0] == 0 and up[0, 29] == 0 and up[0, 0] == 255 and (up == 0).any(axis=0).all()
