@@ -358,6 +358,35 @@ def test_quality_on_the_table(spark, data, texts):
         assert not (r.base_failed and r.kept)
 
 
+def test_verdicts_by_hand(spark, texts):
+    """kept, rule by rule in plain Python, on documents of which those full of symbols or of short words were labelled bad."""
+    rng = random.Random(12)
+    rows = [(i, t) for i, t in texts if len((t or "").split()) >= 60]
+    bad = [(5000 + i, " ".join(w + rng.choice(["", "#", "|*"]) for w in t.split())) for i, t in rows[:60]]
+    bad += [(7000 + i, " ".join("".join(rng.choices("abcdef", k=2)) for _ in range(200))) for i in range(40)]
+    good = [(i, t) for i, t in rows[60:]]
+    docs = spark.createDataFrame([*good, *bad, (1, None), (2, "few words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad], "doc_id long, quality int")
+    rules = quality_rules.fit(docs, labels)
+    assert rules and quality_rules.fit(docs, labels) == rules
+    words_in_order = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    kept, wrong = {r.doc_id: r.kept for r in quality_rules.quality(docs, labels).collect()}, [0, 0]
+    for i, t in [*good, *bad, (1, None), (2, "few words")]:
+        stats = dict(zip(quality_rules.STATS, quality_rules.text_stats(t), strict=True))
+        assert tuple(stats[n] for n in words_in_order) == stats_of(t)
+
+        def share(feature):
+            a, b = quality_rules.FEATURES[feature]
+            return stats[a] / max(stats[b], 1)
+
+        base = out = stats["n_words"] < 50 or 100 * stats["n_repeat_words"] > 50 * stats["n_words"]
+        for rule in rules:
+            out = out or all((share(c.feature) > c.threshold) == c.above for c in rule)
+        assert kept[i] == (not out)
+        wrong[i >= 5000] += not base and kept[i] == (i >= 5000)
+    assert wrong[0] <= 0.03 * len(good) and wrong[1] <= 0.4 * len(bad), wrong  # of what the base rules leave to the list
+
+
 def test_rules_are_learned(spark):
     rng = np.random.default_rng(6)
     n = 3000
