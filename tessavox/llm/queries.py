@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessavox.llm.archives import archived
 from tessavox.llm.common import table
+from tessavox.llm.conversation_repair import damaged, repaired
 from tessavox.llm.decontaminate import decontamination
 from tessavox.llm.line_dedup import line_dedup
 from tessavox.llm.pieces import encode_decode
@@ -104,6 +105,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(damaged(table(spark, sf_dir, "conversations")), copies_col="copies")
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 OP1 = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -199,10 +204,48 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
+#: Rows after damage in order; state by state the least cost and audit over the rows, deletions before insertions.
+OP11 = r"""
+WITH RECURSIVE k AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+f AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], [CAST(ord(key[i]) AS BIGINT) for i in range(1, length(key) + 1)]), lambda c, b:
+    list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, k: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) % 20 AS fault FROM k),
+dam AS (SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+  CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+  unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM dam),
+g AS (SELECT *, CASE WHEN regexp_full_match(text, '[ 	-]*') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN regexp_matches(text, '[^ 	-.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault,
+  lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM r),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before[1] || role[1] NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS m FROM g GROUP BY conv_id),
+pairs(s, t, k) AS (VALUES ('', 's', 0), ('', 'u', 0), ('', 'a', 1), ('s', 'u', 0), ('s', 'a', 1), ('u', 'a', 0), ('u', 'u', 1), ('a', 'u', 0), ('a', 'a', 1)),
+ways AS (SELECT g.conv_id, g.i, p.s, p.t, 5 * p.k + CASE WHEN g.role[1] = p.t THEN 0 ELSE 1 END + CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS price,
+    repeat('I', p.k) || CASE WHEN g.role[1] = p.t THEN 'K' ELSE 'R' END AS letters
+  FROM g, pairs p WHERE g.fault NOT IN ('blank', 'duplicate') AND (g.role[1] = p.t OR p.t <> 's')
+  UNION ALL SELECT conv_id, i, s, s, 2, 'D' FROM g, (VALUES (''), ('s'), ('u'), ('a')) AS v(s)),
+dp AS (SELECT conv_id, 0::BIGINT AS i, '' AS s, 0::BIGINT AS cost, '' AS audit FROM n
+  UNION ALL SELECT conv_id, i, s, cost, audit FROM (SELECT w.conv_id, w.i, w.t AS s, dp.cost + w.price AS cost, dp.audit || w.letters AS audit,
+    row_number() OVER (PARTITION BY w.conv_id, w.t ORDER BY dp.cost + w.price, dp.audit || w.letters) AS k
+    FROM dp JOIN ways w ON w.conv_id IS NOT DISTINCT FROM dp.conv_id AND w.i = dp.i + 1 AND w.s = dp.s) WHERE k = 1),
+fin AS (SELECT conv_id, cost, audit FROM (SELECT dp.conv_id, dp.cost + 5 * e.k AS cost, dp.audit || repeat('I', e.k) AS audit,
+    row_number() OVER (PARTITION BY dp.conv_id ORDER BY dp.cost + 5 * e.k, dp.audit || repeat('I', e.k)) AS best
+  FROM dp JOIN n ON n.conv_id IS NOT DISTINCT FROM dp.conv_id AND n.m = dp.i JOIN (VALUES ('', 0), ('s', 2), ('u', 1), ('a', 0)) AS e(s, k) ON e.s = dp.s) WHERE best = 1),
+ed AS (SELECT conv_id, audit, j, audit[j] AS e, len(replace(audit[1:j], 'I', '')) AS i, len(replace(audit[1:j], 'D', '')) AS line FROM (SELECT *, unnest(range(1, length(audit) + 1)) AS j FROM fin)),
+ls AS (SELECT ed.*, g.role, g.text, max(CASE WHEN ed.e <> 'D' AND ed.line = 1 AND ed.e = 'K' AND g.role[1] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY ed.conv_id) AS has_s
+  FROM ed LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM ed.conv_id AND g.i = ed.i),
+rep AS (SELECT conv_id, string_agg(CASE e WHEN 'K' THEN role ELSE CASE (line - has_s) % 2 WHEN 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE e WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS t
+  FROM ls WHERE e <> 'D' GROUP BY conv_id),
+o AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT o.conv_id, coalesce(n.gaps, 0) AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate, coalesce(n.truncated, 0) AS truncated, coalesce(n.illegal, 0) AS illegal,
+  coalesce(fin.cost, 0) AS cost, coalesce(fin.audit, '') AS audit, sha256(coalesce(rep.t, '')) AS repaired_sha256
+FROM o LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN rep ON rep.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_piece_codec, op4_sanitisation, op5_quotation_links, op6_line_dedup, op7_quality_rules, op8_archives, op9_sentence_spans, op10_simhash, quoted_conversations)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_piece_codec, op4_sanitisation, op5_quotation_links, op6_line_dedup, op7_quality_rules, op8_archives, op9_sentence_spans, op10_simhash, op11_conversation_repair, quoted_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op5_quotation_links": OP5, "quoted_conversations": QUOTED, "op6_line_dedup": OP6, "op8_archives": OP8}
+    return {"op1_decontamination": OP1, "op5_quotation_links": OP5, "quoted_conversations": QUOTED, "op6_line_dedup": OP6, "op8_archives": OP8, "op11_conversation_repair": OP11}
