@@ -12,6 +12,7 @@ from tessavox.llm.archives import archived
 from tessavox.llm.common import table
 from tessavox.llm.conversation_repair import damaged, repaired
 from tessavox.llm.decontaminate import decontamination
+from tessavox.llm.importance import resampled
 from tessavox.llm.line_dedup import line_dedup
 from tessavox.llm.pieces import encode_decode
 from tessavox.llm.quality_rules import quality
@@ -109,6 +110,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired(damaged(table(spark, sf_dir, "conversations")), copies_col="copies")
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 OP1 = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -213,9 +218,12 @@ dam AS (SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE coalesce(role,
   CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
   unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM f),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM dam),
-g AS (SELECT *, CASE WHEN regexp_full_match(text, '[ 	-]*') THEN 'blank'
+g AS (SELECT *, CASE WHEN regexp_full_match(text, '[ 	-
+]*') THEN 'blank'
     WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
-    WHEN regexp_matches(text, '[^ 	-.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault,
+    WHEN regexp_matches(text, '[^ 	-
+.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault,
   lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM r),
 n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
   count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before[1] || role[1] NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS m FROM g GROUP BY conv_id),
@@ -242,10 +250,30 @@ SELECT o.conv_id, coalesce(n.gaps, 0) AS gaps, coalesce(n.blank, 0) AS blank, co
 FROM o LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN rep ON rep.conv_id IS NOT DISTINCT FROM o.conv_id
 """
 
+#: Buckets of the different features by a table of CRC-32 steps, eight shifts for each of 256 bytes.
+OP13 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT {_WORDS} AS w FROM benchmark),
+fd AS (SELECT doc_id, len(w) AS n_words, list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS f FROM d),
+fb AS (SELECT unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS f FROM b),
+u AS (SELECT row_number() OVER () AS r, doc_id, n_words, f FROM fd),
+x AS (SELECT r, unnest(f) AS f FROM u),
+k AS (SELECT f, xor(list_reduce(list_concat([4294967295::BIGINT], [CAST(CAST('0x' || substring(hex(encode(f)), 2 * i - 1, 2) AS INTEGER) AS BIGINT) for i in range(1, strlen(f) + 1)]), lambda c, y:
+    list_reduce(list_concat([xor(c, y)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) % 10000 AS bucket
+  FROM (SELECT f FROM x UNION SELECT f FROM fb)),
+s AS (SELECT bucket, count(*) AS s FROM x JOIN k USING (f) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM fb JOIN k USING (f) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+w AS (SELECT r, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM x JOIN k USING (f) JOIN g USING (bucket) GROUP BY r),
+h AS (SELECT u.*, coalesce(w.n_features, 0) AS n_features, coalesce(w.weight, 0) AS weight,
+  floor(-1000 * ln(-ln((CAST('0x' || substring(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise FROM u LEFT JOIN w USING (r)),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY weight + noise DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM h)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN n_words >= 20 AND place <= 25 * n // 100 THEN place END AS rank FROM o
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_piece_codec, op4_sanitisation, op5_quotation_links, op6_line_dedup, op7_quality_rules, op8_archives, op9_sentence_spans, op10_simhash, op11_conversation_repair, quoted_conversations)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_piece_codec, op4_sanitisation, op5_quotation_links, op6_line_dedup, op7_quality_rules, op8_archives, op9_sentence_spans, op10_simhash, op11_conversation_repair, op13_resampling, quoted_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op5_quotation_links": OP5, "quoted_conversations": QUOTED, "op6_line_dedup": OP6, "op8_archives": OP8, "op11_conversation_repair": OP11}
+    return {"op1_decontamination": OP1, "op5_quotation_links": OP5, "quoted_conversations": QUOTED, "op6_line_dedup": OP6, "op8_archives": OP8, "op11_conversation_repair": OP11, "op13_resampling": OP13}
