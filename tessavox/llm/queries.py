@@ -13,6 +13,7 @@ from tessavox.llm.common import table
 from tessavox.llm.conversation_repair import damaged, repaired
 from tessavox.llm.decontaminate import decontamination
 from tessavox.llm.importance import resampled
+from tessavox.llm.jaccard import near_duplicates as shingle_duplicates
 from tessavox.llm.line_dedup import line_dedup
 from tessavox.llm.pieces import encode_decode
 from tessavox.llm.quality_rules import quality
@@ -110,6 +111,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired(damaged(table(spark, sf_dir, "conversations")), copies_col="copies")
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -250,6 +255,19 @@ SELECT o.conv_id, coalesce(n.gaps, 0) AS gaps, coalesce(n.blank, 0) AS blank, co
 FROM o LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN rep ON rep.conv_id IS NOT DISTINCT FROM o.conv_id
 """
 
+#: Sets by list of different shingles, all pairs that share one, then the closure of the links over the texts' sets.
+OP12 = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)])) END AS t FROM d),
+n AS (SELECT t, min(doc_id) AS least, row_number() OVER (ORDER BY min(doc_id), t) AS k, len(t) AS n FROM s WHERE len(t) > 0 GROUP BY t),
+x AS (SELECT k, n, unnest(t) AS g FROM n),
+l AS (SELECT a.k AS p, b.k AS q FROM x a JOIN x b ON a.g = b.g AND a.k < b.k GROUP BY a.k, a.n, b.k, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT p, q FROM l UNION ALL SELECT q, p FROM l),
+c AS (SELECT k AS p, k AS root FROM n UNION SELECT e.q, c.root FROM c JOIN e ON e.p = c.p WHERE c.root < e.q),
+m AS (SELECT p, min(root) AS root FROM c GROUP BY p)
+SELECT s.doc_id, len(s.t) AS n_shingles, CASE WHEN len(s.t) = 0 THEN s.doc_id ELSE o.least END AS component_id
+FROM s LEFT JOIN n ON n.t = s.t LEFT JOIN m ON m.p = n.k LEFT JOIN n o ON o.k = m.root
+"""
 #: Buckets of the different features by a table of CRC-32 steps, eight shifts for each of 256 bytes.
 OP13 = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT {_WORDS} AS w FROM benchmark),
@@ -272,8 +290,8 @@ SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN n_words >=
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_piece_codec, op4_sanitisation, op5_quotation_links, op6_line_dedup, op7_quality_rules, op8_archives, op9_sentence_spans, op10_simhash, op11_conversation_repair, op13_resampling, quoted_conversations)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_piece_codec, op4_sanitisation, op5_quotation_links, op6_line_dedup, op7_quality_rules, op8_archives, op9_sentence_spans, op10_simhash, op11_conversation_repair, op12_jaccard, op13_resampling, quoted_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op5_quotation_links": OP5, "quoted_conversations": QUOTED, "op6_line_dedup": OP6, "op8_archives": OP8, "op11_conversation_repair": OP11, "op13_resampling": OP13}
+    return {"op1_decontamination": OP1, "op5_quotation_links": OP5, "quoted_conversations": QUOTED, "op6_line_dedup": OP6, "op8_archives": OP8, "op11_conversation_repair": OP11, "op12_jaccard": OP12, "op13_resampling": OP13}
