@@ -59,8 +59,9 @@ class Shingles:
             except KeyError:
                 if len(known) > KNOWN:
                     known.clear()
-                for w in {*words} - known.keys():
-                    known[w] = xxhash.xxh64_intdigest(w, 1)
+                for w in words:
+                    if w not in known:
+                        known[w] = xxhash.xxh64_intdigest(w, 1)
                 found = [*map(known.__getitem__, words)]
             out.append(np.array(found, np.uint64))
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
@@ -124,6 +125,7 @@ def _repeated(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _rows(texts: DataFrame, counts: Broadcast, size: int, percent: int) -> DataFrame:
     """doc_id, key (of the text), n, node (of the set), grp (of size and prefix) of every row; the prefix where the task meets the group first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, times = counts.value
         shingles, seen = Shingles(size), set()
