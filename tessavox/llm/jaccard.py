@@ -6,9 +6,10 @@ among the first ``n - ceil(t n) + 1`` of each. Equal sets are one node, nodes wi
 are posted under the shingles of their prefixes.
 
 Groups of copies must not cost all their pairs. So, first, each posted group meets only a leader of its shingle (the one that has the
-shingle earliest, of a size that fits): these stars are expanded to nodes, verified on the whole sets, and contracted. Then the
-shingles that still hold several components give all pairs of groups from different components; these are filtered by their sizes,
-by how many shingles of their prefixes they share and what can follow, expanded and verified. Within a component nothing is left to find.
+shingle earliest, of a size that fits): these pairs of groups are filtered by how many shingles of their prefixes they share and what
+can follow, expanded to nodes, verified on the whole sets, and contracted. Then the shingles that still hold several components give all
+pairs of groups from different components, but for stars whose leaders are too far from each other; these pairs are filtered,
+expanded and verified likewise. Within a component nothing is left to find.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessavox.llm.common import pick, small, tidy, whole, written
@@ -29,8 +30,8 @@ from tessavox.llm.simhash import contracted
 SHINGLE, PERCENT = 5, 80
 #: Shingles that are counted together, shingles whose counts are kept (16 bytes each), and words and sets known at a time.
 CHUNK, COUNTED, KNOWN = 1 << 21, 1 << 21, 1 << 19
-#: Bytes of a text whose words are taken together.
-PIECE = 1 << 20
+#: Bytes of a text whose words are taken together; sets that one node is compared with in a task; groups of a large star.
+PIECE, MEMBERS, LARGE = 1 << 20, 2048, 16
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 _ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -206,44 +207,72 @@ def _posted(rows: DataFrame, percent: int) -> DataFrame:
     return posts.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lead, "token long, grp long, n long, pos long, leader long")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b of those pairs of nodes whose whole sets are linked."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    place = F.min(F.struct("key", "doc_id")).alias("at")
-    wanted = written(rows.join(nodes, "node").groupBy("node").agg(place).select(F.col("at.key").alias("key_"), F.col("at.doc_id").alias("id_")), "wanted")
+def _compared(pairs: DataFrame, members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b, far (their Jaccard distance), linked of pairs of nodes, from the whole sets.
+
+    Each text is read once and its set sent to every pair that it is in: to the parts of MEMBERS rows that a node a is compared in,
+    first a itself, then a stream of the others.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    others = pairs.join(parts, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(False).alias("head"))
+    heads = parts.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("head"))
+    sends = others.union(heads).groupBy("node").agg(F.collect_list(F.struct("a", "part", "head")).alias("to"))
+    wanted = written(sends.join(members, "node").select(F.col("at.key").alias("key_"), F.col("at.doc_id").alias("id_"), "to"), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, seen = Shingles(size), set()
+        shingles, names = Shingles(size), ["a", "part", "head", "node", "tokens"]
+        out, held = [], 0
+        for b in batches:
+            for line, to in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = shingles.of(line)
+                node, data = _node(s), s.tobytes()
+                for x in to:
+                    out.append((x["a"], x["part"], x["head"], node, data))
+                    held += len(data)
+                    if held > 1 << 24:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                        out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = s = None
         for b in batches:
             out = []
-            for key, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if key not in seen:
-                    if len(seen) > KNOWN:
-                        seen.clear()
-                    seen.add(key)
-                    s = shingles.of(line)
-                    out.append((_node(s), s.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.large_binary()).cast(pa.binary())], ["node", "tokens"])
-
+            for a, head, node, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                t = np.frombuffer(tokens.as_buffer(), np.uint64)
+                if head:
+                    first, s = a, t.copy()
+                    continue
+                assert first == a
+                short, long = (s, t) if len(s) < len(t) else (t, s)
+                at = np.minimum(np.searchsorted(long, short), len(long) - 1)
+                common = int((long[at] == short).sum())
+                union = len(s) + len(t) - common
+                out.append((a, node, 1 - common / union, 100 * common >= percent * union))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.binary(), pa.binary(), pa.float64(), pa.bool_()], strict=True)], ["a", "b", "far", "linked"])
+
+    kinds = [pa.binary(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
     here = (F.col("key") == F.col("key_")) & F.col("doc_id").eqNullSafe(F.col("id_"))
-    found = written(texts.join(small(wanted), here, "left_semi").select("key", "text").mapInArrow(sets, "node binary, tokens binary"), "sets")
-    if found.count() > wanted.count():  # rows that repeat text and id, met by several tasks
-        found = written(found.groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
-    b_side = found.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b"))
-    a_side = found.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a"))
-
-    @F.arrow_udf("boolean")
-    def linked(x: pa.Array, y: pa.Array) -> pa.Array:
-        out = []
-        for p, q in zip(x, y, strict=True):
-            s, t = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-            short, long = (s, t) if len(s) < len(t) else (t, s)
-            at = np.minimum(np.searchsorted(long, short), len(long) - 1)
-            common = int((long[at] == short).sum())
-            out.append(100 * common >= percent * (len(s) + len(t) - common))
-        return pa.array(out, pa.bool_())
-
-    return pairs.join(b_side, "b").join(a_side, "a").where(linked("tokens_a", "tokens_b")).select("a", "b")
+    sent = texts.join(small(wanted), here).select("text", "to").mapInArrow(sets, "a binary, part int, head boolean, node binary, tokens binary")
+    dealt = sent.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("head"))
+    return dealt.select("a", "head", "node", "tokens").mapInArrow(compare, "a binary, b binary, far double, linked boolean").distinct()
+
+
+def _shared(pairs: DataFrame, posted: DataFrame, percent: int) -> DataFrame:
+    """Those pairs of groups g, h that share enough of their prefixes, by what can follow the last shared shingle, to be linked."""
+    one = posted.select(F.col("grp").alias("g"), "token", F.col("n").alias("n_g"), F.col("pos").alias("at_g"))
+    two = posted.select(F.col("grp").alias("h"), "token", F.col("n").alias("n_h"), F.col("pos").alias("at_h"))
+    met = pairs.join(one, "g").join(two, ["h", "token"]).groupBy("g", "h", "n_g", "n_h").agg(*_met())
+    return met.where(_ENOUGH.format(p=percent, q=100 + percent)).select("g", "h")
+
+
+def _met() -> list[Column]:
+    return [F.count("*").alias("common"), F.max("at_g").alias("at_g"), F.max("at_h").alias("at_h")]
+
+
+_ENOUGH = "{q} * (common + least(n_g - at_g, n_h - at_h) - 1) >= {p} * (n_g + n_h)"
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -261,20 +290,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = written(_rows(texts, counts, size, percent), "rows", last=True)
         counts.destroy()
         posted = written(_posted(rows, percent), "posted")
-        members = written(rows.where("node is not null").select("grp", "node", "n").distinct(), "members")
+        members = written(rows.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("grp").alias("grp"), F.min(F.struct("key", "doc_id")).alias("at")), "members")
         heads = members.groupBy("grp").agg(F.min("node").alias("head"))
-        stars = posted.where("leader is not null").select("grp", "leader").distinct()
-        stars = stars.join(members, "grp").join(heads.select(F.col("grp").alias("leader"), "head"), "leader")
+        stars = posted.where("leader is not null").select(F.col("leader").alias("g"), F.col("grp").alias("h")).distinct()
+        stars = _shared(stars, posted, percent).join(members.select(F.col("grp").alias("h"), "node"), "h").join(heads.select(F.col("grp").alias("g"), "head"), "g")
         inside = members.join(heads, "grp").where("node != head")
         pairs = stars.select(F.col("head").alias("a"), F.col("node").alias("b")).union(inside.select(F.col("head").alias("a"), F.col("node").alias("b")))
-        pairs = written(pairs.where("a != b").distinct(), "stars")
-        links = written(_verified(pairs, rows, texts, size, percent), "links")
-        groups = written(_components(links), "stars-groups")
-        more = written(_across(posted, members, groups, percent), "across")
-        if not more.isEmpty():
-            late = written(_verified(more, rows, texts, size, percent), "links")
-            if not late.isEmpty():
-                groups = written(_components(links.union(late)), "groups")
+        met = written(_compared(written(pairs, "stars"), members, texts, size, percent), "met")
+        links = met.where("linked").select("a", "b")
+        groups = written(_components(links), "groups")
+        # who is linked with a leader stands at a known distance from it
+        hubs = met.where("linked").groupBy(F.col("b").alias("node")).agg(F.min(F.struct("far", "a")).alias("hub"))
+        units = members.join(groups, "node", "left").join(hubs, "node", "left")
+        units = written(units.select("grp", "node", F.coalesce("root", "node").alias("root"), F.coalesce("hub.a", "node").alias("hub"), F.coalesce("hub.far", F.lit(0.0)).alias("far")), "units")
+        late = _across(posted, units, members, texts, size, percent)
+        if not late.isEmpty():
+            groups = written(_components(links.union(late)), "groups")
         ids = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
         named = ids.join(groups, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
         least = named.groupBy("root").agg(F.min("least").alias("component"))
@@ -290,20 +321,112 @@ def _components(links: DataFrame) -> DataFrame:
     return groups.union(groups.select("root", "root")).distinct()
 
 
-def _across(posted: DataFrame, members: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """a, b: nodes of different components whose groups share enough of their prefixes to be linked."""
-    units = written(members.join(groups, "node", "left").select("grp", "node", F.coalesce("root", "node").alias("root")), "units")
-    posts = posted.select("token", "grp", "n", "pos").join(units.select("grp", "root").distinct(), "grp")
+def _guests(posts: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """g, h, hub, hub_2: pairs of groups, as ``_shared`` filters them, of a large star and of others.
+
+    A part of the large star is held by shingle, the others' groups pass by one at a time: rows in proportion to both, not to their pairs.
+    """
+    first = F.col("many") >= F.col("many_2")
+    told = blocks.select(F.when(first, F.col("hub")).otherwise(F.col("hub_2")).alias("host"), F.when(first, F.col("hub_2")).otherwise(F.col("hub")).alias("guest"), F.greatest("many", "many_2").alias("many"), F.least("many", "many_2").alias("few"))
+    hosts = told.groupBy("host").agg(F.ceil(F.max("many") / MEMBERS).cast("int").alias("parts"), F.ceil(F.sum("few") / (16 * MEMBERS)).cast("int").alias("lanes"))
+    plain = posts.select(F.col("hub").alias("star"), "grp", "n", "token", "pos")
+    part, lane = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))
+    own = hosts.join(plain, F.col("host") == F.col("star")).withColumn("part", F.pmod(F.xxhash64("grp"), "parts").cast("int")).select("host", "part", lane.alias("lane"), F.lit(0).alias("kind"), "star", "grp", "n", "token", "pos")
+    guests = told.join(hosts, "host").join(plain, F.col("guest") == F.col("star")).withColumn("lane", F.pmod(F.xxhash64("grp"), "lanes").cast("int")).select("host", part.alias("part"), "lane", F.lit(1).alias("kind"), "star", "grp", "n", "token", "pos")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, index = None, [], None
+
+        def indexed() -> tuple[np.ndarray, ...]:
+            group, n, token, pos = (np.array(x, np.int64) for x in zip(*held, strict=True))
+            groups, number = np.unique(group, return_inverse=True)
+            sizes = np.zeros(len(groups), np.int64)
+            sizes[number] = n
+            by = np.argsort(token, kind="stable")
+            return groups, sizes, token[by], number[by], pos[by]
+
+        def guest(rows: list[tuple]) -> np.ndarray:
+            groups, sizes, token, number, at = index
+            own = np.array([r[2] for r in rows], np.int64)
+            low, high = np.searchsorted(token, own), np.searchsorted(token, own, side="right")
+            common, last, own_last = (np.zeros(len(groups), np.int64) for _ in range(3))
+            for a, b, r in zip(low.tolist(), high.tolist(), rows, strict=True):
+                who = number[a:b]
+                common[who] += 1
+                last[who] = np.maximum(last[who], at[a:b])
+                own_last[who] = np.maximum(own_last[who], r[3])
+            n = rows[0][1]
+            fits = (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)) & ((100 + percent) * (common + np.minimum(sizes - last, n - own_last) - 1) >= percent * (sizes + n))
+            return groups[fits & (common > 0)]
+
+        waiting: tuple | None = None  # place, star, group of the guest whose rows are being gathered
+        rows: list[tuple] = []
+        for b in batches:
+            out: list[tuple] = []
+
+            def leave() -> None:
+                if waiting is not None:
+                    out.extend((g, waiting[2], waiting[0][0], waiting[1]) for g in guest(rows).tolist())  # noqa: B023
+
+            for host, part, lane, kind, star, grp, n, token, pos in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if (host, part, lane) != place:
+                    leave()
+                    place, held, index, waiting, rows = (host, part, lane), [], None, None, []
+                if kind == 0:
+                    held.append((grp, n, token, pos))
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    index = indexed()
+                if waiting is None or waiting[1:] != (star, grp):
+                    leave()
+                    waiting, rows = (place, star, grp), []
+                rows.append((grp, n, token, pos))
+            if out:
+                yield _guest_rows(out)
+        if waiting is not None:
+            yield _guest_rows([(g, waiting[2], waiting[0][0], waiting[1]) for g in guest(rows).tolist()])
+
+    dealt = own.union(guests).repartition("host", "part", "lane").sortWithinPartitions("host", "part", "lane", "kind", "star", "grp")
+    return dealt.mapInArrow(meet, "g long, h long, hub binary, hub_2 binary")
+
+
+def _guest_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["g", "h", "hub", "hub_2"])
+
+
+def _across(posted: DataFrame, units: DataFrame, members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: the links between nodes of different components.
+
+    Stars meet first: if the distance of their leaders is beyond the threshold and both stars' radii (the triangle inequality holds for
+    Jaccard distances), no two of their members are linked. The others meet group by group.
+    """
+    posts = posted.select("token", "grp", "n", "pos").join(units.select("grp", "root", "hub").distinct(), "grp")
     open_ = posts.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
-    posts = written(posts.join(open_, "token"), "open")
-    held = posts.select("token", "root").distinct()
-    both = held.join(held.select("token", F.col("root").alias("other")), "token").where("root < other")
-    one = posts.select("token", "root", F.col("grp").alias("g"), F.col("n").alias("n_g"), F.col("pos").alias("at_g"))
-    two = posts.select("token", F.col("root").alias("other"), F.col("grp").alias("h"), F.col("n").alias("n_h"), F.col("pos").alias("at_h"))
-    met = both.join(one, ["token", "root"]).join(two, ["token", "other"]).where(f"100 * least(n_g, n_h) >= {percent} * greatest(n_g, n_h)")
-    # a group with nodes in several components meets another one once for each pair of them: count shingles, not rows
-    met = met.groupBy("g", "h", "root", "other", "n_g", "n_h").agg(F.count("*").alias("common"), F.max("at_g").alias("at_g"), F.max("at_h").alias("at_h"))
-    met = met.where(f"{100 + percent} * (common + least(n_g - at_g, n_h - at_h) - 1) >= {percent} * (n_g + n_h)")
-    g_side = units.select(F.col("grp").alias("g"), "root", F.col("node").alias("a"))
-    h_side = units.select(F.col("grp").alias("h"), F.col("root").alias("other"), F.col("node").alias("b"))
-    return met.select("g", "h", "root", "other").join(g_side, ["g", "root"]).join(h_side, ["h", "other"]).select("a", "b").distinct()
+    posts = written(posts.join(open_, "token").distinct(), "open")
+    held = posts.select("token", "root", "hub").distinct()
+    both = held.join(held.select("token", F.col("root").alias("other"), F.col("hub").alias("hub_2")), "token").where("root < other").select("token", "hub", "hub_2")
+    both = written(both, "both")
+    radius = units.groupBy("hub").agg(F.max("far").alias("r"))
+    stars = both.select("hub", "hub_2").distinct().join(radius, "hub").join(radius.select(F.col("hub").alias("hub_2"), F.col("r").alias("r_2")), "hub_2")
+    stars = written(stars.where("r + r_2 > 0"), "stars")
+    met = written(_compared(stars.select(F.col("hub").alias("a"), F.col("hub_2").alias("b")), members, texts, size, percent), "met")
+    apart = met.join(stars, (F.col("a") == F.col("hub")) & (F.col("b") == F.col("hub_2"))).where(F.col("far") > 1 - percent / 100 + F.col("r") + F.col("r_2") + 1e-9)
+    both = both.join(apart.select("hub", "hub_2"), ["hub", "hub_2"], "left_anti")
+    many = posts.groupBy("hub").agg(F.count_distinct("grp").alias("many"))
+    sized = both.select("hub", "hub_2").distinct().join(many, "hub").join(many.select(F.col("hub").alias("hub_2"), F.col("many").alias("many_2")), "hub_2")
+    blocks = written(sized.where(f"greatest(many, many_2) >= {LARGE}"), "blocks")
+    both = both.join(blocks.select("hub", "hub_2"), ["hub", "hub_2"], "left_anti")
+    one = posts.select("token", "hub", F.col("grp").alias("g"), F.col("n").alias("n_g"), F.col("pos").alias("at_g"))
+    two = posts.select("token", F.col("hub").alias("hub_2"), F.col("grp").alias("h"), F.col("n").alias("n_h"), F.col("pos").alias("at_h"))
+    close = f"100 * least(n_g, n_h) >= {percent} * greatest(n_g, n_h) AND {100 + percent} * (least(at_g, at_h) + least(n_g - at_g, n_h - at_h)) >= {percent} * (n_g + n_h)"
+    shared = both.join(one, ["token", "hub"]).join(two, ["token", "hub_2"]).where(close)
+    shared = shared.groupBy("g", "h", "hub", "hub_2", "n_g", "n_h").agg(*_met()).where(_ENOUGH.format(p=percent, q=100 + percent))
+    shared = shared.select("g", "h", "hub", "hub_2").union(_guests(posts, blocks, percent))
+    g_side = units.select(F.col("grp").alias("g"), "hub", F.col("node").alias("a"))
+    h_side = units.select(F.col("grp").alias("h"), F.col("hub").alias("hub_2"), F.col("node").alias("b"))
+    pairs = written(shared.join(g_side, ["g", "hub"]).join(h_side, ["h", "hub_2"]).select("a", "b").distinct(), "across")
+    links = met if pairs.isEmpty() else met.union(_compared(pairs, members, texts, size, percent))
+    return written(links.where("linked").select("a", "b"), "links")

@@ -78,7 +78,7 @@ def test_the_table(spark, duck, data, rows_of, texts):
     assert rows_of(got.toArrow()) == rows_of(duck.execute(OP12).to_arrow_table())
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_groups_near_the_border(spark, seed):
     """Chains of edits, copies whose similarities lie around 0.8, one passage in many texts, short texts."""
     rng = random.Random(seed)
@@ -97,8 +97,10 @@ def test_groups_near_the_border(spark, seed):
     assert result(jaccard.near_duplicates(frame(spark, rows))) == slow(rows)
 
 
-def test_links_that_no_leader_sees(spark):
+@pytest.mark.parametrize("large", [1, 16])
+def test_links_that_no_leader_sees(spark, monkeypatch, large):
     """Copies of one text that are too far from each other: their only links go through texts that aren't leaders."""
+    monkeypatch.setattr(jaccard, "LARGE", large)
     rng = random.Random(11)
     base = words(rng, 200)
     docs = [changed(rng, base, 5) for _ in range(60)] + [base]
@@ -107,7 +109,7 @@ def test_links_that_no_leader_sees(spark):
     assert got == slow(rows)
 
 
-@pytest.mark.parametrize("known", [0, 40, 1 << 21])
+@pytest.mark.parametrize("known", [0, 40])
 def test_any_order_of_shingles_is_right(spark, monkeypatch, known):
     monkeypatch.setattr(jaccard, "COUNTED", known)
     monkeypatch.setattr(jaccard, "CHUNK", 500)
@@ -127,17 +129,17 @@ def test_large_groups_make_rows_in_proportion(spark):
     base = words(rng, 300)
     rows = [(i, " ".join(changed(rng, base, 2))) for i in range(1500)]
     seen = []
-    plain = jaccard._verified
+    plain = jaccard._compared
 
     def spied(pairs, *rest):
         seen.append(pairs.count())
         return plain(pairs, *rest)
 
-    jaccard._verified = spied
+    jaccard._compared = spied
     try:
         got = jaccard.near_duplicates(frame(spark, rows)).where("component_id = 0").count()
     finally:
-        jaccard._verified = plain
+        jaccard._compared = plain
     assert got == 1500
     assert sum(seen) < 20 * 1500
 
