@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import functools
 import warnings
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessavox.functions import losses
-from tessavox.operators.grouped import kind, stacks, worked_together
+from tessavox.operators.distance import hausdorff
 
 
 def counts(gt: str = "gt", pr: str = "pr") -> list[Column]:
@@ -94,44 +93,6 @@ def average_precision(rows: DataFrame, *groups: str, score: str = "score", gt: s
     return out.select(*groups, F.when((F.col("truth_") > 0) & (F.col("scores_") > 2), F.col("area_") / F.greatest("truth_", F.lit(1))).otherwise(0.0).alias("pr_auc"))
 
 
-def distances(mask: np.ndarray) -> np.ndarray:
-    """Distance of each pixel to the nearest pixel of its slice's mask (one slice or a stack), exactly: along columns by running
-    extremes, then along rows by offsets of one, two, ... as long as one can still be nearer."""
-    if mask.ndim == 2:
-        return distances(mask[None])[0]
-    height, width = mask.shape[1:]
-    rows = np.arange(height)[:, None]
-    above = np.maximum.accumulate(np.where(mask, rows, -height - width), axis=1)
-    below = np.minimum.accumulate(np.where(mask, rows, 2 * height + width)[:, ::-1], axis=1)[:, ::-1]
-    column = np.minimum(rows - above, below - rows).astype(np.int64) ** 2
-    best = column.copy()
-    for k in range(1, width):
-        if k * k >= best.max():
-            break
-        np.minimum(best[:, :, k:], column[:, :, :-k] + k * k, out=best[:, :, k:])
-        np.minimum(best[:, :, :-k], column[:, :, k:] + k * k, out=best[:, :, :-k])
-    return np.sqrt(best)
-
-
-def robust_hausdorff(gt: np.ndarray, pr: np.ndarray, percentile: float = 95.0) -> list[float | None]:
-    """Of each slice of two stacks the larger of both directed percentiles of the distances to the other mask; None if one is empty."""
-    to_gt, to_pr = distances(gt), distances(pr)
-    both = gt.any(axis=(1, 2)) & pr.any(axis=(1, 2))
-    return [float(max(np.percentile(to_gt[i][pr[i]], percentile), np.percentile(to_pr[i][gt[i]], percentile))) if ok else None for i, ok in enumerate(both)]
-
-
-def hausdorff(rows: DataFrame, *slice_cols: str, percentile: float = 95.0) -> DataFrame:
-    """slice, hausdorff of each slice (``z``, or several key columns); slices with an empty mask are left out."""
-    keys = list(slice_cols or ("z",))
-
-    def work(groups: Iterator[tuple]) -> Iterator[tuple]:
-        for some in stacks(groups, len(keys)):
-            found = robust_hausdorff(np.stack([g for _, g, _ in some]), np.stack([p for _, _, p in some]), percentile)
-            yield from ((*key, h) for (key, _, _), h in zip(some, found, strict=True) if h is not None)
-
-    return worked_together(rows, [F.col(k) for k in keys], ["y", "x", "gt", "pr"], work, ", ".join([f"{k} {kind(rows, k)}" for k in keys] + ["hausdorff double"]))
-
-
 def mean_of_valid(values: DataFrame, column: str) -> DataFrame:
     """One row: mean without nulls and NaN, 0 if none is left."""
     c = F.col(column)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessavox.operators import metrics
+from tessavox.operators.distance import robust_hausdorff
 from tessavox.operators.grouped import kind, stacks, worked_together
 
 _ALL = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) > (0, 0)]
@@ -117,7 +117,7 @@ def object_metrics(rows: DataFrame, *slice_cols: str, min_iou: float = 0.5, min_
     def work(groups: Iterator[tuple]) -> Iterator[tuple]:
         for some in stacks(groups, len(keys)):
             names, g, p = [k for k, _, _ in some], np.stack([a for _, a, _ in some]), np.stack([b for _, _, b in some])
-            lg, lp, lines, far = labels(g, connectivity), labels(p, connectivity), centre_dice(g, p), metrics.robust_hausdorff(g, p, hd_percentile)
+            lg, lp, lines, far = labels(g, connectivity), labels(p, connectivity), centre_dice(g, p), robust_hausdorff(g, p, hd_percentile)
             for i, key in enumerate(names):
                 a, b = (without_small(x[i], min_size, connectivity) for x in (lg, lp))
                 ng, np_ = int(a.max()), int(b.max())

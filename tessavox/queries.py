@@ -424,6 +424,12 @@ def hausdorff(spark, sf_dir):
     return _round(metrics.hausdorff(truth_and_prediction(spark, sf_dir)), "hausdorff")
 
 
+@query(f"WITH {PAIR}, {_HD} SELECT z, round(hausdorff, 6) + 0.0 AS hausdorff FROM hd")
+def hausdorff_by_strips(spark, sf_dir):
+    """No task holds a whole slice: strips of three columns, then of three rows."""
+    return _round(metrics.hausdorff(truth_and_prediction(spark, sf_dir), tile=3), "hausdorff")
+
+
 @query(f"WITH {PAIR}, {_HD}, al AS (SELECT z, hausdorff FROM (SELECT DISTINCT z FROM tp) LEFT JOIN hd USING (z)) SELECT round(coalesce(avg(hausdorff) FILTER (z % 3 <> 0), 0), 6) + 0.0 AS value FROM al")
 def valid_mean(spark, sf_dir):
     """Mean over slices, of which every third is made NaN."""

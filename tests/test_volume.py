@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessavox.functions import intensity, losses, paths
-from tessavox.operators import metrics, normalize, objects, pad, predict, report, resample, stats, stitch, tiling
+from tessavox.operators import distance, metrics, normalize, objects, pad, predict, report, resample, stats, stitch, tiling
 from tessavox.plans.views import volume
 from tessavox.queries import QUERIES
 
@@ -285,8 +285,8 @@ def test_distances_like_all_pairs():
             y, x = np.nonzero(mask)
             yy, xx = np.indices(mask.shape)
             wanted = np.sqrt(((yy[..., None] - y) ** 2 + (xx[..., None] - x) ** 2).min(-1))
-            assert np.allclose(metrics.distances(mask), wanted)
-    assert metrics.robust_hausdorff(np.zeros((1, 2, 2), bool), np.ones((1, 2, 2), bool)) == [None]
+            assert np.allclose(distance.distances(mask), wanted)
+    assert distance.robust_hausdorff(np.zeros((1, 2, 2), bool), np.ones((1, 2, 2), bool)) == [None]
 
 
 def test_registry(spark):
@@ -324,7 +324,7 @@ def test_report_of_all_columns(spark, tmp_path):
             hits = objects.matched(a, b) if a.any() and b.any() else 0
             f1.append(2 * hits / (a.max() + b.max()) if hits else 0.0)
         assert r.obj_f1 == pytest.approx(np.mean(f1))
-        hd = [h for g, p in some if (h := metrics.robust_hausdorff((g == 1)[None], (p == 1)[None])[0]) is not None]
+        hd = [h for g, p in some if (h := distance.robust_hausdorff((g == 1)[None], (p == 1)[None])[0]) is not None]
         assert r.hausdorff == pytest.approx(np.mean(hd))
     report.write(out, report.summary(out), str(tmp_path), "image", "model")
     detailed = spark.read.option("header", True).csv(str(tmp_path / "detailed"))
