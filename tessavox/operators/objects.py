@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessavox.operators.distance import robust_hausdorff
-from tessavox.operators.grouped import kind, stacks, worked_together
+from tessavox.operators.grouped import grid, kind, stacks, worked, worked_together
 
 _ALL = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) > (0, 0)]
 
@@ -130,6 +130,100 @@ def object_metrics(rows: DataFrame, *slice_cols: str, min_iou: float = 0.5, min_
     return worked_together(rows, [F.col(k) for k in keys], ["y", "x", "gt", "pr"], work, schema)
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """a, b: the least node of each linked node's component, by alternating large and small stars; edges: a > b, different ones."""
+    from tessavox.operators.lineage import cut
+
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    was = state(edges)
+    while was[0]:
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        large = cut(both.join(least, F.col("a") == F.col("u")).where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low.withColumnRenamed("a", "u"), F.col("a") == F.col("u")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = cut(small.union(low.select("a", F.col("m").alias("b"))).distinct())
+        new = state(edges)
+        if new == was:
+            break
+        was = new
+    return edges
+
+
+def tiled_metrics(rows: DataFrame, *slice_cols: str, tile: int = 512, min_iou: float = 0.5, min_size: int = 0, connectivity: int = 2) -> DataFrame:
+    """slice, gt_count, pr_count, matched, obj_precision, obj_recall, obj_f1 as ``object_metrics`` has them, of slices of any size.
+
+    Objects are numbered inside tiles, by their first pixels; where tiles touch, numbers of one object meet by equal joins and are
+    contracted. Sizes and overlaps are sums over tiles. The greedy matching takes, in rounds, all pairs that come first both for
+    their prediction and for their truth, which is what one pass in order takes.
+    """
+    from tessavox.operators.lineage import cut
+
+    keys = list(slice_cols or ("z",))
+    ks = [f"k{i}_" for i in range(len(keys))]
+    kinds = [f"{k} {kind(rows, c)}" for k, c in zip(ks, keys, strict=True)]
+    steps = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0) and (connectivity != 1 or not (dy and dx))]
+
+    def work(*group) -> list[tuple]:
+        key, (ty, tx, y, x, gt, pr) = group[: len(keys)], group[len(keys) :]
+        y0, x0 = ty * tile, tx * tile
+        numbered, first, out = [], [], []
+        for which, v in enumerate((gt, pr)):
+            a = labels(grid(y - y0, x - x0, v > 0, "bool", (tile, tile)), connectivity)
+            at, where = np.unique(a, return_index=True)
+            place = np.zeros(len(at) + 1, np.int64)
+            place[at] = (where // tile + y0) << 32 | (where % tile + x0)
+            numbered.append(a)
+            first.append(place)
+            for n, size in zip(at.tolist(), np.bincount(a.ravel(), minlength=len(at)).tolist(), strict=False):
+                if n:
+                    out.append((*key, 0, which, int(place[n]), 0, size))
+            border = np.zeros_like(a)
+            border[[0, -1]], border[:, [0, -1]] = a[[0, -1]], a[:, [0, -1]]
+            out += [(*key, 1, which, int(place[a[i, j]]), (i + y0) << 32 | (j + x0), 1) for i, j in zip(*(c.tolist() for c in np.nonzero(border)), strict=True)]
+        meet = (numbered[0] > 0) & (numbered[1] > 0)
+        pairs, n = np.unique(np.stack([numbered[1][meet], numbered[0][meet]]), axis=1, return_counts=True)
+        out += [(*key, 2, 0, int(first[1][p]), int(first[0][g]), int(m)) for p, g, m in zip(*pairs.tolist(), n.tolist(), strict=True)]
+        return out
+
+    schema = ", ".join([*kinds, "what_ int, which_ int, id_ long, at_ long, n_ long"])
+    found = cut(worked(rows, [*[F.col(k) for k in keys], F.expr(f"CAST(y DIV {tile} AS INT)"), F.expr(f"CAST(x DIV {tile} AS INT)")], ["y", "x", "gt", "pr"], work, schema))
+
+    def node(which, place) -> Column:
+        return F.struct(*ks, which, place)
+
+    edge = found.where("what_ = 1").select(*ks, "which_", "id_", "at_")
+    near = edge.select(*ks, "which_", F.col("id_").alias("other_"), F.explode(F.array(*[F.col("at_") + F.lit(dy * (1 << 32) + dx).cast("long") for dy, dx in steps])).alias("at_"))
+    links = edge.join(near, [*ks, "which_", "at_"]).where("id_ > other_").select(node(F.col("which_").alias("w"), F.col("id_").alias("i")).alias("a"), node(F.col("which_").alias("w"), F.col("other_").alias("i")).alias("b"))
+    roots = _contracted(cut(links.distinct()))
+
+    def rooted(df: DataFrame, which, place: str) -> DataFrame:
+        own = df.withColumn("a", node(F.lit(which).cast("int").alias("w") if isinstance(which, int) else F.col(which).alias("w"), F.col(place).alias("i")))
+        return own.join(roots, "a", "left").withColumn(place, F.coalesce("b.i", place)).drop("a", "b")
+
+    sizes = rooted(found.where("what_ = 0"), "which_", "id_").groupBy(*ks, "which_", "id_").agg(F.sum("n_").alias("size")).where(F.col("size") >= min_size)
+    sizes = cut(sizes)
+    counts = sizes.groupBy(*ks).agg(F.count_if(F.col("which_") == 0).alias("gt_count"), F.count_if(F.col("which_") == 1).alias("pr_count"))
+    both = rooted(rooted(found.where("what_ = 2"), 1, "id_"), 0, "at_").groupBy(*ks, F.col("id_").alias("p"), F.col("at_").alias("g")).agg(F.sum("n_").alias("both"))
+    size = lambda which, name: sizes.where(F.col("which_") == which).select(*ks, F.col("id_").alias(name), F.col("size").alias(f"size_{name}"))
+    left = both.join(size(1, "p"), [*ks, "p"]).join(size(0, "g"), [*ks, "g"]).where(F.col("both") / (F.col("size_p") + F.col("size_g") - F.col("both")) >= min_iou)
+    left, taken = cut(left.select(*ks, "p", "g")), None
+    while not left.isEmpty():
+        ranked = left.withColumn("first_g", F.min("g").over(Window.partitionBy(*ks, "p"))).withColumn("first_p", F.min("p").over(Window.partitionBy(*ks, "g")))
+        hits = cut(ranked.where("g = first_g AND p = first_p").select(*ks, "p", "g"))
+        taken = hits if taken is None else taken.union(hits)
+        left = cut(left.join(hits.drop("g"), [*ks, "p"], "left_anti").join(hits.drop("p"), [*ks, "g"], "left_anti"))
+    matched_ = (left if taken is None else taken).groupBy(*ks).agg(F.count("*").alias("matched"))
+    every = rows.select(*[F.col(c).alias(k) for k, c in zip(ks, keys, strict=True)]).distinct()
+    out = every.join(counts, ks, "left").join(matched_, ks, "left").na.fill(0, ["gt_count", "pr_count", "matched"])
+    m = F.col("matched").cast("double")
+    ratio = lambda c: F.coalesce(F.try_divide(m, F.col(c)), F.lit(0.0))
+    f1 = F.coalesce(F.try_divide(2 * m, F.col("gt_count") + F.col("pr_count")), F.lit(0.0))
+    return out.select(*[F.col(k).alias(c) for k, c in zip(ks, keys, strict=True)], "gt_count", "pr_count", "matched", ratio("pr_count").alias("obj_precision"), ratio("gt_count").alias("obj_recall"), f1.alias("obj_f1"))
+
+
 def components(mask: DataFrame) -> DataFrame:
     """z, y, x, component of the foreground of a whole volume (26 neighbours): the smallest number of its voxels.
 
@@ -148,20 +242,5 @@ def components(mask: DataFrame) -> DataFrame:
     told = now.select(F.col("id").alias("a"), F.explode(near).alias("step")).select("a", (F.col("a") + F.col("step")).alias("b"))
     edges = cut(told.join(now.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b"))
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    was = state(edges)
-    while was[0]:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = cut(both.join(least, F.col("a") == F.col("u")).where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low.withColumnRenamed("a", "u"), F.col("a") == F.col("u")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(small.union(low.select("a", F.col("m").alias("b"))).distinct())
-        new = state(edges)
-        if new == was:
-            break
-        was = new
-    roots = edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    roots = _contracted(edges).select(F.col("a").alias("id"), F.col("b").alias("root"))
     return now.join(roots, "id", "left").select("z", "y", "x", F.coalesce("root", "id").alias("component"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessavox.functions import intensity, paths
 from tessavox.operators import metrics, normalize, predict, report, stats
-from tessavox.sources import convert, volumes
+from tessavox.sources import convert, ranges, volumes
 
 
 def directories(spark: SparkSession, root: str) -> DataFrame:
@@ -44,8 +44,11 @@ def _normalised(config: dict, section: str, rows: DataFrame) -> DataFrame:
 
 def preprocess(spark: SparkSession, config: dict, source: str, target: str, section: str = "train") -> int:
     """Normalised slices under the names of their files; how many."""
-    out = predict.to_voxels(_normalised(config, section, volumes.read_slices(spark, source)))
-    return volumes.write_named(out, target, volumes.slice_names(spark, source)).count()
+    rows, names = _normalised(config, section, volumes.read_slices(spark, source)), volumes.slice_names(spark, source)
+    if not ranges.reachable(target):
+        return volumes.write_named(predict.to_voxels(rows), target, names).count()
+    volumes.save_slices(rows.join(names, "z"), target)
+    return names.count()
 
 
 def inference(spark: SparkSession, config: dict, model: predict.Model | None = None) -> dict[str, int]:

@@ -10,6 +10,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.python.filterPushdown.enabled": "true",  # ranges of z reach the files
     "spark.python.sql.dataFrameDebugging.enabled": "false",  # no call site for each column: plans of many columns are built faster
 }
 

@@ -454,6 +454,31 @@ def object_counts(spark, sf_dir):
     return objects.object_metrics(truth_and_prediction(spark, sf_dir)).select("z", "gt_count", "pr_count")
 
 
+#: Sizes, overlaps and matches: with a least overlap of a half a prediction and a truth match if each is the other's first.
+_MATCHES = f"""WITH RECURSIVE {PAIR}, g AS (SELECT z, y, x FROM tp WHERE gt = 1), p AS (SELECT z, y, x FROM tp WHERE pr = 1),
+{_reach('g', 'c.z = r.z2').replace('reach', 'reach_g')}, {_reach('p', 'c.z = r.z2').replace('reach', 'reach_p')},
+lg AS (SELECT z, y, x, min(y2 * 8 + x2) AS g FROM reach_g GROUP BY z, y, x), lp AS (SELECT z, y, x, min(y2 * 8 + x2) AS p FROM reach_p GROUP BY z, y, x),
+sg AS (SELECT z, g, count(*) AS n_g FROM lg GROUP BY z, g), sp AS (SELECT z, p, count(*) AS n_p FROM lp GROUP BY z, p),
+b AS (SELECT z, p, g, count(*) AS n FROM lp JOIN lg USING (z, y, x) GROUP BY z, p, g),
+k AS (SELECT z, p, g FROM b JOIN sg USING (z, g) JOIN sp USING (z, p) WHERE n / (n_p + n_g - n) >= 0.5),
+h AS (SELECT z, count(*) AS matched FROM (SELECT z, p = min(p) OVER (PARTITION BY z, g) AND g = min(g) OVER (PARTITION BY z, p) AS ok FROM k) WHERE ok GROUP BY z),
+c AS (SELECT z, coalesce(a.n, 0) AS gt_count, coalesce(b.n, 0) AS pr_count, coalesce(matched, 0) AS matched FROM (SELECT DISTINCT z FROM tp)
+  LEFT JOIN (SELECT z, count(*) AS n FROM sg GROUP BY z) a USING (z) LEFT JOIN (SELECT z, count(*) AS n FROM sp GROUP BY z) b USING (z) LEFT JOIN h USING (z))
+SELECT z, gt_count, pr_count, matched, round(coalesce(matched / nullif(pr_count, 0), 0), 6) + 0.0 AS obj_precision, round(coalesce(matched / nullif(gt_count, 0), 0), 6) + 0.0 AS obj_recall,
+  round(coalesce(2 * matched / nullif(gt_count + pr_count, 0), 0), 6) + 0.0 AS obj_f1 FROM c"""
+
+
+@query(_MATCHES)
+def object_matches(spark, sf_dir):
+    return _round(objects.object_metrics(truth_and_prediction(spark, sf_dir)).drop("hausdorff", "cldice"), "obj_precision", "obj_recall", "obj_f1")
+
+
+@query(_MATCHES)
+def object_matches_in_tiles(spark, sf_dir):
+    """The same from tiles of three by three pixels, whose objects meet at the borders."""
+    return _round(objects.tiled_metrics(truth_and_prediction(spark, sf_dir), tile=3), "obj_precision", "obj_recall", "obj_f1")
+
+
 @query()
 def object_scores(spark, sf_dir):
     return _round(objects.object_metrics(truth_and_prediction(spark, sf_dir)).drop("hausdorff"), "obj_precision", "obj_recall", "obj_f1", "cldice")
@@ -743,6 +768,22 @@ def region_read(spark, sf_dir):
     return volumes.read_volume(spark, to, z=(70, 130))
 
 
+@query(f"WITH {VOX} SELECT z, y, x, v FROM vox WHERE z >= 70 AND z < 130 AND y >= 2 AND y < 7 AND x >= 1 AND x < 4")
+def ranged_box(spark, sf_dir):
+    """A box read from one file of the whole volume, by ranges of its bytes in many tasks."""
+    to = _folder(spark, "ranged")
+    volumes.save_slices(_whole_slices(spark, sf_dir), to, "single", ".nii", "float64", shape=(depth(spark, sf_dir), 8, 8))
+    return volumes.read_volume(spark, f"{to}/volume.nii", z=(70, 130), y=(2, 7), x=(1, 4))
+
+
+@query(_WHOLE)
+def committed_slices(spark, sf_dir):
+    """Rows of slices to files and back, by the sink that commits; no voxel is made between."""
+    to = _folder(spark, "committed")
+    volumes.save_slices(_whole_slices(spark, sf_dir), to, "slices", ".tif", "float64")
+    return volumes.read_volume(spark, to)
+
+
 @query("SELECT r_name AS source, 'out' AS target FROM region")
 def paired_roots(spark, sf_dir):
     names = [r.r_name for r in table(spark, sf_dir, "region").select("r_name").collect()]  # the inputs of a task

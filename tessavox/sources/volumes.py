@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tessavox.functions import paths
 from tessavox.operators import predict, resample, tiling
 from tessavox.operators.grouped import worked
-from tessavox.sources import codecs
+from tessavox.sources import codecs, ranges
 
 SLICES = "path string, z long, y0 long, x0 long, height long, width long, dtype string, data array<double>"
 
@@ -116,20 +116,28 @@ def _zarr(spark: SparkSession, path: str, z: tuple[int, int] | None = None) -> D
     return found.mapInArrow(run, SLICES)
 
 
+def _ranged(path: str, kinds: tuple[bool, bool]) -> bool:
+    """Whether the files' own places can be read: Arrow reaches them, and none is a JPEG file."""
+    return ranges.reachable(path) and not kinds[1]
+
+
 def headers(spark: SparkSession, path: str, kinds: tuple[bool, bool] | None = None) -> DataFrame:
-    """file, dz, height, width, dtype of each file of a stack, from its header alone; no pixel is decoded (but for JPEG)."""
+    """file, dz, height, width, dtype of each file of a stack, from a few kilobytes of it; no pixel is read (but of JPEG files, and on
+    file systems that only Spark reaches)."""
+    kinds = kinds or _kinds(spark, path)
+    if _ranged(path, kinds):
+        return ranges.registered(spark).read.format("volume_headers").load(path)
     kind = "file string, dz long, height long, width long, dtype string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [(p.as_py(), *codecs.header(c.as_py(), s.as_py())) for p, s, c in zip(*b.columns, strict=True)]
             if found:
-                kinds = [pa.string(), *[pa.int64()] * 3, pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], [f.split(" ")[0] for f in kind.split(", ")])
+                types = [pa.string(), *[pa.int64()] * 3, pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), types, strict=True)], [f.split(" ")[0] for f in kind.split(", ")])
 
     pictures = lambda: _pictures(spark, path).select(F.col("path").alias("file"), F.lit(1).cast("long").alias("dz"), F.col("height").cast("long"), F.col("width").cast("long"), F.lit("uint8").alias("dtype"))
-    both = kinds or _kinds(spark, path)
-    out = [_files(spark, path).mapInArrow(run, kind)] * both[0] + [pictures()] * both[1]
+    out = [_files(spark, path).mapInArrow(run, kind)] * kinds[0] + [pictures()] * kinds[1]
     return out[0] if len(out) == 1 else out[0].union(out[1])
 
 
@@ -149,14 +157,10 @@ def check(headers_: DataFrame) -> None:
         raise ValueError(f"the files of a volume must agree: {got.shapes} shapes, {got.types} types")
 
 
-#: Names as the sinks give them: ``_z{z0}-{z1}`` or ``_{z:05d}``; these numbers count as such, since they outgrow their digits.
-NUMBERED = r"^(.*_(?:z(?=[0-9]+-[0-9]+\.)|(?=[0-9]{5,}\.)))0*([0-9]+)[^/]*$"
-
-
 def _order() -> list[Column]:
     file = F.col("file")
-    number = F.regexp_extract(file, NUMBERED, 2)
-    return [F.when(file.rlike(NUMBERED), F.regexp_extract(file, NUMBERED, 1)).otherwise(file), F.char_length(number), number]
+    number = F.regexp_extract(file, ranges.NUMBERED, 2)
+    return [F.when(file.rlike(ranges.NUMBERED), F.regexp_extract(file, ranges.NUMBERED, 1)).otherwise(file), F.char_length(number), number]
 
 
 def _stack(spark: SparkSession, path: str, checked: bool, kinds: tuple[bool, bool] | None = None) -> DataFrame:
@@ -167,30 +171,38 @@ def _stack(spark: SparkSession, path: str, checked: bool, kinds: tuple[bool, boo
     return tiling.stitched_ranges(h, *_order()).select(F.col("file").alias("path"), "lo", "hi")
 
 
-def read_slices(spark: SparkSession, path: str, checked: bool = True, z: tuple[int, int] | None = None) -> DataFrame:
+def read_slices(spark: SparkSession, path: str, checked: bool = True, z: tuple[int, int] | None = None, y: tuple[int, int] | None = None, x: tuple[int, int] | None = None) -> DataFrame:
     """z, y0, x0, height, width, data of a file, a directory of files in the order of their names (and of the sinks' numbers in them), or
     a Zarr store (there a row for each slice of a chunk).
 
-    Places come from the headers; each file is decoded once. With a range of z only the files (or chunks) that it touches are read.
+    Places come from the headers; each file is read once, by several tasks where it is large. With ranges of z and y only the bytes (or
+    the files or chunks) that they touch are read; rows of a Zarr store may reach beyond those of y and x.
     """
     if paths.resolve(path) == "zarr":
         at = _zarr(spark, path, z).withColumn("lo", F.lit(0))
     else:
         kinds = _kinds(spark, path)
-        ranges = _stack(spark, path, checked, kinds)
+        if _ranged(path, kinds):
+            box = {a: f"{max(0, r[0])}:{max(0, r[1])}" for a, r in (("z", z), ("y", y), ("x", x)) if r is not None}
+            found = ranges.registered(spark).read.format("volume_files").options(checked=str(checked).lower(), **box).load(path)
+            return found.select("z", "y0", "x0", "height", "width", "data")
+        places = _stack(spark, path, checked, kinds)
         if z is not None:
-            ranges = ranges.where((F.col("lo") < z[1]) & (F.col("hi") > z[0]))
-            needed = [r.path for r in ranges.select("path").toLocalIterator()]  # names that the reader lists anyway
+            places = places.where((F.col("lo") < z[1]) & (F.col("hi") > z[0]))
+            needed = [r.path for r in places.select("path").toLocalIterator()]  # names that the reader lists anyway
             if not needed:
                 return spark.createDataFrame([], predict.SLICES)
-        at = slices(spark, path if z is None else needed, kinds if z is None else None).join(F.broadcast(ranges.drop("hi")), "path")
+        at = slices(spark, path if z is None else needed, kinds if z is None else None).join(F.broadcast(places.drop("hi")), "path")
     out = at.select((F.col("z") + F.col("lo")).alias("z"), "y0", "x0", "height", "width", "data")
     return out if z is None else out.where((F.col("z") >= max(0, z[0])) & (F.col("z") < z[1]))
 
 
-def read_volume(spark: SparkSession, path: str, checked: bool = True, z: tuple[int, int] | None = None) -> DataFrame:
-    """z, y, x, v of read_slices()."""
-    return predict.to_voxels(read_slices(spark, path, checked, z))
+def read_volume(spark: SparkSession, path: str, checked: bool = True, z: tuple[int, int] | None = None, y: tuple[int, int] | None = None, x: tuple[int, int] | None = None) -> DataFrame:
+    """z, y, x, v of read_slices(), cut to the box."""
+    out = predict.to_voxels(read_slices(spark, path, checked, z, y, x))
+    for name, r in (("y", y), ("x", x)):
+        out = out if r is None else out.where((F.col(name) >= r[0]) & (F.col(name) < r[1]))
+    return out
 
 
 def slice_names(spark: SparkSession, path: str) -> DataFrame:
@@ -201,6 +213,17 @@ def slice_names(spark: SparkSession, path: str) -> DataFrame:
 # --- sinks
 
 
+def save_slices(rows: DataFrame, folder: str, layout: str = "slices", suffix: str = ".tif", dtype: str = "float32", name: str = "volume", shape: tuple[int, int, int] | None = None, mode: str = "append") -> None:
+    """Whole slices (z, height, width, data; perhaps name) to files, by the sink of ``ranges``: all of them appear, or none.
+
+    Slices go as they are from reader to file. ``mode`` overwrite removes the folder's other files when the new ones are there.
+    """
+    keep = [c for c in ("z", "height", "width", "data", "name") if c in rows.columns]
+    ranges.registered(rows.sparkSession)
+    to = rows.select(*keep).write.format("volume_files").mode(mode).options(layout=layout, suffix=suffix, dtype=dtype, name=name)
+    (to if shape is None else to.option("shape", ",".join(map(str, shape)))).save(folder)
+
+
 def put(path: str, data: bytes) -> int:
     """Whole or not at all: a task that runs again replaces the file with the same one."""
     os.makedirs(os.path.dirname(path), exist_ok=True)
