@@ -205,12 +205,20 @@ def disclosing(docs: DataFrame, marked: DataFrame, share: float = SHARE, support
 
 
 def _spans(marked: DataFrame, told: DataFrame, holders: DataFrame) -> DataFrame:
-    """row_key, terms: spans of the disclosing terms of each text that holds what they disclose."""
-    wanted = written(holders.join(told, "key").select("row_key", "term").distinct(), "wanted")
-    some = marked.join(small(written(wanted.select("row_key").distinct(), "texts")), "row_key", "left_semi")
+    """row_key, terms: spans of the disclosing terms of each text that holds what they disclose.
+
+    Words of the texts are looked up among the terms first and then meet their own text's entities, so there are no rows for
+    terms that a text doesn't have, however many texts share an entity or a group.
+    """
+    told = written(told, "told")
+    texts = holders.join(small(written(told.select("key").distinct(), "keys")), "key", "left_semi").select("row_key").distinct()
+    some = marked.join(small(written(texts, "texts")), "row_key", "left_semi")
     places = some.select("row_key", F.explode(_found(blanked(F.col("text"), F.col("base")), TERM, 4)).alias("t"))
     hashed = places.select("row_key", F.xxhash64(F.lower("t.value")).alias("term"), F.struct("t.start", "t.kind", "t.stop", F.lower("t.value").alias("value")).alias("t"))
-    return hashed.join(small(wanted), ["row_key", "term"], "left_semi").groupBy("row_key").agg(F.array_sort(F.collect_set("t")).alias("terms"))
+    found = written(hashed.join(small(written(told.select("term").distinct(), "terms")), "term", "left_semi").distinct(), "places")
+    both = found.select("row_key", "term").distinct().join(holders, "row_key").join(small(told), ["key", "term"], "left_semi")
+    wanted = written(both.select("row_key", "term").distinct(), "wanted")
+    return found.join(small(wanted), ["row_key", "term"], "left_semi").groupBy("row_key").agg(F.array_sort(F.collect_set("t")).alias("terms"))
 
 
 def sanitisation(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, support: int = SUPPORT, group_support: int = GROUP_SUPPORT) -> DataFrame:

@@ -539,3 +539,26 @@ def test_long_text_of_one_sentence_again_and_again(spark):
     long = ". ".join(words_of(rng, 12) for _ in range(40_000))
     out = {r.doc_id: r for r in sentence_spans.substring_dedup(spark.createDataFrame([(1, long), (2, long)], "doc_id long, text string")).collect()}
     assert out[1].n_removed == 0 and out[1].text == long and not out[2].text.strip()
+
+
+def test_sanitisation_of_a_group_that_half_of_the_texts_share(spark, monkeypatch):
+    """A mail domain in half of the documents: the rows made are in proportion to the words of its holders."""
+    made = {}
+    plain = sanitise.written
+
+    def spied(df, tag, last=False):
+        out = plain(df, tag, last)
+        made[tag] = made.get(tag, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(sanitise, "written", spied)
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(400)]
+    rows = []
+    for i in range(600):
+        own = " ".join(rng.choices(words, k=12))
+        rows.append((i, f"desk{i % 97:02d}x {own} user{i}@mail.example wrote" if i % 2 else own))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sanitise.sanitisation(df, share=0.05, group_support=2)
+    assert got.where("size(terms) > 0").count() > 0
+    assert made["wanted"] <= made["places"] <= 300 * 16
