@@ -74,15 +74,30 @@ def iou(score: str = "score", gt: str = "gt", threshold: float = 0.5, smooth: fl
     return losses.iou((F.col(score) > threshold).cast("double"), (F.col(gt) > 0.5).cast("double"), smooth)
 
 
-def average_precision(rows: DataFrame, *groups: str, score: str = "score", gt: str = "gt", ranges: int = 1024) -> DataFrame:
+def ranged(points: DataFrame, ranges: int) -> DataFrame:
+    """Adds r_, which rises with s_: ranges between approximate quantiles of s_, so each holds about as many rows however the values
+    are clustered. The borders are one row of known size; a value finds its range by halving."""
+    steps = (ranges - 1).bit_length()
+    borders = points.agg(F.array_sort(F.array_distinct(F.percentile_approx("s_", [i / ranges for i in range(1, ranges)], 16 * ranges))).alias("b_"))
+    # lo: so many borders are known to be at s_ or below, hi: not more than so many are
+    start = F.struct(F.lit(0).alias("lo"), F.size("b_").alias("hi"))
+
+    def halved(at: Column, _: Column) -> Column:
+        middle = F.floor((at["lo"] + at["hi"] + 1) / 2).cast("int")
+        up = (at["lo"] < at["hi"]) & (F.get("b_", middle - 1) <= F.col("s_"))
+        return F.struct(F.when(up, middle).otherwise(at["lo"]).alias("lo"), F.when(up | (at["lo"] >= at["hi"]), at["hi"]).otherwise(middle - 1).alias("hi"))
+
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(steps)), start, halved, lambda at: at["lo"])
+    return points.crossJoin(F.broadcast(borders)).withColumn("r_", F.coalesce(found, F.lit(0))).drop("b_")  # one row
+
+
+def average_precision(rows: DataFrame, *groups: str, score: str = "score", gt: str = "gt", ranges: int = 256) -> DataFrame:
     """groups, pr_auc: sum of (R_n - R_n-1) P_n over falling different scores; 0 without truth or with two scores at most.
 
     Scores beyond 1 are taken as parts of 255, which doesn't change their order. Counts of equal scores are summed first. The
     running sums are made within ranges of scores, on top of the sums of the ranges above, so that a group isn't one task's.
     """
-    span = rows.agg(F.min(score).cast("double").alias("lo_"), F.max(score).cast("double").alias("hi_"))
-    points = rows.groupBy(*groups, F.col(score).alias("s_")).agg(F.sum(gt).alias("p_"), F.count("*").alias("n_")).crossJoin(F.broadcast(span))  # one row
-    points = points.withColumn("r_", F.coalesce(F.floor(F.try_divide(F.col("s_") - F.col("lo_"), F.col("hi_") - F.col("lo_")) * ranges), F.lit(0)).cast("int")).drop("lo_", "hi_")
+    points = ranged(rows.groupBy(*groups, F.col(score).alias("s_")).agg(F.sum(gt).alias("p_"), F.count("*").alias("n_")), ranges)
     sums = points.groupBy(*groups, "r_").agg(F.sum("p_").alias("pr_"), F.sum("n_").alias("nr_"))
     above = Window.partitionBy(*groups).orderBy(F.desc("r_")).rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select(*groups, "r_", F.coalesce(F.sum("pr_").over(above), F.lit(0)).alias("pb_"), F.coalesce(F.sum("nr_").over(above), F.lit(0)).alias("nb_"))

@@ -10,8 +10,8 @@ from tessavox.operators import metrics, objects
 _COUNTS = ("tp", "fp", "fn", "tn")
 SUMMARY = ("accuracy", "precision", "recall", "f1", "iou", "dice", "mcc", "hausdorff", "cldice", "obj_f1", "pr_auc")
 #: Columns of the detailed report behind those of the pair, and of the summary behind the model.
-DETAILED_COLUMNS = "files_evaluated pixels_total tp fp fn tn accuracy precision recall f1 mcc hausdorff cldice obj_f1 pr_auc gt_count pr_count".split()
-SUMMARY_COLUMNS = "accuracy_mean accuracy_std precision_mean precision_std recall_mean recall_std f1_mean f1_std mcc_mean hausdorff_mean cldice_mean obj_f1_mean pr_auc_mean".split()
+DETAILED_COLUMNS = ("files_evaluated", "pixels_total", "tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "f1", "mcc", "hausdorff", "cldice", "obj_f1", "pr_auc", "gt_count", "pr_count")
+SUMMARY_COLUMNS = ("accuracy_mean", "accuracy_std", "precision_mean", "precision_std", "recall_mean", "recall_std", "f1_mean", "f1_std", "mcc_mean", "hausdorff_mean", "cldice_mean", "obj_f1_mean", "pr_auc_mean")
 
 
 def detailed(rows: DataFrame, *pair: str, slice_col: str = "z", hd_percentile: float = 95.0, min_iou: float = 0.5, min_size: int = 0, connectivity: int = 2) -> DataFrame:

@@ -293,8 +293,22 @@ def stitch_mean(spark, sf_dir):
     return _round(stitch.patch_means(tiles, (depth(spark, sf_dir), 8, 8)), "v")
 
 
-@query(f"""WITH {VOX}, a AS ({_axis('(SELECT depth FROM dim)', 64, 16)}), c AS (SELECT s, z, y, x, v + s * 0.001 AS v FROM vox JOIN a ON z >= s AND z < s + 64)
-SELECT z, y, x, round(list_reduce(list(v ORDER BY s), lambda p, q: (p + q) / 2), 6) + 0.0 AS v FROM c GROUP BY 1, 2, 3""")
+_BLEND = f"""WITH {VOX}, a AS ({_axis('(SELECT depth FROM dim)', 64, 16)}), c AS (SELECT s, z, y, x, v + s * 0.001 AS v FROM vox JOIN a ON z >= s AND z < s + 64)
+SELECT z, y, x, round(list_reduce(list(v ORDER BY s), lambda p, q: (p + q) / 2), 6) + 0.0 AS v FROM c GROUP BY 1, 2, 3"""
+
+
+@query(_BLEND)
+def streamed_blend(spark, sf_dir):
+    """The chunks read as a stream; the result is what the stream has appended to its files."""
+    d, at, to = depth(spark, sf_dir), _folder(spark, "chunks"), _folder(spark, "blend")
+    chunks = stitch.chunked(volume(spark, sf_dir), d, 64, 16).withColumn("v", F.col("v") + F.col("z0") * 0.001)
+    chunks.write.parquet(at)
+    stream = slices.blended(spark.readStream.schema(chunks.schema).parquet(at), d, 64, band=2)
+    stream.writeStream.format("parquet").option("path", to).option("checkpointLocation", _folder(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return _round(spark.read.schema("z long, y long, x long, v double").parquet(to), "v")
+
+
+@query(_BLEND)
 def stitch_blend(spark, sf_dir):
     chunks = stitch.chunked(volume(spark, sf_dir), depth(spark, sf_dir), 64, 16).withColumn("v", F.col("v") + F.col("z0") * 0.001)
     return _round(stitch.blended(chunks), "v")
@@ -784,6 +798,14 @@ def committed_slices(spark, sf_dir):
     return volumes.read_volume(spark, to)
 
 
+@query(f"WITH {VOX} SELECT z, y, x, v FROM vox WHERE z >= 70 AND z < 130 AND y >= 2 AND y < 7 AND x >= 1 AND x < 4")
+def cell_box(spark, sf_dir):
+    """A box of Parquet cells in the order of a curve through all three axes."""
+    to = _folder(spark, "cells")
+    volumes.write_cells(volume(spark, sf_dir), to, 4)
+    return volumes.read_cells(spark, to, (70, 130), (2, 7), (1, 4))
+
+
 @query("SELECT r_name AS source, 'out' AS target FROM region")
 def paired_roots(spark, sf_dir):
     names = [r.r_name for r in table(spark, sf_dir, "region").select("r_name").collect()]  # the inputs of a task

@@ -6,6 +6,7 @@ A volume of several files is their slices in the order of names. Readers give on
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 from collections.abc import Iterator
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from tessavox.functions import paths
 from tessavox.operators import predict, resample, tiling
 from tessavox.operators.grouped import worked
+from tessavox.operators.lineage import cut
 from tessavox.sources import codecs, ranges
 
 SLICES = "path string, z long, y0 long, x0 long, height long, width long, dtype string, data array<double>"
@@ -334,7 +336,7 @@ def write_ome_zarr(vox: DataFrame, folder: str, shape: tuple[int, int, int], chu
     out, now = None, vox.select("z", "y", "x", "v")
     for i, s in enumerate(shapes):
         if i:
-            now = resample.nearest(now, shapes[i - 1], s)
+            now = cut(resample.nearest(now, shapes[i - 1], s))  # the next level is made from this one, not from the volume
         files = write_zarr(now, f"{folder}/{i}", s, chunks, dtype)
         out = files if out is None else out.union(files)
     return out
@@ -352,3 +354,24 @@ def read_blocks(spark: SparkSession, path: str, z: tuple[int, int] | None = None
     if z is not None:
         rows = rows.where((F.col("bz") >= z[0] // block) & (F.col("bz") <= (z[1] - 1) // block) & (F.col("z") >= z[0]) & (F.col("z") < z[1]))
     return rows.select("z", "y", "x", "v")
+
+
+def morton(block: int, bits: int = 20) -> Column:
+    """Number of a voxel's block along a curve that visits near blocks one after the other: the bits of its three places in turn."""
+    places = [F.expr(f"{c} DIV {block}").cast("long") for c in "zyx"]
+    one = [F.shiftleft(F.shiftright(p, b).bitwiseAND(F.lit(1)), 3 * b + 2 - i) for b in range(bits) for i, p in enumerate(places)]
+    return functools.reduce(Column.bitwiseOR, one)
+
+
+def write_cells(vox: DataFrame, path: str, block: int = 32, blocks_per_file: int = 8, mode: str = "overwrite") -> None:
+    """Parquet in the order of ``morton``: each file holds a few blocks near each other, so its least and greatest z, y and x tell a
+    box whether to read it. Ranges of the curve are dealt to tasks, whatever the volume's shape."""
+    rows = vox.withColumn("block", morton(block))
+    sorted_ = rows.repartitionByRange("block", "z", "y", "x").sortWithinPartitions("block", "z", "y", "x")
+    sorted_.write.mode(mode).option("maxRecordsPerFile", blocks_per_file * block**3).parquet(path)
+
+
+def read_cells(spark: SparkSession, path: str, z: tuple[int, int] | None = None, y: tuple[int, int] | None = None, x: tuple[int, int] | None = None) -> DataFrame:
+    """z, y, x, v of a box: comparisons that the scan holds against each file's statistics in all three axes."""
+    every = (0, 1 << 40)
+    return tiling.box(spark.read.parquet(path), z or every, y or every, x or every).select("z", "y", "x", "v")

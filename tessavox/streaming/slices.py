@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from tessavox.operators import stats
 
@@ -25,3 +30,43 @@ def into_blocks(vox: DataFrame, path: str, checkpoint: str, block: int = 64) ->
     """Appends arriving voxels to Parquet folders of z blocks, each batch once."""
     rows = vox.withColumn("bz", F.expr(f"z DIV {block}"))
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("bz").outputMode("append").trigger(availableNow=True).start()
+
+
+def blended(chunks: DataFrame, depth: int, size: int, band: int = 64) -> DataFrame:
+    """z, y, x, v of chunks (z0, z, y, x, v) that arrive in the order of their starts: ``stitch.blended`` of a stream.
+
+    For each band of rows the state holds what a later chunk can still change, the part of the volume from the newest chunk's start
+    on; what lies before it leaves at once, and all of it with the last chunk of a volume of this depth. Rows of a chunk may come in
+    several batches as long as no later chunk has come in their band; rows that come after one are left out.
+    """
+    last = max(0, depth - size)
+    kinds = np.dtype([("z", "i8"), ("y", "i8"), ("x", "i8"), ("v", "f8")])
+
+    def fold(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        newest, data = state.get if state.exists else (-1, b"")
+        held = pd.DataFrame(np.frombuffer(data, kinds)).set_index(["z", "y", "x"])["v"]
+        rows = pd.concat(list(batches))
+        out = []
+        for z0, chunk in rows.groupby("z0", sort=True):
+            if z0 < newest:
+                continue
+            if z0 > newest:
+                done = held.index.get_level_values("z") < z0
+                out.append(held[done])
+                held, newest = held[~done], int(z0)
+            now = chunk.set_index(["z", "y", "x"])["v"]
+            both = held.index.intersection(now.index)
+            now.loc[both] = (held.loc[both] + now.loc[both]) / 2
+            held = pd.concat([held.drop(both), now])
+        if newest >= last:
+            out.append(held)
+            held = held.iloc[:0]
+        left = held.reset_index()
+        packed = np.zeros(len(left), kinds)
+        for c in "zyxv":
+            packed[c] = left[c]
+        state.update((newest, packed.tobytes()))
+        yield pd.concat(out).reset_index() if out else pd.DataFrame(np.zeros(0, kinds))
+
+    plain = chunks.select(F.expr(f"CAST(y DIV {band} AS BIGINT)").alias("band_"), F.col("z0").cast("long").alias("z0"), *[F.col(c).cast("long").alias(c) for c in "zyx"], F.col("v").cast("double").alias("v"))
+    return plain.groupBy("band_").applyInPandasWithState(fold, "z long, y long, x long, v double", "newest long, tail binary", "append", "NoTimeout")
