@@ -7,6 +7,7 @@ columns, these meet again as strips of rows, and what leaves a strip are counts
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,10 +112,19 @@ def robust_hausdorff(gt: np.ndarray, pr: np.ndarray, percentile: float = 95.0) -
         a, b = gt[both], pr[both]
         to_gt, to_pr = squared(a), squared(b)
         for j, i in enumerate(both.tolist()):
-            out[i] = float(max(np.percentile(np.sqrt(to_gt[j][b[j]]), percentile), np.percentile(np.sqrt(to_pr[j][a[j]]), percentile)))
+            out[i] = max(_percentile(to_gt[j][b[j]], percentile), _percentile(to_pr[j][a[j]], percentile))
     return out
 
 
+def _percentile(d2: np.ndarray, percentile: float) -> float:
+    """Of the roots, between neighbours in proportion."""
+    at = (len(d2) - 1) * percentile / 100
+    low, high = math.floor(at), math.ceil(at)
+    found = np.partition(d2, (low, high))
+    a, b = math.sqrt(found[low]), math.sqrt(found[high])
+    return a + (b - a) * (at - low)
+
+
 def hausdorff(rows: DataFrame, *slice_cols: str, percentile: float = 95.0, tile: int | None = None) -> DataFrame:
     """slice, hausdorff of each slice (``z``, or several key columns) of y, x, gt, pr; slices with an empty mask are left out.
 

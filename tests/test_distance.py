@@ -81,3 +81,11 @@ def test_strips_like_whole_slices(spark):
         got = {(r.volume, r.z): r.hausdorff for r in distance.hausdorff(df, "volume", "z", tile=tile).collect()}
         assert got.keys() == whole.keys() and all(got[k] == pytest.approx(v) for k, v in whole.items())
     assert distance.hausdorff(df.limit(0), "volume", "z", tile=4).count() == 0
+
+
+def test_percentiles():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 3, 50):
+        d2 = rng.integers(0, 90, n)
+        for q in (0, 33.3, 50, 95, 100):
+            assert distance._percentile(d2, q) == pytest.approx(np.percentile(np.sqrt(d2), q))
