@@ -101,22 +101,45 @@ def _texts(docs: DataFrame, keyed: DataFrame, emit_all: bool) -> DataFrame:
     return written(found.select("h1", "h2", "at", "text").distinct(), "texts")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _xors(hashes: Column) -> Column:
+    """For each place the exclusive or of all hashes up to it, by doubling: n log n steps."""
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda step: step < F.size(hashes))
+    return F.aggregate(steps, hashes, lambda done, step: F.transform(done, lambda x, i: x.bitwiseXOR(F.coalesce(F.get(done, i - step), F.lit(0).cast("long")))))
+
+
 def _members() -> Column:
-    """Keys of the line with each of its n units left out in turn."""
-    word = lambda k: F.call_function("substring_index", F.col("text"), F.lit(" "), k)
-    words = lambda i: F.btrim(F.concat(word(i - 1), F.lit(" "), word(i - F.col("n"))))
-    chars = lambda i: F.concat(F.substring(F.col("text"), F.lit(1), i - 1), F.substring(F.col("text"), i + 1, F.col("n")))
-    places = F.sequence(F.lit(1), F.col("n"))
-    return F.when(F.col("unit") == 1, F.transform(places, lambda i: F.xxhash64(F.lit(1), words(i)))).otherwise(F.transform(places, lambda i: F.xxhash64(F.lit(2), chars(i))))
+    """Keys of the whole line and of the line with each of its units left out: whole, without (array).
+
+    A line's key is the exclusive or of one hash for each unit and its place. Left out, a unit moves those behind it one place ahead, so that
+    each key follows from hashes at both places, and no variant is written out.
+    """
+    units = F.when(F.col("unit") == 1, F.split("text", " ")).otherwise(F.split("text", ""))
+    here = lambda us, back: F.transform(us, lambda u, i: F.xxhash64(F.col("unit"), u, i - back))
+    both = _let(units, lambda us: F.struct(here(us, 0).alias("own"), here(us, 1).alias("ahead")))
+
+    def keys(h: Column) -> Column:
+        behind = F.aggregate(h["ahead"], F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+        running = _xors(F.zip_with(h["own"], h["ahead"], lambda x, y: x.bitwiseXOR(y)))
+        return _let(F.struct(running.alias("running"), behind.alias("behind")), lambda r: F.struct(
+            F.element_at(r["running"], -1).bitwiseXOR(r["behind"]).alias("whole"),
+            F.zip_with(r["running"], h["own"], lambda x, y: x.bitwiseXOR(y).bitwiseXOR(r["behind"])).alias("without"),
+        ))
+
+    return _let(both, keys)
 
 
 def _near(docs: DataFrame, keyed: DataFrame, min_words: int, min_chars: int, emit_all: bool) -> DataFrame:
     """h1, h2 of the lines that have an earlier different line within one edit."""
     texts = _texts(docs, keyed, emit_all).withColumn("unit", _unit(min_words, min_chars))
-    n = F.when(F.col("unit") == 1, _n_words()).otherwise(F.char_length("text")).alias("n")
     # a line is known by its place; without: the line without its i-th unit, complete: all of it. Keys of words and characters never meet.
-    without = written(texts.select("at", "text", "unit", n).select("at", "n", F.posexplode(_members()).alias("i", "key")), "variants")
-    complete = small(written(texts.select(F.col("at").alias("other"), F.xxhash64("unit", "text").alias("key")), "complete"))
+    keyed = written(texts.where("unit > 0").select("at", _members().alias("keys")), "members")
+    without = keyed.select("at", F.size("keys.without").alias("n"), F.posexplode("keys.without").alias("i", "key"))
+    complete = small(written(keyed.select(F.col("at").alias("other"), F.col("keys.whole").alias("key")), "complete"))
     # one unit replaced: same length, same place left out; all such lines against the earliest
     best = without.groupBy("key", "i", "n").agg(F.min("at").alias("other"), F.max("at").alias("last")).where("other != last").select("key", "i", "n", "other")
     replaced = without.join(small(written(best, "best")), ["key", "i", "n"]).select("at", "other")

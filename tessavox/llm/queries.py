@@ -86,7 +86,7 @@ def quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(table(spark, sf_dir, "documents"))
+    out = line_dedup(table(spark, sf_dir, "documents"), emit_all=True)
     return out.select("doc_id", "n_lines", "n_exact", "n_near", F.array_join("removed", ",").alias("removed"), F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -310,6 +310,18 @@ def test_lines_like_brute_force(spark, emit_all):
     assert all(r.text == "\n".join(x for n, x in enumerate(dict(rows)[r.doc_id].split("\n")) if (r.doc_id, n) not in wanted) for r in got)
 
 
+def test_long_lines_cost_in_proportion(spark):
+    """Near copies of 300,000 characters without a space, and of 300,000 words: one character replaced, one word left out."""
+    rng = random.Random(5)
+    a, w = "".join(rng.choices("abcdefghij", k=300_000)), [str(rng.randrange(10**6)) for _ in range(300_000)]
+    texts = [a, a[:100_000] + "z" + a[100_001:], " ".join(w), " ".join(w[:150_000] + w[150_001:]), "".join(rng.choices("abcdefghij", k=300_000))]
+    started = time.time()
+    for emit_all in (False, True):
+        got = line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), emit_all=emit_all).select("doc_id", "n_near").collect()
+        assert sorted((r.doc_id, r.n_near) for r in got) == [(0, 0), (1, 1), (2, 0), (3, 1), (4, 0)]
+    assert time.time() - started < 120
+
+
 def test_lines_against_sql(spark, data, duck, rows_of):
     assert rows_of(op6_line_dedup(spark, data).toArrow()) == rows_of(duck.sql(OP6).to_arrow_table())
 
