@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans: every run of several sentences is hashed and held against the whole corpus.
 
-Of the runs that begin at a sentence, and of those that end there, the shortest of MIN_WORDS words is hashed: several
-sentences, or one that has as many words alone. These cover every sentence of any longer repeated run: what the shortest run at its
-begin leaves has enough words before it for a run that ends there. Sentences of over LONG_WORDS words, as in texts without
+Every run of WINDOW consecutive sentences is hashed, whatever their length. Passages of fewer but longer sentences go too: of the
+runs that begin at a sentence, and of those that end there, the shortest of MIN_WORDS words is hashed as well, several
+sentences, or one that has as many words alone (``min_words=0`` leaves these out). Either kind covers every sentence of any longer
+repeated run: what the shortest run at its begin leaves has enough words before it for a run that ends there. Sentences of over LONG_WORDS words, as in texts without
 stops, are cut into pieces at places that depend on the words around, and the pieces count as sentences. All sentences that
 a repeated run covers go, except where the run stands for the first time (smallest id, then place). Two passes read the
 texts: the first gathers one hash for each run with its first and last place (partial sums before the shuffle), the
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessavox.llm.common import pick, tidy, whole, written
 
-MIN_SENTENCES, MIN_WORDS = 2, 20
+WINDOW, MIN_SENTENCES, MIN_WORDS = 3, 2, 20
 #: Words from which on a sentence is cut; words on each side that decide whether it is cut behind one.
 LONG_WORDS, REACH = 50, 4
 #: Fixed value: where a sentence ends, closing marks and white space included.
@@ -68,15 +69,17 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def runs(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
+def runs(text: str, window: int = WINDOW, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
     """begin, end and 16-byte hash of each run; sentences compare as lower-cased words. Wordless pieces don't count."""
     parts = [s.lower().split() for s in sentences(text)]
     real = [i for i, w in enumerate(parts) if w]
     sizes, joined = [len(parts[i]) for i in real], [" ".join(parts[i]).encode() for i in real]
     n, end, total = len(real), 0, 0
-    spans = {(i, i + 1) for i in range(n) if sizes[i] >= min_words}
+    spans = {(i, i + window) for i in range(n - window + 1)}
+    if min_words:
+        spans |= {(i, i + 1) for i in range(n) if sizes[i] >= min_words}
     least = min_sentences if min_sentences > 2 else 1  # of two, one either has the words alone or needs the other
-    for begin in range(n):  # the shortest that begin here
+    for begin in range(n if min_words else 0):  # the shortest that begin here
         while end < n and (total < min_words or end - begin < least):
             total += sizes[end]
             end += 1
@@ -85,7 +88,7 @@ def runs(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WOR
         spans.add((begin, end))
         total -= sizes[begin]
     begin, total = n, 0
-    for end in range(n, 0, -1):  # the shortest that end here
+    for end in range(n if min_words else 0, 0, -1):  # the shortest that end here
         while begin > 0 and (total < min_words or end - begin < least):
             begin -= 1
             total += sizes[begin]
@@ -137,17 +140,17 @@ def repeated_spans(docs: DataFrame, **options: int) -> DataFrame:
     return later.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text without the removed sentences, n_sentences, n_removed, removed (sentence numbers, from 0) of every row.
 
-    Null and empty texts have no sentences; texts of too few words have no runs and stay.
+    Null and empty texts have no sentences; texts of too few sentences and words have no runs and stay.
     Rows with equal id and text are one document and get equal results. Rows without an id count as one
     document behind all others. Extra columns are ignored. A place within a document counts like one
     in another: the second of two equal runs of one text goes too.
     """
     plain = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
     with tidy(docs.sparkSession):
-        spans = written(repeated_spans(plain, min_sentences=min_sentences, min_words=min_words), "spans", last=True).withColumnRenamed("doc_id", "r_id")
+        spans = written(repeated_spans(plain, window=window, min_sentences=min_sentences, min_words=min_words), "spans", last=True).withColumnRenamed("doc_id", "r_id")
     # no broadcast is asked for here either: a share of all documents has spans
     joined = plain.join(spans, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.xxhash64("text") == F.col("row_key")), "left")
 

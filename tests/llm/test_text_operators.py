@@ -478,8 +478,8 @@ def test_repeated_passage_goes(spark):
     assert out[0].n_removed == 0 and all(out[i].n_removed >= 6 for i in range(1, 5))
 
 
-def repeated_sentences(rows, min_words=20):
-    """Numbers of the sentences that lie in a run of min_words words whose like stands earlier, found by growing equal pairs, without runs()."""
+def repeated_sentences(rows, window=3, min_words=20):
+    """Numbers of the sentences that lie in a run of window sentences or min_words words whose like stands earlier, found by growing equal pairs, without runs()."""
     flat = [(i, k, w) for i, t in sorted(rows) for k, s in enumerate(sentence_spans.sentences(t or "")) if (w := s.lower().split())]
     like, out = {}, {}
     same = lambda a, b: 0 <= a and b < len(flat) and flat[a][2] == flat[b][2]
@@ -490,7 +490,7 @@ def repeated_sentences(rows, min_words=20):
             n = 1
             while same(a + n, b + n) and flat[a + n][0] == flat[a][0] and flat[b + n][0] == i:
                 n += 1
-            if sum(len(flat[b + k][2]) for k in range(n)) >= min_words:
+            if n >= window or min_words and sum(len(flat[b + k][2]) for k in range(n)) >= min_words:
                 out.setdefault(i, set()).update(flat[b + k][1] for k in range(n))
         like[tuple(w)].append(b)
     return out
@@ -512,6 +512,17 @@ def test_whole_passage_goes(spark, data, texts):
     assert {r.doc_id: r.removed for r in op9_sentence_spans(spark, data).collect() if r.removed} == {i: ",".join(map(str, sorted(s))) for i, s in wanted.items()}
 
 
+@pytest.mark.parametrize("window", [2, 3, 5])
+def test_windows_alone(spark, window):
+    """Runs of short sentences, without the bound on words, like brute force."""
+    rng = random.Random(window)
+    pool = [f"Say {w}." for w in "abc"] + [words_of(rng, 25) + "."]
+    rows = [(i, " ".join(rng.choices(pool, k=rng.randint(0, 12)))) for i in range(30)]
+    out = sentence_spans.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), window=window, min_words=0).collect()
+    wanted = repeated_sentences(rows, window, 0)
+    assert {r.doc_id: r.removed for r in out if r.removed} == {i: sorted(s) for i, s in wanted.items()} and wanted
+
+
 def test_passage_without_neighbours_goes(spark):
     """One long sentence, a text without stops, and a stretch of such a text."""
     rng = random.Random(10)
