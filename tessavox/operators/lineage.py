@@ -32,3 +32,18 @@ def cut(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder, as a plain path where it is one of a mounted file system."""
     return re.sub("^file:/+", "/", f"{_base(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}")
+
+
+def _at(spark: SparkSession, path: str) -> tuple:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _at(spark, path)
+    return fs.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _at(spark, path)
+    fs.delete(p, True)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessavox.functions import intensity
-from tessavox.operators import normalize, pad
+from tessavox.operators import networks, normalize, pad
 from tessavox.operators.tiling import starts
 
 Model = Callable[[np.ndarray], np.ndarray]
@@ -41,6 +41,13 @@ def linear(weight: float = 1.0, bias: float = 0.0) -> Model:
     return lambda batch: weight * batch + bias
 
 
+@register("convolution")
+def convolution(**parameters) -> Model:
+    """A small network, as training leaves it."""
+    network = networks.Convolution(**parameters)
+    return lambda batch: network.forward(batch)[0]
+
+
 def to_slices(vox: DataFrame) -> DataFrame:
     """SLICES of a volume in long form; a slice bounds a row."""
     cells = F.array_sort(F.collect_list(F.struct("y", "x", "v")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessavox.functions import flops, intensity, losses, paths
-from tessavox.operators import augment, history, lineage, metrics, normalize, objects, pad, predict, report, resample, stats, stitch, tiling
+from tessavox.operators import augment, history, lineage, metrics, normalize, objects, pad, predict, report, resample, stats, stitch, tiling, train
 from tessavox.plans import jobs
 from tessavox.plans.views import table, truth_and_prediction, volume
 from tessavox.sources import convert, volumes
@@ -595,6 +595,30 @@ def best_slice(spark, sf_dir):
     return history.best_slice(rows, "gt", "volume")
 
 
+_AHEAD = "least(1, 0.1 / (sqrt(gw * gw + gb * gb) + 1e-6))"
+_MOVED = "{w} * (1 - 0.0005) - 0.05 * ({m} / (1 - pow(0.9, k + 2))) / (sqrt({s} / (1 - pow(0.999, k + 2))) + 1e-8)"
+_BATCH = "avg(ln(1 + exp(w * v + b)) - m * (w * v + b)) AS loss, (2 * sum(m / (1 + exp(-w * v - b))) + 1e-6) / (sum(1 / (1 + exp(-w * v - b))) + sum(m) + 1e-6) AS dice"
+
+
+@query(f"""WITH RECURSIVE {VOX}, ids AS (SELECT DISTINCT z, z % 5 = 0 AS val, CAST('0x' || substr(md5('0:' || z), 1, 7) AS BIGINT) % 4 AS shard FROM vox),
+o AS (SELECT z, ep, val, (row_number() OVER (PARTITION BY ep, val, shard ORDER BY CASE WHEN val THEN md5('0:' || z) ELSE md5('0:' || ep || ':' || z) END, CAST(z AS VARCHAR)) - 1) // 32 AS step FROM ids, range(1, 4) t(ep)),
+n AS (SELECT max(step) FILTER (NOT val) + 1 AS t FROM o), d AS (SELECT ep, val, (ep - 1) * CASE WHEN val THEN 0 ELSE t END + step AS place, v, CAST(v > 0.1 AS DOUBLE) AS m FROM o JOIN vox USING (z), n),
+r(k, loss, dice, w, b, mw, mb, sw, sb) AS (SELECT CAST(-1 AS BIGINT), 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL SELECT k + 1, loss, dice, {_MOVED.format(w='w', m='mw', s='sw')}, {_MOVED.format(w='b', m='mb', s='sb')}, mw, mb, sw, sb FROM (
+    SELECT k, loss, dice, w, b, 0.9 * mw + 0.1 * gw * c AS mw, 0.9 * mb + 0.1 * gb * c AS mb, 0.999 * sw + 0.001 * pow(gw * c, 2) AS sw, 0.999 * sb + 0.001 * pow(gb * c, 2) AS sb FROM (
+      SELECT *, {_AHEAD} AS c FROM (SELECT k, w, b, mw, mb, sw, sb, {_BATCH}, avg((1 / (1 + exp(-w * v - b)) - m) * v) AS gw, avg(1 / (1 + exp(-w * v - b)) - m) AS gb
+        FROM r JOIN d ON NOT val AND place = k + 1 GROUP BY k, w, b, mw, mb, sw, sb)))),
+e AS (SELECT k // t + 1 AS epoch, 'train' AS split, loss, dice FROM r, n WHERE k >= 0 UNION ALL SELECT d.ep, 'val', {_BATCH} FROM d, n, r WHERE val AND r.k = d.ep * t - 1 GROUP BY d.ep, place),
+a AS (SELECT epoch, split, avg(loss) AS loss, avg(dice) AS dice FROM e GROUP BY epoch, split)
+SELECT CAST(epoch AS INT) AS epoch, split, metric, round(value, 6) + 0.0 AS value FROM a UNPIVOT (value FOR metric IN (loss, dice))""")
+def trained_history(spark, sf_dir):
+    """Three epochs of training on all slices, in batches of 128 dealt to four tasks."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("patch_id"), F.when(F.col("vec_id") % 5 == 0, "val").otherwise("train").alias("split"), F.col("embedding").cast("array<double>").alias("image"))
+    patches = rows.withColumn("mask", F.transform("image", lambda v: (v > 0.1).cast("double")))
+    out = train.fit(patches, _folder(spark, "training"), (8, 8), "linear", epochs=3, batch=128, metrics=("dice",), learning_rate=0.05, weight_decay=0.01, max_grad_norm=0.1)
+    return _round(out, "value")
+
+
 @query("WITH p AS (SELECT event_type AS kind, count(*) AS n, sum(value) AS seconds, CAST(sum(user_id) AS BIGINT) AS flops FROM events GROUP BY 1) SELECT kind, n, round(seconds, 4) AS seconds, flops, round(100 * seconds / sum(seconds) OVER (), 6) AS share FROM p")
 def module_profile(spark, sf_dir):
     out = history.profile(table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), "value", "user_id"), "kind", "value", "user_id")
