@@ -2,9 +2,10 @@
 
 Patches are rows of a key, split (``train`` or ``val``; others are left out), image and mask (flat arrays). A shard is a task:
 patches belong to it by a hash of their key, and each epoch orders them anew by a hash; this is one shuffle of the patches
-with a sort that spills. A task streams through its shard and holds its share of one batch. All tasks gather, for each batch, the
-sums of which the losses are made, then the gradients: the loss of a batch is that of all its voxels, however many tasks
-share it. What is gathered passes through the driver, so a network's parameters (and nothing of the data) bound it: some megabytes.
+with a sort that spills. A task streams through its shard and holds its share of one batch. For each batch the tasks add up the
+sums of which the losses are made, then the gradients: the loss of a batch is that of all its voxels, however many tasks share it.
+Both go from task to task (``ring``). The driver sees one row an epoch with three vectors of the parameters' length: networks of some
+million parameters; larger ones belong to a library for them.
 
 An epoch ends with one row: its losses, metrics, parameters and the optimiser's moments, written below ``path``. A lost executor
 restarts the epoch; a lost job goes on after the last epoch that was written. All is deterministic, restarts included.
@@ -12,7 +13,6 @@ restarts the epoch; a lost job goes on after the last epoch that was written. Al
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tessavox.operators import networks, predict
 from tessavox.operators.lineage import exists, remove, shared_folder
+from tessavox.operators.ring import Ring
 
 _STATE = "train map<string,double>, val map<string,double>, rate double, step long, parameters array<double>, first array<double>, second array<double>"
 
@@ -87,12 +88,6 @@ def scheduled(rate: float, losses: list[float], factor: float = 0.5, patience: i
     return rate
 
 
-def _gathered(context: BarrierTaskContext, values: np.ndarray) -> np.ndarray:
-    """The sum over all tasks, added in the same order everywhere."""
-    told = context.allGather(base64.b64encode(values.tobytes()).decode())
-    return np.sum([np.frombuffer(base64.b64decode(x)) for x in told], axis=0)
-
-
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
     for b in batches:
         for i in range(b.num_rows):
@@ -104,6 +99,7 @@ def _epoch(shards: DataFrame, make: Callable, state: dict, shape: tuple[int, ...
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, network = BarrierTaskContext.get(), make()
+        ring = Ring(context)
         networks.load(network, np.array(state["parameters"]))
         size = sum(v.size for v in network.parameters.values())
         first, second, step, rate = np.array(state["first"]), np.array(state["second"]), state["step"], state["rate"]
@@ -124,7 +120,7 @@ def _epoch(shards: DataFrame, make: Callable, state: dict, shape: tuple[int, ...
                     z, memo = network.forward(x)
                     p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
                     own = {k: f(z, p, t) for k, f in terms.items()}
-                total = dict(zip(terms, _gathered(context, np.array([np.sum(v) for v, _ in own.values()])), strict=True))
+                total = dict(zip(terms, ring.total(np.array([np.sum(v) for v, _ in own.values()])), strict=True))
                 loss, slopes = 0.0, dict.fromkeys(terms, 0.0)
                 for name, w in weights.items():
                     value, by = LOSSES[name](total, **({} if name == "focal" else options.get(name, {})))
@@ -138,7 +134,7 @@ def _epoch(shards: DataFrame, make: Callable, state: dict, shape: tuple[int, ...
                 gradient = np.zeros(size)
                 if some:
                     gradient = networks.vector(network.backward(memo, sum(slopes[k] * own[k][1] for k in terms)), network.parameters)
-                gradient = _gathered(context, gradient)
+                gradient = ring.total(gradient)
                 if clip is not None:
                     gradient *= min(1.0, clip / (float(np.sqrt((gradient**2).sum())) + 1e-6))
                 step += 1
@@ -146,6 +142,7 @@ def _epoch(shards: DataFrame, make: Callable, state: dict, shape: tuple[int, ...
                 flat = networks.vector(network.parameters, network.parameters) * (1 - rate * decay)
                 networks.load(network, flat - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8))
             results.append([(k, v / count) for k, v in sums.items()])
+        ring.close()
         if context.partitionId() == 0:
             doubles, named = pa.list_(pa.float64()), pa.map_(pa.string(), pa.float64())
             flat = networks.vector(network.parameters, network.parameters)

@@ -122,3 +122,26 @@ def test_odd_rows(spark, tmp_path):
         train.fit(df.limit(0), f"{tmp_path}/d", (4, 4), **same)
     with pytest.raises(ValueError, match="dealt"):
         train.fit(df, f"{tmp_path}/e", (4, 4), batch=7, shards=2)
+
+
+@pytest.mark.parametrize("tasks", [1, 2, 3])
+def test_sums_around_the_ring(spark, tasks):
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import BarrierTaskContext
+
+        from tessavox.operators.ring import Ring
+
+        for _ in batches:
+            pass
+        ring = Ring(BarrierTaskContext.get())
+        large = ring.total(np.arange(300_000) * (ring.rank + 1.0))
+        small = [ring.total(np.array([0.1 * ring.rank, 1.0])).tolist() for _ in range(50)]
+        none = ring.total(np.array([]))
+        ring.close()
+        yield pa.RecordBatch.from_pydict({"large": [large.tolist()], "small": [small[-1]], "none": [len(none)]})
+
+    rows = spark.range(0, 10, 1, tasks).mapInArrow(run, "large array<double>, small array<double>, none long", barrier=True).collect()
+    assert len(rows) == tasks and len({tuple(r.small) for r in rows}) == 1
+    factor = tasks * (tasks + 1) / 2
+    assert all(r.none == 0 and r.small[1] == tasks and np.array_equal(r.large, np.arange(300_000) * factor) for r in rows)
