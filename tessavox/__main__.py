@@ -1,4 +1,4 @@
-"""python -m tessavox preprocess|inference|converter|analysis: the jobs of a configuration file."""
+"""python -m tessavox preprocess|train|inference|converter|analysis: the jobs of a configuration file."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from tessavox.plans.session import session
 
 def main() -> None:
     p = argparse.ArgumentParser(prog="tessavox", description=__doc__)
-    p.add_argument("job", choices=["preprocess", "inference", "converter", "analysis"])
+    p.add_argument("job", choices=["preprocess", "train", "inference", "converter", "analysis"])
     p.add_argument("--config", help="the project's configuration (JSON)")
     p.add_argument("--input", help="preprocess: a folder of slices; analysis: the folder to search")
     p.add_argument("--output", help="preprocess: the folder for the normalised slices; analysis: the report's name")
@@ -24,6 +24,8 @@ def main() -> None:
     spark = session(f"tessavox {args.job}")
     if args.job == "preprocess":
         jobs.preprocess(spark, config, args.input, args.output, args.mode)
+    elif args.job == "train":
+        jobs.training(spark, config)
     elif args.job == "inference":
         jobs.inference(spark, config)
     elif args.job == "converter":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +45,19 @@ def augmented(patches: DataFrame, key: str, height: int, seed: int = 0, width: i
     field = F.when(chance(k, 7, seed) < 0.2, bias_field(k, y, F.col("x"), height, width or height, seed)).otherwise(1.0)
     img = (((F.col("img") - F.col("mean_")) * gain + F.col("mean_")) * field + shift) * scale
     return patches.join(mean, key).select(key, y.alias("y"), "x", img.alias("img"), (F.col("msk") > 0.5).cast("int").alias("msk"))
+
+
+def varied(image: np.ndarray, mask: np.ndarray, rng: np.random.Generator, degree: int = 3, most: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """What ``augmented`` does, of one patch in a task: (height, width) or (depth, height, width)."""
+    if rng.random() < 0.5:
+        image, mask = image[..., ::-1, :], mask[..., ::-1, :]
+    if rng.random() < 0.3:
+        image = (image - image.mean()) * (0.5 + rng.random()) + image.mean()
+    if rng.random() < 0.2:
+        weights = np.tril(most * rng.random((degree + 1, degree + 1)))
+        image = image * np.exp(np.polynomial.legendre.leggrid2d(*(np.linspace(-1, 1, n) for n in image.shape[-2:]), weights))
+    if rng.random() < 0.3:
+        image = image + (0.4 * rng.random() - 0.2)
+    if rng.random() < 0.3:
+        image = image * (0.8 + 0.4 * rng.random())
+    return image, (mask > 0.5).astype(np.float64)

@@ -136,6 +136,22 @@ def _run(model: Model, batch: np.ndarray) -> np.ndarray:
     return out if out.shape == batch.shape else np.stack([resized_back(a, batch.shape[1:]) for a in out])
 
 
+def whole(cut: DataFrame, shape: tuple[int, int, int], size: tuple[int, int, int], pad_mode: str = "reflect", fill: float = 0.0) -> DataFrame:
+    """pz, py, px, data: each patch (of patches()) as one flat array, padded to its size as for prediction where the volume is smaller."""
+    real = tuple(min(a, b) for a, b in zip(shape, size, strict=True))
+    widths = [pad.widths(n, s, i == 0) for i, (n, s) in enumerate(zip(real, size, strict=True))]
+    extra = {"constant_values": fill} if pad_mode == "constant" else {}
+    schema = "pz long, py long, px long, data array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                at = tuple(b.column(k)[i].as_py() for k in range(3))
+                yield _table([(*at, np.pad(_placed(b.column(3)[i].values, at, real), widths, pad_mode, **extra).ravel())], schema)
+
+    return cut.mapInArrow(run, schema)
+
+
 def predicted(cut: DataFrame, shape: tuple[int, int, int], size: tuple[int, int, int], model: Model, batch: int = 8, band: int = 64, pad_mode: str = "reflect", fill: float = 0.0) -> DataFrame:
     """band, pz, z, y, x, h, w, bytes: the model's logits for patches (of patches()), cut for bands of rows.
 

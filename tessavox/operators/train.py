@@ -46,6 +46,8 @@ def _terms(alpha: float, gamma: float) -> dict[str, Callable]:
         "both": lambda z, p, t: (p * t, t * p * (1 - p)),
         "bce": entropy,
         "focal": focal,
+        "hard": lambda z, p, t: (1.0 * (p > 0.5), np.zeros_like(z)),
+        "hard_both": lambda z, p, t: ((p > 0.5) * t, np.zeros_like(z)),
     }
 
 
@@ -72,8 +74,9 @@ def _mean(term: str) -> Callable:
 #: Losses by name, as functions of the sums over a batch: value, slopes by the sums.
 LOSSES = {"dice": _dice, "tversky": _tversky, "log_cosh_dice": _log_cosh_dice, "bce": _mean("bce"), "focal": _mean("focal")}
 METRICS = {
-    "dice": lambda s: (2 * s["both"] + 1e-6) / (s["p"] + s["t"] + 1e-6),
-    "iou": lambda s: (s["both"] + 1e-5) / (s["p"] + s["t"] - s["both"] + 1e-5),
+    "dice_soft": lambda s: (2 * s["both"] + 1e-5) / (s["p"] + s["t"] + 1e-5),
+    "dice_hard": lambda s: (2 * s["hard_both"] + 1e-5) / (s["hard"] + s["t"] + 1e-5),
+    "iou": lambda s: (s["hard_both"] + 1e-5) / (s["hard"] + s["t"] - s["hard_both"] + 1e-5),
     "bce": lambda s: s["bce"] / s["n"],
 }
 
@@ -88,13 +91,17 @@ def scheduled(rate: float, losses: list[float], factor: float = 0.5, patience: i
     return rate
 
 
-def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+def _samples(batches: Iterator[pa.RecordBatch], shape: tuple[int, ...], vary: Callable | None, seed: tuple[int, int]) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
     for b in batches:
         for i in range(b.num_rows):
-            yield b.column(0)[i].as_py(), np.asarray(b.column(1)[i].values, np.float64), np.asarray(b.column(2)[i].values, np.float64)
+            val, key = b.column(0)[i].as_py(), b.column(3)[i].as_py()
+            image, mask = (np.asarray(b.column(c)[i].values, np.float64).reshape(shape) for c in (1, 2))
+            if vary is not None and not val:
+                image, mask = vary(image, mask, np.random.default_rng([*seed, *key.encode()]))
+            yield val, image, mask
 
 
-def _epoch(shards: DataFrame, make: Callable, state: dict, shape: tuple[int, ...], share: int, steps: tuple[int, int], weights: dict[str, float], options: dict, metrics: tuple[str, ...], decay: float, clip: float | None) -> DataFrame:
+def _epoch(shards: DataFrame, make: Callable, state: dict, shape: tuple[int, ...], share: int, steps: tuple[int, int], weights: dict[str, float], options: dict, metrics: tuple[str, ...], decay: float, clip: float | None, vary: Callable | None, seed: tuple[int, int]) -> DataFrame:
     """One row of _STATE: the epoch's results from the first task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +112,7 @@ def _epoch(shards: DataFrame, make: Callable, state: dict, shape: tuple[int, ...
         first, second, step, rate = np.array(state["first"]), np.array(state["second"]), state["step"], state["rate"]
         focal = options.get("focal", {})
         terms = _terms(focal.get("alpha", 0.8), focal.get("gamma", 2.0))
-        rows, results = _samples(batches), []
+        rows, results = _samples(batches, shape, vary, seed), []
         ahead = next(rows, None)
         for val, count in enumerate(steps):
             sums: dict[str, float] = {}
@@ -116,7 +123,7 @@ def _epoch(shards: DataFrame, make: Callable, state: dict, shape: tuple[int, ...
                     ahead = next(rows, None)
                 own, memo = {k: (0.0, None) for k in terms}, None
                 if some:
-                    x, t = (np.stack(c).reshape(-1, *shape) for c in zip(*some, strict=True))
+                    x, t = (np.stack(c) for c in zip(*some, strict=True))
                     z, memo = network.forward(x)
                     p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
                     own = {k: f(z, p, t) for k, f in terms.items()}
@@ -171,12 +178,13 @@ def fit(
     shards: int = 4,
     loss: dict[str, float] | None = None,
     options: dict[str, dict] | None = None,
-    metrics: tuple[str, ...] = ("dice", "iou"),
+    metrics: tuple[str, ...] = ("dice_soft", "iou"),
     metric_interval: int = 1,
     learning_rate: float = 1e-4,
     weight_decay: float = 1e-5,
     max_grad_norm: float | None = None,
     checkpoint_interval: int = 25,
+    vary: Callable | None = None,
     seed: int = 0,
 ) -> DataFrame:
     """The history (epoch, split, metric, value) of a training that goes on after the last epoch found below path.
@@ -184,7 +192,8 @@ def fit(
     AdamW, the rate halved on plateaus of the validation loss, gradients clipped to a norm if one is given. ``path/best`` holds the
     network of the least validation loss, ``path/epoch_25`` and so on that of every 25th epoch, both for
     ``predict.load_checkpoint``. An epoch's value is the mean over its batches. Losses and their options are those of
-    ``functions.losses``. Needs as many free slots as shards, and a batch that shards divide. Without patches for
+    ``functions.losses``. ``vary`` changes an image and its mask for training, by a generator that differs between patches and
+    epochs (``augment.varied``). Needs as many free slots as shards, and a batch that shards divide. Without patches for
     validation the training loss stands in for theirs; without any for training there is nothing to fit, an error. Rows
     with a null in key, split, image or mask are left out.
     """
@@ -215,9 +224,9 @@ def fit(
             if not exists(spark, f"{place}/_SUCCESS"):
                 state["rate"] = scheduled(learning_rate, past)
                 order = F.when(F.col("val"), digest(F.lit(str(seed)))).otherwise(digest(F.lit(str(seed)), F.lit(str(n))))
-                dealt = held.repartitionById(shards, F.col("shard")).sortWithinPartitions("val", order, "key_").select("val", "image", "mask")
+                dealt = held.repartitionById(shards, F.col("shard")).sortWithinPartitions("val", order, "key_").select("val", "image", "mask", "key_")
                 taken = metrics if n % metric_interval == 0 else ()
-                _epoch(dealt, lambda: kind(**given), state, shape, share, steps, weights, options, taken, weight_decay, max_grad_norm).withColumn("epoch", F.lit(n)).write.mode("overwrite").parquet(place)
+                _epoch(dealt, lambda: kind(**given), state, shape, share, steps, weights, options, taken, weight_decay, max_grad_norm, vary, (seed, n)).withColumn("epoch", F.lit(n)).write.mode("overwrite").parquet(place)
             row = spark.read.parquet(place).first()  # one row
             state = {k: row[k] for k in ("parameters", "first", "second", "step")}
             now = (row.val or row.train)["loss"]

@@ -1,4 +1,4 @@
-"""The jobs that a project's configuration file describes: preprocessing, inference, conversion and evaluation of volumes in folders.
+"""The jobs that a project's configuration file describes: preprocessing, training, inference, conversion and evaluation of volumes in folders.
 
 The driver lists directories and reads the configuration; slices are read, worked on and written by tasks.
 """
@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessavox.functions import intensity, paths
-from tessavox.operators import metrics, normalize, predict, report, stats
-from tessavox.sources import convert, ranges, volumes
+from tessavox.operators import augment, history, metrics, normalize, predict, report, stats, tiling, train
+from tessavox.sources import convert, pictures, ranges, volumes
 
 
 def directories(spark: SparkSession, root: str) -> DataFrame:
@@ -51,6 +51,61 @@ def preprocess(spark: SparkSession, config: dict, source: str, target: str, sect
     return names.count()
 
 
+def training_patches(spark: SparkSession, config: dict) -> DataFrame:
+    """patch_id, split, image, mask of all volumes called ``input_name`` below ``data_path`` that have masks called ``mask_name`` beside them.
+
+    Patches with foreground are kept, and a share of as many others for each volume; the places of ``val_ratio`` of all
+    go to validation. Volumes are numbered one after another, in the order of their paths.
+    """
+    own = config["train"]
+    roots = [own["data_path"]] if isinstance(own["data_path"], str) else own["data_path"]
+    size, overlap = tuple(own.get("training_patch_size", (16, 64, 64))), tuple(own.get("training_overlay", (0, 0, 0)))
+    pad_mode, seed = own.get("preprocess", {}).get("pad_mode", "reflect"), own.get("seed", 0)
+    every, before = None, 0
+    for root in roots:
+        pairs = paths.training_pairs(directories(spark, root.rstrip("/")), own.get("input_name", "images"), own.get("mask_name", "masks"))
+        for r in pairs.sort("image").toLocalIterator():
+            shape = volumes.shape_of(spark, r.image)
+            if volumes.shape_of(spark, r.mask) != shape:
+                raise ValueError(f"{r.image} and {r.mask} differ in size")
+            sides = {"image": _normalised(config, "train", volumes.read_slices(spark, r.image)), "mask": volumes.read_slices(spark, r.mask)}
+            image, mask = (predict.whole(predict.patches(rows, shape, size, overlap), shape, size, pad_mode).withColumnRenamed("data", name) for name, rows in sides.items())
+            place = F.lit(before) + (F.col("pz") * shape[1] + F.col("py")) * shape[2] + F.col("px")
+            marked = mask.select("pz", "py", "px", place.alias("patch_id"), F.exists("mask", lambda v: v > 0.5).alias("positive"), "mask")
+            chosen = tiling.sampled_patches(marked.drop("mask"), own.get("training_neg_keep_ratio", 1.0), seed=seed)
+            here = chosen.join(marked.select("patch_id", "mask"), "patch_id").join(image, ["pz", "py", "px"]).select("patch_id", "image", F.transform("mask", lambda v: (v > 0.5).cast("double")).alias("mask"))
+            every = here if every is None else every.unionByName(here)
+            before += shape[0] * shape[1] * shape[2]
+    if every is None:
+        raise ValueError(f"no pairs of images and masks below {roots}")
+    split = tiling.split(every.select("patch_id"), own.get("val_ratio", 0.2), "patch_id", seed)
+    return every.join(split, "patch_id").select("patch_id", "split", "image", "mask")
+
+
+def training(spark: SparkSession, config: dict, shards: int | None = None) -> DataFrame:
+    """The history of the training that the section ``train`` describes; its checkpoints lie below ``save_path/model_name``, curves of
+    the validation there too if it is a mounted folder. ``model_type`` names one of ``networks.NETWORKS``, ``model`` its parameters."""
+    own = config["train"]
+    kind = own.get("model_type", "convolution")
+    given = {k: v for k, v in config.get("model", {}).get(kind, {}).items() if k != "description"}
+    size = tuple(own.get("training_patch_size", (16, 64, 64)))
+    to, batch = f"{own['save_path'].rstrip('/')}/{own.get('model_name', kind)}", own.get("training_batch_size", 8)
+    shards = shards or max(n for n in range(1, min(batch, spark.sparkContext.defaultParallelism) + 1) if batch % n == 0)
+    names = [n.lower() for n in own.get("metrics", [])]
+    if left := [n for n in names if n not in train.METRICS]:
+        warnings.warn(f"not computed while training: {left}", stacklevel=2)
+    losses = own.get("loss", {"bce": 1.0})
+    out = train.fit(
+        training_patches(spark, config), to, size[1:] if size[0] == 1 else size, kind, given, epochs=own.get("training_epochs", 30), batch=batch, shards=shards, loss=losses,
+        options={k: v for k, v in config.get("loss", {}).items() if isinstance(v, dict)}, metrics=tuple(n for n in names if n in train.METRICS), metric_interval=own.get("metric_interval", 1),
+        learning_rate=own.get("learning_rate", 1e-4), weight_decay=own.get("weight_decay", 1e-5), max_grad_norm=own.get("max_grad_norm"), vary=augment.varied, seed=own.get("seed", 0),
+    )
+    if "://" not in to:
+        named = out.select("epoch", F.concat_ws("_", "split", "metric").alias("metric"), "value")
+        pictures.write_curves(history.carried(named, named), f"{to}/curves").count()
+    return out
+
+
 def inference(spark: SparkSession, config: dict, model: predict.Model | None = None) -> dict[str, int]:
     """Masks of all directories called ``input_name`` below ``input_path``, written at the same places below ``output_path``; files by output.
 

@@ -597,7 +597,7 @@ def best_slice(spark, sf_dir):
 
 _AHEAD = "least(1, 0.1 / (sqrt(gw * gw + gb * gb) + 1e-6))"
 _MOVED = "{w} * (1 - 0.0005) - 0.05 * ({m} / (1 - pow(0.9, k + 2))) / (sqrt({s} / (1 - pow(0.999, k + 2))) + 1e-8)"
-_BATCH = "avg(ln(1 + exp(w * v + b)) - m * (w * v + b)) AS loss, (2 * sum(m / (1 + exp(-w * v - b))) + 1e-6) / (sum(1 / (1 + exp(-w * v - b))) + sum(m) + 1e-6) AS dice"
+_BATCH = "avg(ln(1 + exp(w * v + b)) - m * (w * v + b)) AS loss, (2 * sum(m / (1 + exp(-w * v - b))) + 1e-5) / (sum(1 / (1 + exp(-w * v - b))) + sum(m) + 1e-5) AS dice"
 
 
 @query(f"""WITH RECURSIVE {VOX}, ids AS (SELECT DISTINCT z, z % 5 = 0 AS val, CAST('0x' || substr(md5('0:' || z), 1, 7) AS BIGINT) % 4 AS shard FROM vox),
@@ -609,13 +609,13 @@ r(k, loss, dice, w, b, mw, mb, sw, sb) AS (SELECT CAST(-1 AS BIGINT), 0.0::DOUBL
       SELECT *, {_AHEAD} AS c FROM (SELECT k, w, b, mw, mb, sw, sb, {_BATCH}, avg((1 / (1 + exp(-w * v - b)) - m) * v) AS gw, avg(1 / (1 + exp(-w * v - b)) - m) AS gb
         FROM r JOIN d ON NOT val AND place = k + 1 GROUP BY k, w, b, mw, mb, sw, sb)))),
 e AS (SELECT k // t + 1 AS epoch, 'train' AS split, loss, dice FROM r, n WHERE k >= 0 UNION ALL SELECT d.ep, 'val', {_BATCH} FROM d, n, r WHERE val AND r.k = d.ep * t - 1 GROUP BY d.ep, place),
-a AS (SELECT epoch, split, avg(loss) AS loss, avg(dice) AS dice FROM e GROUP BY epoch, split)
-SELECT CAST(epoch AS INT) AS epoch, split, metric, round(value, 6) + 0.0 AS value FROM a UNPIVOT (value FOR metric IN (loss, dice))""")
+a AS (SELECT epoch, split, avg(loss) AS loss, avg(dice) AS dice_soft FROM e GROUP BY epoch, split)
+SELECT CAST(epoch AS INT) AS epoch, split, metric, round(value, 6) + 0.0 AS value FROM a UNPIVOT (value FOR metric IN (loss, dice_soft))""")
 def trained_history(spark, sf_dir):
     """Three epochs of training on all slices, in batches of 128 dealt to four tasks."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("patch_id"), F.when(F.col("vec_id") % 5 == 0, "val").otherwise("train").alias("split"), F.col("embedding").cast("array<double>").alias("image"))
     patches = rows.withColumn("mask", F.transform("image", lambda v: (v > 0.1).cast("double")))
-    out = train.fit(patches, _folder(spark, "training"), (8, 8), "linear", epochs=3, batch=128, metrics=("dice",), learning_rate=0.05, weight_decay=0.01, max_grad_norm=0.1)
+    out = train.fit(patches, _folder(spark, "training"), (8, 8), "linear", epochs=3, batch=128, metrics=("dice_soft",), learning_rate=0.05, weight_decay=0.01, max_grad_norm=0.1)
     return _round(out, "value")
 
 

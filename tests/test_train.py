@@ -75,7 +75,7 @@ def test_shards_do_not_change_whole_batches_and_training_goes_on(spark, tmp_path
     train.fit(df, f"{tmp_path}/two", (4, 4), epochs=2, shards=2, **options)
     two = _values(train.fit(df, f"{tmp_path}/two", (4, 4), epochs=4, shards=2, **options))
     assert one.keys() == two.keys() and one == pytest.approx(two, abs=1e-9)
-    assert {n for n, _, m in one if m == "dice"} == {2, 4}
+    assert {n for n, _, m in one if m == "dice_soft"} == {2, 4}
     assert predict.load_checkpoint(spark, f"{tmp_path}/two/epoch_4")[1]["epoch"] == 4
 
 
@@ -145,3 +145,47 @@ def test_sums_around_the_ring(spark, tasks):
     assert len(rows) == tasks and len({tuple(r.small) for r in rows}) == 1
     factor = tasks * (tasks + 1) / 2
     assert all(r.none == 0 and r.small[1] == tasks and np.array_equal(r.large, np.arange(300_000) * factor) for r in rows)
+
+
+def test_a_project_is_trained_and_its_model_used(spark, tmp_path):
+    import pandas as pd
+
+    from tessavox.plans import jobs
+    from tessavox.sources import volumes
+
+    rng = np.random.default_rng(5)
+
+    def volume(a):
+        z, y, x = (c.ravel() for c in np.indices(a.shape))
+        return spark.createDataFrame(pd.DataFrame({"z": z, "y": y, "x": x, "v": a.ravel().astype(float)}))
+
+    for name, depth in (("one", 4), ("two", 3)):
+        bright = rng.random((depth, 12, 10)) > 0.7
+        volumes.write_slices(volume(bright * 2.0 + rng.normal(0, 0.2, bright.shape)), f"{tmp_path}/{name}/images").count()
+        volumes.write_slices(volume(bright * 255), f"{tmp_path}/{name}/labels").count()
+    own = {"data_path": [str(tmp_path)], "save_path": f"{tmp_path}/out", "model_name": "net", "model_type": "convolution", "mask_name": "labels", "loss": {"dice": 1, "focal": 0.2},
+           "metrics": ["dice_hard", "mcc"], "training_patch_size": [1, 8, 8], "training_overlay": [0, 2, 2], "training_epochs": 4, "training_batch_size": 4, "learning_rate": 0.1, "val_ratio": 0.25}
+    config = {"model": {"convolution": {"channels": 3}}, "train": own}
+    cut = jobs.training_patches(spark, config).collect()
+    assert len(cut) == len({r.patch_id for r in cut}) == 7 * 4 and sum(r.split == "val" for r in cut) == 7
+    assert all(len(r.image) == len(r.mask) == 64 and set(r.mask) <= {0.0, 1.0} for r in cut)
+    with pytest.warns(UserWarning):
+        values = _values(jobs.training(spark, config, shards=2))
+    assert values[4, "val", "loss"] < values[1, "val", "loss"] and values[4, "val", "dice_hard"] > 0.8
+    assert (tmp_path / "out" / "net" / "curves" / "val_loss.png").exists()
+    config["inference"] = {"input_path": f"{tmp_path}/two", "output_path": f"{tmp_path}/masks", "model_path": f"{tmp_path}/out/net/best", "inference_patch_size": [1, 8, 8], "inference_overlay": [0, 2, 2], "preprocess": {"normalize_mode": "z-score"}}
+    jobs.inference(spark, config)
+    got = volumes.read_volume(spark, f"{tmp_path}/masks/images.scroll-tiff")
+    right = got.join(volumes.read_volume(spark, f"{tmp_path}/two/labels").withColumnRenamed("v", "t"), ["z", "y", "x"])
+    assert right.where("(v > 0) = (t > 0)").count() > 0.9 * 360
+
+
+def test_variations_keep_masks_with_images():
+    from tessavox.operators.augment import varied
+
+    image = np.arange(24.0).reshape(2, 4, 3)
+    for i in range(30):
+        a, b = varied(image, image > 11, np.random.default_rng(i))
+        c, _ = varied(image, image > 11, np.random.default_rng(i))
+        assert np.array_equal(a, c) and a.shape == b.shape and set(np.unique(b)) <= {0.0, 1.0}
+        assert b.sum() == 12 and (a[b > 0].mean() > a[b == 0].mean())
