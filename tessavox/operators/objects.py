@@ -74,14 +74,15 @@ def matched(gt: np.ndarray, pr: np.ndarray, min_iou: float = 0.5) -> int:
     return hits
 
 
-def thinned(mask: np.ndarray) -> np.ndarray:
+def thinned(mask: np.ndarray, rounds: int | None = None) -> np.ndarray:
     """Centre lines of a slice or of each of a stack: pixels go in two alternating passes while a loop's or line's connection stays
-    (Zhang and Suen 1984)."""
+    (Zhang and Suen 1984); on request after some rounds of both passes only."""
     if mask.ndim == 2:
-        return thinned(mask[None])[0]
+        return thinned(mask[None], rounds)[0]
     m = np.pad(mask.astype(np.int8), ((0, 0), (1, 1), (1, 1)))
     live = np.arange(len(m))
-    while len(live):
+    while len(live) and rounds != 0:
+        rounds = None if rounds is None else rounds - 1
         some, gone = m[live], np.zeros(len(live), bool)
         for first in (True, False):
             p = [some[:, :-2, 1:-1], some[:, :-2, 2:], some[:, 1:-1, 2:], some[:, 2:, 2:], some[:, 2:, 1:-1], some[:, 2:, :-2], some[:, 1:-1, :-2], some[:, :-2, :-2]]
@@ -224,6 +225,72 @@ def tiled_metrics(rows: DataFrame, *slice_cols: str, tile: int = 512, min_iou: f
     return out.select(*[F.col(k).alias(c) for k, c in zip(ks, keys, strict=True)], "gt_count", "pr_count", "matched", ratio("pr_count").alias("obj_precision"), ratio("gt_count").alias("obj_recall"), f1.alias("obj_f1"))
 
 
+def tiled_centre_dice(rows: DataFrame, *slice_cols: str, tile: int = 512, halo: int = 16) -> DataFrame:
+    """slice, cldice as ``object_metrics`` has it, of slices of any size.
+
+    Tiles see ``halo`` pixels of their neighbours. A pass looks one pixel far, so that half as many rounds of both passes leave
+    the tile itself as it is in the whole slice; then borders are sent anew, until no tile changes. Only bits travel: a tile to itself,
+    its borders to those beside it.
+    """
+    from tessavox.operators.lineage import cut
+
+    if not 2 <= halo <= tile or halo % 2:
+        raise ValueError("a halo is an even number of pixels, 2 or more, and not wider than a tile")
+    keys = list(slice_cols or ("z",))
+    ks = [f"k{i}_" for i in range(len(keys))]
+    schema = ", ".join([*(f"{k} {kind(rows, c)}" for k, c in zip(ks, keys, strict=True)), "ty_ int, tx_ int, dy_ int, dx_ int, masks_ binary, lines_ binary, changed_ int"])
+    sides = {-1: slice(0, halo), 0: slice(0, tile), 1: slice(tile - halo, tile)}  # of the sender, towards dy, dx
+    places = {-1: slice(tile + halo, tile + 2 * halo), 0: slice(halo, tile + halo), 1: slice(0, halo)}  # in the canvas of who gets it
+
+    def told(key: tuple, masks: bytes, lines: np.ndarray, changed: int) -> list[tuple]:
+        *k, ty, tx = key
+        out = [(*k, ty, tx, 0, 0, masks, np.packbits(lines).tobytes(), changed)]
+        for dy, dx in ((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b):
+            part = lines[:, sides[dy], sides[dx]]
+            if part.any():
+                out.append((*k, ty + dy, tx + dx, dy, dx, None, np.packbits(part).tobytes(), 0))
+        return out
+
+    def first(*group) -> list[tuple]:
+        *key, y, x, gt, pr = group
+        masks = np.stack([grid(y - key[-2] * tile, x - key[-1] * tile, v > 0, "bool", (tile, tile)) for v in (gt, pr)])
+        return told(tuple(key), np.packbits(masks).tobytes(), masks, 1) if masks.any() else []
+
+    def again(*group) -> list[tuple]:
+        *key, dys, dxs, masks, lines = group
+        canvas, own = np.zeros((2, tile + 2 * halo, tile + 2 * halo), bool), None
+        for dy, dx, mask, bits in zip(dys.tolist(), dxs.tolist(), masks, lines, strict=True):
+            here = canvas[:, places[dy], places[dx]]
+            here[:] = np.unpackbits(np.frombuffer(bits, np.uint8), count=here.size).reshape(here.shape)
+            own = mask if (dy, dx) == (0, 0) else own
+        if own is None:  # an empty tile
+            return []
+        middle = (slice(None), places[0], places[0])
+        new = thinned(canvas, halo // 2)[middle]
+        return told(tuple(key), own, new, int((new != canvas[middle]).any()))
+
+    now = cut(worked(rows, [*[F.col(k) for k in keys], F.expr(f"CAST(y DIV {tile} AS INT)"), F.expr(f"CAST(x DIV {tile} AS INT)")], ["y", "x", "gt", "pr"], first, schema))
+    by = [*[F.col(k) for k in ks], F.col("ty_"), F.col("tx_")]
+    while not now.where("changed_ = 1").isEmpty():
+        now = cut(worked(now, by, ["dy_", "dx_", "masks_", "lines_"], again, schema))
+
+    def sums(*group) -> list[tuple]:
+        *key, masks, lines = group
+        out = np.zeros(6)
+        for a, b in zip(masks, lines, strict=True):
+            (gt, pr), (lg, lp) = (np.unpackbits(np.frombuffer(v, np.uint8), count=2 * tile * tile).reshape(2, -1) for v in (a, b))
+            out += [gt.sum(), pr.sum(), lg.sum(), lp.sum(), (lg & pr).sum(), (lp & gt).sum()]
+        return [(*key[: len(keys)], *map(int, out))]
+
+    counts = ["gt_", "pr_", "lg_", "lp_", "lg_pr_", "lp_gt_"]
+    each = worked(now.where("dy_ = 0 AND dx_ = 0"), by, ["masks_", "lines_"], sums, ", ".join([*schema.split(", ")[: len(keys)], *(f"{c} long" for c in counts)]))
+    total = each.groupBy(*ks).agg(*[F.sum(c).alias(c) for c in counts])
+    covered, found = F.col("lg_pr_") / (F.col("lg_") + 1e-6), F.col("lp_gt_") / (F.col("lp_") + 1e-6)
+    score = F.when((F.col("gt_") > 0) & (F.col("pr_") > 0) & (covered + found > 0), 2 * covered * found / (covered + found)).otherwise(0.0)
+    every = rows.select(*[F.col(c).alias(k) for k, c in zip(ks, keys, strict=True)]).distinct()
+    return every.join(total, ks, "left").select(*[F.col(k).alias(c) for k, c in zip(ks, keys, strict=True)], F.coalesce(score, F.lit(0.0)).alias("cldice"))
+
+
 def components(mask: DataFrame) -> DataFrame:
     """z, y, x, component of the foreground of a whole volume (26 neighbours): the smallest number of its voxels.
 

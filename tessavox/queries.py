@@ -493,7 +493,31 @@ def object_matches_in_tiles(spark, sf_dir):
     return _round(objects.tiled_metrics(truth_and_prediction(spark, sf_dir), tile=3), "obj_precision", "obj_recall", "obj_f1")
 
 
-@query()
+def _thin_sql() -> str:
+    """Two alternating passes over padded slices as lists of 100 cells, until two passes in a row change nothing."""
+    around = ["i - 10", "i - 9", "i + 1", "i + 11", "i + 10", "i + 9", "i - 1", "i - 11"]
+    p = [f"s[{a}]" for a in around]
+    turns = " + ".join(f"(1 - {a}) * {b}" for a, b in zip(p, [*p[1:], p[0]], strict=True))
+    n, e, south, w = p[0], p[2], p[4], p[6]
+    side = f"CASE WHEN k % 2 = 0 THEN {n} * {e} * {south} + {e} * {south} * {w} ELSE {n} * {e} * {w} + {n} * {south} * {w} END = 0"
+    drop = f"{' + '.join(p)} BETWEEN 2 AND 6 AND {turns} = 1 AND {side}"
+    new = f"[CASE WHEN s[i] = 1 AND {drop} THEN 0 ELSE s[i] END for i in range(1, 101)]"
+    return f"""mk AS (SELECT z, which, list(CAST(coalesce(on_, 0) AS INT) ORDER BY i) AS s FROM (SELECT DISTINCT z FROM tp) CROSS JOIN (SELECT unnest(['gt', 'pr']) AS which) CROSS JOIN range(1, 101) c(i)
+  LEFT JOIN (SELECT z, unnest(['gt', 'pr']) AS which, (y + 1) * 10 + x + 2 AS i, unnest([gt, pr]) AS on_ FROM tp) USING (z, which, i) GROUP BY z, which),
+th(z, which, k, quiet, s) AS (SELECT z, which, 0, 0, s FROM mk UNION ALL SELECT z, which, k + 1, CASE WHEN n = s THEN quiet + 1 ELSE 0 END, n FROM (SELECT *, {new} AS n FROM th WHERE quiet < 2)),
+ln AS (SELECT z, which, arg_max(t.s, k) AS line, any_value(m.s) AS own FROM th t JOIN mk m USING (z, which) GROUP BY z, which),
+ov AS (SELECT g.z, list_sum(g.own) AS ng, list_sum(p.own) AS np, list_sum(list_transform(range(1, 101), lambda i: g.line[i] * p.own[i])) / (list_sum(g.line) + 1e-6) AS a,
+  list_sum(list_transform(range(1, 101), lambda i: p.line[i] * g.own[i])) / (list_sum(p.line) + 1e-6) AS b FROM ln g JOIN ln p ON g.z = p.z AND g.which = 'gt' AND p.which = 'pr'),
+cl AS (SELECT z, CASE WHEN ng > 0 AND np > 0 AND a + b > 0 THEN 2 * a * b / (a + b) ELSE 0 END AS cldice FROM ov)"""
+
+
+@query(f"WITH RECURSIVE {PAIR}, {_thin_sql()} SELECT z, round(cldice, 6) + 0.0 AS cldice FROM cl")
+def centre_lines(spark, sf_dir):
+    """How much the centre lines of truth and prediction lie in each other's masks, from tiles of five by five pixels."""
+    return _round(objects.tiled_centre_dice(truth_and_prediction(spark, sf_dir), tile=5, halo=4), "cldice")
+
+
+@query(_MATCHES.replace("c AS (SELECT z, coalesce", _thin_sql() + ",\nc AS (SELECT z, cldice, coalesce").replace("LEFT JOIN h USING (z))", "LEFT JOIN h USING (z) JOIN cl USING (z))").replace("AS obj_f1 FROM c", "AS obj_f1, round(cldice, 6) + 0.0 AS cldice FROM c"))
 def object_scores(spark, sf_dir):
     return _round(objects.object_metrics(truth_and_prediction(spark, sf_dir)).drop("hausdorff"), "obj_precision", "obj_recall", "obj_f1", "cldice")
 

@@ -31,3 +31,23 @@ def test_like_whole_slices(spark, min_iou, min_size, connectivity):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "z long, y int, x int, gt int, pr int")
     assert objects.tiled_metrics(df, tile=4).count() == 0
+    assert objects.tiled_centre_dice(df, tile=4, halo=2).count() == 0
+
+
+@pytest.mark.parametrize(("tile", "halo"), [(4, 2), (7, 6), (40, 16)])
+def test_centre_lines_like_whole_slices(spark, tile, halo):
+    rng = np.random.default_rng(9)
+    rows = []
+    for z in range(8):
+        height, width = rng.integers(3, 34, 2)
+        y, x = np.indices((height, width))
+        gt = (np.sin(y / 3 + z) + np.cos(x / 4) > 0.1) & (rng.random((height, width)) < 0.97) & (z != 2)
+        pr = np.roll(gt, 1, axis=0) | (rng.random((height, width)) < 0.02)
+        if z == 3:
+            gt[:], pr[:] = True, True
+        rows += [("a", z, j, i, int(gt[j, i]), int(pr[j, i])) for j in range(height) for i in range(width)]
+    df = spark.createDataFrame(rows, "volume string, z long, y int, x int, gt int, pr int")
+    whole = objects.object_metrics(df, "volume", "z").select("z", "cldice").orderBy("z").collect()
+    got = objects.tiled_centre_dice(df, "volume", "z", tile=tile, halo=halo).select("z", "cldice").orderBy("z").collect()
+    assert [r.z for r in got] == [r.z for r in whole] and [r.cldice for r in got] == pytest.approx([r.cldice for r in whole])
+    assert got[2].cldice == 0 and 0 < got[0].cldice < 1
