@@ -580,7 +580,11 @@ def report_summary(spark, sf_dir):
     return _round(out, *[f"{n}_{s}" for n in _ALL for s in ("mean", "std")])
 
 
-@query()
+_EXACT = SQL["object_scores"].replace("round(cldice, 6) + 0.0 AS cldice", "cldice").replace("round(coalesce(2 * matched / nullif(gt_count + pr_count, 0), 0), 6) + 0.0 AS obj_f1", "coalesce(2 * matched / nullif(gt_count + pr_count, 0), 0) AS obj_f1")
+
+
+@query(f"""WITH {_DETAIL}, ob AS (SELECT z % 5 AS image, z % 3 AS model, avg(cldice) AS cldice, avg(obj_f1) AS obj_f1, CAST(sum(gt_count) AS BIGINT) AS gt_count, CAST(sum(pr_count) AS BIGINT) AS pr_count FROM ({_EXACT}) GROUP BY 1, 2)
+SELECT image, model, files_evaluated, tp + fp + fn + tn AS pixels_total, tp, fp, fn, tn, gt_count, pr_count, {', '.join(f'round({n}, 6) + 0.0 AS {n}' for n in ("accuracy", "precision", "recall", "f1", "mcc", "hausdorff", "cldice", "obj_f1", "pr_auc"))} FROM dt JOIN ob USING (image, model)""")
 def report_full(spark, sf_dir):
     """All columns of the detailed report."""
     out = _details(spark, sf_dir).select("image", "model", *report.DETAILED_COLUMNS)
