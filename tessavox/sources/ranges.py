@@ -3,7 +3,8 @@
 ``volume_headers`` gives a row for each file from a few kilobytes of it. ``volume_files`` plans from such headers: its partitions are
 runs of slices inside the files, of about ``bytes`` bytes each, so one file of any size is read by many tasks and many small files by
 one. Options ``z``, ``y`` and ``x`` (``lo:hi``) cut a box: files, pages, strips and rows outside are not read; filters on
-the column z do the same for z. Whole are read only what has no inner places: PNG, and ``.nii.gz`` as a stream, slice by slice.
+the column z do the same for z in sessions that push filters into Python sources (others need ``files`` or the format
+``volume_files_unfiltered``). Whole are read only what has no inner places: PNG, and ``.nii.gz`` as a stream, slice by slice.
 
 Files are reached by Arrow's file systems (local paths, hdfs, s3, gs).
 """
@@ -20,7 +21,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrameReader, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
@@ -314,6 +316,12 @@ class SliceReader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([pa.array([run.path]), *one, pa.array([f.shown]), data], [c.split(" ")[0] for c in SLICES.split(", ")])
 
 
+class UnfilteredReader(SliceReader):
+    """For sessions that push no filters, which refuse a reader that takes some; Spark filters what is read."""
+
+    pushFilters = DataSourceReader.pushFilters
+
+
 class VolumeHeaders(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -341,8 +349,27 @@ class VolumeFiles(DataSource):
         return sink.SliceWriter(self.options, schema, overwrite)
 
 
+class UnfilteredFiles(VolumeFiles):
+    @classmethod
+    def name(cls) -> str:
+        return "volume_files_unfiltered"
+
+    def reader(self, schema: StructType) -> UnfilteredReader:
+        return UnfilteredReader(self.options)
+
+
 def registered(spark: SparkSession) -> SparkSession:
-    """The session, with both formats."""
-    spark.dataSource.register(VolumeHeaders)
-    spark.dataSource.register(VolumeFiles)
+    """The session, with all formats."""
+    for source in (VolumeHeaders, VolumeFiles, UnfilteredFiles):
+        try:
+            spark.dataSource.register(source)
+        except AnalysisException as e:
+            if e.getCondition() != "DATA_SOURCE_ALREADY_EXISTS":  # a new session has those of the one before it
+                raise
     return spark
+
+
+def files(spark: SparkSession) -> DataFrameReader:
+    """A reader of ``volume_files``, which takes filters where the session pushes them."""
+    pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false").lower() == "true"
+    return registered(spark).read.format("volume_files" if pushed else "volume_files_unfiltered")

@@ -188,7 +188,7 @@ def read_slices(spark: SparkSession, path: str, checked: bool = True, z: tuple[i
             if checked and paths.resolve(path) == "directory":
                 check(headers(spark, path, kinds))
             box = {a: f"{max(0, r[0])}:{max(0, r[1])}" for a, r in (("z", z), ("y", y), ("x", x)) if r is not None}
-            found = ranges.registered(spark).read.format("volume_files").options(checked=str(checked).lower(), **box).load(path)
+            found = ranges.files(spark).options(checked=str(checked).lower(), **box).load(path)
             return found.select("z", "y0", "x0", "height", "width", "data")
         places = _stack(spark, path, checked, kinds)
         if z is not None:

@@ -140,6 +140,21 @@ def test_filters_prune_partitions(tmp_path):
     assert runs(other, EqualTo(z, 0)) == ([(0, 1)], [other])
 
 
+def test_sessions_with_and_without_pushed_filters(spark, tmp_path):
+    """A session of default settings reads the same rows; it refuses readers that take filters."""
+    a = np.arange(12 * 3 * 4, dtype="uint16").reshape(12, 3, 4)
+    path, key = str(tmp_path / "v.nii"), "spark.sql.python.filterPushdown.enabled"
+    (tmp_path / "v.nii").write_bytes(codecs.encode(a, ".nii"))
+    plain = spark.newSession()
+    plain.conf.set(key, "false")
+    for s in (plain, spark):
+        got = s.conf.get(key), sorted((r.z, r.data) for r in ranges.files(s).load(path).where("z >= 4 AND z < 7").collect())
+        assert got == ("false" if s is plain else "true", [(z, a[z].astype(float).ravel().tolist()) for z in range(4, 7)])
+        assert sorted(r.v for r in volumes.read_volume(s, path, z=(4, 6), y=(1, 2)).collect()) == sorted(a[4:6, 1].ravel().tolist())
+    plain.conf.set(key, "true")
+    assert ranges.files(plain).load(path).where("z = 11").count() == 1
+
+
 def test_names_in_order():
     names = ["a/v_00002.tif", "a/v_00010.tif", "a/v_100000.tif", "a/v_z0-9.tif", "a/v_z10-19.tif", "a/v_z100-109.tif"]
     assert sorted(names, key=ranges.place)[:3] == names[:3]
