@@ -6,10 +6,13 @@ among the first ``n - ceil(t n) + 1`` of each. Equal sets are one node, nodes wi
 are posted under the shingles of their prefixes.
 
 Groups of copies must not cost all their pairs. So, first, each posted group meets only a leader of its shingle (the one that has the
-shingle earliest, of a size that fits): these pairs of groups are filtered by how many shingles of their prefixes they share and what
-can follow, expanded to nodes, verified on the whole sets, and contracted. Then the shingles that still hold several components give all
-pairs of groups from different components, but for stars whose leaders are too far from each other; these pairs are filtered,
-expanded and verified likewise. Within a component nothing is left to find.
+shingle earliest, of a size that fits): these pairs of groups are expanded to nodes, sieved, verified on the whole sets, and contracted.
+Then the shingles that still hold several components give all pairs of groups from different components, but for stars whose leaders are
+too far from each other; these pairs are filtered by how many shingles of their prefixes they share and what can follow, expanded,
+sieved and verified likewise. Within a component nothing is left to find.
+
+Pairs are sieved by sketches: a bit for each remainder of hashes, set if an odd number of the set's shingles has it. Two sketches differ in
+no more bits than the sets in shingles, so no link is lost, and most pairs that aren't linked go without their sets being sent.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ SHINGLE, PERCENT = 5, 80
 CHUNK, COUNTED, KNOWN = 1 << 21, 1 << 21, 1 << 19
 #: Bytes of a text whose words are taken together; sets that one node is compared with in a task; groups of a large star.
 PIECE, MEMBERS, LARGE = 1 << 20, 2048, 16
+#: Bits of the longest sketch of a set.
+SKETCH = 1 << 16
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 _ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -87,6 +92,49 @@ def _node(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def _sketch(tokens: np.ndarray) -> bytes:
+    """Parities of the shingles of each remainder, two bits or more a shingle (up to SKETCH bits)."""
+    bits = min(SKETCH, max(64, 1 << (2 * len(tokens) - 1).bit_length()))
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _differing(a: bytes, b: bytes) -> int:
+    """A lower bound of how many shingles are in one of two sets only, from their sketches; the longer one is folded."""
+    short, long = (a, b) if len(a) < len(b) else (b, a)
+    one, other, bits = int.from_bytes(short, "little"), int.from_bytes(long, "little"), 8 * len(long)
+    while bits > 8 * len(short):
+        bits >>= 1
+        other = (other >> bits) ^ (other & ((1 << bits) - 1))
+    return (one ^ other).bit_count()
+
+
+def _sieved(pairs: DataFrame, percent: int) -> DataFrame:
+    """a, b of those pairs of nodes, of the sizes n and n_2, that their sketches allow to be linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = (b.column(i).to_numpy() for i in (2, 3))
+            most = n + m - 2 * least_overlap(n, m, percent)
+            apart = np.fromiter(map(_differing, b.column(4).to_pylist(), b.column(5).to_pylist()), np.int64, b.num_rows)
+            yield b.select([0, 1]).filter(pa.array(apart <= most))
+
+    return pairs.select("a", "b", "n", "n_2", "sketch", "sketch_2").mapInArrow(run, "a binary, b binary")
+
+
+def _far(stars: DataFrame) -> DataFrame:
+    """hub, hub_2, r, r_2 of pairs of leaders and ``least``, a lower bound of their Jaccard distance, from their sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = (b.column(i).to_numpy() for i in (4, 5))
+            apart = np.fromiter(map(_differing, b.column(6).to_pylist(), b.column(7).to_pylist()), np.int64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(2 * apart / (n + m + apart))], ["hub", "hub_2", "r", "r_2", "least"])
+
+    columns = ["hub", "hub_2", "r", "r_2", "n", "n_2", "sketch", "sketch_2"]
+    return stars.select(*columns).mapInArrow(run, "hub binary, hub_2 binary, r double, r_2 double, least double")
+
+
 def _repeated(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles (sorted) that tasks meet in several different sets, and how often: at most COUNTED, the most frequent ones."""
 
@@ -125,13 +173,14 @@ def _repeated(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(texts: DataFrame, counts: Broadcast, size: int, percent: int) -> DataFrame:
-    """doc_id, key (of the text), n, node (of the set), grp (of size and prefix) of every row; the prefix where the task meets the group first."""
+    """doc_id, key (of the text), n, node (of the set), grp (of size and prefix) of every row; the sketch and the prefix where the task
+    meets the node and the group first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, times = counts.value
-        shingles, seen = Shingles(size), set()
+        shingles, seen, sketched = Shingles(size), set(), set()
         for b in batches:
-            n, nodes, groups, prefixes = [], [], [], []
+            n, nodes, groups, prefixes, sketches = [], [], [], [], []
             for line in b.column(2).to_pylist():
                 s = shingles.of(line)
                 n.append(len(s))
@@ -139,8 +188,14 @@ def _rows(texts: DataFrame, counts: Broadcast, size: int, percent: int) -> DataF
                     nodes.append(None)
                     groups.append(None)
                     prefixes.append(None)
+                    sketches.append(None)
                     continue
-                nodes.append(_node(s))
+                node = _node(s)
+                nodes.append(node)
+                if len(sketched) > KNOWN:
+                    sketched.clear()
+                sketches.append(None if node in sketched else _sketch(s))
+                sketched.add(node)
                 rank = np.zeros(len(s), np.int64)
                 if len(token):
                     at = np.minimum(np.searchsorted(token, s), len(token) - 1)
@@ -155,9 +210,9 @@ def _rows(texts: DataFrame, counts: Broadcast, size: int, percent: int) -> DataF
                     seen.clear()
                 seen.add(group)
                 prefixes.append(first.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "key", "n", "node", "grp", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "key", "n", "node", "grp", "prefix", "sketch"])
 
-    return texts.mapInArrow(run, "doc_id long, key long, n long, node binary, grp long, prefix array<long>")
+    return texts.mapInArrow(run, "doc_id long, key long, n long, node binary, grp long, prefix array<long>, sketch binary")
 
 
 def _posted(rows: DataFrame, percent: int) -> DataFrame:
@@ -260,14 +315,6 @@ def _compared(pairs: DataFrame, members: DataFrame, texts: DataFrame, size: int,
     return dealt.select("a", "head", "node", "tokens").mapInArrow(compare, "a binary, b binary, far double, linked boolean").distinct()
 
 
-def _shared(pairs: DataFrame, posted: DataFrame, percent: int) -> DataFrame:
-    """Those pairs of groups g, h that share enough of their prefixes, by what can follow the last shared shingle, to be linked."""
-    one = posted.select(F.col("grp").alias("g"), "token", F.col("n").alias("n_g"), F.col("pos").alias("at_g"))
-    two = posted.select(F.col("grp").alias("h"), "token", F.col("n").alias("n_h"), F.col("pos").alias("at_h"))
-    met = pairs.join(one, "g").join(two, ["h", "token"]).groupBy("g", "h", "n_g", "n_h").agg(*_met())
-    return met.where(_ENOUGH.format(p=percent, q=100 + percent)).select("g", "h")
-
-
 def _met() -> list[Column]:
     return [F.count("*").alias("common"), F.max("at_g").alias("at_g"), F.max("at_h").alias("at_h")]
 
@@ -290,19 +337,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = written(_rows(texts, counts, size, percent), "rows", last=True)
         counts.destroy()
         posted = written(_posted(rows, percent), "posted")
-        members = written(rows.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("grp").alias("grp"), F.min(F.struct("key", "doc_id")).alias("at")), "members")
-        heads = members.groupBy("grp").agg(F.min("node").alias("head"))
-        stars = posted.where("leader is not null").select(F.col("leader").alias("g"), F.col("grp").alias("h")).distinct()
-        stars = _shared(stars, posted, percent).join(members.select(F.col("grp").alias("h"), "node"), "h").join(heads.select(F.col("grp").alias("g"), "head"), "g")
-        inside = members.join(heads, "grp").where("node != head")
-        pairs = stars.select(F.col("head").alias("a"), F.col("node").alias("b")).union(inside.select(F.col("head").alias("a"), F.col("node").alias("b")))
+        first = F.first("sketch", ignorenulls=True).alias("sketch")
+        members = written(rows.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("grp").alias("grp"), F.min(F.struct("key", "doc_id")).alias("at"), first), "members")
+        heads = members.groupBy("grp").agg(F.min(F.struct("node", "n", "sketch")).alias("head"))
+        heads = heads.select(F.col("grp").alias("g"), F.col("head.node").alias("a"), F.col("head.n").alias("n"), F.col("head.sketch").alias("sketch"))
+        others = members.select("grp", F.col("node").alias("b"), F.col("n").alias("n_2"), F.col("sketch").alias("sketch_2"))
+        stars = posted.where("leader is not null").select(F.col("leader").alias("g"), "grp").distinct().join(others, "grp").join(heads, "g")
+        inside = others.join(heads, F.col("grp") == F.col("g")).where("a != b")
+        pairs = _sieved(stars, percent).union(_sieved(inside, percent))
         met = written(_compared(written(pairs, "stars"), members, texts, size, percent), "met")
         links = met.where("linked").select("a", "b")
         groups = written(_components(links), "groups")
         # who is linked with a leader stands at a known distance from it
         hubs = met.where("linked").groupBy(F.col("b").alias("node")).agg(F.min(F.struct("far", "a")).alias("hub"))
         units = members.join(groups, "node", "left").join(hubs, "node", "left")
-        units = written(units.select("grp", "node", F.coalesce("root", "node").alias("root"), F.coalesce("hub.a", "node").alias("hub"), F.coalesce("hub.far", F.lit(0.0)).alias("far")), "units")
+        units = written(units.select("grp", "node", "n", "sketch", F.coalesce("root", "node").alias("root"), F.coalesce("hub.a", "node").alias("hub"), F.coalesce("hub.far", F.lit(0.0)).alias("far")), "units")
         late = _across(posted, units, members, texts, size, percent)
         if not late.isEmpty():
             groups = written(_components(links.union(late)), "groups")
@@ -322,7 +371,7 @@ def _components(links: DataFrame) -> DataFrame:
 
 
 def _guests(posts: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
-    """g, h, hub, hub_2: pairs of groups, as ``_shared`` filters them, of a large star and of others.
+    """g, h, hub, hub_2: pairs of groups, filtered by the shingles that they share, of a large star and of others.
 
     A part of the large star is held by shingle, the others' groups pass by one at a time: rows in proportion to both, not to their pairs.
     """
@@ -406,15 +455,20 @@ def _across(posted: DataFrame, units: DataFrame, members: DataFrame, texts: Data
     posts = posted.select("token", "grp", "n", "pos").join(units.select("grp", "root", "hub").distinct(), "grp")
     open_ = posts.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
     posts = written(posts.join(open_, "token").distinct(), "open")
-    held = posts.select("token", "root", "hub").distinct()
-    both = held.join(held.select("token", F.col("root").alias("other"), F.col("hub").alias("hub_2")), "token").where("root < other").select("token", "hub", "hub_2")
-    both = written(both, "both")
-    radius = units.groupBy("hub").agg(F.max("far").alias("r"))
-    stars = both.select("hub", "hub_2").distinct().join(radius, "hub").join(radius.select(F.col("hub").alias("hub_2"), F.col("r").alias("r_2")), "hub_2")
-    stars = written(stars.where("r + r_2 > 0"), "stars")
-    met = written(_compared(stars.select(F.col("hub").alias("a"), F.col("hub_2").alias("b")), members, texts, size, percent), "met")
-    apart = met.join(stars, (F.col("a") == F.col("hub")) & (F.col("b") == F.col("hub_2"))).where(F.col("far") > 1 - percent / 100 + F.col("r") + F.col("r_2") + 1e-9)
-    both = both.join(apart.select("hub", "hub_2"), ["hub", "hub_2"], "left_anti")
+    # sizes and places that a star has a shingle in: what can be shared, over all its groups
+    held = posts.groupBy("token", "root", "hub").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.max("pos").alias("before"), F.max(F.col("n") - F.col("pos")).alias("after"))
+    other = held.select("token", F.col("root").alias("other"), F.col("hub").alias("hub_2"), F.col("n").alias("n_2"), F.col("most").alias("most_2"), F.col("before").alias("before_2"), F.col("after").alias("after_2"))
+    fit = f"100 * most >= {percent} * n_2 AND 100 * most_2 >= {percent} * n AND {100 + percent} * (least(before, before_2) + least(after, after_2)) >= {percent} * (n + n_2)"
+    both = written(held.join(other, "token").where(f"root < other AND {fit}").select("token", "hub", "hub_2"), "both")
+    radius = units.groupBy("hub").agg(F.max("far").alias("r")).join(members.select(F.col("node").alias("hub"), "n", "sketch"), "hub")
+    second = radius.select(F.col("hub").alias("hub_2"), F.col("r").alias("r_2"), F.col("n").alias("n_2"), F.col("sketch").alias("sketch_2"))
+    beyond = f"{{}} > 1 - {percent} / 100D + r + r_2 + 1e-9"
+    stars = written(_far(both.select("hub", "hub_2").distinct().join(radius, "hub").join(second, "hub_2").where("r + r_2 > 0")), "stars")
+    near = stars.where("NOT " + beyond.format("least"))
+    met = written(_compared(near.select(F.col("hub").alias("a"), F.col("hub_2").alias("b")), members, texts, size, percent), "met")
+    apart = met.join(near, (F.col("a") == F.col("hub")) & (F.col("b") == F.col("hub_2"))).where(beyond.format("far"))
+    apart = apart.select("hub", "hub_2").union(stars.where(beyond.format("least")).select("hub", "hub_2"))
+    both = both.join(apart, ["hub", "hub_2"], "left_anti")
     many = posts.groupBy("hub").agg(F.count_distinct("grp").alias("many"))
     sized = both.select("hub", "hub_2").distinct().join(many, "hub").join(many.select(F.col("hub").alias("hub_2"), F.col("many").alias("many_2")), "hub_2")
     blocks = written(sized.where(f"greatest(many, many_2) >= {LARGE}"), "blocks")
@@ -425,8 +479,8 @@ def _across(posted: DataFrame, units: DataFrame, members: DataFrame, texts: Data
     shared = both.join(one, ["token", "hub"]).join(two, ["token", "hub_2"]).where(close)
     shared = shared.groupBy("g", "h", "hub", "hub_2", "n_g", "n_h").agg(*_met()).where(_ENOUGH.format(p=percent, q=100 + percent))
     shared = shared.select("g", "h", "hub", "hub_2").union(_guests(posts, blocks, percent))
-    g_side = units.select(F.col("grp").alias("g"), "hub", F.col("node").alias("a"))
-    h_side = units.select(F.col("grp").alias("h"), F.col("hub").alias("hub_2"), F.col("node").alias("b"))
-    pairs = written(shared.join(g_side, ["g", "hub"]).join(h_side, ["h", "hub_2"]).select("a", "b").distinct(), "across")
+    g_side = units.select(F.col("grp").alias("g"), "hub", F.col("node").alias("a"), "n", "sketch")
+    h_side = units.select(F.col("grp").alias("h"), F.col("hub").alias("hub_2"), F.col("node").alias("b"), F.col("n").alias("n_2"), F.col("sketch").alias("sketch_2"))
+    pairs = written(_sieved(shared.join(g_side, ["g", "hub"]).join(h_side, ["h", "hub_2"]), percent).distinct(), "across")
     links = met if pairs.isEmpty() else met.union(_compared(pairs, members, texts, size, percent))
     return written(links.where("linked").select("a", "b"), "links")

@@ -144,6 +144,31 @@ def test_large_groups_make_rows_in_proportion(spark):
     assert sum(seen) < 20 * 1500
 
 
+def test_sketches_keep_links_and_spare_the_others(spark):
+    """Sketches of any lengths are lower bounds; of pairs that share much, but less than links, most sets aren't sent."""
+    rng = np.random.default_rng(3)
+    for n, m, common in [(1, 1, 0), (40, 300, 30), (300, 310, 290), (5000, 90, 80), (70000, 60000, 59000)]:
+        a = rng.integers(0, 1 << 63, n + m - common).astype(np.uint64)
+        one, other = np.sort(a[:n]), np.sort(a[n - common :])
+        assert jaccard._differing(jaccard._sketch(one), jaccard._sketch(other)) <= n + m - 2 * common
+    dice = random.Random(9)
+    passage = words(dice, 200)
+    rows = [(i, " ".join(passage + words(dice, 60))) for i in range(60)]
+    sent = []
+    plain = jaccard._compared
+
+    def spied(pairs, *rest):
+        sent.append(pairs.count())
+        return plain(pairs, *rest)
+
+    jaccard._compared = spied
+    try:
+        assert result(jaccard.near_duplicates(frame(spark, rows))) == slow(rows)
+    finally:
+        jaccard._compared = plain
+    assert sum(sent) < 30
+
+
 def test_shingles_and_bounds(odd_rows):
     s = jaccard.Shingles()
     for _, t in odd_rows:
