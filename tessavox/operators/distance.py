@@ -154,6 +154,7 @@ def _by_strips(rows: DataFrame, keys: list[str], percentile: float, tile: int) -
 
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            made, held = [], 0
             for i in range(b.num_rows):
                 cells = b.column("cells_")[i].values
                 y, x, gt, pr = (np.asarray(cells.field(j).to_numpy(zero_copy_only=False)) for j in range(4))
@@ -161,31 +162,54 @@ def _by_strips(rows: DataFrame, keys: list[str], percentile: float, tile: int) -
                 masks = np.zeros((2, b.column("top_")[i].as_py() + 1, int(x.max()) - x0 + 1), bool)
                 masks[0, y, x - x0], masks[1, y, x - x0] = gt, pr
                 to = along_columns(masks)
+                key = tuple(b.column(f"k{j}_")[i].as_py() for j in range(n))
                 for y0 in range(0, masks.shape[1], tile):
                     cut = slice(y0, y0 + tile)
                     part = masks[:, cut]
-                    key = {f"k{j}_": [b.column(f"k{j}_")[i].as_py()] for j in range(n)}
-                    made = {"band_": [y0 // tile], "x0_": [x0], "height_": [part.shape[1]], "width_": [part.shape[2]], "to_gt_": [to[0, cut].tobytes()], "to_pr_": [to[1, cut].tobytes()], "masks_": [np.packbits(part).tobytes()]}
-                    yield pa.RecordBatch.from_pydict(key | made).cast(_arrow(block))
+                    made.append((*key, y0 // tile, x0, part.shape[1], part.shape[2], to[0, cut].tobytes(), to[1, cut].tobytes(), np.packbits(part).tobytes()))
+                held += masks.size
+                if held >= TOGETHER:
+                    yield _batch(made, block)
+                    made, held = [], 0
+            if made:
+                yield _batch(made, block)
 
     counts = ", ".join([*kinds, "way_ int, d2_ long, n_ long"])
 
+    def counted(strips_: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Of rows of one width: key, distances to both masks and the masks of each strip."""
+        to, masks = (np.concatenate([s[i] for s in strips_], axis=1) for i in (1, 2))
+        until = np.cumsum([s[1].shape[1] for s in strips_]).tolist()
+        out = []
+        for way in (0, 1):
+            far = along_rows(to[way])
+            for (key, *_), first, last in zip(strips_, [0, *until], until, strict=False):
+                d2, many = np.unique(far[first:last][masks[1 - way, first:last]], return_counts=True)
+                if len(d2) and d2[0] < FAR:
+                    out.extend((*key, way, a, m) for a, m in zip(d2.tolist(), many.tolist(), strict=True))
+        if out:
+            yield _batch(out, counts)
+
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            held: dict[int, list[tuple]] = {}
+            size: dict[int, int] = {}
             for i in range(b.num_rows):
                 blocks = sorted(b.column("blocks_")[i].as_py(), key=lambda c: c["x0_"])
                 width, tall = blocks[-1]["x0_"] + blocks[-1]["width_"], blocks[0]["height_"]
                 to, masks = np.full((2, tall, width), FAR), np.zeros((2, tall, width), bool)
                 for c in blocks:
                     at = slice(c["x0_"], c["x0_"] + c["width_"])
-                    size = (tall, c["width_"])
-                    to[0, :, at], to[1, :, at] = (np.frombuffer(c[name], np.int64).reshape(size) for name in ("to_gt_", "to_pr_"))
-                    masks[:, :, at] = np.unpackbits(np.frombuffer(c["masks_"], np.uint8), count=2 * size[0] * size[1]).reshape(2, *size)
-                for way in (0, 1):
-                    d2, many = np.unique(along_rows(to[way])[masks[1 - way]], return_counts=True)
-                    if len(d2) and d2[0] < FAR:
-                        key = {f"k{j}_": [b.column(f"k{j}_")[i].as_py()] * len(d2) for j in range(n)}
-                        yield pa.RecordBatch.from_pydict(key | {"way_": [way] * len(d2), "d2_": d2, "n_": many}).cast(_arrow(counts))
+                    part = (tall, c["width_"])
+                    to[0, :, at], to[1, :, at] = (np.frombuffer(c[name], np.int64).reshape(part) for name in ("to_gt_", "to_pr_"))
+                    masks[:, :, at] = np.unpackbits(np.frombuffer(c["masks_"], np.uint8), count=2 * part[0] * part[1]).reshape(2, *part)
+                held.setdefault(width, []).append((tuple(b.column(f"k{j}_")[i].as_py() for j in range(n)), to, masks))
+                size[width] = size.get(width, 0) + masks.size
+                if size[width] >= TOGETHER:
+                    yield from counted(held.pop(width))
+                    del size[width]
+            for some in held.values():
+                yield from counted(some)
 
     blocks = strips.mapInArrow(down, block)
     fields = ["x0_", "height_", "width_", "to_gt_", "to_pr_", "masks_"]
@@ -195,6 +219,11 @@ def _by_strips(rows: DataFrame, keys: list[str], percentile: float, tile: int) -
     return ways.groupBy(*named).agg(F.max("far_").alias("hausdorff")).select(*[F.col(f"k{i}_").alias(k) for i, k in enumerate(keys)], "hausdorff")
 
 
+def _batch(rows: list[tuple], fields: str) -> pa.RecordBatch:
+    schema = _arrow(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 def _arrow(fields: str) -> pa.Schema:
     known = {"int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "binary": pa.binary()}
     return pa.schema([(f.split(" ")[0], known[f.split(" ")[1]]) for f in fields.split(", ")])
