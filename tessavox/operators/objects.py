@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessavox.operators.distance import robust_hausdorff
-from tessavox.operators.grouped import grid, kind, stacks, worked, worked_together
+from tessavox.operators.grouped import STACK, grid, kind, stacks, worked, worked_together
 
 _ALL = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) > (0, 0)]
 
@@ -256,23 +256,37 @@ def tiled_centre_dice(rows: DataFrame, *slice_cols: str, tile: int = 512, halo:
         masks = np.stack([grid(y - key[-2] * tile, x - key[-1] * tile, v > 0, "bool", (tile, tile)) for v in (gt, pr)])
         return told(tuple(key), np.packbits(masks).tobytes(), masks, 1) if masks.any() else []
 
-    def again(*group) -> list[tuple]:
-        *key, dys, dxs, masks, lines = group
-        canvas, own = np.zeros((2, tile + 2 * halo, tile + 2 * halo), bool), None
-        for dy, dx, mask, bits in zip(dys.tolist(), dxs.tolist(), masks, lines, strict=True):
-            here = canvas[:, places[dy], places[dx]]
-            here[:] = np.unpackbits(np.frombuffer(bits, np.uint8), count=here.size).reshape(here.shape)
-            own = mask if (dy, dx) == (0, 0) else own
-        if own is None:  # an empty tile
-            return []
-        middle = (slice(None), places[0], places[0])
-        new = thinned(canvas, halo // 2)[middle]
-        return told(tuple(key), own, new, int((new != canvas[middle]).any()))
+    def again(groups: Iterator[tuple]) -> Iterator[tuple]:
+        """Tiles thinned together, about STACK pixels at a time."""
+        held: list[tuple] = []
+        for *key, dys, dxs, masks, lines in groups:
+            canvas, own = np.zeros((2, tile + 2 * halo, tile + 2 * halo), bool), None
+            for dy, dx, mask, bits in zip(dys.tolist(), dxs.tolist(), masks, lines, strict=True):
+                here = canvas[:, places[dy], places[dx]]
+                here[:] = np.unpackbits(np.frombuffer(bits, np.uint8), count=here.size).reshape(here.shape)
+                own = mask if (dy, dx) == (0, 0) else own
+            if own is None:  # an empty tile
+                continue
+            held.append((tuple(key), own, canvas))
+            if len(held) * canvas.size >= STACK:
+                yield from thinner(held)
+                held = []
+        yield from thinner(held)
+
+    def thinner(held: list[tuple]) -> Iterator[tuple]:
+        if not held:
+            return
+        middle = (slice(None), slice(None), places[0], places[0])
+        was = np.stack([c for _, _, c in held])
+        new = thinned(was.reshape(-1, *was.shape[2:]), halo // 2).reshape(was.shape)[middle]
+        changed = (new != was[middle]).any(axis=(1, 2, 3)).tolist()
+        for (key, own, _), lines, moved in zip(held, new, changed, strict=True):
+            yield from told(key, own, lines, int(moved))
 
     now = cut(worked(rows, [*[F.col(k) for k in keys], F.expr(f"CAST(y DIV {tile} AS INT)"), F.expr(f"CAST(x DIV {tile} AS INT)")], ["y", "x", "gt", "pr"], first, schema))
     by = [*[F.col(k) for k in ks], F.col("ty_"), F.col("tx_")]
     while not now.where("changed_ = 1").isEmpty():
-        now = cut(worked(now, by, ["dy_", "dx_", "masks_", "lines_"], again, schema))
+        now = cut(worked_together(now, by, ["dy_", "dx_", "masks_", "lines_"], again, schema))
 
     def sums(*group) -> list[tuple]:
         *key, masks, lines = group
