@@ -73,3 +73,18 @@ def test_blended_stream_with_a_restart(spark, tmp_path):
     got = {(r.z, r.y, r.x): r.v for r in run().collect()}
     wanted = {(r.z, r.y, r.x): r.v for r in stitch.blended(chunks).collect()}
     assert got.keys() == wanted.keys() and all(got[k] == pytest.approx(v) for k, v in wanted.items())
+
+
+def test_blended_stream_of_one_batch_in_many_groups(spark, tmp_path):
+    """All chunks at once: groups are blocks of a band, not whole bands."""
+    depth, size, overlap = 61, 8, 3
+    vox = spark.range(depth * 20).select(F.expr("id DIV 20").alias("z"), F.expr("(id DIV 4) % 5").alias("y"), F.expr("id % 4").alias("x"), F.cos("id").alias("v"))
+    chunks = stitch.chunked(vox, depth, size, overlap).withColumn("v", F.col("v") + F.col("z0") * 0.1).cache()
+    arrives, out = str(tmp_path / "in"), str(tmp_path / "out")
+    chunks.repartition(5).write.parquet(arrives)
+    stream = slices.blended(spark.readStream.schema(chunks.schema).parquet(arrives), depth, size, band=2)
+    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) == 3 * 8
+    got = sorted((r.z, r.y, r.x, round(r.v, 9)) for r in spark.read.schema("z long, y long, x long, v double").parquet(out).collect())
+    assert got == sorted((r.z, r.y, r.x, round(r.v, 9)) for r in stitch.blended(chunks).collect())
