@@ -173,12 +173,12 @@ def tiled_metrics(rows: DataFrame, *slice_cols: str, tile: int = 512, min_iou: f
         numbered, first, out = [], [], []
         for which, v in enumerate((gt, pr)):
             a = labels(grid(y - y0, x - x0, v > 0, "bool", (tile, tile)), connectivity)
-            at, where = np.unique(a, return_index=True)
+            at, where, sizes = np.unique(a, return_index=True, return_counts=True)
             place = np.zeros(len(at) + 1, np.int64)
             place[at] = (where // tile + y0) << 32 | (where % tile + x0)
             numbered.append(a)
             first.append(place)
-            for n, size in zip(at.tolist(), np.bincount(a.ravel(), minlength=len(at)).tolist(), strict=False):
+            for n, size in zip(at.tolist(), sizes.tolist(), strict=True):
                 if n:
                     out.append((*key, 0, which, int(place[n]), 0, size))
             border = np.zeros_like(a)

@@ -28,6 +28,15 @@ def test_like_whole_slices(spark, min_iou, min_size, connectivity):
         assert a[:4] == b[:4] and b[4:] == pytest.approx(a[4:])
 
 
+def test_tiles_without_background(spark):
+    """A tile that one object fills has all its pixels: without them the overlap of 7 of 15 pixels would count as enough."""
+    rows = [(0, y, x, int(x < 4 and y < 3), int((x < 3 and y < 2) or (x == 3 and y == 0) or (x > 3 and y < 1))) for y in range(3) for x in range(7)]
+    df = spark.createDataFrame(rows, "z long, y int, x int, gt int, pr int")
+    names = ["z", "gt_count", "pr_count", "matched", "obj_precision", "obj_recall", "obj_f1"]
+    whole = objects.object_metrics(df).select(*names).first()
+    assert tuple(whole)[:4] == (0, 1, 1, 0) and tuple(objects.tiled_metrics(df, tile=3).select(*names).first()) == tuple(whole)
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "z long, y int, x int, gt int, pr int")
     assert objects.tiled_metrics(df, tile=4).count() == 0
