@@ -13,7 +13,7 @@ second finds the repeated ones again with a second hash, so that collisions of t
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,8 @@ from tessavox.llm.common import pick, tidy, whole, written
 WINDOW, MIN_SENTENCES, MIN_WORDS = 3, 2, 20
 #: Words from which on a sentence is cut; words on each side that decide whether it is cut behind one.
 LONG_WORDS, REACH = 50, 4
-#: Fixed value: where a sentence ends, closing marks and white space included.
-END = re.compile(r"[.!?…][\"'”’)\]]*\s+|[。！？][”’」』]*\s*|\n\s*")
+#: Fixed value: where a sentence ends, closing marks and white space included. One set of first characters is found fast.
+END = re.compile(r"[.!?…。！？\n](?:(?<=[.!?…])[\"'”’)\]]*\s+|(?<=[。！？])[”’」』]*\s*|(?<=\n)\s*)")
 _WORD = re.compile(r"\S+\s*")
 _PLACES, _LAST_ID = 10**10, (1 << 63) - 1
 
@@ -69,59 +69,73 @@ def sentences(text: str) -> list[str]:
     return out
 
 
+def _lowered(text: str) -> Iterator[list[str]]:
+    """The lower-cased words of each of the text's ``sentences``."""
+    cuts = [0, *(m.end() for m in END.finditer(text))]
+    if cuts[-1] < len(text):
+        cuts.append(len(text))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        words = text[a:b].lower().split()
+        if len(words) <= LONG_WORDS:
+            yield words
+        else:
+            yield from (p.lower().split() for p in _pieces(text[a:b]))
+
+
+def _found(text: str, window: int = WINDOW, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Begins, ends and 16-byte hashes of the runs, by begin and end."""
+    parts = [*_lowered(text)]
+    sizes = np.array([*map(len, parts)], np.int64)
+    real = np.flatnonzero(sizes)
+    n, sizes = len(real), sizes[real]
+    step = n + 1
+    begin = np.arange(n)
+    spans = [begin[: max(0, n - window + 1)] * (step + 1) + window]
+    if min_words:
+        words = np.concatenate([[0], np.cumsum(sizes)])
+        least = min_sentences if min_sentences > 2 else 1  # of two, one either has the words alone or needs the other
+        spans.append(begin[sizes >= min_words] * (step + 1) + 1)
+        end = np.maximum(np.searchsorted(words, words[:-1] + min_words), begin + least)  # the shortest that begin here
+        spans.append((begin * step + end)[end <= n])
+        end = begin + 1
+        first = np.minimum(np.searchsorted(words, words[1:] - min_words, side="right") - 1, end - least)  # the shortest that end here
+        spans.append((first * step + end)[first >= 0])
+    begin, end = np.divmod(np.unique(np.concatenate(spans)), step)
+    joined = [" ".join(w).encode() for w in parts if w]
+    whole_ = b" ".join(joined)
+    at = np.concatenate([[0], np.cumsum(np.array([*map(len, joined)], np.int64) + 1)])
+    digest = xxhash.xxh3_128_digest
+    hashes = [digest(whole_[a:b]) for a, b in zip(at[begin].tolist(), (at[end] - 1).tolist(), strict=True)]
+    return real[begin], real[end - 1] + 1, hashes
+
+
 def runs(text: str, window: int = WINDOW, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
     """begin, end and 16-byte hash of each run; sentences compare as lower-cased words. Wordless pieces don't count."""
-    parts = [s.lower().split() for s in sentences(text)]
-    real = [i for i, w in enumerate(parts) if w]
-    sizes, joined = [len(parts[i]) for i in real], [" ".join(parts[i]).encode() for i in real]
-    n, end, total = len(real), 0, 0
-    spans = {(i, i + window) for i in range(n - window + 1)}
-    if min_words:
-        spans |= {(i, i + 1) for i in range(n) if sizes[i] >= min_words}
-    least = min_sentences if min_sentences > 2 else 1  # of two, one either has the words alone or needs the other
-    for begin in range(n if min_words else 0):  # the shortest that begin here
-        while end < n and (total < min_words or end - begin < least):
-            total += sizes[end]
-            end += 1
-        if total < min_words or end - begin < least:
-            break
-        spans.add((begin, end))
-        total -= sizes[begin]
-    begin, total = n, 0
-    for end in range(n if min_words else 0, 0, -1):  # the shortest that end here
-        while begin > 0 and (total < min_words or end - begin < least):
-            begin -= 1
-            total += sizes[begin]
-        if total < min_words or end - begin < least:
-            break
-        spans.add((begin, end))
-        total -= sizes[end - 1]
-    for begin, end in sorted(spans):
-        yield real[begin], real[end - 1] + 1, xxhash.xxh3_128_digest(b" ".join(joined[begin:end]))
-
-
-def _all_runs(docs: DataFrame, options: dict) -> DataFrame:
+    begin, end, hashes = _found(text, window, min_sentences, min_words)
+    yield from zip(begin.tolist(), end.tolist(), hashes, strict=True)
+
+
+_RUN = {"doc_id": "long", "row_key": "long", "begin": "int", "end": "int", "h1": "long", "h2": "long"}
+
+
+def _all_runs(docs: DataFrame, options: dict, columns: Iterable[str] = _RUN) -> DataFrame:
     """One row for each run of the rows of doc_id and text; row_key tells rows with equal ids apart."""
+    names = [*columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 b = batch.slice(i, 256)
-                count, key, begin, end, hashes = [], [], [], [], []
-                for text in b.column(1).to_pylist():
-                    before = len(begin)
-                    for s, e, h in runs(text, **options):
-                        begin.append(s)
-                        end.append(e)
-                        hashes.append(h)
-                    count.append(len(begin) - before)
-                    key.append(xxhash.xxh64_intdigest(text.encode(), 42))
-                both = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
-                at = pa.array(np.repeat(np.arange(len(count)), count))
-                keys = np.repeat(np.array(key, np.uint64).view(np.int64), count)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(keys), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["doc_id", "row_key", "begin", "end", "h1", "h2"])
-
-    return docs.mapInArrow(run, "doc_id long, row_key long, begin int, end int, h1 long, h2 long")
+                texts = b.column(1).to_pylist()
+                begin, end, hashes = zip(*[_found(t, **options) for t in texts], strict=True)
+                count = [*map(len, hashes)]
+                both = np.frombuffer(b"".join(b"".join(h) for h in hashes), "<i8").reshape(-1, 2)
+                of = {"begin": lambda: np.concatenate(begin).astype(np.int32), "end": lambda: np.concatenate(end).astype(np.int32), "h1": lambda: both[:, 0].copy(), "h2": lambda: both[:, 1].copy()}  # noqa: B023
+                of["row_key"] = lambda: np.repeat(np.array([xxhash.xxh64_intdigest(t.encode(), 42) for t in texts], np.uint64).view(np.int64), count)  # noqa: B023
+                of["doc_id"] = lambda: b.column(0).take(pa.array(np.repeat(np.arange(len(count)), count)))  # noqa: B023
+                yield pa.RecordBatch.from_arrays([pa.array(of[c]()) if c != "doc_id" else of[c]() for c in names], names)
+
+    return docs.mapInArrow(run, ", ".join(f"{c} {_RUN[c]}" for c in names))
 
 
 def _place() -> Column:
@@ -131,10 +145,12 @@ def _place() -> Column:
 
 def repeated_spans(docs: DataFrame, **options: int) -> DataFrame:
     """doc_id, row_key, spans (array of begin and end sentences) of the rows that repeat runs of earlier places."""
-    every = _all_runs(docs, options)
-    twice = every.select("h1", _place().alias("at")).groupBy("h1").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a != b").select("h1")
+    # two places differ in their id or in their begin; four longs cost less than the order of places does
+    places = _all_runs(docs, options, ["doc_id", "begin", "h1"]).select("h1", F.coalesce("doc_id", F.lit(_LAST_ID)).alias("id"), "begin")
+    ends = [f("id") for f in (F.min, F.max)] + [f("begin") for f in (F.min, F.max)]
+    twice = places.groupBy("h1").agg(*[e.alias(c) for e, c in zip(ends, "abcd", strict=True)]).where("a != b OR c != d").select("h1")
     # both joins shuffle at every size: their smaller sides grow with the corpus, too
-    found = written(every.join(written(twice, "twice"), "h1", "left_semi"), "runs")
+    found = written(_all_runs(docs, options).join(written(twice, "twice"), "h1", "left_semi"), "runs")
     first = found.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).where("first != last").select("h1", "h2", "first")
     later = found.join(written(first, "first"), ["h1", "h2"]).where(_place() > F.col("first"))
     return later.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))

@@ -11,6 +11,7 @@ from hashlib import sha256
 import numpy as np
 import pytest
 import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from tessavox.llm import decontaminate, fm_index, line_dedup, quality_rules, sanitise, sentence_spans
@@ -469,6 +470,25 @@ def test_spans_on_the_table(spark, data, texts):
         assert r.text_sha256 == sha("".join(p for i, p in enumerate(parts) if i not in gone))
 
 
+@pytest.mark.parametrize(("window", "min_sentences", "min_words"), [(3, 2, 20), (2, 3, 6), (3, 2, 0), (60, 1, 5)])
+def test_runs_by_definition(texts, odd_rows, window, min_sentences, min_words):
+    """Begins and ends from sums of words are those of trying every run; the pattern of stops has the places of its plain form."""
+    plain = re.compile(r"[.!?…][\"'”’)\]]*\s+|[。！？][”’」』]*\s*|\n\s*")
+    least = min_sentences if min_sentences > 2 else 1
+    for _, t in texts[:25] + odd_rows:
+        t = (t or "")[:1500]
+        assert [m.span() for m in plain.finditer(t)] == [m.span() for m in sentence_spans.END.finditer(t)]
+        parts = [(i, w) for i, s in enumerate(sentence_spans.sentences(t)) if (w := s.lower().split())]
+        many = lambda b, e: 0 <= b and e <= len(parts) and e - b >= least and sum(len(w) for _, w in parts[b:e]) >= min_words  # noqa: B023, E731
+        wanted = {}
+        for b in range(len(parts)):
+            for e in range(b + 1, len(parts) + 1):
+                short = many(b, e) and (not many(b + 1, e) or not many(b, e - 1)) or e - b == 1 and len(parts[b][1]) >= min_words
+                if e - b == window or min_words and short:
+                    wanted[parts[b][0], parts[e - 1][0] + 1] = " ".join(x for _, w in parts[b:e] for x in w)
+        assert [(b, e, h) for b, e, h in sentence_spans.runs(t, window, min_sentences, min_words)] == [(*at, xxhash.xxh3_128_digest(wanted[at].encode())) for at in sorted(wanted)]
+
+
 def test_repeated_passage_goes(spark):
     rng = random.Random(8)
     sentence = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(rng.randint(5, 14))).capitalize() + "."
