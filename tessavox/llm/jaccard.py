@@ -35,8 +35,8 @@ SHINGLE, PERCENT = 5, 80
 CHUNK, COUNTED, KNOWN = 1 << 21, 1 << 21, 1 << 19
 #: Bytes of a text whose words are taken together; sets that one node is compared with in a task; groups of a large star.
 PIECE, MEMBERS, LARGE = 1 << 20, 2048, 16
-#: Bits of the longest sketch of a set.
-SKETCH = 1 << 16
+#: Bits of the longest and of the shortest sketch of a set.
+SKETCH, SHORTEST = 1 << 16, 1 << 8
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 _ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -94,7 +94,7 @@ def _node(tokens: np.ndarray) -> bytes:
 
 def _sketch(tokens: np.ndarray) -> bytes:
     """Parities of the shingles of each remainder, two bits or more a shingle (up to SKETCH bits)."""
-    bits = min(SKETCH, max(64, 1 << (2 * len(tokens) - 1).bit_length()))
+    bits = min(SKETCH, max(SHORTEST, 1 << (2 * len(tokens) - 1).bit_length()))
     odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -109,6 +109,16 @@ def _differing(a: bytes, b: bytes) -> int:
     return (one ^ other).bit_count()
 
 
+def _folded(sketch: str) -> Column:
+    """A column of sketches, each as one of SHORTEST bits."""
+
+    @F.arrow_udf("array<long>")
+    def fold(sketches: pa.Array) -> pa.Array:
+        return pa.array([np.bitwise_xor.reduce(np.frombuffer(s, "<i8").reshape(-1, SHORTEST // 64), axis=0).tolist() for s in sketches.to_pylist()], pa.list_(pa.int64()))
+
+    return fold(sketch)
+
+
 def _sieved(pairs: DataFrame, percent: int) -> DataFrame:
     """a, b of those pairs of nodes, of the sizes n and n_2, that their sketches allow to be linked."""
 
@@ -455,16 +465,20 @@ def _across(posted: DataFrame, units: DataFrame, members: DataFrame, texts: Data
     posts = posted.select("token", "grp", "n", "pos").join(units.select("grp", "root", "hub").distinct(), "grp")
     open_ = posts.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
     posts = written(posts.join(open_, "token").distinct(), "open")
+    radius = units.groupBy("hub").agg(F.max("far").alias("r")).join(members.select(F.col("node").alias("hub"), "n", "sketch"), "hub")
+    leaders = written(radius.select("hub", "r", F.col("n").alias("size"), _folded("sketch").alias("bits")), "leaders")
     # sizes and places that a star has a shingle in: what can be shared, over all its groups
-    held = posts.groupBy("token", "root", "hub").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.max("pos").alias("before"), F.max(F.col("n") - F.col("pos")).alias("after"))
-    other = held.select("token", F.col("root").alias("other"), F.col("hub").alias("hub_2"), F.col("n").alias("n_2"), F.col("most").alias("most_2"), F.col("before").alias("before_2"), F.col("after").alias("after_2"))
+    held = posts.groupBy("token", "root", "hub").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.max("pos").alias("before"), F.max(F.col("n") - F.col("pos")).alias("after")).join(leaders, "hub")
+    other = held.select("token", F.col("root").alias("other"), *[F.col(c).alias(f"{c}_2") for c in ("hub", "n", "most", "before", "after", "r", "size", "bits")])
     fit = f"100 * most >= {percent} * n_2 AND 100 * most_2 >= {percent} * n AND {100 + percent} * (least(before, before_2) + least(after, after_2)) >= {percent} * (n + n_2)"
+    beyond = f"{{}} > 1 - {percent} / 100D + r + r_2 + 1e-9"
+    # the leaders' short sketches already tell most stars of near misses apart, before they become a row for each shared shingle
+    apart = " + ".join(f"bit_count(bits[{i}] ^ bits_2[{i}])" for i in range(SHORTEST // 64))
+    fit += f" AND NOT {beyond.format(f'2D * ({apart}) / (size + size_2 + {apart})')}"
     both = written(held.join(other, "token").where(f"root < other AND {fit}").select("token", "hub", "hub_2"), "both")
-    radius = units.groupBy("hub").agg(F.max("far").alias("r")).join(members.select(F.col("node").alias("hub"), "n", "sketch"), "hub")
     second = radius.select(F.col("hub").alias("hub_2"), F.col("r").alias("r_2"), F.col("n").alias("n_2"), F.col("sketch").alias("sketch_2"))
-    beyond = f"{{}} > 1 - {percent} / 100D + r + r_2 + 1e-9"
-    stars = written(_far(both.select("hub", "hub_2").distinct().join(radius, "hub").join(second, "hub_2").where("r + r_2 > 0")), "stars")
-    near = stars.where("NOT " + beyond.format("least"))
+    stars = written(_far(both.select("hub", "hub_2").distinct().join(radius, "hub").join(second, "hub_2")), "stars")
+    near = stars.where("r + r_2 > 0 AND NOT " + beyond.format("least"))
     met = written(_compared(near.select(F.col("hub").alias("a"), F.col("hub_2").alias("b")), members, texts, size, percent), "met")
     apart = met.join(near, (F.col("a") == F.col("hub")) & (F.col("b") == F.col("hub_2"))).where(beyond.format("far"))
     apart = apart.select("hub", "hub_2").union(stars.where(beyond.format("least")).select("hub", "hub_2"))

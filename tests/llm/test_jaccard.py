@@ -183,3 +183,21 @@ def test_shingles_and_bounds(odd_rows):
 def test_odd_rows(spark, odd, odd_rows, none):
     assert result(jaccard.near_duplicates(odd)) == slow(odd_rows)
     assert jaccard.near_duplicates(none).count() == 0
+
+
+def test_near_misses_are_no_rows_for_each_shared_shingle(spark, monkeypatch):
+    """60 texts of one passage of 75 words and 14 own ones: 71 of 99 shingles are shared by two, so nearly all pairs go by the leaders' sketches."""
+    seen, written = {}, jaccard.written
+
+    def counted(df, name, **more):
+        out = written(df, name, **more)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    passage = " ".join(f"p{k}" for k in range(75))
+    rows = [(i, f"{passage} " + " ".join(f"w{i}_{k}" for k in range(14))) for i in range(60)]
+    rows += [(60 + i, t.rsplit(" ", 1)[0] + " other") for i, t in rows[:5]]  # near copies, linked with theirs
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i % 60 for i in range(65)}
+    assert seen["both"] < 65 * 64 / 2  # 4 for each pair otherwise
