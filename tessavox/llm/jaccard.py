@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,14 @@ from tessavox.llm.common import pick, small, tidy, whole, written
 from tessavox.llm.simhash import contracted
 
 SHINGLE, PERCENT = 5, 80
-#: Shingles that are counted together, shingles whose counts are kept (16 bytes each), and words and sets known at a time.
+#: Shingles that are counted together, shingles whose counts are kept (16 bytes each), and sets known at a time.
 CHUNK, COUNTED, KNOWN = 1 << 21, 1 << 21, 1 << 19
-#: Bytes of a text whose words are taken together; sets that one node is compared with in a task; groups of a large star.
-PIECE, MEMBERS, LARGE = 1 << 20, 2048, 16
+#: Bytes of texts whose words are taken together, and of a word that is hashed alone; sets that one node is compared with in a task; groups of a large star.
+PIECE, LONG, MEMBERS, LARGE = 1 << 18, 256, 2048, 16
 #: Bits of the longest and of the shortest sketch of a set.
 SKETCH, SHORTEST = 1 << 16, 1 << 8
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -48,39 +50,89 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Shingles:
-    """Sorted 64-bit hashes of a text's different word shingles; fewer words than a shingle's are one, no words none."""
+    """Sorted 64-bit hashes of texts' different word shingles; fewer words than a shingle's are one, no words none."""
 
     def __init__(self, size: int = SHINGLE):
-        self.size, self.known = size, {}
+        self.size = size
+
+    def sets(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The texts' sets in order, PIECE bytes of texts (a longer text alone) at a time: sets one behind another, and their bounds."""
+        texts = texts.cast(pa.large_binary())
+        _, ends, data = texts.buffers()
+        ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        low = 0
+        while low < len(texts):
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] + PIECE, side="right")) - 1)
+            part = data[ends[low] : ends[high]].to_pybytes() if ends[low] < ends[high] else b""
+            yield self._sets(*self._words(part.translate(_WORDS), ends[low : high + 1] - ends[low]))
+            low = high
 
-    def _words(self, data: bytes) -> np.ndarray:
-        known, out, at = self.known, [], 0
+    def of(self, text: str) -> np.ndarray:
+        return next(self.sets(pa.array([text], pa.string())))[0]
+
+    def _words(self, data: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words' hashes of texts that lie one behind another, and how many words each has."""
+        if len(data) <= PIECE:
+            return _hashes(data, bounds)
+        out, at = [], 0
         while at < len(data):
             end = data.find(b" ", at + PIECE) if at + PIECE < len(data) else len(data)
             end = len(data) if end < 0 else end
-            words = data[at:end].split()
+            out.append(_hashes(data[at:end], np.array([0, end - at]))[0])
             at = end
-            try:
-                found = [*map(known.__getitem__, words)]
-            except KeyError:
-                if len(known) > KNOWN:
-                    known.clear()
-                for w in words:
-                    if w not in known:
-                        known[w] = xxhash.xxh64_intdigest(w, 1)
-                found = [*map(known.__getitem__, words)]
-            out.append(np.array(found, np.uint64))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-    def of(self, text: str) -> np.ndarray:
-        w = self._words(text.encode().translate(_WORDS))
-        if not len(w):
-            return w
-        size = min(self.size, len(w))
-        h = np.full(len(w) - size + 1, (size * _ODD[0]) % (1 << 64), np.uint64)
-        for k in range(size):
-            h = _mixed(h + w[k : len(w) - size + 1 + k])
-        return np.unique(h)
+        w = np.concatenate(out)
+        return w, np.array([len(w)])
+
+    def _sets(self, w: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size, first = self.size, np.concatenate([[0], np.cumsum(many)])
+        counts = np.where(many < size, np.minimum(many, 1), many - size + 1)
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        out = np.empty(bounds[-1], np.uint64)
+        whole_ = np.repeat(many >= size, counts)
+        text = np.repeat(np.arange(len(many), dtype=np.int32), many)
+        if len(w) >= size:
+            out[whole_] = _runs([w[k : len(w) - size + 1 + k] for k in range(size)])[text[: len(w) - size + 1] == text[size - 1 :]]
+        for m in range(1, size):
+            few = np.flatnonzero(many == m)
+            if len(few):
+                out[bounds[few]] = _runs([w[first[few] + k] for k in range(m)])
+        for a, b in pairwise(bounds.tolist()):
+            out[a:b].sort()
+        kept = np.ones(len(out) + 1, bool)
+        kept[1:-1] = out[1:] != out[:-1]
+        kept[bounds] = True
+        kept = kept[:-1]
+        return out[kept], np.concatenate([[0], np.cumsum(kept)])[bounds]
+
+
+def _runs(words: list[np.ndarray]) -> np.ndarray:
+    """Hashes of runs of words: the first words' hashes, the second ones', and so on."""
+    h = np.full(len(words[0]), (len(words) * _ODD[0]) % (1 << 64), np.uint64)
+    for w in words:
+        h = _mixed(h + w)
+    return h
+
+
+def _hashes(data: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of words between spaces, eight bytes of all words at a time, and how many words stand between the bounds."""
+    inside = np.frombuffer(data, np.uint8) != 32
+    begins, stops, edges = inside.copy(), inside.copy(), bounds[bounds < len(data)]
+    begins[1:] &= ~inside[:-1]
+    begins[edges] = inside[edges]
+    stops[:-1] &= ~inside[1:] | begins[1:]
+    starts = np.flatnonzero(begins)
+    left = np.flatnonzero(stops) + 1 - starts
+    eights = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
+    h = _mixed(left.astype(np.uint64) + np.uint64(_ODD[0]))
+    for k in np.flatnonzero(left > LONG).tolist():
+        h[k] = xxhash.xxh64_intdigest(data[starts[k] : starts[k] + left[k]], 1)
+    live = np.flatnonzero(left <= LONG)
+    at, left = starts[live], left[live]
+    while len(live):
+        h[live] = _mixed(h[live] + (eights[at] & _FIRST[np.minimum(left, 8)]))
+        on = left > 8
+        live, at, left = live[on], at[on] + 8, left[on] - 8
+    return h, np.diff(np.searchsorted(starts, bounds))
 
 
 def least_overlap(n: int | np.ndarray, m: int | np.ndarray, percent: int = PERCENT) -> int | np.ndarray:
@@ -92,11 +144,19 @@ def _node(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def _sketches(tokens: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Of each of the sets the parities of the shingles of each remainder, two bits or more a shingle (up to SKETCH bits)."""
+    sizes = np.diff(bounds)
+    bits = np.array([min(SKETCH, max(SHORTEST, 1 << (2 * n - 1).bit_length())) if n else 0 for n in sizes.tolist()], np.int64)
+    at = np.concatenate([[0], np.cumsum(bits)])
+    place = np.repeat(at[:-1], sizes) + (tokens & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(place, minlength=at[-1]) & 1
+    data = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return [data[a:b] for a, b in pairwise((at >> 3).tolist())]
+
+
 def _sketch(tokens: np.ndarray) -> bytes:
-    """Parities of the shingles of each remainder, two bits or more a shingle (up to SKETCH bits)."""
-    bits = min(SKETCH, max(SHORTEST, 1 << (2 * len(tokens) - 1).bit_length()))
-    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return _sketches(tokens, np.array([0, len(tokens)]))[0]
 
 
 def _differing(a: bytes, b: bytes) -> int:
@@ -157,17 +217,20 @@ def _repeated(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(times[often])], ["token", "n"])
 
         for b in batches:
-            for line in b.column(0).to_pylist():
-                tokens = shingles.of(line)
-                if len(tokens) and (node := _node(tokens)) not in seen:
-                    if len(seen) > KNOWN:
-                        seen.clear()
-                    seen.add(node)
-                    some.append(tokens)
-                    n += len(tokens)
-                    if n >= CHUNK:
-                        yield out()
-                        some, n = [], 0
+            for tokens, bounds in shingles.sets(b.column(0)):
+                new = np.zeros(len(bounds) - 1, bool)
+                for k, (low, high) in enumerate(pairwise(bounds.tolist())):
+                    if low < high and (node := xxhash.xxh64_intdigest(tokens[low:high])) not in seen:
+                        if len(seen) > KNOWN:
+                            seen.clear()
+                        seen.add(node)
+                        new[k] = True
+                fresh = tokens[np.repeat(new, np.diff(bounds))]
+                some.append(fresh)
+                n += len(fresh)
+                if n >= CHUNK:
+                    yield out()
+                    some, n = [], 0
         if n:
             yield out()
 
@@ -179,7 +242,31 @@ def _repeated(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     kept = counts.where(F.col("n") >= int(n[fits].min()) if len(fits) else F.lit(False)).toArrow()
     token = kept.column("token").to_numpy().view(np.uint64)
     at = np.argsort(token)
-    return token[at], kept.column("n").to_numpy()[at]
+    return token[at], np.minimum(kept.column("n").to_numpy()[at], (1 << 31) - 1).astype(np.int32)
+
+
+class Times:
+    """How often shingles were counted; a table of their first bits tells where in the sorted ones to look."""
+
+    def __init__(self, token: np.ndarray, times: np.ndarray):
+        bits = max(1, len(token).bit_length())
+        self.token, self.times, self.shift = token, times, np.uint64(64 - bits)
+        self.first = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount((token >> self.shift).astype(np.int64), minlength=1 << bits), out=self.first[1:])
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(s), np.int32)
+        bucket = (s >> self.shift).astype(np.int64)
+        at, end, live = self.first[bucket], self.first[bucket + 1], np.arange(len(s))
+        on = at < end
+        while on.any():
+            at, end, live, s = at[on], end[on], live[on], s[on]
+            token = self.token[at]
+            hit = token == s
+            out[live[hit]] = self.times[at[hit]]
+            at += 1
+            on = (token < s) & (at < end)
+        return out
 
 
 def _rows(texts: DataFrame, counts: Broadcast, size: int, percent: int) -> DataFrame:
@@ -187,40 +274,41 @@ def _rows(texts: DataFrame, counts: Broadcast, size: int, percent: int) -> DataF
     meets the node and the group first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, times = counts.value
-        shingles, seen, sketched = Shingles(size), set(), set()
+        times, shingles, seen, sketched = Times(*counts.value), Shingles(size), set(), set()
         for b in batches:
-            n, nodes, groups, prefixes, sketches = [], [], [], [], []
-            for line in b.column(2).to_pylist():
-                s = shingles.of(line)
-                n.append(len(s))
-                if not len(s):
-                    nodes.append(None)
-                    groups.append(None)
-                    prefixes.append(None)
-                    sketches.append(None)
-                    continue
-                node = _node(s)
-                nodes.append(node)
-                if len(sketched) > KNOWN:
-                    sketched.clear()
-                sketches.append(None if node in sketched else _sketch(s))
-                sketched.add(node)
-                rank = np.zeros(len(s), np.int64)
-                if len(token):
-                    at = np.minimum(np.searchsorted(token, s), len(token) - 1)
-                    rank = np.where(token[at] == s, times[at], 0)
-                first = s[np.argsort(rank, kind="stable")[: len(s) + percent * len(s) // -100 + 1]]
-                group = xxhash.xxh64_intdigest(first.tobytes(), len(s)) - (1 << 63)
-                groups.append(group)
-                if group in seen:
-                    prefixes.append(None)
-                    continue
-                if len(seen) > KNOWN:
-                    seen.clear()
-                seen.add(group)
-                prefixes.append(first.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "key", "n", "node", "grp", "prefix", "sketch"])
+            done = 0
+            for tokens, bounds in shingles.sets(b.column(2)):
+                nodes, groups, prefixes, sketches = [], [], [], _sketches(tokens, bounds)
+                ranks = times.of(tokens)
+                for k, (low, high) in enumerate(pairwise(bounds.tolist())):
+                    if low == high:
+                        nodes.append(None)
+                        groups.append(None)
+                        prefixes.append(None)
+                        sketches[k] = None
+                        continue
+                    s = tokens[low:high]
+                    node = _node(s)
+                    nodes.append(node)
+                    if len(sketched) > KNOWN:
+                        sketched.clear()
+                    if node in sketched:
+                        sketches[k] = None
+                    sketched.add(node)
+                    first = s[np.argsort(ranks[low:high], kind="stable")[: len(s) + percent * len(s) // -100 + 1]]
+                    group = xxhash.xxh64_intdigest(first.tobytes(), len(s)) - (1 << 63)
+                    groups.append(group)
+                    if group in seen:
+                        prefixes.append(None)
+                        continue
+                    if len(seen) > KNOWN:
+                        seen.clear()
+                    seen.add(group)
+                    prefixes.append(first.view(np.int64))
+                own = b.slice(done, len(nodes))
+                done += len(nodes)
+                columns = [pa.array(np.diff(bounds), pa.int64()), pa.array(nodes, pa.binary()), pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *columns], ["doc_id", "key", "n", "node", "grp", "prefix", "sketch"])
 
     return texts.mapInArrow(run, "doc_id long, key long, n long, node binary, grp long, prefix array<long>, sketch binary")
 
@@ -288,8 +376,8 @@ def _compared(pairs: DataFrame, members: DataFrame, texts: DataFrame, size: int,
         shingles, names = Shingles(size), ["a", "part", "head", "node", "tokens"]
         out, held = [], 0
         for b in batches:
-            for line, to in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingles.of(line)
+            found = (tokens[low:high] for tokens, bounds in shingles.sets(b.column(0)) for low, high in pairwise(bounds.tolist()))
+            for s, to in zip(found, b.column(1).to_pylist(), strict=True):
                 node, data = _node(s), s.tobytes()
                 for x in to:
                     out.append((x["a"], x["part"], x["head"], node, data))

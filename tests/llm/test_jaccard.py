@@ -201,3 +201,28 @@ def test_near_misses_are_no_rows_for_each_shared_shingle(spark, monkeypatch):
     got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: i % 60 for i in range(65)}
     assert seen["both"] < 65 * 64 / 2  # 4 for each pair otherwise
+
+
+@pytest.mark.parametrize("piece", [16, 300, 1 << 18])
+def test_sets_of_a_batch_are_those_of_its_texts(monkeypatch, piece):
+    """Texts hashed together: words and shingles end with their text, equal sets get equal hashes and others not, words may be long."""
+    monkeypatch.setattr(jaccard, "PIECE", piece)
+    dice = random.Random(2)
+    some = ["a", "B", "b", " ", "\t", "\n", "é", "word ", "\x00", "  ", "\x1f", "Z\x0b", "x" * 8, "y" * 256, "z" * 300 + " "]
+    texts = ["", " ", *("".join(dice.choices(some, k=dice.choice([0, 1, 3, 30]))) for _ in range(300))]
+    for size in (1, 2, 5):
+        batch = jaccard.pa.array(["left out", *texts]).slice(1)
+        got = [tuple(t[a:b].tolist()) for t, at in jaccard.Shingles(size).sets(batch) for a, b in zip(at[:-1], at[1:], strict=True)]
+        sets = [shingles(t, size) for t in texts]
+        assert [len(s) for s in got] == [len(s) for s in sets]
+        assert all(list(s) == sorted(set(s)) for s in got)
+        assert len(set(zip(got, sets, strict=True))) == len(set(got)) == len(set(sets))
+
+
+def test_counts_are_found():
+    token = np.unique(np.random.default_rng(5).integers(0, 1 << 64, 999, np.uint64))
+    asked = np.sort(np.concatenate([token, token + np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)]))
+    for n in (0, 1, 2, 999):
+        at = dict(zip(token[:n].tolist(), range(1, n + 1), strict=True))
+        times = jaccard.Times(token[:n], np.arange(1, n + 1, dtype=np.int32))
+        assert times.of(asked).tolist() == [at.get(t, 0) for t in asked.tolist()]
