@@ -78,7 +78,7 @@ class SliceWriter(DataSourceArrowWriter):
         return self.shape[1] * self.shape[2] * self.kind.itemsize
 
     def _place(self, z: int) -> int:
-        return 8 + z * self._page if self._page else 352 + z * self._bytes
+        return 8 + z * self._page if self._page else len(codecs._nifti_first(self.shape, self.kind)) + z * self._bytes
 
     def _encoded(self, z: int, data: bytes) -> bytes:
         return codecs._tiff_page(self._place(z), self.shape[1:], self.kind, data, z == self.shape[0] - 1) if self._page else data

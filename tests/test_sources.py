@@ -267,3 +267,12 @@ def test_pictures(spark, tmp_path):
     assert pictures.write_curves(curve, str(tmp_path / "c"), 20, 30).count() == 2
     up = codecs.read_png((tmp_path / "c" / "up.png").read_bytes())[0]
     assert up[19, 0] == 0 and up[0, 29] == 0 and up[0, 0] == 255 and (up == 0).any(axis=0).all()
+
+
+def test_nifti_of_many_slices():
+    """An axis beyond 16 bits: a header of NIfTI-2; shorter volumes keep that of NIfTI-1."""
+    for depth, start in ((32767, 352), (32768, 544), (51282, 544)):
+        a = np.arange(depth * 2, dtype="f4").reshape(depth, 1, 2)
+        data = codecs.write_nifti(a)
+        assert len(data) == start + a.nbytes and codecs._nifti_head(data[:352])[2:4] == (a.shape, start)
+        assert (codecs.read_nifti(data) == a).all() and (codecs.read_nifti(codecs.write_nifti(a, True)) == a).all()
