@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a written table's files up to which it is broadcast; beyond that the same join shuffles.
 BROADCAST_BYTES = 16 << 20
 
+#: Texts of an Arrow batch that are Python's at once.
+TEXTS = 256
+
 _open = threading.local()
 _left: list[str] = []
 
@@ -38,6 +43,21 @@ def whole(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def texts(batch: pa.Array) -> Iterator[str | None]:
+    """The texts of an Arrow batch, TEXTS at a time: a worker holds the batch, but not all its texts once more."""
+    for i in range(0, len(batch), TEXTS):
+        yield from batch.slice(i, TEXTS).to_pylist()
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; behind the last one the worker, which stays, idle, beside the next step, gives free memory back to the system."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, named by ``spark.checkpoint.dir``.
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessavox.llm.common import pick, whole
+from tessavox.llm.common import pick, released, whole
 from tessavox.llm.fm_index import FIRST, SEPARATOR, FMIndex
 
 WINDOW = 13
@@ -65,6 +65,13 @@ class Shard:
 
     def __init__(self, texts: list[str | None]):
         self.texts = len(texts)
+        seq = self._coded(texts)  # nothing else that it is made from stays while the index is built
+        self.index = FMIndex(seq) if self.sizes.any() else None
+        self.cover = np.zeros(len(seq) + 1, np.int64)
+        self.items: list[set[str]] = [set() for _ in texts]
+
+    def _coded(self, texts: list[str | None]) -> np.ndarray:
+        """Numbers of all words, with separators; known, sizes and begins are set."""
         spaced = pa.array([t.encode().translate(_KEEP) if t else b"" for t in texts], pa.large_binary()).cast(pa.large_string())
         parts = pc.ascii_split_whitespace(spaced)
         words, text_of = pc.list_flatten(parts), pc.list_parent_indices(parts).to_numpy()
@@ -74,11 +81,9 @@ class Shard:
         self.known = coded.dictionary
         self.sizes = np.bincount(text_of, minlength=self.texts)
         self.begins = np.concatenate([[0], np.cumsum(self.sizes + 1)])  # a separator ends each document
-        seq = np.full(int(self.begins[-1]), SEPARATOR, np.int64)
+        seq = np.full(int(self.begins[-1]), SEPARATOR, np.int32)
         seq[np.arange(len(text_of)) + text_of] = coded.indices.to_numpy() + FIRST
-        self.index = FMIndex(seq) if len(text_of) else None
-        self.cover = np.zeros(len(seq) + 1, np.int64)
-        self.items: list[set[str]] = [set() for _ in texts]
+        return seq
 
     def search(self, p: Phrases) -> None:
         """Marks the words of all occurrences of the phrases, and the items found, document by document."""
@@ -168,7 +173,7 @@ def found(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
             yield from out(held)
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in now.schema] + [STATE])
-    return now.mapInArrow(run, schema)
+    return now.mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -11,36 +11,49 @@ import numpy as np
 END, SEPARATOR, FIRST = 0, 1, 2
 
 
+def _kind(most: int) -> type[np.signedinteger]:
+    """Numbers up to ``most`` in four bytes if they fit."""
+    return np.int32 if most < 1 << 31 else np.int64
+
+
 def suffix_array(seq: np.ndarray) -> np.ndarray:
     """Suffixes in order, by doubling. Separators count as different and rising, so no comparison crosses one.
 
     The first sort compares as many symbols as fit into 62 bits; later ones only suffixes that are still tied.
     """
     n = len(seq)
+    kind = _kind(n)
     separators = seq == SEPARATOR
-    key = np.where(separators, np.cumsum(separators), seq.astype(np.int64) + int(separators.sum()) + 1)
+    key = seq.astype(np.int64)
+    key += int(separators.sum()) + 1
+    key[separators] = np.arange(1, int(separators.sum()) + 1)
     key[-1] = 0
     bits = max(1, int(key.max()).bit_length())
     step = min(n, max(1, 62 // bits))
-    symbol = key
+    symbol = key.astype(_kind(int(key.max())))
     for i in range(1, step):  # behind the end stand zeros, less than any symbol
-        key = key << bits
+        key <<= bits
         key[: n - i] |= symbol[i:]
-    order = np.argsort(key, kind="stable")
+    del symbol, separators
+    order = np.argsort(key, kind="stable").astype(kind)
     ordered = key[order]
+    del key
     first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    begins = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    rank = np.empty(n, np.int64)  # the place where a suffix's group of tied ones begins
-    rank[order] = begins
+    del ordered
+    begins = np.where(first, np.arange(n, dtype=kind), kind(0))
+    rank = np.empty(n, kind)  # the place where a suffix's group of tied ones begins
+    rank[order] = np.maximum.accumulate(begins, out=begins)
+    del begins
     while True:
         alone = first & np.concatenate([first[1:], [True]])
         tied = np.flatnonzero(~alone)
         if not len(tied):
             return order
-        at = order[tied]
+        at = order[tied].astype(np.int64)
         behind = at + step
-        after = np.where(behind < n, rank[np.minimum(behind, n - 1)] + 1, 0)
-        key = rank[at] * (n + 1) + after
+        key = np.where(behind < n, rank[np.minimum(behind, n - 1)] + np.int64(1), 0)
+        del behind
+        key += rank[at] * np.int64(n + 1)
         sort = np.argsort(key, kind="stable")
         at, key = at[sort], key[sort]
         order[tied] = at
@@ -99,7 +112,7 @@ class FMIndex:
     """seq: symbols from FIRST on, parts separated by SEPARATOR; no pattern may hold a separator."""
 
     def __init__(self, seq: np.ndarray, sample: int = 8):
-        seq = np.concatenate([seq, [END]]).astype(np.int64)
+        seq = np.append(seq, END).astype(_kind(int(seq.max(initial=0))), copy=False)
         self.n = n = len(seq)
         order = suffix_array(seq)
         self.top = int(seq.max())

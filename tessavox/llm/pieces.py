@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessavox.llm.common import pick, whole
+from tessavox.llm.common import pick, released, whole
 
 MARK = "▁"
 #: Entries of each of the two generations of a worker's word cache, and of its cache of pairs.
-CACHE_WORDS, CACHE_PAIRS = 300_000, 500_000
+CACHE_WORDS, CACHE_PAIRS = 300_000, 200_000
 
 
 def _fields(message: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -293,4 +293,5 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                     cols.append(pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(flat, pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
 
-    return pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text")).mapInArrow(run, schema)
+    plain = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
+    return plain.mapInArrow(lambda batches: released(run(batches)), schema)

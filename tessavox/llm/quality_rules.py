@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessavox.llm.common import pick, whole
+from tessavox.llm.common import pick, texts, whole
 
 #: The symbols that count, and the white space that separates words.
 SYMBOLS, SPACE = "#*$%&|<>", " \t\n\v\f\r"
@@ -71,7 +71,7 @@ def stats_of(text: Column) -> Column:
 
     @F.arrow_udf(STATS_TYPE)
     def stats(batch: pa.Array) -> pa.Array:
-        rows = np.array([text_stats(x) for x in batch.to_pylist()], np.int64).reshape(-1, len(STATS))
+        rows = np.array([text_stats(x) for x in texts(batch)], np.int64).reshape(-1, len(STATS))
         return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(len(STATS))], list(STATS))
 
     return stats(text)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessavox.llm.common import drop, pick, tidy, whole, written
+from tessavox.llm.common import drop, pick, texts, tidy, whole, written
 
 BITS, SHINGLE, SEED, RADIUS = 64, 3, 42, 2
 #: About how many fingerprints a shard holds (2 MB), or fewer where that leaves less than LEAST shards; fingerprints of the sample for
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     @F.arrow_udf("long")
     def fp(batch: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(t) for t in batch.to_pylist()], np.uint64).view(np.int64))
+        return pa.array(np.array([fingerprint(t) for t in texts(batch)], np.uint64).view(np.int64))
 
     return pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole("text")).alias("row_key"), fp(whole("text")).alias("fp"))
 

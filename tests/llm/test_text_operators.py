@@ -5,16 +5,18 @@ import math
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from tessavox.llm import decontaminate, fm_index, line_dedup, quality_rules, sanitise, sentence_spans
+from tessavox.llm import common, decontaminate, fm_index, line_dedup, quality_rules, sanitise, sentence_spans
 from tessavox.llm.queries import OP6, op1_decontamination, op4_sanitisation, op6_line_dedup, op7_quality_rules, op9_sentence_spans
 
 
@@ -51,6 +53,27 @@ def test_suffixes_are_in_order(letters):
         assert fm_index.suffix_array(seq).tolist() == sorted(range(len(seq)), key=lambda i: plain[i:])
 
 
+def test_a_worker_holds_little_beside_its_batch():
+    """An index of a shard is built in 50 bytes a word at most (81 once), and a batch's texts are never all copied at once."""
+
+    def peak(work):
+        tracemalloc.start()
+        try:
+            work()
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    seq = np.random.default_rng(5).zipf(1.3, 1 << 17) % 50_000 + fm_index.FIRST
+    seq[::400] = fm_index.SEPARATOR
+    assert peak(lambda: fm_index.FMIndex(seq)) < 50 * len(seq)
+    batch = pa.array(["x" * 1000, None] * 5000)
+    assert peak(lambda: [None for _ in common.texts(batch)]) < 1 << 20
+    assert list(common.texts(batch)) == batch.to_pylist()
+    held = [pa.record_batch({"n": [1, 2]}), pa.record_batch({"n": pa.array([], pa.int64())})]
+    assert list(common.released(iter(held))) == held
+
+
 def test_phrases_unknown_when_the_index_was_built(texts):
     """One index of a shard answers for any phrases, one block after the other; also for words that no benchmark holds."""
     shard = decontaminate.Shard([t for _, t in texts])
