@@ -2,15 +2,20 @@
 
 ``volume_headers`` gives a row for each file from a few kilobytes of it. ``volume_files`` plans from such headers: its partitions are
 runs of slices inside the files, of about ``bytes`` bytes each, so one file of any size is read by many tasks and many small files by
-one. Options ``z``, ``y`` and ``x`` (``lo:hi``) cut a box: files, pages, strips and rows outside are not read; filters on
-the column z do the same for z in sessions that push filters into Python sources (others need ``files`` or the format
-``volume_files_unfiltered``). Whole are read only what has no inner places: PNG, and ``.nii.gz`` as a stream, slice by slice.
+one. The headers are read on the driver, but those of large folders by tasks: ``indexed`` writes a table of the files in order, and the
+option ``places`` (a row for each part of that table) is all that the plan then holds. Options ``z``, ``y`` and ``x`` (``lo:hi``) cut
+a box: files, pages, strips and rows outside are not read; filters on the column z do the same for z in sessions that push filters
+into Python sources (others need ``files`` or the format ``volume_files_unfiltered``). Whole are read only what has no inner places:
+PNG, and ``.nii.gz`` as a stream, slice by slice.
 
 Files are reached by Arrow's file systems (local paths, hdfs, s3, gs).
 """
 
 from __future__ import annotations
 
+import itertools
+import json
+import os
 import re
 import struct
 import zlib
@@ -20,19 +25,26 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrameReader, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
+from tessavox.operators import lineage
 from tessavox.sources import codecs, sink
 from tessavox.sources.places import opened
 
 SLICES = "path string, z long, y0 long, x0 long, height long, width long, dtype string, data array<double>"
 HEADERS = "file string, dz long, height long, width long, dtype string"
+#: Headers with the bytes of the slices and what a volume's files are ordered by.
+INDEX = HEADERS + ", bytes long, head string, digits long, number string"
 #: Bytes of a partition; bytes that are read at once for a header; threads that read headers for a plan; files of a task of headers.
 BYTES, HEAD, THREADS, FILES = 64 << 20, 1024, 16, 256
+#: Files of a folder whose headers the driver reads for a plan, and files of a part of the index of a larger folder.
+PLANNED = 4096
 SUFFIXES = (".tif", ".tiff", ".nii", ".nii.gz", ".gz", ".png")
 #: Names as the sinks give them: ``_z{z0}-{z1}`` or ``_{z:05d}``; these numbers count as such, since they outgrow their digits.
 NUMBERED = r"^(.*_(?:z(?=[0-9]+-[0-9]+\.)|(?=[0-9]{5,}\.)))0*([0-9]+)[^/]*$"
@@ -90,6 +102,11 @@ class Layout:
     def bytes_of(self, page: int) -> int:
         return sum(self.pages[page][1]) if self.pages else self.height * self.width * np.dtype(self.dtype).itemsize
 
+    @property
+    def total(self) -> int:
+        """Bytes of all slices."""
+        return sum(self.bytes_of(k) for k in range(self.depth))
+
     @property
     def inner(self) -> bool:
         return bool(self.pages) or self.start >= 0
@@ -160,15 +177,97 @@ def layout(path: str, b: Bytes | None = None) -> Layout:
     return Layout(height, width, f"uint{bits}", depth=1)
 
 
-def listed(path: str) -> list[str]:
-    """Readable files below a path, or the file itself, in a volume's order, as the path is given (with its scheme)."""
+def _entries(system: fs.FileSystem, at: str) -> Iterator[tuple[str, bool]]:
+    """Paths of what lies in a folder, and whether they are folders; on local file systems none is held."""
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(at) as found:
+            for e in found:
+                if e.is_dir() or e.is_file():
+                    yield f"{at.rstrip('/')}/{e.name}", e.is_dir()
+    else:
+        for i in system.get_file_info(fs.FileSelector(at)):
+            if i.type in (fs.FileType.Directory, fs.FileType.File):
+                yield i.path, not i.is_file
+
+
+def walked(system: fs.FileSystem, root: str, folders: bool = False) -> Iterator[str]:
+    """Files below a folder, those whose names or folders begin with _ or . left out; or the folder itself and all folders below it."""
+    todo = [root]
+    while todo:
+        at = todo.pop()
+        if folders:
+            yield at
+        for p, inner in _entries(system, at):
+            if inner and (folders or not re.search(r"/[_.][^/]*$", p)):
+                todo.append(p)
+            elif not inner and not folders and not re.search(r"/[_.][^/]*$", p):
+                yield p
+
+
+def found(path: str) -> Iterator[str]:
+    """Readable files below a path and JPEG files, or the file itself, in no order, as the path is given (with its scheme)."""
     system, root = opened(path)
     if system.get_file_info(root).is_file:
-        return [path]
-    infos = system.get_file_info(fs.FileSelector(root, recursive=True))
+        yield path
+        return
     head = path[: len(path) - len(root)] if path.endswith(root) else ""
-    names = [head + i.path for i in infos if i.is_file and suffix(i.path) and not re.search(r"/[_.]", i.path[len(root.rstrip("/")) :])]
-    return sorted(names, key=place)
+    yield from (head + p for p in walked(system, root) if suffix(p) or p.lower().endswith(".jpg"))
+
+
+def listed(path: str) -> list[str]:
+    """Readable files below a path, or the file itself, in a volume's order, as the path is given (with its scheme)."""
+    return sorted((p for p in found(path) if p == path or suffix(p)), key=place)
+
+
+def _in_batches(rows: Iterator[tuple], schema: str, size: int = 4096) -> Iterator[pa.RecordBatch]:
+    fields = [f.split(" ") for f in schema.split(", ")]
+    kinds = pa.schema([(n, pa.int64() if k == "long" else pa.string()) for n, k in fields])
+    while some := list(itertools.islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds.types, strict=True)], schema=kinds)
+
+
+def names(spark: SparkSession, path: str) -> DataFrame:
+    """file of all that found() gives, listed by a task: no list of them is held anywhere."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                yield from _in_batches(((f,) for f in found(p)), "file string")
+
+    return spark.range(0, 1, 1, 1).select(F.lit(path).alias("path")).mapInArrow(run, "file string")
+
+
+def headed(spark: SparkSession, path: str, count: int) -> DataFrame:
+    """INDEX of the readable files below a path, about ``count``, whose headers are read by tasks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = ((p, layout(p)) for p in b.column(0).to_pylist() if p == path or suffix(p))
+            yield from _in_batches(((p, f.depth, f.height, f.width, f.shown, f.total, *place(p)) for p, f in rows), INDEX)
+
+    tasks = max(1, -(-count // PLANNED), min(-(-count // FILES), spark.sparkContext.defaultParallelism))
+    return names(spark, path).repartition(tasks, "file").mapInArrow(run, INDEX)
+
+
+def shared(spark: SparkSession) -> bool:
+    """Whether there is a folder that all executors share and Arrow reaches."""
+    try:
+        return reachable(lineage.shared_folder(spark, "places"))
+    except ValueError:
+        return False
+
+
+def indexed(spark: SparkSession, path: str, count: int) -> tuple[DataFrame, str]:
+    """INDEX of a large folder, written in a volume's order below the folder that all executors share, and the option ``places`` for it."""
+    to, order = lineage.shared_folder(spark, "places"), ["head", "digits", "number", "file"]
+    parts = max(1, -(-count // PLANNED))
+    cut = headed(spark, path, count).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    cut.withColumn("part", F.spark_partition_id()).write.parquet(to)
+    table = spark.read.parquet(to)
+    per_part = table.groupBy("part", F.col("_metadata.file_name").alias("name")).agg(F.sum("dz").alias("dz"), F.sum("bytes").alias("bytes"))
+    places, z = [], 0
+    for r in sorted(per_part.collect()):  # a row for each part
+        places.append((f"{to}/{r.name}", z, z + r.dz, r.bytes))
+        z += r.dz
+    return table, json.dumps(places)
 
 
 def span(text: str | None) -> tuple[int, int]:
@@ -181,7 +280,7 @@ class Run:
     """Slices first..last of a file, which begin at z of the volume."""
 
     path: str
-    layout: Layout
+    layout: Layout | None
     z: int
     first: int
     last: int
@@ -193,6 +292,14 @@ class Runs(InputPartition):
         self.runs = runs
 
 
+class Places(InputPartition):
+    """The slices lo..hi of the volume, whose files stand in a part of an index that begins at z."""
+
+    def __init__(self, part: str, z: int, lo: int, hi: int):
+        super().__init__(None)
+        self.part, self.z, self.lo, self.hi = part, z, lo, hi
+
+
 class Files(InputPartition):
     def __init__(self, paths: list[str]):
         super().__init__(None)
@@ -216,6 +323,7 @@ class SliceReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.size, self.checked = options["path"], int(options.get("bytes", BYTES)), options.get("checked", "true") == "true"
         self.z, self.y, self.x = (span(options.get(a)) for a in "zyx")
+        self.places = options.get("places")
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -229,7 +337,18 @@ class SliceReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Runs]:
+    def _planned(self) -> Iterator[Places]:
+        """Parts of the index, cut where they hold more than a partition's bytes."""
+        for part, start, stop, size in json.loads(self.places):
+            n = max(1, min(stop - start, -(-size // self.size)))
+            for k in range(n):
+                lo, hi = (start + (stop - start) * i // n for i in (k, k + 1))
+                if max(lo, self.z[0]) < min(hi, self.z[1]):
+                    yield Places(part, start, max(lo, self.z[0]), min(hi, self.z[1]))
+
+    def partitions(self) -> list[Runs | Places]:
+        if self.places is not None:
+            return list(self._planned()) or [Runs([])]
         paths = listed(self.path)
         with ThreadPoolExecutor(THREADS) as pool:
             layouts = list(pool.map(layout, paths))
@@ -252,13 +371,17 @@ class SliceReader(DataSourceReader):
             z += f.depth
         return [Runs(r) for r in out]
 
-    def read(self, partition: Runs) -> Iterator[pa.RecordBatch]:
-        for run in partition.runs:
+    def read(self, partition: Runs | Places) -> Iterator[pa.RecordBatch]:
+        for run in partition.runs if isinstance(partition, Runs) else self._placed(partition):
             system, at = opened(run.path)
-            if run.layout.inner:
+            if run.layout is None or run.layout.inner:
                 with system.open_input_file(at) as f:
-                    yield from self._ranges(run, Bytes(f))
-            elif suffix(run.path) == ".png":
+                    b = Bytes(f)
+                    run.layout = run.layout or layout(run.path, b)
+                    if run.layout.inner:
+                        yield from self._ranges(run, b)
+                        continue
+            if suffix(run.path) == ".png":
                 with system.open_input_stream(at, compression=None) as f:
                     yield from self._cut(run, 0, codecs.read_png(f.read())[0], 0)
             else:
@@ -270,6 +393,19 @@ class SliceReader(DataSourceReader):
                         if k >= run.first:
                             yield from self._cut(run, k, np.frombuffer(data, run.layout.dtype).reshape(run.layout.height, run.layout.width), 0)
 
+    @staticmethod
+    def _placed(partition: Places) -> Iterator[Run]:
+        """Runs of a part of the index; their layouts are read with the files."""
+        system, at = opened(partition.part)
+        z = partition.z
+        with system.open_input_file(at) as f:
+            for b in pq.ParquetFile(f).iter_batches(4096, columns=["file", "dz"]):
+                for path, dz in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                    first, last = max(0, partition.lo - z), min(dz, partition.hi - z)
+                    if first < last:
+                        yield Run(path, None, z + first, first, last)
+                    z += dz
+
     @staticmethod
     def _start(f) -> int:
         """What lies between a NIfTI header and its values; reads the header."""

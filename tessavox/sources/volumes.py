@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +47,7 @@ def _pictures(spark: SparkSession, where: str | list[str]) -> DataFrame:
     return found.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
-def slices(spark: SparkSession, path: str | list[str], kinds: tuple[bool, bool] | None = None) -> DataFrame:
+def slices(spark: SparkSession, path: str | list[str], kinds: tuple[bool, bool, int] | None = None) -> DataFrame:
     """SLICES of the readable files below a path (or of some files); z counts within each file. Zarr stores give a row for each chunk's slice.
 
     JPEG files must be grey; colours that agree in all channels count as grey. ``kinds`` is what _kinds() says, if known.
@@ -72,11 +73,15 @@ def slices(spark: SparkSession, path: str | list[str], kinds: tuple[bool, bool]
     return out[0] if len(out) == 1 else out[0].union(out[1])
 
 
-def _kinds(spark: SparkSession, path: str | list[str]) -> tuple[bool, bool]:
-    """Whether there are files besides JPEG (or none at all), and JPEG files: by the listing, nothing is read."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).inputFiles()
-    jpg = sum(f.lower().endswith(".jpg") for f in listed)
-    return jpg < len(listed) or not jpg, jpg > 0
+def _kinds(spark: SparkSession, path: str | list[str]) -> tuple[bool, bool, int]:
+    """Whether there are files besides JPEG (or none at all), and JPEG files, and how many files: by the listing, nothing is read. A
+    task lists what Arrow reaches, a row comes back; elsewhere Spark lists on the driver."""
+    if isinstance(path, str) and ranges.reachable(path):
+        n, jpg = ranges.names(spark, path).agg(F.count("*"), F.count_if(F.lower("file").endswith(".jpg"))).first()
+    else:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).inputFiles()
+        n, jpg = len(listed), sum(f.lower().endswith(".jpg") for f in listed)
+    return jpg < n or not jpg, jpg > 0, n
 
 
 def _zarr_array(spark: SparkSession, path: str) -> tuple[str, dict]:
@@ -118,17 +123,17 @@ def _zarr(spark: SparkSession, path: str, z: tuple[int, int] | None = None) -> D
     return found.mapInArrow(run, SLICES)
 
 
-def _ranged(path: str, kinds: tuple[bool, bool]) -> bool:
+def _ranged(path: str, kinds: tuple[bool, bool, int]) -> bool:
     """Whether the files' own places can be read: Arrow reaches them, and none is a JPEG file."""
     return ranges.reachable(path) and not kinds[1]
 
 
-def headers(spark: SparkSession, path: str, kinds: tuple[bool, bool] | None = None) -> DataFrame:
+def headers(spark: SparkSession, path: str, kinds: tuple[bool, bool, int] | None = None) -> DataFrame:
     """file, dz, height, width, dtype of each file of a stack, from a few kilobytes of it; no pixel is read (but of JPEG files, and on
     file systems that only Spark reaches)."""
     kinds = kinds or _kinds(spark, path)
     if _ranged(path, kinds):
-        return ranges.registered(spark).read.format("volume_headers").load(path)
+        return ranges.headed(spark, path, kinds[2]).select(*[c.split(" ")[0] for c in ranges.HEADERS.split(", ")])
     kind = "file string, dz long, height long, width long, dtype string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +170,7 @@ def _order() -> list[Column]:
     return [F.when(file.rlike(ranges.NUMBERED), F.regexp_extract(file, ranges.NUMBERED, 1)).otherwise(file), F.char_length(number), number]
 
 
-def _stack(spark: SparkSession, path: str, checked: bool, kinds: tuple[bool, bool] | None = None) -> DataFrame:
+def _stack(spark: SparkSession, path: str, checked: bool, kinds: tuple[bool, bool, int] | None = None) -> DataFrame:
     """path, lo, hi of the files of a volume: where each lies along z, from headers; a row for each file."""
     h = headers(spark, path, kinds)
     if checked:
@@ -177,7 +182,8 @@ def read_slices(spark: SparkSession, path: str, checked: bool = True, z: tuple[i
     """z, y0, x0, height, width, data of a file, a directory of files in the order of their names (and of the sinks' numbers in them), or
     a Zarr store (there a row for each slice of a chunk).
 
-    Places come from the headers; each file is read once, by several tasks where it is large. With ranges of z and y only the bytes (or
+    Places come from the headers; each file is read once, by several tasks where it is large. Folders of more than ``ranges.PLANNED``
+    files are listed and put in order by tasks, in a table below the shared folder. With ranges of z and y only the bytes (or
     the files or chunks) that they touch are read; rows of a Zarr store may reach beyond those of y and x.
     """
     if paths.resolve(path) == "zarr":
@@ -185,9 +191,14 @@ def read_slices(spark: SparkSession, path: str, checked: bool = True, z: tuple[i
     else:
         kinds = _kinds(spark, path)
         if _ranged(path, kinds):
-            if checked and paths.resolve(path) == "directory":
-                check(headers(spark, path, kinds))
             box = {a: f"{max(0, r[0])}:{max(0, r[1])}" for a, r in (("z", z), ("y", y), ("x", x)) if r is not None}
+            if kinds[2] > ranges.PLANNED:
+                if ranges.shared(spark):
+                    index, box["places"] = ranges.indexed(spark, path, kinds[2])
+                else:
+                    warnings.warn(f"the driver plans {kinds[2]} files: no folder is known that all executors share and Arrow reaches", stacklevel=2)
+            if checked and paths.resolve(path) == "directory":
+                check(index if "places" in box else headers(spark, path, kinds))
             found = ranges.files(spark).options(checked=str(checked).lower(), **box).load(path)
             return found.select("z", "y0", "x0", "height", "width", "data")
         places = _stack(spark, path, checked, kinds)

@@ -160,3 +160,43 @@ def test_names_in_order():
     assert sorted(names, key=ranges.place)[:3] == names[:3]
     assert [n for n in sorted(names, key=ranges.place) if "_z" in n] == names[3:]
     assert ranges.reachable("/a/b") and ranges.reachable("file:///a") and not ranges.reachable("viewfs://x/a")
+
+
+def _flat(spark, path, **box):
+    return sorted((r.z, tuple(r.data)) for r in volumes.read_slices(spark, path, **box).collect())
+
+
+def test_large_folders_are_planned_by_tasks(spark, tmp_path, monkeypatch):
+    """No list of files on the driver: neither Spark's own nor the plan's, whatever the files hold."""
+    a = np.random.default_rng(6).integers(0, 60000, (60, 3, 4)).astype("uint16")
+    z = 0
+    for i, n in enumerate([1] * 9 + [20] + [1] * 3 + [26, 2]):  # numbers beyond their digits
+        suffix = (".tif", ".nii", ".nii.gz")[i % 3]
+        (tmp_path / f"v_{99990 + i:05d}{suffix}").write_bytes(codecs.encode(a[z : z + n], suffix))
+        z += n
+    (tmp_path / "notes.txt").write_text("no volume")
+    (tmp_path / "_hidden").mkdir()
+    (tmp_path / "_hidden" / "v.tif").write_bytes(b"")
+
+    def refused(self):
+        raise AssertionError("files listed on the driver")
+
+    monkeypatch.setattr(type(spark.range(1)), "inputFiles", refused)
+    wanted = [(k, tuple(p.ravel().astype(float))) for k, p in enumerate(a)]
+    assert _flat(spark, str(tmp_path)) == wanted
+    monkeypatch.setattr(ranges, "PLANNED", 4)
+    for path in (str(tmp_path), f"file://{tmp_path}"):
+        assert _flat(spark, path) == wanted
+    assert _flat(spark, str(tmp_path), z=(7, 31)) == wanted[7:31]
+    assert [r.data[0] for r in volumes.read_slices(spark, str(tmp_path), z=(8, 12), y=(1, 2), x=(2, 3)).sort("z").collect()] == a[8:12, 1, 2].tolist()
+    assert _flat(spark, str(tmp_path), z=(60, 90)) == []
+    found = volumes.read_slices(spark, str(tmp_path)).where("z >= 28 AND z < 31").collect()
+    assert sorted((r.z, tuple(r.data)) for r in found) == wanted[28:31]
+    index, places = ranges.indexed(spark, str(tmp_path), 15)
+    assert index.count() == 15 and len(ranges.SliceReader({"path": str(tmp_path), "places": places}).partitions()) <= 4
+    pieces = ranges.SliceReader({"path": str(tmp_path), "places": places, "bytes": "240"}).partitions()
+    assert len(pieces) > 4 and [(p.lo, q.lo) for p, q in zip(pieces, pieces[1:]) if p.hi != q.lo] == [] and pieces[-1].hi == 60
+    (tmp_path / "w.tif").write_bytes(codecs.encode(a[:1, :2], ".tif"))
+    with pytest.raises(ValueError, match="must agree"):
+        volumes.read_slices(spark, str(tmp_path))
+    assert volumes.read_slices(spark, str(tmp_path), checked=False).count() == 61
