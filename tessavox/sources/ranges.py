@@ -496,11 +496,12 @@ class UnfilteredFiles(VolumeFiles):
 
 def registered(spark: SparkSession) -> SparkSession:
     """The session, with all formats."""
+    spark.createDataFrame([], "file string")  # makes it the active one, in which Spark looks whether a format is there
     for source in (VolumeHeaders, VolumeFiles, UnfilteredFiles):
         try:
             spark.dataSource.register(source)
         except AnalysisException as e:
-            if e.getCondition() != "DATA_SOURCE_ALREADY_EXISTS":  # a new session has those of the one before it
+            if e.getCondition() != "DATA_SOURCE_ALREADY_EXISTS":
                 raise
     return spark
 
