@@ -8,6 +8,7 @@ task holds is a few patches, or one band with the chunks over it.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -69,8 +70,8 @@ def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def _over(places: list[int], size: int, lo: int, hi: int) -> list[int]:
-    """The starts of tiles that touch lo..hi."""
-    return [s for s in places if s < hi and s + size > lo]
+    """The starts (in order) of tiles that touch lo..hi."""
+    return places[bisect_right(places, lo - size) : bisect_left(places, hi)]
 
 
 def patches(slices: DataFrame, shape: tuple[int, int, int], size: tuple[int, int, int], overlap: tuple[int, int, int]) -> DataFrame:

@@ -16,15 +16,23 @@ from tessavox.sources import convert, pictures, ranges, volumes
 
 
 def directories(spark: SparkSession, root: str) -> DataFrame:
-    """path of the root and all directories below it, on any file system."""
+    """path of the root and all directories below it, on any file system. Mounted ones are listed by a task, others through an iterator; no
+    list of files is held."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     top = jvm.org.apache.hadoop.fs.Path(root)
     fs = top.getFileSystem(conf)
     todo, found = [fs.getFileStatus(top).getPath()], []
+    if todo[0].toString().startswith("file:"):
+        found = [(r.path,) for r in ranges.folders(spark, todo[0].toString()).toLocalIterator()]
+        todo = []
     while todo:
         at = todo.pop()
         found.append((at.toString(),))
-        todo += [x.getPath() for x in fs.listStatus(at) if x.isDirectory()]
+        inner = fs.listStatusIterator(at)
+        while inner.hasNext():
+            x = inner.next()
+            if x.isDirectory():
+                todo.append(x.getPath())
     return spark.createDataFrame(sorted(found), "path string")
 
 

@@ -236,6 +236,17 @@ def names(spark: SparkSession, path: str) -> DataFrame:
     return spark.range(0, 1, 1, 1).select(F.lit(path).alias("path")).mapInArrow(run, "file string")
 
 
+def folders(spark: SparkSession, path: str) -> DataFrame:
+    """path of a folder of a mounted file system (with the scheme file, or none) and of all below it, listed by a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                plain = re.sub("^file:/+", "/", p)
+                yield from _in_batches(((p[: len(p) - len(plain)] + f,) for f in walked(fs.LocalFileSystem(), plain, True)), "path string")
+
+    return spark.range(0, 1, 1, 1).select(F.lit(path).alias("path")).mapInArrow(run, "path string")
+
+
 def headed(spark: SparkSession, path: str, count: int) -> DataFrame:
     """INDEX of the readable files below a path, about ``count``, whose headers are read by tasks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

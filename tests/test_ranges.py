@@ -200,3 +200,33 @@ def test_large_folders_are_planned_by_tasks(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError, match="must agree"):
         volumes.read_slices(spark, str(tmp_path))
     assert volumes.read_slices(spark, str(tmp_path), checked=False).count() == 61
+
+
+def test_folders_are_listed_by_a_task(spark, tmp_path, monkeypatch):
+    """Folders of a root, hidden ones and odd names too; the driver never meets the files between them."""
+    from tessavox.plans import jobs
+
+    for where in ("a/images", "a b/x%20y", "_c/.d"):
+        (tmp_path / where).mkdir(parents=True)
+        for i in range(50):
+            (tmp_path / where / f"{i}.tif").write_bytes(b"")
+    asked, gateway = [], spark.sparkContext._gateway._gateway_client
+    send = gateway.send_command
+    monkeypatch.setattr(gateway, "send_command", lambda *a, **k: asked.append(1) or send(*a, **k))
+    got = [r.path for r in jobs.directories(spark, str(tmp_path)).collect()]
+    assert got == sorted(f"file:{tmp_path}{w}" for w in ("", "/a", "/a/images", "/a b", "/a b/x%20y", "/_c", "/_c/.d"))
+    before = len(asked)
+    for i in range(50, 1000):
+        (tmp_path / "a" / "images" / f"{i}.tif").write_bytes(b"")
+    jobs.directories(spark, str(tmp_path))
+    assert len(asked) - before < 950
+
+
+def test_tiles_over_a_range():
+    from tessavox.operators import predict, tiling
+
+    for full, size, overlap in ((40, 7, 3), (5, 9, 2), (9, 3, 0)):
+        places = tiling.starts(full, size, overlap)
+        for lo in range(full):
+            for hi in range(lo + 1, full + 1):
+                assert predict._over(places, size, lo, hi) == [s for s in places if s < hi and s + size > lo]
